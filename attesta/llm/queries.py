@@ -7,17 +7,62 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe
+from attesta.llm import bpe, chat_format, url_filter
 from attesta.llm.common import table
 
+RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole document, digested, and the text decoded from them."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES)
+
+
+#: Reads the same list as the operator makes: hosts with a page that a block rule hits.
+OP6_SQL = r"""
+WITH parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                 WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+                 WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+                 WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts),
+listed AS (SELECT DISTINCT host AS bad FROM ruled WHERE rule IN ('example.org/en/1', 'example.org/es/', 'com/de/'))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block'
+            WHEN rule IS NOT NULL THEN 'allow' WHEN bad IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN listed ON host = bad
+"""
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts imitate a template, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, [("user", said), ("assistant", said)])], "id long, messages array<struct<role:string,content:string>>")
+    turns = chat_format.to_turns(table(spark, sf_dir, "conversations")).unionByName(chat_format.to_turns(planted))
+    return chat_format.digests(chat_format.segments(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
+    "op6_url_filter": op6_url_filter,
+    "op7_chat_format": op7_chat_format,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
