@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, chat_format, decontaminate, quality, simhash, url_filter
+from attesta.llm import bpe, chat_format, decontaminate, quality, simhash, substring_dedup, url_filter
 from attesta.llm.common import table
 
 RULES = [
@@ -25,6 +25,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in passages that also start in a document with a smaller id."""
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM win JOIN least USING (k) WHERE m < doc_id),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.j) AS text FROM words ANTI JOIN gone ON words.r = gone.r AND words.j = gone.j GROUP BY words.r),
+counts AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole document, digested, and the text decoded from them."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -102,6 +122,7 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_bpe": op5_bpe,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
@@ -109,4 +130,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op6_url_filter": OP6_SQL, "op10_decontaminate": OP10_SQL}
