@@ -48,7 +48,7 @@ def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
 
 
 def stretches(symbols: np.ndarray, width: int, k: int):
-    """(core hash, first window, number of windows) of every stretch.
+    """(core hash, first window, number of windows, anchor) of every stretch.
 
     Empty when the sequence is shorter than ``width``.  Sequences of up to
     2**32 - 1 symbols are allowed.
@@ -56,7 +56,7 @@ def stretches(symbols: np.ndarray, width: int, k: int):
     n = len(symbols)
     if n < width:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z
+        return np.zeros(0, np.uint64), z, z, z
     grams = gram_hashes(symbols, k)
     packed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     span, have = width - k + 1, 1
@@ -68,4 +68,4 @@ def stretches(symbols: np.ndarray, width: int, k: int):
     at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     count = np.diff(np.append(first, len(at)))
-    return grams[at[first]], first, count
+    return grams[at[first]], first, count, at[first]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, chat_format, decontaminate, quality, simhash, substring_dedup, url_filter
+from attesta.llm import bpe, chat_format, decontaminate, quality, simhash, substring_dedup, suffix_dedup, url_filter
 from attesta.llm.common import table
 
 RULES = [
@@ -25,6 +25,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document in strings of 200 bytes that also start elsewhere."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in passages that also start in a document with a smaller id."""
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
@@ -122,6 +127,7 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_bpe": op5_bpe,
     "op6_url_filter": op6_url_filter,

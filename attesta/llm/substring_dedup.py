@@ -64,7 +64,7 @@ def _stretch_rows(given: DataFrame, width: int) -> DataFrame:
                 if len(words) < width:
                     continue
                 numbers = _numbers(words)
-                core, first, count = stretches(numbers, width, gram)
+                core, first, count, _ = stretches(numbers, width, gram)
                 raw = numbers.tobytes()
                 segs = [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * (a + n + width - 1)]) for a, n in zip(first.tolist(), count.tolist())]
                 size = len(core)
