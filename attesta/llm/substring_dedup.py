@@ -83,7 +83,7 @@ def _texts(pairs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+            for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = (text or "").encode().split()
                 for w in wanted:
                     first, count = w["at"] >> 8, w["at"] & 255
@@ -147,6 +147,11 @@ def _automata(texts: DataFrame, width: int) -> DataFrame:
     return texts.repartition("core").sortWithinPartitions("core").mapInArrow(run, schema)
 
 
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, key, text).  Every join with texts takes just these columns, so Spark shuffles them once and reads the exchange again."""
+    return docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key), F.col(text))
+
+
 def _removals(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(row, cuts): the windows to remove of each text that has any."""
     given = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LONG_MAX)).alias("doc"), F.col(text).alias("text"))
@@ -156,7 +161,7 @@ def _removals(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     kinds = distinct.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     known = stored(distinct.join(kinds, "core", "left").filter("kinds > 1 OR most > first_doc"), "recurring")
     wanted = known.filter("kinds > 1").groupBy("row").agg(F.collect_list(F.struct("core", "seg", F.col("first_doc").alias("doc"), "at")).alias("wanted"))
-    located = _automata(_texts(given.select("row", "text").join(wanted, "row").select("text", "wanted"), width), width)
+    located = _automata(_texts(keyed(docs, key, text).join(wanted, "row").select(key, text, "wanted"), width), width)
     marked = known.select("core", "seg", "first_doc", "most").join(located, ["core", "seg"], "left").filter("most > first_doc OR found IS NOT NULL")
     hits = parts.join(marked, ["core", "seg"]).filter("doc > first_doc OR found IS NOT NULL")
     return hits.groupBy("row").agg(F.collect_set(F.struct("at", F.when(F.col("doc") == F.col("first_doc"), F.col("found")).alias("found"))).alias("cuts"))
@@ -180,7 +185,7 @@ def covered(size: int, cuts: list[dict] | None, width: int) -> np.ndarray:
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of every document."""
     cuts = _removals(docs, key, text, width)
-    given = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key), F.col(text)).join(cuts, "row", "left").select(key, text, "cuts")
+    given = keyed(docs, key, text).join(cuts, "row", "left").select(key, text, "cuts")
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches):

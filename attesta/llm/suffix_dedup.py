@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from attesta.llm.anchors import stretches
 from attesta.llm.common import stored
-from attesta.llm.substring_dedup import covered
+from attesta.llm.substring_dedup import covered, keyed
 
 #: Fixed value: bytes in a string.
 WIDTH = 200
@@ -201,7 +201,7 @@ def _runs(pairs: DataFrame, width: int, splitters: list[bytes]) -> DataFrame:
     def run(batches):
         found: list[tuple[bytes, bytes, int, int]] = []
         for batch in batches:
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+            for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 want = {(w["core"], w["seg"]) for w in wanted}
                 near = {c for c, _ in want}
                 raw, (core, first, count, anchor) = _cut(text, width)
@@ -298,7 +298,7 @@ def _removals(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     several = known.filter("kinds > 1")
     splitters = _splitters(given, width, math.ceil(several.count() / PART))
     wanted = several.groupBy("row").agg(F.collect_list(F.struct("core", "seg")).alias("wanted"))
-    found = _merged(_runs(given.join(wanted, "row").select("text", "wanted"), width, splitters), width)
+    found = _merged(_runs(keyed(docs, key, text).join(wanted, "row").select(key, text, "wanted"), width, splitters), width)
     marked = known.select("core", "seg", "n").join(found, ["core", "seg"], "left").filter("n > 1 OR found IS NOT NULL")
     hits = parts.join(marked.select("core", "seg", F.when(F.col("n") == 1, F.col("found")).alias("found")), ["core", "seg"])
     return hits.groupBy("row").agg(F.collect_set(F.struct("at", "found")).alias("cuts"))
@@ -307,7 +307,7 @@ def _removals(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     cuts = _removals(docs, key, text, width)
-    given = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key), F.col(text)).join(cuts, "row", "left").select(key, text, "cuts")
+    given = keyed(docs, key, text).join(cuts, "row", "left").select(key, text, "cuts")
     kinds = [T.StructField(key, docs.schema[key].dataType)] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     schema = T.StructType([*kinds, T.StructField("kept_sha256", T.StringType())])
 
@@ -329,7 +329,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 def kept_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, kept binary): what stays of every text; bytes, as a cut may part a character."""
     cuts = _removals(docs, key, text, width)
-    given = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key), F.col(text)).join(cuts, "row", "left").select(key, text, "cuts")
+    given = keyed(docs, key, text).join(cuts, "row", "left").select(key, text, "cuts")
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("kept", T.BinaryType())])
 
     def run(batches):
