@@ -9,7 +9,8 @@ on the variants gives candidates and the distance decides, in the join's own
 condition.
 
 Work is on distinct fingerprints, copies being counted first.  In each bucket of
-a variant the fingerprint with most copies is its hub.  Members within RADIUS of
+a variant the fingerprint with most copies is its hub (one shuffle of 64 rows a
+fingerprint, whose buckets stream and spill).  Members within RADIUS of
 the hub are linked to it and not to each other; the others are compared with all
 members.  That loses no component: a pair that is left out has both its ends
 linked to a hub that is larger, in the order of (copies, fingerprint), than
@@ -29,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from attesta.llm.common import hidden, stored
 from attesta.llm.components import components
@@ -100,8 +102,9 @@ def first_variant(diff: Column) -> Column:
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough of them for the right components."""
     all_ = variants(fps)
-    hubs = all_.groupBy("variant").agg(F.max(F.struct("copies", "fp")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("variant", F.col("top.fp").alias("hub"))
-    member = all_.join(hubs, "variant").select("variant", "bit", "fp", "hub", (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius).alias("near"))
+    bucket = Window.partitionBy("variant")
+    tops = all_.withColumns({"top": F.max(F.struct("copies", "fp")).over(bucket), "n": F.count("*").over(bucket)}).filter("n > 1")
+    member = tops.select("variant", "bit", "fp", F.col("top.fp").alias("hub"), (F.bit_count(F.col("fp").bitwiseXOR(F.col("top.fp"))) <= radius).alias("near"))
     member = stored(member, "members")
     near = member.filter("near AND fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
     far = member.filter("NOT near").select(F.col("variant"), F.col("fp").alias("a"), F.col("bit").alias("at"))
