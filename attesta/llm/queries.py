@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, chat_format, decontaminate, quality, simhash, substring_dedup, suffix_dedup, url_filter
+from attesta.llm import bpe, chat_format, decontaminate, html_extract, license_scan, quality, simhash, substring_dedup, suffix_dedup, url_filter
 from attesta.llm.common import table
 
 RULES = [
@@ -50,6 +50,11 @@ FROM d LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
 """
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses whose notices every whole document holds."""
+    return license_scan.summary(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole document, digested, and the text decoded from them."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -95,6 +100,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a window of any benchmark item."""
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -129,10 +139,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_bpe": op5_bpe,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
     "op8_simhash": op8_simhash,
+    "op9_html_extract": op9_html_extract,
     "op10_decontaminate": op10_decontaminate,
 }
 

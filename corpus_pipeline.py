@@ -1,18 +1,58 @@
-"""The corpus pipeline: STAGES over the documents, each written and reread."""
+"""The corpus pipeline: STAGES over the documents, each written and reread.
+
+Quality rules drop documents, near-dedup keeps one of each group, substring
+dedup cuts passages that a document with a smaller id has, decontamination drops
+documents with a benchmark passage, and BPE gives the token counts and digests
+of what is left.  Every stage works on all that its predecessor kept; all but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from attesta.llm import bpe, decontaminate, quality, simhash, substring_dedup
 from attesta.llm.common import stored, table
 
-STAGES: list = []
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.filtered(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts may end up empty; n_chars follows the text."""
+    cut = substring_dedup.removed(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("substring dedup", passage_dedup),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding and decoding", tokens),
+]
+
+#: The fingerprints' XXH64 and the learned rules can't be said in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
