@@ -44,6 +44,8 @@ from attesta.llm.common import LONG_MAX, hidden, stored, with_fields
 WIDTH = 50
 #: Words in an anchor's hash; stretches compiled into one automaton, if their cores are whole.
 GRAM, BATCH = 8, 2000
+#: A stretch with a larger share and number of all rows is hot.
+HOT_SHARE, HOT_LEAST = 1e-3, 5_000
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -152,18 +154,31 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key), F.col(text))
 
 
+def at_all_places(parts: DataFrame, marked: DataFrame, known: DataFrame) -> DataFrame:
+    """The stretches of ``parts`` with what ``marked`` says of their (core, seg); ``known`` has the number n of each.
+
+    A stretch with over a HOT_SHARE of all rows, as third parts of a corpus that
+    are copies have, would land in one task.  There are at most 1 / HOT_SHARE
+    such, so they meet their places by a broadcast and only the rest is shuffled.
+    """
+    most = max(HOT_LEAST, int(parts.count() * HOT_SHARE))
+    keys = ["core", "seg"]
+    rest = parts.join(F.broadcast(known.filter(F.col("n") > most).select(*keys)), keys, "left_anti").join(marked.filter(F.col("n") <= most).drop("n"), keys)
+    return rest.unionByName(parts.join(F.broadcast(marked.filter(F.col("n") > most).drop("n")), keys))
+
+
 def _removals(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(row, cuts): the windows to remove of each text that has any."""
     given = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LONG_MAX)).alias("doc"), F.col(text).alias("text"))
     parts = stored(_stretch_rows(given, width), "stretches")
-    distinct = parts.groupBy("core", "seg").agg(F.min(F.struct("doc", "row", "at")).alias("least"), F.max("doc").alias("most"))
-    distinct = distinct.select("core", "seg", F.col("least.doc").alias("first_doc"), F.col("least.row").alias("row"), F.col("least.at").alias("at"), "most")
+    distinct = parts.groupBy("core", "seg").agg(F.min(F.struct("doc", "row", "at")).alias("least"), F.max("doc").alias("most"), F.count("*").alias("n"))
+    distinct = distinct.select("core", "seg", "n", F.col("least.doc").alias("first_doc"), F.col("least.row").alias("row"), F.col("least.at").alias("at"), "most")
     kinds = distinct.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     known = stored(distinct.join(kinds, "core", "left").filter("kinds > 1 OR most > first_doc"), "recurring")
     wanted = known.filter("kinds > 1").groupBy("row").agg(F.collect_list(F.struct("core", "seg", F.col("first_doc").alias("doc"), "at")).alias("wanted"))
     located = _automata(_texts(keyed(docs, key, text).join(wanted, "row").select(key, text, "wanted"), width), width)
-    marked = known.select("core", "seg", "first_doc", "most").join(located, ["core", "seg"], "left").filter("most > first_doc OR found IS NOT NULL")
-    hits = parts.join(marked, ["core", "seg"]).filter("doc > first_doc OR found IS NOT NULL")
+    marked = known.select("core", "seg", "n", "first_doc", "most").join(located, ["core", "seg"], "left").filter("most > first_doc OR found IS NOT NULL")
+    hits = at_all_places(parts, marked, known).filter("doc > first_doc OR found IS NOT NULL")
     return hits.groupBy("row").agg(F.collect_set(F.struct("at", F.when(F.col("doc") == F.col("first_doc"), F.col("found")).alias("found"))).alias("cuts"))
 
 

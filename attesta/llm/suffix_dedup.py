@@ -39,12 +39,12 @@ from pyspark.sql import types as T
 
 from attesta.llm.anchors import stretches
 from attesta.llm.common import stored
-from attesta.llm.substring_dedup import covered, keyed
+from attesta.llm.substring_dedup import at_all_places, covered, keyed
 
 #: Fixed value: bytes in a string.
 WIDTH = 200
 #: Bytes of an anchor; stretches in a run; stretches in a part, on average; documents from which splitters are taken, on average.
-GRAM, RUN, PART, SPLIT_DOCS = 16, 20_000, 40_000, 2_000
+GRAM, RUN, PART, SPLIT_DOCS = 16, 20_000, 10_000, 2_000
 
 
 def _cut(text: str | None, width: int):
@@ -300,7 +300,7 @@ def _removals(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     wanted = several.groupBy("row").agg(F.collect_list(F.struct("core", "seg")).alias("wanted"))
     found = _merged(_runs(keyed(docs, key, text).join(wanted, "row").select(key, text, "wanted"), width, splitters), width)
     marked = known.select("core", "seg", "n").join(found, ["core", "seg"], "left").filter("n > 1 OR found IS NOT NULL")
-    hits = parts.join(marked.select("core", "seg", F.when(F.col("n") == 1, F.col("found")).alias("found")), ["core", "seg"])
+    hits = at_all_places(parts, marked.select("core", "seg", "n", F.when(F.col("n") == 1, F.col("found")).alias("found")), known)
     return hits.groupBy("row").agg(F.collect_set(F.struct("at", "found")).alias("cuts"))
 
 

@@ -51,7 +51,8 @@ def documents(seed=0):
 
 
 @pytest.mark.parametrize("width,seed", [(50, 0), (50, 1), (7, 2)])
-def test_equals_brute_force(spark, width, seed):
+def test_equals_brute_force(spark, monkeypatch, width, seed):
+    monkeypatch.setattr(S, "HOT_LEAST", 3 if seed % 2 else 5_000)
     docs = documents(seed)
     frame = spark.createDataFrame([(*d, 1, "x", 2) for d in docs], SCHEMA)
     want = brute(docs, width)

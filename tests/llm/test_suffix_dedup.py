@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from attesta.llm import substring_dedup
 from attesta.llm import suffix_dedup as S
 
 SCHEMA = "doc_id long, text string, row int, part string, n int"
@@ -48,6 +49,7 @@ def documents(seed):
 def test_equals_brute_force(spark, monkeypatch, width, seed, part, run):
     monkeypatch.setattr(S, "PART", part)
     monkeypatch.setattr(S, "RUN", run)
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", 3 if seed % 2 else 5_000)
     docs = documents(seed)
     frame = spark.createDataFrame([(*d, 1, "x", 2) for d in docs], SCHEMA)
     want = brute(docs, width)
