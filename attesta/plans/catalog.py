@@ -1,39 +1,6 @@
-"""The registered queries over the driver's tables, each with the SQL that gives the same rows."""
+"""All registered queries over the driver's tables."""
 
-from __future__ import annotations
+from attesta.plans import batch_queries, history_queries, ledger_queries, scalar_queries  # noqa: F401
+from attesta.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, with its SQL where there is one."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "current_value",
-    """SELECT user_id, event_type, event_id, value FROM (
-         SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id ASC) AS rn FROM events)
-       WHERE rn = 1""",
-)
-def current_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id", "event_type").orderBy(F.col("ts").desc(), F.col("event_id").asc())
-    return read(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("user_id", "event_type", "event_id", "value")
+__all__ = ["ORACLES", "QUERIES"]
