@@ -74,6 +74,10 @@ def contacts(text: Column) -> Column:
     return F.when(F.size(emails) + F.size(phones) + F.size(addresses) > 0, F.struct(emails.alias("emails"), phones.alias("phones"), addresses.alias("addresses")))
 
 
+def _labelled(role: str):
+    return lambda name: F.struct(name.alias("name"), F.lit(role).alias("role"))
+
+
 def role_names(text: Column) -> Column:
     """array of struct(name, role): names of two to five words behind a role's words; eight at most."""
     parts = []
@@ -81,7 +85,7 @@ def role_names(text: Column) -> Column:
         names = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)" + role + ROLE_NAME), F.lit(2))
         names = F.transform(names, lambda n: F.regexp_replace(F.trim(n), "[.,;]+$", ""))
         fit = F.filter(names, lambda n: F.size(F.split(n, r"\s+")).between(2, 5) & ~F.array_contains(F.split(n, r"\s+"), "og"))
-        parts.append(F.transform(fit, lambda n, label=label: F.struct(n.alias("name"), F.lit(label).alias("role"))))
+        parts.append(F.transform(fit, _labelled(label)))
     return F.slice(F.concat(*parts), 1, 8)
 
 
