@@ -34,7 +34,7 @@ from attesta.llm.common import hidden, with_fields
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
 #: Parameters of learning.
-SAMPLE, PRECISION, CUTS, MOST_CONDITIONS, MOST_RULES = 4000, 0.9, 24, 4, 12
+SAMPLE, PRECISION, CUTS, MOST_CONDITIONS, MOST_RULES = 4000, 0.9, 64, 4, 12
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
 STATS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
@@ -111,6 +111,17 @@ def covers(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def cuts_between(values: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Midpoints between neighbouring values where the kinds of rows change; the best cut is one of them."""
+    found, first = np.unique(np.sort(values), return_index=True)
+    if len(found) < 2:
+        return found[:0]
+    share = np.add.reduceat(bad[np.argsort(values, kind="stable")].astype(float), first) / np.diff(np.append(first, len(values)))
+    same = (share[1:] == share[:-1]) & ((share[1:] == 0) | (share[1:] == 1))
+    mids = ((found[1:] + found[:-1]) / 2)[~same]
+    return mids[np.unique(np.linspace(0, len(mids) - 1, min(len(mids), CUTS)).astype(int))] if len(mids) else mids
+
+
 def grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     """Add the condition of the largest FOIL gain until no good row is hit."""
     rule, inside = [], np.ones(len(bad), bool)
@@ -118,10 +129,7 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
         p0, n0 = (inside & bad).sum(), inside.sum()
         best, gain = None, 1e-9
         for name, values in x.items():
-            cuts = np.unique(np.quantile(values[inside], np.linspace(0, 1, CUTS + 1), method="midpoint"))
-            hit = np.unique(values[inside & bad])
-            cuts = np.unique(np.concatenate([cuts, np.quantile(hit, np.linspace(0, 1, CUTS + 1), method="nearest")]))
-            for cut in cuts:
+            for cut in cuts_between(values[inside], bad[inside]):
                 low = values <= cut
                 for side, chosen in (("<=", inside & low), (">", inside & ~low)):
                     p, n = (chosen & bad).sum(), chosen.sum()
