@@ -30,6 +30,24 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k
+  FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM w SEMI JOIN again USING (k)),
+isle AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM hit),
+runs AS (SELECT r, g, min(i) AS a, max(i) + 200 AS b FROM isle GROUP BY r, g),
+gaps AS (SELECT r, g, coalesce(lag(b) OVER (PARTITION BY r ORDER BY g), 0) AS x, a AS y FROM runs),
+ends AS (SELECT r, count(*) AS n, sum(b - a) AS gone, max(b) AS last FROM runs GROUP BY r),
+heads AS (SELECT gaps.r, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY g) AS head FROM gaps JOIN d ON gaps.r = d.r GROUP BY gaps.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN ends USING (r) LEFT JOIN heads USING (r)
+"""
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in passages that also start in a document with a smaller id."""
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
@@ -95,6 +113,21 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.segments(turns))
 
 
+OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+f AS (
+  SELECT *, length(regexp_replace(replace(role || chr(1) || text, '\', '\\'),
+    '(<\|turn\|>|<\|text\|>|<\|end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<\|startoftext\|>)', '\1.', 'g')) - 1 + 23 AS n
+  FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -148,4 +181,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op6_url_filter": OP6_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_chat_format": OP7_SQL, "op6_url_filter": OP6_SQL, "op10_decontaminate": OP10_SQL}
