@@ -49,14 +49,14 @@ def strict_loads(body: str):
     """The document with numbers as their tokens; ValueError for what strict JSON doesn't allow."""
     if body.startswith("﻿"):
         body = body[1:]
-    depth = most = 0
-    for c in re.sub(r'"(?:[^"\\]|\\.)*"', "", body):
-        depth += (c in "[{") - (c in "]}")
-        most = max(most, depth)
-    if most > MOST_DEPTH:
-        raise Refused("too deep")
+    if body.count("[") + body.count("{") > MOST_DEPTH:
+        depth = 0
+        for c in re.findall(r"[\[{\]}]", re.sub(r'"(?:[^"\\]|\\.)*"', "", body)):
+            depth += 1 if c in "[{" else -1
+            if depth > MOST_DEPTH:
+                raise Refused("too deep")
     document = json.loads(body, object_pairs_hook=_pairs, parse_constant=_constant, parse_float=_number, parse_int=_number)
-    if re.search("[\ud800-\udfff]", json.dumps(document, ensure_ascii=False)):
+    if "\\u" in body and re.search("[\ud800-\udfff]", json.dumps(document, ensure_ascii=False)):
         raise Refused("lone surrogate")
     return document
 
