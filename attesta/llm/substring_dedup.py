@@ -154,17 +154,18 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key), F.col(text))
 
 
-def at_all_places(parts: DataFrame, marked: DataFrame, known: DataFrame) -> DataFrame:
+def at_all_places(parts: DataFrame, marked: DataFrame, known: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """The stretches of ``parts`` with what ``marked`` says of their (core, seg); ``known`` has the number n of each.
 
     A stretch with over a HOT_SHARE of all rows, as third parts of a corpus that
     are copies have, would land in one task.  There are at most 1 / HOT_SHARE
     such, so they meet their places by a broadcast and only the rest is shuffled.
+    ``hot``: what is said of them, where that is known without ``marked``.
     """
     most = max(HOT_LEAST, int(parts.count() * HOT_SHARE))
     keys = ["core", "seg"]
     rest = parts.join(F.broadcast(known.filter(F.col("n") > most).select(*keys)), keys, "left_anti").join(marked.filter(F.col("n") <= most).drop("n"), keys)
-    return rest.unionByName(parts.join(F.broadcast(marked.filter(F.col("n") > most).drop("n")), keys))
+    return rest.unionByName(parts.join(F.broadcast((marked if hot is None else hot).filter(F.col("n") > most).drop("n")), keys))
 
 
 def _removals(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:

@@ -300,7 +300,8 @@ def _removals(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     wanted = several.groupBy("row").agg(F.collect_list(F.struct("core", "seg")).alias("wanted"))
     found = _merged(_runs(keyed(docs, key, text).join(wanted, "row").select(key, text, "wanted"), width, splitters), width)
     marked = known.select("core", "seg", "n").join(found, ["core", "seg"], "left").filter("n > 1 OR found IS NOT NULL")
-    hits = at_all_places(parts, marked.select("core", "seg", "n", F.when(F.col("n") == 1, F.col("found")).alias("found")), known)
+    hot = known.select("core", "seg", "n", F.lit(None).cast("binary").alias("found"))  # these recur as a whole, no merge is needed
+    hits = at_all_places(parts, marked.select("core", "seg", "n", F.when(F.col("n") == 1, F.col("found")).alias("found")), known, hot)
     return hits.groupBy("row").agg(F.collect_set(F.struct("at", "found")).alias("cuts"))
 
 
