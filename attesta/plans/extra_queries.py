@@ -181,5 +181,6 @@ def job_links(spark, sf_dir):
 
 @query("page_names")
 def page_names(spark, sf_dir):
-    said = F.concat(F.lit("CEO: Kari Nordmann\n"), F.left("text", F.lit(200)))
-    return read(spark, sf_dir, "documents").select("doc_id", F.explode(web.role_names(said)).alias("r")).select("doc_id", "r.name", "r.role")
+    """Names by role in the whole text of every document, beside one planted line; the line takes none of the text's places."""
+    found = F.concat(web.role_names(F.lit("CEO: Kari Nordmann\n")), web.role_names(F.col("text")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("r")).select("doc_id", "r.name", "r.role")
