@@ -5,7 +5,10 @@ stretch of a text holds enough of a template's words, the two are aligned:
 words that occur once in each are anchors, the longest increasing subsequence of
 their places is kept, and the gaps between anchors are aligned in the same way;
 a gap without anchors gives what its ends share.  Coverage is the share of the
-template's words that have a partner.  A stretch of COVERAGE or more is a match.
+template's words that have a partner.  A stretch of COVERAGE or more is a match
+if the words that name the license are there as well, side by side and without
+another license's name before them or a word after them that makes it another.
+Only a long notice may have a word in place of its name that names no license.
 
 Rows: null text has no words; texts of any length are scanned whole; several
 matches of one or more licenses are all listed, in order; repeated rows give
@@ -33,18 +36,56 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     ],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0."],
+    "AGPL": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ],
+    "BSD": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0": ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "EPL": ["Licensed under the Eclipse Public License, Version 2.0.", "made available under the terms of the Eclipse Public License 2.0 which is available at"],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "LGPL": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation",
+    ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     ],
+    "MPL": [
+        "Licensed under the Mozilla Public License, Version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    ],
+}
+#: Words side by side that name the license, for those of its templates that hold them.
+NAMES = {
+    "AGPL": ["gnu affero general"],
+    "Apache-2.0": ["apache", "2"],
+    "BSD": ["bsd"],
+    "CC-BY": ["cc by", "commons attribution"],
+    "CC-BY-NC": ["cc by nc", "commons attribution noncommercial"],
+    "CC-BY-SA": ["cc by sa", "commons attribution sharealike"],
+    "CC0": ["cc0"],
+    "EPL": ["eclipse public"],
+    "GPL": ["gnu general"],
+    "ISC": ["with or without fee"],
+    "LGPL": ["gnu lesser general", "gnu library general"],
+    "MIT": ["mit"],
+    "MPL": ["mozilla public"],
 }
+#: Words right behind a name that make it another license's.
+TURNS = dict.fromkeys(("CC-BY", "CC-BY-NC", "CC-BY-SA"), set("nc nd sa no non noncommercial noderivatives noderivs share sharealike".split())) | {"MIT": {"0", "no"}}
+#: Words of licenses' names; a template of LONG words is known without its name unless one of them stands for it.
+OTHERS = set("affero agpl apache artistic boost bsd cc cc0 cddl cecill ecl eclipse educational epl eupl european gnu gpl isc lesser lgpl mit mozilla mpl mulan ncsa ofl osl php python sil unlicense zlib zope".split())
+LONG = 20
 #: Words that don't tell a license.
 COMMON = set("a an and any are as at be by can for free in is it not of or that the this to under use version with work you 0 2 3 4".split())
 
@@ -100,6 +141,25 @@ def align(text: list[str], template: list[str]) -> list[Pair]:
     return sorted(out)
 
 
+class Name:
+    """Words from place ``at`` of a template that name its license."""
+
+    def __init__(self, words: list[str], at: int, template: list[str], license: str):
+        self.at, self.end, self.turns = at, at + len(words), TURNS.get(license, set())
+        self.needed = set() if len(template) >= LONG and words == ["apache"] else set(words)
+
+    def stands(self, text: list[str], pairs: list[Pair]) -> bool:
+        """Is the name in the text as the pairs have it?"""
+        before = max((i for i, j in pairs if j < self.at), default=-1)
+        places = [i for i, j in pairs if self.at <= j < self.end]
+        if len(places) < self.end - self.at:
+            behind = min((i for i, j in pairs if j >= self.end), default=len(text))
+            return not self.needed and before >= 0 and OTHERS.isdisjoint(text[before + 1 : behind])
+        if places[-1] - places[0] >= len(places) or before >= 0 and not OTHERS.isdisjoint(text[before + 1 : places[0]]):
+            return False
+        return places[-1] + 1 == len(text) or text[places[-1] + 1] not in self.turns
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]] | None = None):
         self.templates = []
@@ -107,15 +167,20 @@ class Scanner:
             for text in texts:
                 words = words_of(text)
                 if words:
-                    self.templates.append((name, words, set(words), (set(words) - COMMON) or set(words)))
+                    named = []
+                    for said in map(str.split, NAMES.get(name, ()) if templates is None else ()):
+                        at = next((i for i in range(len(words)) if words[i : i + len(said)] == said), None)
+                        if at is not None:
+                            named.append(Name(said, at, words, name))
+                    self.templates.append((name, words, set(words), (set(words) - COMMON) or set(words), named, set().union(*(n.needed for n in named))))
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(license, first word, end, coverage) of every match; of matches of one license that overlap, the longest."""
         words = words_of(text)
         have = set(words)
         found: list[tuple[str, int, int, float]] = []
-        for name, template, vocabulary, telling in self.templates:
-            if len(telling & have) < ENOUGH * len(telling):
+        for name, template, vocabulary, telling, named, needed in self.templates:
+            if not needed <= have or len(telling & have) < ENOUGH * len(telling):
                 continue
             places = [i for i, w in enumerate(words) if w in vocabulary]
             span, k = int(STRETCH * len(template)) + 2, 0
@@ -124,7 +189,7 @@ class Scanner:
                 if len({words[i] for i in places[k:end]}) >= ENOUGH * len(vocabulary):
                     start = places[k]
                     pairs = align(words[start : start + span], template)
-                    if len(pairs) >= COVERAGE * len(template):
+                    if len(pairs) >= COVERAGE * len(template) and all(n.stands(words[start : start + span], pairs) for n in named):
                         stop = start + pairs[-1][0] + 1
                         found.append((name, start + pairs[0][0], stop, len(pairs) / len(template)))
                         k = bisect_left(places, stop)
