@@ -27,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ SCOPES = {"#root", "body", "article", "section", "main", "div", "td", "th", "tab
 SLOT_SHARE, LEAST_PAGES, SAME_SHARE = 0.9, 8, 0.95
 #: Hosts' models up to so many bytes are sent to the tasks; hosts that a task keeps parsed.
 BROADCAST_BYTES, KEPT_HOSTS = 8 << 20, 200
-#: Children are aligned by dynamic programming up to so many pairs, beyond that in order of their names.
+#: Children of up to so many pairs are aligned on a whole grid; beyond that rows are made as arrays and only some are kept, with the same result.
 MOST_PAIRS = 40_000
 
 
@@ -180,7 +181,7 @@ class Matcher:
         key = (id(a), id(b))
         found = self.scores.get(key)
         if found is None:
-            found = self.scores[key] = worth + (self._grid(x, y)[-1][-1] if len(x) * len(y) <= MOST_PAIRS else sum(self.score(*p) for p in self._in_order(x, y)))
+            found = self.scores[key] = worth + (self._grid(x, y)[-1][-1] if len(x) * len(y) <= MOST_PAIRS else self._last(x, y))
         return found
 
     def _grid(self, x: list[Node], y: list[Node]) -> list[list[int]]:
@@ -197,16 +198,48 @@ class Matcher:
             row = new
         return grid
 
-    @staticmethod
-    def _in_order(x: list[Node], y: list[Node]):
-        j = 0
+    def _rows(self, row: np.ndarray, x: list[Node], y: list[Node]):
+        """The grid's rows after ``row``, one for each of ``x``."""
+        numbers: dict[str, int] = {}
+        number = lambda text: numbers.setdefault(text, len(numbers))
+        names, texts = (np.array([number(f(b)) for b in y], np.int64) for f in (lambda b: b.name, Node.text))
+        deep = np.array([bool(b.nodes()) for b in y])
         for a in x:
-            k = j
-            while k < len(y) and y[k].name != a.name and k < j + 200:
-                k += 1
-            if k < len(y) and y[k].name == a.name:
-                yield a, y[k]
-                j = k + 1
+            named = names == number(a.name)
+            worth = np.where(named, 2 + (texts == number(a.text())), 0)
+            if a.nodes():
+                for j in np.flatnonzero(named & deep):
+                    worth[j] = self.score(a, y[j])
+            best = row.copy()
+            np.maximum(best[1:], np.where(named, row[:-1] + worth, 0), out=best[1:])
+            row = np.maximum.accumulate(best)
+            yield row
+
+    def _last(self, x: list[Node], y: list[Node]) -> int:
+        row = np.zeros(len(y) + 1, np.int64)
+        for row in self._rows(row, x, y):
+            pass
+        return int(row[-1])
+
+    def _long(self, x: list[Node], y: list[Node]):
+        """The pairs that the whole grid gives, from the end; the grid is made again piece by piece from rows that were kept."""
+        step = max(1, int(len(x) ** 0.5))
+        kept = [np.zeros(len(y) + 1, np.int64)]
+        kept += [row for i, row in enumerate(self._rows(kept[0], x, y), 1) if i % step == 0]
+        j = len(y)
+        for k in reversed(range(len(kept))):
+            start = k * step
+            piece = x[start : start + step]
+            grid = [kept[k][: j + 1], *self._rows(kept[k][: j + 1], piece, y[:j])] if j else []
+            i = len(piece)
+            while i and j:
+                if grid[i][j] == grid[i - 1][j]:
+                    i -= 1
+                elif grid[i][j] == grid[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    yield piece[i], y[j]
 
     def pairs(self, a: Node, b: Node):
         """The matched pairs under two nodes of one name."""
@@ -218,7 +251,7 @@ class Matcher:
             if not x or not y:
                 continue
             if len(x) * len(y) > MOST_PAIRS:
-                stack += self._in_order(x, y)
+                stack += self._long(x, y)
                 continue
             grid, i, j = self._grid(x, y), len(x), len(y)
             while i and j:
