@@ -1,11 +1,14 @@
 """HTML main text by wrapper induction.
 
 Pages of one host are made from one template.  One page of each host (the one
-with the least hash) stands for it; every other page's tree is aligned with it
-by simple tree matching.  Over all pages of the host, a node whose text is the
-same wherever it is matched is template; where texts vary, or nodes have no
-partner, there is content.  The container that holds nearly all varying text is
-the host's content slot.
+with the least hash of those that aren't empty) stands for it; every other
+page's tree is aligned with it by simple tree matching.  Over all pages of the
+host, a node whose text is the same wherever it is matched is template; where
+texts vary, or nodes have no partner, there is content.  Nodes without a partner
+vote as well, by their names up to the next node that has one: a text that
+recurs on nearly all pages with unmatched text in that place is template too, so
+that what the one page lacks is found.  The container that holds nearly all
+varying text is the host's content slot.
 
 A page's main text is its content slot: the article in it or around it where the
 markup names one, else the slot itself, without template nodes and without
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -264,31 +268,51 @@ class Matcher:
                     stack.append((x[i], y[j]))
 
 
-def votes(page: Node, model: Node) -> dict[int, list[int]]:
-    """For nodes of the numbered ``model``: [pages matched, of these with the same text, characters of varying text]."""
-    partner = {id(p): m.at for p, m in Matcher().pairs(page, model)}
-    texts = [n.text() for n in numbered(model)]
-    out: dict[int, list[int]] = {}
-    stack = [(page, 0, False)]
+def _number(text: str) -> int:
+    """A number of 63 bits over 0 for a text."""
+    return (int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1) or 1
+
+
+def _placed(page: Node, partner: dict[int, int]):
+    """(node, its partner's place or None, that of the next node above with one, place of a node without partner, in boilerplate) for every node."""
+    stack = [(page, 0, "", False)]
     while stack:
-        node, above, boiler = stack.pop()
+        node, above, path, boiler = stack.pop()
         at, boiler = partner.get(id(node)), boiler or node.boiler
+        path = f"{path}/{node.name}" if at is None else ""
+        yield node, at, above, f"{above}{path}", boiler
+        stack += [(k, above if at is None else at, path, boiler) for k in node.nodes()]
+
+
+def votes(page: Node, model: Node) -> dict[tuple[int, int], list[int]]:
+    """For (node of the numbered ``model``, 0): [pages matched, of these with the same text, characters of varying text].
+
+    For (number under 0 of a place of unmatched text, number of the text or 0 for any): [pages, 0, 0].
+    """
+    partner = {id(p): m.at for p, m in Matcher().pairs(page, model)}
+    texts = [n.text() for n in numbered(model)]
+    out: dict[tuple[int, int], list[int]] = {}
+    for node, at, above, path, boiler in _placed(page, partner):
         text = node.text()
-        count = out.setdefault(above if at is None else at, [0, 0, 0])
+        count = out.setdefault((above if at is None else at, 0), [0, 0, 0])
         if at is not None:
             count[0] += 1
             if text == texts[at]:
                 count[1] += 1
+        elif text and not boiler:
+            place = -_number(path)
+            out[place, 0] = out[place, _number(text)] = [1, 0, 0]
         if not boiler and (at is None or text != texts[at]):
             count[2] += len(text)
-        stack += [(k, above if at is None else at, boiler) for k in node.nodes()]
     return out
 
 
 class Template:
     """A host's model page, its content slot and the nodes that are template."""
 
-    def __init__(self, html: str, counts: dict[int, list[int]]):
+    def __init__(self, html: str, found: dict[tuple[int, int], list[int]]):
+        counts = {at: c for (at, _), c in found.items() if at >= 0}
+        self.recurring = {k for k in found if k[0] < 0}
         self.root = parse(html)
         nodes = numbered(self.root)
         mass = [counts.get(n.at, (0, 0, 0))[2] for n in nodes]
@@ -320,11 +344,17 @@ def content_of(page: Node, template: Template | None) -> tuple[list[Node], set[i
     """The nodes whose text is the page's, and the ids of template nodes."""
     slot, fixed = page, set()
     if template and template.slot >= 0:
+        partner = {}
         for p, m in Matcher().pairs(page, template.root):
+            partner[id(p)] = m.at
             if m.at == template.slot:
                 slot = p
             if m.at in template.fixed and p.text() == m.text():
                 fixed.add(id(p))
+        if template.recurring:
+            for node, at, _, path, boiler in _placed(page, partner):
+                if at is None and not boiler and node.text() and (-_number(path), _number(node.text())) in template.recurring:
+                    fixed.add(id(node))
     around = slot
     while around is not None and around.tag not in ("article", "main"):
         around = around.up
@@ -369,13 +399,16 @@ def main_text(html: str | None, template: Template | None = None) -> str:
     return text_of(*content_of(page, template))
 
 
+COUNTED = ("node", "text", "matched", "same", "chars")
+
+
 def _counted(read):
     """Votes of all pages of a task, summed by host and node; read gives (host, page, model) of a batch's rows."""
 
     def count(batches):
         trees: dict[str, Node] = {}
         for batch in batches:
-            sums: dict[tuple[str, int], list[int]] = {}
+            sums: dict[tuple[str, int, int], list[int]] = {}
             for host, page, model in read(batch):
                 if not page or page == model:
                     continue
@@ -384,13 +417,13 @@ def _counted(read):
                         trees.clear()
                     trees[host] = parse(model or "")
                     numbered(trees[host])
-                for at, c in votes(parse(page), trees[host]).items():
-                    have = sums.setdefault((host, at), [0, 0, 0])
+                for key, c in votes(parse(page), trees[host]).items():
+                    have = sums.setdefault((host, *key), [0, 0, 0])
                     for k in range(3):
                         have[k] += c[k]
             if sums:
-                rows = [(h, at, *c) for (h, at), c in sums.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(zip(*rows))], names=["host", "node", "matched", "same", "chars"])
+                rows = [(*key, *c) for key, c in sums.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(zip(*rows))], names=["host", *COUNTED])
 
     return count
 
@@ -407,7 +440,7 @@ def _texts(read, names):
                     if host not in made:
                         if len(made) > KEPT_HOSTS:
                             made.clear()
-                        made[host] = Template(model or "", {x["node"]: [x["matched"], x["same"], x["chars"]] for x in counts}) if counts else None
+                        made[host] = Template(model or "", {(x["node"], x["text"]): [x["matched"], x["same"], x["chars"]] for x in counts}) if counts else None
                     texts.append(main_text(page, made[host]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=names)
 
@@ -421,20 +454,23 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     most, as measured; beyond that pages and models are joined by host.
     """
     given = pages.select(F.col(key), F.col(url).alias("url"), F.col(html).alias("html"), url_parts(F.col(url))[0].alias("host"))
-    models = stored(given.groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("url", "html"), "url")).alias("model")), "models")
-    small = (models.agg(F.sum(F.octet_length(F.coalesce("model", F.lit(""))) + 256)).first()[0] or 0) <= most_bytes
-    counted = T.StructType([T.StructField("host", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("node", "matched", "same", "chars")])
+    models = stored(given.filter(F.length("html") > 0).groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("url", "html"), "url")).alias("model")), "models")
+    small = (models.agg(F.sum(F.octet_length("model") + 256)).first()[0] or 0) <= most_bytes
+    counted = T.StructType([T.StructField("host", T.StringType())] + [T.StructField(c, T.LongType()) for c in COUNTED])
     if small:
         held = {r.host: r.model for r in models.collect()}
-        source, read = given.select("host", "html"), lambda b: [(h, p, held[h]) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        source, read = given.select("host", "html"), lambda b: [(h, p, held.get(h)) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
     else:
         source, read = given.select("host", "html").join(models, "host"), lambda b: zip(*(c.to_pylist() for c in b.columns))
-    summed = source.mapInArrow(_counted(read), counted).groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("matched", "same", "chars")))
-    learnt = summed.groupBy("host").agg(F.collect_list(F.struct("node", "matched", "same", "chars")).alias("counts"))
+    summed = source.mapInArrow(_counted(read), counted).groupBy("host", "node", "text").agg(*(F.sum(c).alias(c) for c in COUNTED[2:]))
+    summed = stored(summed.filter((F.col("text") == 0) | (F.col("matched") >= LEAST_PAGES)), "votes")
+    places = summed.filter("text = 0 AND node < 0").select("host", "node", F.col("matched").alias("pages"))
+    recurring = summed.filter("text <> 0").join(places, ["host", "node"]).filter(F.col("matched") >= SAME_SHARE * F.col("pages")).select("host", *COUNTED)
+    learnt = summed.filter("node >= 0").unionByName(recurring).groupBy("host").agg(F.collect_list(F.struct(*COUNTED)).alias("counts"))
     schema = T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    if small:  # a model has no more nodes than bytes
+    if small:  # a model has no more nodes than bytes, and recurring texts are on nearly all pages of their places
         votes_of = {r.host: [x.asDict() for x in r.counts] for r in learnt.collect()}
-        last, read = given.select(key, "url", "host", "html"), lambda b: [(h, p, held[h], votes_of.get(h)) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        last, read = given.select(key, "url", "host", "html"), lambda b: [(h, p, held.get(h), votes_of.get(h)) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
     else:
-        last, read = given.join(models.join(learnt, "host", "left"), "host").select(key, "url", "host", "html", "model", "counts"), lambda b: zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)))
+        last, read = given.join(models.join(learnt, "host", "left"), "host", "left").select(key, "url", "host", "html", "model", "counts"), lambda b: zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)))
     return last.mapInArrow(_texts(read, schema.names), schema)

@@ -42,3 +42,18 @@ def test_trailing_block_of_long_pages_is_template(spark):
         rows.append((i, f"http://long.com/{i}", page("<table><tr><td>" + "".join(f"<p>{p}</p>" for p in paras) + "<p>Always this line</p></table>")))
         want[i] = " ".join(paras)
     assert texts(spark, rows) == want
+
+
+@pytest.mark.parametrize("most", [H.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("stub", [page("<p>Not found"), "", None, "  "])
+def test_template_that_the_model_page_lacks(spark, most, stub):
+    rng = random.Random(7)
+    tries = [(i, f"http://stub.com/s{i}", stub) for i in range(3000)]
+    hashes = {r.url: r.h for r in spark.createDataFrame(tries, SCHEMA).selectExpr("url", "xxhash64(url, html) AS h").collect()}
+    rows, want = [(1000, min(hashes, key=hashes.get), stub)], {1000: "Not found" if stub and "N" in stub else ""}
+    for i in range(12):
+        paras = [words(rng, 30) for _ in range(rng.randint(2, 6))]
+        inner = "".join(f"<p>{p}</p>" for p in paras)
+        rows.append((i, f"http://stub.com/{i}", page(f'<div class="top"><p>Site of all</p></div><table><tr><td class="left"><p>Links here</p><td class="mid"><h2>{i} h</h2>{inner}<p>Always this line</p></table><div class="low"><p>Call us</p></div>')))
+        want[i] = " ".join([f"{i} h", *paras])
+    assert texts(spark, rows, most) == want
