@@ -7,12 +7,13 @@ host, a node whose text is the same wherever it is matched is template; where
 texts vary, or nodes have no partner, there is content.  Nodes without a partner
 vote as well, by their names up to the next node that has one: a text that
 recurs on nearly all pages with unmatched text in that place is template too, so
-that what the one page lacks is found.  The container that holds nearly all
-varying text is the host's content slot.
+that what the one page lacks is found.  Pages of one main text, by markup alone,
+vote once, through the page of the least hash.  The container that holds nearly
+all varying text is the host's content slot.
 
 A page's main text is its content slot: the article in it or around it where the
-markup names one, else the slot itself, without template nodes and without
-subtrees that markup names as menus, headers, footers, sidebars, notices,
+markup names one, else the slot itself, without template nodes (but for those
+inside a marked-up article, which all stay) and without subtrees that markup names as menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or comments.  A host whose pages show no
 variation (one page, or copies of one) goes by the markup alone.
 
@@ -56,6 +57,8 @@ BOILER_NAMES = set(
 )
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 CONTENT_NAMES = {"articlebody", "entry-content", "post-content", "article-content", "article-body", "main-content", "content", "article", "post"}
+#: Of these, the names of containers that hold more than an article.
+WIDE_NAMES = {"content", "main-content"}
 #: An opening tag closes an open element of these names, up to the nearest of the boundaries.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPES = {"#root", "body", "article", "section", "main", "div", "td", "th", "table", "blockquote", "aside", "nav", "footer", "header", "form"}
@@ -71,7 +74,7 @@ MOST_PAIRS = 40_000
 class Node:
     __slots__ = ("tag", "name", "kids", "boiler", "content", "up", "at", "own")
 
-    def __init__(self, tag: str, name: str, boiler: bool, content: bool, up: Node | None):
+    def __init__(self, tag: str, name: str, boiler: bool, content: int, up: Node | None):
         self.tag, self.name, self.boiler, self.content, self.up = tag, name, boiler, content, up
         self.kids: list[Node | str] = []
         self.at = -1
@@ -87,28 +90,29 @@ class Node:
         return self.own
 
 
-def _described(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Name for matching, whether it is boilerplate, and whether it is named as content."""
-    boiler, content, name = tag in BOILER_TAGS, tag in ("article", "main"), tag
+def _described(tag: str, attributes: str) -> tuple[str, bool, int]:
+    """Name for matching, whether it is boilerplate, and whether it is named as content: 1, or 2 as an article."""
+    boiler, content, name = tag in BOILER_TAGS, 2 if tag == "article" else int(tag == "main"), tag
     if "=" in attributes:
         for key, *values in ATTRIBUTE.findall(attributes):
             value = next(filter(None, values), "").lower()
             key = key.lower()
             if key == "role":
                 boiler |= value in BOILER_ROLES
-                content |= value == "main"
+                content = max(content, int(value == "main"))
             else:
                 if key == "class":
                     name = f"{tag}.{value.split()[0]}" if value.split() else tag
                 tokens = value.split()
-                content |= tag not in INLINE and any(t in CONTENT_NAMES for t in tokens)
+                if tag not in INLINE:
+                    content = max([content, *(1 if t in WIDE_NAMES else 2 for t in tokens if t in CONTENT_NAMES)])
                 boiler |= tag not in ("html", "body", "article", "main") and any(p in BOILER_NAMES for t in tokens for p in re.split(r"[-_:]", t))
-    return name, boiler, content and not boiler
+    return name, boiler, 0 if boiler else content
 
 
 def parse(html: str) -> Node:
     """The page's tree; kids are nodes and decoded strings in order."""
-    root = node = Node("#root", "#root", False, False, None)
+    root = node = Node("#root", "#root", False, 0, None)
     at, size = 0, len(html)
     while at < size:
         m = TOKEN.search(html, at)
@@ -304,7 +308,7 @@ def votes(page: Node, model: Node) -> dict[tuple[int, int], list[int]]:
             out[place, 0] = out[place, _number(text)] = [1, 0, 0]
         if not boiler and (at is None or text != texts[at]):
             count[2] += len(text)
-    return out
+    return {k: c for k, c in out.items() if k[0] < 0 or c[2] or texts[k[0]]}
 
 
 class Template:
@@ -340,6 +344,12 @@ def _holders(node: Node, test) -> list[Node]:
     return out
 
 
+def _in_article(node: Node | None) -> bool:
+    while node is not None and node.content < 2:
+        node = node.up
+    return node is not None
+
+
 def content_of(page: Node, template: Template | None) -> tuple[list[Node], set[int]]:
     """The nodes whose text is the page's, and the ids of template nodes."""
     slot, fixed = page, set()
@@ -349,11 +359,11 @@ def content_of(page: Node, template: Template | None) -> tuple[list[Node], set[i
             partner[id(p)] = m.at
             if m.at == template.slot:
                 slot = p
-            if m.at in template.fixed and p.text() == m.text():
+            if m.at in template.fixed and p.text() == m.text() and not _in_article(p):
                 fixed.add(id(p))
         if template.recurring:
             for node, at, _, path, boiler in _placed(page, partner):
-                if at is None and not boiler and node.text() and (-_number(path), _number(node.text())) in template.recurring:
+                if at is None and not boiler and node.text() and (-_number(path), _number(node.text())) in template.recurring and not _in_article(node):
                     fixed.add(id(node))
     around = slot
     while around is not None and around.tag not in ("article", "main"):
@@ -403,27 +413,32 @@ COUNTED = ("node", "text", "matched", "same", "chars")
 
 
 def _counted(read):
-    """Votes of all pages of a task, summed by host and node; read gives (host, page, model) of a batch's rows."""
+    """(host, number of the main text by markup, number of the page, votes) of a task's pages, one of a main text in a batch; read gives (host, page, model) of a batch's rows."""
 
     def count(batches):
         trees: dict[str, Node] = {}
         for batch in batches:
-            sums: dict[tuple[str, int, int], list[int]] = {}
-            for host, page, model in read(batch):
-                if not page or page == model:
+            held: dict[tuple[str, int], tuple[int, dict]] = {}
+            for host, html, model in read(batch):
+                if not html or html == model:
+                    continue
+                page, number = parse(html), _number(html)
+                key = host, _number(text_of(*content_of(page, None)))
+                if key in held and held[key][0] <= number:
                     continue
                 if host not in trees:
                     if len(trees) > KEPT_HOSTS:
                         trees.clear()
                     trees[host] = parse(model or "")
                     numbered(trees[host])
-                for key, c in votes(parse(page), trees[host]).items():
-                    have = sums.setdefault((host, *key), [0, 0, 0])
-                    for k in range(3):
-                        have[k] += c[k]
-            if sums:
-                rows = [(*key, *c) for key, c in sums.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(zip(*rows))], names=["host", *COUNTED])
+                held[key] = number, votes(page, trees[host])
+            if held:
+                rows = [(*at, *c) for _, found in held.values() for at, c in found.items()]
+                ends = np.cumsum([0, *(len(found) for _, found in held.values())])
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64()) for _ in COUNTED]
+                found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=COUNTED))
+                keys = [pa.array([h for h, _ in held], pa.string()), pa.array([t for _, t in held], pa.int64()), pa.array([n for n, _ in held.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*keys, found], names=["host", "main", "page", "votes"])
 
     return count
 
@@ -456,13 +471,15 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     given = pages.select(F.col(key), F.col(url).alias("url"), F.col(html).alias("html"), url_parts(F.col(url))[0].alias("host"))
     models = stored(given.filter(F.length("html") > 0).groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("url", "html"), "url")).alias("model")), "models")
     small = (models.agg(F.sum(F.octet_length("model") + 256)).first()[0] or 0) <= most_bytes
-    counted = T.StructType([T.StructField("host", T.StringType())] + [T.StructField(c, T.LongType()) for c in COUNTED])
+    votes_kind = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in COUNTED]))
+    counted = T.StructType([T.StructField("host", T.StringType()), T.StructField("main", T.LongType()), T.StructField("page", T.LongType()), T.StructField("votes", votes_kind)])
     if small:
         held = {r.host: r.model for r in models.collect()}
         source, read = given.select("host", "html"), lambda b: [(h, p, held.get(h)) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
     else:
         source, read = given.select("host", "html").join(models, "host"), lambda b: zip(*(c.to_pylist() for c in b.columns))
-    summed = source.mapInArrow(_counted(read), counted).groupBy("host", "node", "text").agg(*(F.sum(c).alias(c) for c in COUNTED[2:]))
+    voters = source.mapInArrow(_counted(read), counted).groupBy("host", "main").agg(F.min_by("votes", "page").alias("votes"))
+    summed = voters.select("host", F.inline("votes")).groupBy("host", "node", "text").agg(*(F.sum(c).alias(c) for c in COUNTED[2:]))
     summed = stored(summed.filter((F.col("text") == 0) | (F.col("matched") >= LEAST_PAGES)), "votes")
     places = summed.filter("text = 0 AND node < 0").select("host", "node", F.col("matched").alias("pages"))
     recurring = summed.filter("text <> 0").join(places, ["host", "node"]).filter(F.col("matched") >= SAME_SHARE * F.col("pages")).select("host", *COUNTED)

@@ -57,3 +57,23 @@ def test_template_that_the_model_page_lacks(spark, most, stub):
         rows.append((i, f"http://stub.com/{i}", page(f'<div class="top"><p>Site of all</p></div><table><tr><td class="left"><p>Links here</p><td class="mid"><h2>{i} h</h2>{inner}<p>Always this line</p></table><div class="low"><p>Call us</p></div>')))
         want[i] = " ".join([f"{i} h", *paras])
     assert texts(spark, rows, most) == want
+
+
+@pytest.mark.parametrize("most", [H.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("tag", ["article", "main", 'div class="content"', 'div class="post"'])
+def test_near_copies_that_differ_in_chrome_keep_their_text(spark, most, tag):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(60):
+        paras = [words(rng, 20) for _ in range(3)] if i in (7, 31) else [f"same {k}" for k in range(3)]
+        inner = "".join(f"<p>{p}</p>" for p in paras)
+        rows.append((i, f"http://near.com/{i}", page(f'<nav>menu {rng.random()}</nav><div class="ad">{words(rng, 9)}</div><{tag}><h1>Report</h1>{inner}</{tag.split()[0]}><div class="comments">{words(rng, 5)}</div>')))
+        want[i] = " ".join(["Report", *paras])
+    assert texts(spark, rows, most) == want
+
+
+def test_constant_headings_of_articles_stay(spark):
+    rng = random.Random(9)
+    said = [words(rng, 20) for _ in range(20)]
+    rows = [(i, f"http://head.com/{i}", page(f"<p>Site line</p><article><h2>Summary</h2><p>{p}</p></article>")) for i, p in enumerate(said)]
+    assert texts(spark, rows) == {i: f"Summary {p}" for i, p in enumerate(said)}
