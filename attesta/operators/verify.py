@@ -1,4 +1,7 @@
-"""Citation checks: a fact against its source, its evidence and the retained bytes."""
+"""Citation checks: a fact against the records of its source and evidence, captures against the retained bytes' hash and length.
+
+Values aren't derived again from the bytes by their locators.
+"""
 
 from __future__ import annotations
 
