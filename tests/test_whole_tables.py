@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import audit, profile
+from attesta.operators import audit, matching, profile
 from attesta.plans import catalog
 from attesta.plans.registry import read
 
@@ -58,3 +58,12 @@ def test_set_differences(spark):
     lines = read(spark, SF, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("long").alias("line"))
     rows = audit.differing(lines.filter("l_quantity < 25").drop("l_quantity"), lines.filter("l_quantity >= 25").drop("l_quantity"))
     same(rows, "set_differences", ("l_quantity < 3", "l_quantity < 25"), ("l_quantity > 48", "l_quantity >= 25"))
+
+
+def test_name_pairs(spark):
+    part = read(spark, SF, "part")
+    left = part.groupBy(F.col("p_name").alias("a")).agg(F.count("*").alias("parts"))
+    right = part.groupBy(F.col("p_name").alias("b")).agg(F.count("*").alias("others"))
+    pairs = matching.blocked_pairs(left.withColumn("n1", F.col("a")), right.withColumn("n2", F.col("b")), "n1", "a", "n2", "b")
+    rows = pairs.join(left, F.col("n1") == F.col("a")).join(right, F.col("n2") == F.col("b"))
+    same(rows.select("a", "b", (F.col("parts") * F.col("others")).alias("pairs"), F.round("similarity", 6).alias("similarity")), "name_similarity", (" WHERE p_size > 25", ""))
