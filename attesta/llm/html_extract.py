@@ -1,333 +1,173 @@
 """HTML main text by wrapper induction.
 
-Pages of one host are made from one template.  One page of each host (the one
-with the least hash of those that aren't empty) stands for it; every other
-page's tree is aligned with it by simple tree matching.  Over all pages of the
-host, a node whose text is the same wherever it is matched is template; where
-texts vary, or nodes have no partner, there is content.  Nodes without a partner
-vote as well, by their names up to the next node that has one: a text that
-recurs on nearly all pages with unmatched text in that place is template too, so
-that what the one page lacks is found.  Pages of one main text, by markup alone,
-vote once, through the page of the least hash.  The container that holds nearly
-all varying text is the host's content slot.
-
-A page's main text is its content slot: the article in it or around it where the
-markup names one, else the slot itself, without template nodes (but for those
-inside a marked-up article, which all stay) and without subtrees that markup names as menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments.  A host whose pages show no
-variation (one page, or copies of one) goes by the markup alone.
-
-Blocks are joined by a space, white space within them becomes one, character
-references are decoded.
+Pages of one host are made from one template.
+
+1. Every page becomes a skeleton: its blocks in order, with numbers for names and
+   own texts.  Of pages with one main text, by markup alone, the one of the least
+   hash stands for all.
+2. Of a host's skeletons one is the model, and each of the others is aligned with
+   it by simple tree matching (see tree_match.py).  All vote: a node whose text
+   is the same wherever it is matched is template; where texts vary, or nodes
+   have no partner, there is content.  Texts that recur on nearly all pages with
+   unmatched text in one place are template too, so that what the model lacks is
+   found.
+3. The varying text decides what the main text is.  The deepest container with
+   nearly all of it is the host's content slot, whatever it is called.  Names of
+   boilerplate are believed while the rest varies too; where they cover nearly
+   all that varies they are wrong, and not believed.  An article that the markup
+   names is taken in the slot if it holds most of what varies there, or around it.
+4. Every page is aligned with its host's model.  Its main text is its slot's,
+   without template (but for constant lines inside the article) and without
+   subtrees named as menus, headers, footers, sidebars, notices, adverts, forms,
+   scripts, styles or comments.
+
+A host whose pages show no variation (one page, or copies of one), and a page in
+which the slot has no partner, go by markup alone.  Blocks are joined by a space,
+white space within them becomes one, character references are decoded.
+
+Only skeletons are shuffled to make the templates.  Pages meet their host's
+template in one left join, for which Spark picks a broadcast or a shuffle by the
+templates' measured size; it splits a host that is too large for one task.
 
 Rows: null html is empty and gives an empty text; pages without a host form one
-group; broken markup is read as browsers do, as far as paragraphs, list items,
-cells and raw text go; repeated rows give repeated rows; an empty table gives an
-empty table; other columns are ignored, whatever their names.
+group; broken markup is read as far as it can be, of any depth; repeated rows
+give repeated rows; an empty table gives an empty table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import html as entities
-import re
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm.common import stored
+from attesta.llm.dom import CONTAINERS, Node, blocks, parse
+from attesta.llm.tree_match import Tree, align
 from attesta.llm.url_filter import parts as url_parts
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-
-#: Names of HTML elements and of usual boilerplate.
-RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input"}
-CONTAINERS = {"article", "main", "section", "div", "td", "body", "#root"}
-BOILER_TAGS = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "button", "select", "textarea", "head", "dialog", "menu", "title", "object", "canvas"}
-BOILER_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay"
-    " newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies disqus share sharing social related widget"
-    " masthead topbar toolbar pagination pager login signup search skip".split()
-)
-BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-CONTENT_NAMES = {"articlebody", "entry-content", "post-content", "article-content", "article-body", "main-content", "content", "article", "post"}
-#: Of these, the names of containers that hold more than an article.
-WIDE_NAMES = {"content", "main-content"}
-#: An opening tag closes an open element of these names, up to the nearest of the boundaries.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-SCOPES = {"#root", "body", "article", "section", "main", "div", "td", "th", "table", "blockquote", "aside", "nav", "footer", "header", "form"}
-
-#: Share of a host's varying text in its content slot; pages and share at which a text counts as template.
-SLOT_SHARE, LEAST_PAGES, SAME_SHARE = 0.9, 8, 0.95
-#: Hosts' models up to so many bytes are sent to the tasks; hosts that a task keeps parsed.
-BROADCAST_BYTES, KEPT_HOSTS = 8 << 20, 200
-#: Children of up to so many pairs are aligned on a whole grid; beyond that rows are made as arrays and only some are kept, with the same result.
-MOST_PAIRS = 40_000
-
-
-class Node:
-    __slots__ = ("tag", "name", "kids", "boiler", "content", "up", "at", "own")
-
-    def __init__(self, tag: str, name: str, boiler: bool, content: int, up: Node | None):
-        self.tag, self.name, self.boiler, self.content, self.up = tag, name, boiler, content, up
-        self.kids: list[Node | str] = []
-        self.at = -1
-        self.own: str | None = None
-
-    def nodes(self) -> list[Node]:
-        return [k for k in self.kids if k.__class__ is Node]
-
-    def text(self) -> str:
-        """The node's own text, not that of its nodes."""
-        if self.own is None:
-            self.own = " ".join(" ".join([k for k in self.kids if k.__class__ is str]).split())
-        return self.own
-
-
-def _described(tag: str, attributes: str) -> tuple[str, bool, int]:
-    """Name for matching, whether it is boilerplate, and whether it is named as content: 1, or 2 as an article."""
-    boiler, content, name = tag in BOILER_TAGS, 2 if tag == "article" else int(tag == "main"), tag
-    if "=" in attributes:
-        for key, *values in ATTRIBUTE.findall(attributes):
-            value = next(filter(None, values), "").lower()
-            key = key.lower()
-            if key == "role":
-                boiler |= value in BOILER_ROLES
-                content = max(content, int(value == "main"))
-            else:
-                if key == "class":
-                    name = f"{tag}.{value.split()[0]}" if value.split() else tag
-                tokens = value.split()
-                if tag not in INLINE:
-                    content = max([content, *(1 if t in WIDE_NAMES else 2 for t in tokens if t in CONTENT_NAMES)])
-                boiler |= tag not in ("html", "body", "article", "main") and any(p in BOILER_NAMES for t in tokens for p in re.split(r"[-_:]", t))
-    return name, boiler, 0 if boiler else content
-
-
-def parse(html: str) -> Node:
-    """The page's tree; kids are nodes and decoded strings in order."""
-    root = node = Node("#root", "#root", False, 0, None)
-    at, size = 0, len(html)
-    while at < size:
-        m = TOKEN.search(html, at)
-        if m is None:
-            node.kids.append(entities.unescape(html[at:]))
-            break
-        if m.start() > at:
-            node.kids.append(entities.unescape(html[at : m.start()]))
-        at = m.end()
-        tag = m.group(2) or m.group(5)
-        if tag is None:
-            continue
-        tag, attributes = tag.lower(), m.group(3) or m.group(6) or ""
-        if m.group(1) or m.group(4):
-            x = node
-            while x is not None and x.tag != tag:
-                if x.tag in SCOPES and tag not in SCOPES and tag not in ("ul", "ol", "dl", "tr", "html", "body"):
-                    x = None
-                    break
-                x = x.up
-            if x is not None and x.up is not None:
-                node = x.up
-            continue
-        if tag not in INLINE and tag not in VOID or tag in ("hr",):
-            x = node
-            while x.tag not in SCOPES and x.tag != "p":
-                x = x.up
-            if x.tag == "p":
-                node = x.up
-        if tag in CLOSES:
-            names, bounds = CLOSES[tag]
-            x = node
-            while x is not None and x.tag not in names and x.tag not in bounds:
-                x = x.up
-            if x is not None and x.tag in names:
-                node = x.up
-        name, boiler, content = _described(tag, attributes)
-        new = Node(tag, name, boiler, content, node)
-        node.kids.append(new)
-        if tag in RAW:
-            end = re.compile(f"</{tag}[\\s/>]", re.I).search(html, at)
-            if end is None:
-                break
-            at = html.find(">", end.start()) + 1 or size
-        elif tag not in VOID and not attributes.endswith("/"):
-            node = new
-    return root
-
+#: Share of a host's varying text in its content slot; share of what varies in a slot that a named article must hold.
+SLOT_SHARE, NAMED_SHARE = 0.9, 0.5
+#: Share of the varying text outside named boilerplate from which the names are believed.
+BELIEVED_SHARE = 0.1
+#: Pages and share at which a text counts as template.
+LEAST_PAGES, SAME_SHARE = 8, 0.95
+#: Templates that a task keeps.
+KEPT_HOSTS = 2_000
 
-def numbered(root: Node) -> list[Node]:
-    """All nodes, each before its kids; their places are kept in ``at``."""
-    out, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        node.at = len(out)
-        out.append(node)
-        stack += reversed(node.nodes())
-    return out
+BOILER, CONTAINER, CONTENT, AROUND = 1, 2, 4, 8
+FIELDS = np.dtype([("up", "<i4"), ("name", "<u4"), ("text", "<i8"), ("chars", "<i4"), ("flags", "u1")])
 
 
-class Matcher:
-    """Simple tree matching: the most node pairs that keep names, parents and order; a pair with equal texts counts three, others two."""
-
-    def __init__(self):
-        self.scores: dict[tuple[int, int], int] = {}
-
-    def score(self, a: Node, b: Node) -> int:
-        if a.name != b.name:
-            return 0
-        worth = 3 if a.text() == b.text() else 2
-        x, y = a.nodes(), b.nodes()
-        if not x or not y:
-            return worth
-        key = (id(a), id(b))
-        found = self.scores.get(key)
-        if found is None:
-            found = self.scores[key] = worth + (self._grid(x, y)[-1][-1] if len(x) * len(y) <= MOST_PAIRS else self._last(x, y))
-        return found
-
-    def _grid(self, x: list[Node], y: list[Node]) -> list[list[int]]:
-        row = [0] * (len(y) + 1)
-        grid = [row]
-        for a in x:
-            new = [0]
-            for j, b in enumerate(y):
-                best = row[j + 1] if row[j + 1] >= new[j] else new[j]
-                if a.name == b.name and (with_pair := row[j] + self.score(a, b)) > best:
-                    best = with_pair
-                new.append(best)
-            grid.append(new)
-            row = new
-        return grid
-
-    def _rows(self, row: np.ndarray, x: list[Node], y: list[Node]):
-        """The grid's rows after ``row``, one for each of ``x``."""
-        numbers: dict[str, int] = {}
-        number = lambda text: numbers.setdefault(text, len(numbers))
-        names, texts = (np.array([number(f(b)) for b in y], np.int64) for f in (lambda b: b.name, Node.text))
-        deep = np.array([bool(b.nodes()) for b in y])
-        for a in x:
-            named = names == number(a.name)
-            worth = np.where(named, 2 + (texts == number(a.text())), 0)
-            if a.nodes():
-                for j in np.flatnonzero(named & deep):
-                    worth[j] = self.score(a, y[j])
-            best = row.copy()
-            np.maximum(best[1:], np.where(named, row[:-1] + worth, 0), out=best[1:])
-            row = np.maximum.accumulate(best)
-            yield row
-
-    def _last(self, x: list[Node], y: list[Node]) -> int:
-        row = np.zeros(len(y) + 1, np.int64)
-        for row in self._rows(row, x, y):
-            pass
-        return int(row[-1])
-
-    def _long(self, x: list[Node], y: list[Node]):
-        """The pairs that the whole grid gives, from the end; the grid is made again piece by piece from rows that were kept."""
-        step = max(1, int(len(x) ** 0.5))
-        kept = [np.zeros(len(y) + 1, np.int64)]
-        kept += [row for i, row in enumerate(self._rows(kept[0], x, y), 1) if i % step == 0]
-        j = len(y)
-        for k in reversed(range(len(kept))):
-            start = k * step
-            piece = x[start : start + step]
-            grid = [kept[k][: j + 1], *self._rows(kept[k][: j + 1], piece, y[:j])] if j else []
-            i = len(piece)
-            while i and j:
-                if grid[i][j] == grid[i - 1][j]:
-                    i -= 1
-                elif grid[i][j] == grid[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    yield piece[i], y[j]
-
-    def pairs(self, a: Node, b: Node):
-        """The matched pairs under two nodes of one name."""
-        stack = [(a, b)]
-        while stack:
-            a, b = stack.pop()
-            yield a, b
-            x, y = a.nodes(), b.nodes()
-            if not x or not y:
-                continue
-            if len(x) * len(y) > MOST_PAIRS:
-                stack += self._long(x, y)
-                continue
-            grid, i, j = self._grid(x, y), len(x), len(y)
-            while i and j:
-                if grid[i][j] == grid[i - 1][j]:
-                    i -= 1
-                elif grid[i][j] == grid[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    stack.append((x[i], y[j]))
+def _number(text: str) -> int:
+    """A number of 63 bits over 0 for a text; 0 for none."""
+    return (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 or 1) if text else 0
+
+
+def _flags(x: Node) -> int:
+    return BOILER * x.boiler | CONTAINER * (x.tag in CONTAINERS) | CONTENT * (x.content == 2) | AROUND * (x.tag in ("article", "main"))
+
+
+class Page:
+    """A page's blocks as a tree, with what its markup says of each."""
+
+    def __init__(self, up: list[int], name: list[int], text: list[int], chars: list[int], flags: list[int]):
+        self.tree, self.chars, self.flags = Tree(up, name, text), chars, flags
+        self.boiler, self.article = [False] * len(up), [False] * len(up)  # or inside such
+        for i, f in enumerate(flags):
+            above = up[i]
+            self.boiler[i] = bool(f & BOILER) or above >= 0 and self.boiler[above]
+            self.article[i] = bool(f & CONTENT) or above >= 0 and self.article[above]
+
+    @classmethod
+    def of(cls, found: list[tuple[Node, int, str]]) -> Page:
+        names = [xxhash.xxh32_intdigest(x.name.encode("utf-8", "surrogatepass")) for x, _, _ in found]
+        return cls([u for _, u, _ in found], names, [_number(s) for _, _, s in found], [len(s) for _, _, s in found], [_flags(x) for x, _, _ in found])
+
+    @classmethod
+    def read(cls, raw: bytes) -> Page:
+        found = np.frombuffer(raw, FIELDS)
+        return cls(*(found[f].tolist() for f in FIELDS.names))
+
+    def written(self) -> bytes:
+        out = np.empty(len(self.flags), FIELDS)
+        out["up"], out["name"], out["text"], out["chars"], out["flags"] = self.tree.up, self.tree.name, self.tree.text, self.chars, self.flags
+        return out.tobytes()
+
+    def main(self) -> int:
+        """A number for what markup alone takes for the main text, as far as names seem right."""
+        texts, chars = self.tree.text, self.chars
+        said = [i for i, t in enumerate(texts) if t]
+        for named, share in (([i for i in said if not self.boiler[i]], BELIEVED_SHARE), ([i for i in said if not self.boiler[i] and self.article[i]], NAMED_SHARE)):
+            if sum(chars[i] for i in named) < share * sum(chars[i] for i in said):
+                break
+            said = named
+        return hash(tuple([texts[i] for i in said]))
 
 
-def _number(text: str) -> int:
-    """A number of 63 bits over 0 for a text."""
-    return (int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1) or 1
+#: What a vote counts: pages matched, of these with the model's text; characters of varying text: all, outside named boilerplate, and of these in a named article.
+COUNTS = ("matched", "same", "chars", "free", "named")
 
 
-def _placed(page: Node, partner: dict[int, int]):
-    """(node, its partner's place or None, that of the next node above with one, place of a node without partner, in boilerplate) for every node."""
-    stack = [(page, 0, "", False)]
-    while stack:
-        node, above, path, boiler = stack.pop()
-        at, boiler = partner.get(id(node)), boiler or node.boiler
-        path = f"{path}/{node.name}" if at is None else ""
-        yield node, at, above, f"{above}{path}", boiler
-        stack += [(k, above if at is None else at, path, boiler) for k in node.nodes()]
-
-
-def votes(page: Node, model: Node) -> dict[tuple[int, int], list[int]]:
-    """For (node of the numbered ``model``, 0): [pages matched, of these with the same text, characters of varying text].
-
-    For (number under 0 of a place of unmatched text, number of the text or 0 for any): [pages, 0, 0].
-    """
-    partner = {id(p): m.at for p, m in Matcher().pairs(page, model)}
-    texts = [n.text() for n in numbered(model)]
-    out: dict[tuple[int, int], list[int]] = {}
-    for node, at, above, path, boiler in _placed(page, partner):
-        text = node.text()
-        count = out.setdefault((above if at is None else at, 0), [0, 0, 0])
-        if at is not None:
+def _placed(page: Page, partner: list[int]):
+    """(block, place of its partner or of the next block above with one, number of the place if it has no partner) for every block."""
+    above, path = [0] * len(partner), [0] * len(partner)
+    for i, at in enumerate(partner):
+        up = page.tree.up[i]
+        if at >= 0 or up < 0:
+            above[i] = max(at, 0)
+        else:
+            above[i] = above[up]
+            path[i] = hash((path[up] or above[up], page.tree.name[i])) & 0x3FFFFFFFFFFFFFFF or 1
+        yield i, above[i], path[i]
+
+
+def votes(page: Page, model: Page, out: dict[tuple[int, int], list[int]]) -> None:
+    """Adds a page's votes: for (block of the model, 0) the COUNTS; for (number under 0 of a place of unmatched text, number of the text or 0 for any) pages only."""
+    seen = set()
+    for i, at, path in _placed(page, align(page.tree, model.tree)):
+        text = page.tree.text[i]
+        count = out.setdefault((at, 0), [0, 0, 0, 0, 0])
+        if not path:
             count[0] += 1
-            if text == texts[at]:
+            if text == model.tree.text[at]:
                 count[1] += 1
-        elif text and not boiler:
-            place = -_number(path)
-            out[place, 0] = out[place, _number(text)] = [1, 0, 0]
-        if not boiler and (at is None or text != texts[at]):
-            count[2] += len(text)
-    return {k: c for k, c in out.items() if k[0] < 0 or c[2] or texts[k[0]]}
+                continue
+        elif text:
+            seen |= {(-path, 0), (-path, text)}
+        count[2] += page.chars[i]
+        if not page.boiler[i]:
+            count[3] += page.chars[i]
+            if page.article[i]:
+                count[4] += page.chars[i]
+    for k in seen:
+        out.setdefault(k, [0, 0, 0, 0, 0])[0] += 1
 
 
 class Template:
-    """A host's model page, its content slot and the nodes that are template."""
+    """A host's model, its content slot and the blocks that are template."""
 
-    def __init__(self, html: str, found: dict[tuple[int, int], list[int]]):
-        counts = {at: c for (at, _), c in found.items() if at >= 0}
+    def __init__(self, model: Page, found: dict[tuple[int, int], list[int]]):
+        self.model, up = model, model.tree.up
         self.recurring = {k for k in found if k[0] < 0}
-        self.root = parse(html)
-        nodes = numbered(self.root)
-        mass = [counts.get(n.at, (0, 0, 0))[2] for n in nodes]
-        for n in reversed(nodes[1:]):
-            mass[n.up.at] += mass[n.at]
+        counts = [found.get((i, 0), (0, 0, 0, 0, 0)) for i in range(len(up))]
+        sums = [[c[k] for c in counts] for k in (2, 3, 4)]
+        for i in range(len(up) - 1, 0, -1):
+            for s in sums:
+                s[up[i]] += s[i]
+        total, free, named = sums
+        self.believed = free[0] >= BELIEVED_SHARE * total[0]
+        mass = free if self.believed else total
         self.slot = -1
         if mass[0]:
-            for n in nodes:  # the last in this order is the deepest on the way down
-                if n.tag in CONTAINERS and not n.boiler and mass[n.at] >= SLOT_SHARE * mass[0]:
-                    self.slot = n.at
-        self.fixed = {at for at, (matched, same, _) in counts.items() if mass[0] and matched >= LEAST_PAGES and same >= SAME_SHARE * matched and nodes[at].text()}
+            for i, f in enumerate(model.flags):  # the last in this order is the deepest on the way down
+                if f & CONTAINER and mass[i] >= SLOT_SHARE * mass[0] and not (self.believed and model.boiler[i]):
+                    self.slot = i
+        self.named = self.slot >= 0 and self.believed and named[self.slot] >= NAMED_SHARE * mass[self.slot] > 0
+        self.fixed = {i for i, c in enumerate(counts) if total[0] and c[0] >= LEAST_PAGES and c[1] >= SAME_SHARE * c[0] and model.tree.text[i]}
 
 
 def _holders(node: Node, test) -> list[Node]:
@@ -335,7 +175,7 @@ def _holders(node: Node, test) -> list[Node]:
     out, stack = [], [node]
     while stack:
         x = stack.pop()
-        if x.boiler:
+        if x.boiler and x is not node:
             continue
         if test(x):
             out.append(x)
@@ -344,150 +184,143 @@ def _holders(node: Node, test) -> list[Node]:
     return out
 
 
-def _in_article(node: Node | None) -> bool:
-    while node is not None and node.content < 2:
+def _around(node: Node | None) -> Node | None:
+    """The outermost of the nearest articles around a node."""
+    while node is not None and node.tag not in ("article", "main"):
         node = node.up
-    return node is not None
-
-
-def content_of(page: Node, template: Template | None) -> tuple[list[Node], set[int]]:
-    """The nodes whose text is the page's, and the ids of template nodes."""
-    slot, fixed = page, set()
-    if template and template.slot >= 0:
-        partner = {}
-        for p, m in Matcher().pairs(page, template.root):
-            partner[id(p)] = m.at
-            if m.at == template.slot:
-                slot = p
-            if m.at in template.fixed and p.text() == m.text() and not _in_article(p):
-                fixed.add(id(p))
-        if template.recurring:
-            for node, at, _, path, boiler in _placed(page, partner):
-                if at is None and not boiler and node.text() and (-_number(path), _number(node.text())) in template.recurring and not _in_article(node):
-                    fixed.add(id(node))
-    around = slot
-    while around is not None and around.tag not in ("article", "main"):
-        around = around.up
-    if around is not None:
-        while around.up is not None and around.up.tag in ("article", "main"):
-            around = around.up
-        return [around], fixed
-    for test in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.content):
-        if found := _holders(slot, test) or (_holders(page, test) if slot is not page else []):
-            return found, fixed
-    return [slot], fixed
+    while node is not None and node.up is not None and node.up.tag in ("article", "main"):
+        node = node.up
+    return node
 
 
-def text_of(nodes: list[Node], fixed: set[int]) -> str:
+def by_markup(page: Node) -> list[Node]:
+    for test in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.content):
+        if found := _holders(page, test):
+            return found
+    return [page]
+
+
+def content_of(root: Node, template: Template | None) -> tuple[list[Node], set[int], bool]:
+    """The nodes whose text is the page's, the places of blocks that are template, and whether names of boilerplate are believed."""
+    found = blocks(root)
+    if template is None or template.slot < 0:
+        return by_markup(root), set(), True
+    page, model = Page.of(found), template.model
+    partner = align(page.tree, model.tree)
+    fixed, slot = set(), None
+    for i, at, path in _placed(page, partner):
+        if not path and at == template.slot:
+            slot = found[i][0]
+        if page.article[i] and template.named:
+            continue
+        if not path and at in template.fixed and page.tree.text[i] == model.tree.text[at] or path and (-path, page.tree.text[i]) in template.recurring:
+            fixed.add(i)
+    if slot is None:
+        return by_markup(root), fixed, True
+    if template.named:
+        if (around := _around(slot)) is not None:
+            return [around], fixed, True
+        named = _holders(slot, lambda n: n.tag == "article") or _holders(slot, lambda n: n.content == 2)
+        return named or [slot], fixed, True
+    return [slot], fixed, template.believed
+
+
+def text_of(tops: list[Node], fixed: set[int], believed: bool = True) -> str:
     """The nodes' text without boilerplate and template; a block's edge separates as a space does."""
     out: list[str] = []
-
-    def walk(top: Node) -> None:
-        stack: list[Node | str] = [top]
+    for top in tops:
+        stack: list[tuple[Node | str, bool]] = [(top, False)]
         while stack:
-            x = stack.pop()
+            x, skip = stack.pop()
             if x.__class__ is str:
-                out.append(x)
+                if not skip:
+                    out.append(x)
                 continue
-            if x is not top and (x.boiler or x.tag == "header" and not any(n.tag == "h1" for n in x.nodes())):
+            if x is not top and (believed and x.boiler or x.tag == "header" and not any(n.tag == "h1" for n in x.nodes())):
                 out.append(" ")
                 continue
-            edge = x.tag not in INLINE
-            if edge:
+            if not x.inline:
                 out.append(" ")
-                stack.append(" ")
-            stack += reversed(x.nodes() if id(x) in fixed else x.kids)
-
-    for node in nodes:
-        walk(node)
+                stack.append((" ", False))
+                skip = x.at in fixed
+            stack += [(k, skip) for k in reversed(x.kids)]
         out.append(" ")
     return " ".join("".join(out).split())
 
 
 def main_text(html: str | None, template: Template | None = None) -> str:
-    page = parse(html or "")
-    return text_of(*content_of(page, template))
+    return text_of(*content_of(parse(html or ""), template))
 
 
-COUNTED = ("node", "text", "matched", "same", "chars")
+SKELETON = "host string, main bigint, number bigint, skeleton binary"
+VOTES = ", ".join(["host string, node bigint, text bigint", *(f"{c} bigint" for c in COUNTS)])
 
 
-def _counted(read):
-    """(host, number of the main text by markup, number of the page, votes) of a task's pages, one of a main text in a batch; read gives (host, page, model) of a batch's rows."""
+def _skeletons(batches):
+    for batch in batches:
+        held: dict[tuple[str, int], tuple[int, bytes]] = {}
+        for host, html in zip(*(c.to_pylist() for c in batch.columns)):
+            number, page = _number(html), Page.of(blocks(parse(html)))
+            key = host, page.main()
+            if key not in held or number < held[key][0]:
+                held[key] = number, page.written()
+        if held:
+            columns = zip(*((h, m, n, s) for (h, m), (n, s) in held.items()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["host", "main", "number", "skeleton"])
 
-    def count(batches):
-        trees: dict[str, Node] = {}
-        for batch in batches:
-            held: dict[tuple[str, int], tuple[int, dict]] = {}
-            for host, html, model in read(batch):
-                if not html or html == model:
-                    continue
-                page, number = parse(html), _number(html)
-                key = host, _number(text_of(*content_of(page, None)))
-                if key in held and held[key][0] <= number:
-                    continue
-                if host not in trees:
-                    if len(trees) > KEPT_HOSTS:
-                        trees.clear()
-                    trees[host] = parse(model or "")
-                    numbered(trees[host])
-                held[key] = number, votes(page, trees[host])
-            if held:
-                rows = [(*at, *c) for _, found in held.values() for at, c in found.items()]
-                ends = np.cumsum([0, *(len(found) for _, found in held.values())])
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64()) for _ in COUNTED]
-                found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=COUNTED))
-                keys = [pa.array([h for h, _ in held], pa.string()), pa.array([t for _, t in held], pa.int64()), pa.array([n for n, _ in held.values()], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*keys, found], names=["host", "main", "page", "votes"])
-
-    return count
-
-
-def _texts(read, names):
-    """(key, url, text, n_chars) of a batch's rows; read gives (host, page, model, counts)."""
+
+def _votes(batches):
+    host, model = None, None
+    for batch in batches:
+        found: dict[str, dict] = {}
+        for name, skeleton, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if skeleton == raw:
+                continue
+            if name != host or model is None:
+                host, model = name, Page.read(raw)
+            votes(Page.read(skeleton), model, found.setdefault(name, {}))
+        rows = [(h, *at, *c) for h, counts in found.items() for at, c in counts.items()]
+        if rows:
+            kinds = [pa.string(), *[pa.int64()] * (2 + len(COUNTS))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["host", "node", "text", *COUNTS])
+
+
+def _texts(names):
+    """(key, url, text, n_chars) of batches of (key, url, host, html, model, counts)."""
 
     def run(batches):
-        made: dict[str, Template | None] = {}
+        made: dict[str, Template] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part, texts = batch.slice(start, 500), []
-                for host, page, model, counts in read(part):
-                    if host not in made:
-                        if len(made) > KEPT_HOSTS:
+                for k, (host, html) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                    if host not in made and part.column(4)[k].is_valid:
+                        if len(made) >= KEPT_HOSTS:
                             made.clear()
-                        made[host] = Template(model or "", {(x["node"], x["text"]): [x["matched"], x["same"], x["chars"]] for x in counts}) if counts else None
-                    texts.append(main_text(page, made[host]))
+                        counts = {(x["node"], x["text"]): [x[c] for c in COUNTS] for x in part.column(5)[k].as_py()}
+                        made[host] = Template(Page.read(part.column(4)[k].as_py()), counts)
+                    texts.append(main_text(html, made.get(host)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=names)
 
     return run
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(key, url, text, n_chars) of every page.
+def templates(given: DataFrame) -> DataFrame:
+    """(host, model, counts) of every host of ``given`` (host, html) whose pages vary."""
+    skeletons = given.filter(F.length("html") > 0).select("host", "html").mapInArrow(_skeletons, SKELETON)
+    voters = stored(skeletons.groupBy("host", "main").agg(F.min(F.struct("number", "skeleton")).alias("v")).select("host", "v.number", "v.skeleton"), "skeletons")
+    models = voters.groupBy("host").agg(F.min(F.struct("number", "skeleton")).alias("m")).select("host", F.col("m.skeleton").alias("model"))
+    cast = voters.join(models, "host").select("host", "skeleton", "model").mapInArrow(_votes, VOTES)
+    summed = stored(cast.groupBy("host", "node", "text").agg(*(F.sum(c).alias(c) for c in COUNTS)).filter((F.col("text") == 0) | (F.col("matched") >= LEAST_PAGES)), "votes")
+    places = summed.filter("text = 0 AND node < 0").select("host", "node", F.col("matched").alias("pages"))
+    recurring = summed.filter("text <> 0").join(places, ["host", "node"]).filter(F.col("matched") >= SAME_SHARE * F.col("pages")).select("host", "node", "text", *COUNTS)
+    learnt = summed.filter("node >= 0").unionByName(recurring).groupBy("host").agg(F.collect_list(F.struct("node", "text", *COUNTS)).alias("counts"))
+    return models.join(learnt, "host")
+
 
-    The hosts' models go along with the tasks while they take ``most_bytes`` at
-    most, as measured; beyond that pages and models are joined by host.
-    """
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(key, url, text, n_chars) of every page."""
     given = pages.select(F.col(key), F.col(url).alias("url"), F.col(html).alias("html"), url_parts(F.col(url))[0].alias("host"))
-    models = stored(given.filter(F.length("html") > 0).groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("url", "html"), "url")).alias("model")), "models")
-    small = (models.agg(F.sum(F.octet_length("model") + 256)).first()[0] or 0) <= most_bytes
-    votes_kind = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in COUNTED]))
-    counted = T.StructType([T.StructField("host", T.StringType()), T.StructField("main", T.LongType()), T.StructField("page", T.LongType()), T.StructField("votes", votes_kind)])
-    if small:
-        held = {r.host: r.model for r in models.collect()}
-        source, read = given.select("host", "html"), lambda b: [(h, p, held.get(h)) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    else:
-        source, read = given.select("host", "html").join(models, "host"), lambda b: zip(*(c.to_pylist() for c in b.columns))
-    voters = source.mapInArrow(_counted(read), counted).groupBy("host", "main").agg(F.min_by("votes", "page").alias("votes"))
-    summed = voters.select("host", F.inline("votes")).groupBy("host", "node", "text").agg(*(F.sum(c).alias(c) for c in COUNTED[2:]))
-    summed = stored(summed.filter((F.col("text") == 0) | (F.col("matched") >= LEAST_PAGES)), "votes")
-    places = summed.filter("text = 0 AND node < 0").select("host", "node", F.col("matched").alias("pages"))
-    recurring = summed.filter("text <> 0").join(places, ["host", "node"]).filter(F.col("matched") >= SAME_SHARE * F.col("pages")).select("host", *COUNTED)
-    learnt = summed.filter("node >= 0").unionByName(recurring).groupBy("host").agg(F.collect_list(F.struct(*COUNTED)).alias("counts"))
     schema = T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    if small:  # a model has no more nodes than bytes, and recurring texts are on nearly all pages of their places
-        votes_of = {r.host: [x.asDict() for x in r.counts] for r in learnt.collect()}
-        last, read = given.select(key, "url", "host", "html"), lambda b: [(h, p, held.get(h), votes_of.get(h)) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-    else:
-        last, read = given.join(models.join(learnt, "host", "left"), "host", "left").select(key, "url", "host", "html", "model", "counts"), lambda b: zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)))
-    return last.mapInArrow(_texts(read, schema.names), schema)
+    learnt = stored(templates(given), "templates")
+    return given.join(learnt, "host", "left").select(key, "url", "host", "html", "model", "counts").mapInArrow(_texts(schema.names), schema)

@@ -45,11 +45,13 @@ def sites():
     return rows, want
 
 
-@pytest.mark.parametrize("most", [H.BROADCAST_BYTES, 0])
-def test_induced_template(spark, most):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_induced_template(spark, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     rows, want = sites()
-    got = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, SCHEMA), most_bytes=most).collect()}
+    got = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {k: r.text for k, r in got.items()} == want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
