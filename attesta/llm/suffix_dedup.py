@@ -9,9 +9,10 @@ it also starts anywhere else, in the same document or another.
    more all strings recur.  Only different stretches whose anchors have equal
    bytes are left to compare.
 2. Of those each task sorts the suffixes at its anchors, and the mirrored texts
-   before them, into runs.  A run is front-coded, cut by splitters of the
-   suffixes and exchanged: each string as the length it shares with the one
-   before it, and the rest.
+   before them, into runs.  A run is cut into parts by the anchors' hashes,
+   front-coded and exchanged: each string as the length it shares with the one
+   before it, and the rest.  Anchors with over MOST_KINDS different stretches take
+   no part: their strings are compared by content, spread over all tasks.
 3. A loser tree merges the runs of each part.  Strings compare by what they
    share with the last one put out; only where that is equal are bytes read,
    from there on, so a known prefix is never compared again.  The merge leaves
@@ -28,7 +29,6 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.anchors import stretches
+from attesta.llm.anchors import stretches, window_hits, window_rows
 from attesta.llm.common import stored
-from attesta.llm.substring_dedup import at_all_places, covered, keyed
+from attesta.llm.substring_dedup import ROW, at_all_places, covered, keyed, named
 
 #: Fixed value: bytes in a string.
 WIDTH = 200
-#: Bytes of an anchor; stretches in a run; stretches in a part, on average; documents from which splitters are taken, on average.
-GRAM, RUN, PART, SPLIT_DOCS = 16, 20_000, 10_000, 2_000
+#: Bytes of an anchor; stretches in a run; stretches in a part, on average; different stretches of an anchor that go to one part.
+GRAM, RUN, PART, MOST_KINDS = 16, 20_000, 10_000, 5_000
 
 
 def _cut(text: str | None, width: int):
@@ -53,26 +53,28 @@ def _cut(text: str | None, width: int):
 
 
 def _segment(raw: bytes, first: int, count: int, width: int) -> int:
-    return xxhash.xxh3_64_intdigest(raw[first : first + count + width - 1])
+    """64 bits of a stretch's bytes, signed; beside the 64 of its anchor."""
+    seg = xxhash.xxh3_64_intdigest(raw[first : first + count + width - 1])
+    return seg - (seg >> 63 << 64)
 
 
 def _stretch_rows(given: DataFrame, width: int) -> DataFrame:
-    """(row, core, seg, at): every stretch of every text; at holds its first string and their number."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("row", "core", "seg", "at")])
+    """(row, mark, core, seg, at): every stretch of every text; at holds its first string and their number."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in (*ROW, "core", "seg", "at")])
 
     def run(batches):
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for row, text in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for row, mark, text in zip(*(c.to_pylist() for c in batch.columns)):
                 raw, (core, first, count, _) = _cut(text, width)
                 if len(core):
                     segs = [_segment(raw, a, n, width) for a, n in zip(first.tolist(), count.tolist())]
-                    for k, x in enumerate((np.full(len(core), row), core.view(np.int64), np.array(segs, np.uint64).view(np.int64), first << 8 | count)):
+                    for k, x in enumerate((np.full(len(core), row), np.full(len(core), mark), core.view(np.int64), np.array(segs, np.int64), first << 8 | count)):
                         out[k].append(x)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=schema.names)
 
-    return given.select("row", "text").mapInArrow(run, schema)
+    return given.select(*ROW, "text").mapInArrow(run, schema)
 
 
 def shared(strings: list[bytes]) -> np.ndarray:
@@ -156,47 +158,28 @@ def merge(runs: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array(order, np.int64), np.array(same, np.int64)
 
 
-def _splitters(given: DataFrame, width: int, parts: int) -> list[bytes]:
-    """Bounds between parts, from the anchors of a sample of documents; they matter for balance only."""
-    if parts < 2:
-        return []
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                raw, (_, _, _, anchor) = _cut(text, width)
-                out += [raw[p : p + 8] for p in anchor[:: max(1, len(anchor) // 50)].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["gram"])
-
-    share = min(1.0, SPLIT_DOCS / max(1, given.count()))
-    grams = sorted(bytes(r.gram) for r in given.select("text").sample(share, 7).mapInArrow(run, "gram binary").limit(100 * SPLIT_DOCS).collect())
-    return sorted({grams[len(grams) * i // parts] for i in range(1, parts)}) if grams else []
-
-
 RUN_FIELDS = ["cores", "segs", "r_lcp", "r_len", "r_tail", "l_lcp", "l_len", "l_tail", "l_index"]
 
 
-def _runs(pairs: DataFrame, width: int, splitters: list[bytes]) -> DataFrame:
+def _runs(pairs: DataFrame, width: int, parts: int) -> DataFrame:
     """A row for each sorted run and part: front-coded suffixes at anchors (r) and mirrored texts before them (l)."""
-    schema = T.StructType([T.StructField("part", T.IntegerType())] + [T.StructField(f, T.BinaryType()) for f in RUN_FIELDS])
+    schema = T.StructType([T.StructField("part", T.LongType())] + [T.StructField(f, T.BinaryType()) for f in RUN_FIELDS])
     gram = min(GRAM, width)
-    bounds = np.array(splitters, "S8") if splitters else None
 
     def coded(found):
         right, left, cores, segs = zip(*found)
-        order = sorted(range(len(found)), key=right.__getitem__)
-        heads = np.array([right[i][:8].ljust(8, b"\0") for i in order], "S8")
-        parts = np.searchsorted(bounds, heads, "right") if bounds is not None else np.zeros(len(order), np.int64)
-        order = np.array(order)
-        edges = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1], [True])))
+        order = np.array(sorted(range(len(found)), key=right.__getitem__))
+        part = (np.array(cores, np.int64).view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        order = order[np.argsort(part[order], kind="stable")]
+        part = part[order]
+        edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
         rows = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             own = order[a:b].tolist()
             back = sorted(range(len(own)), key=lambda k: left[own[k]])
             ids = [np.array([x[i] for i in own], np.int64).tobytes() for x in (cores, segs)]
-            rows.append((int(parts[a]), *ids, *front_code([right[i] for i in own]), *front_code([left[own[k]] for k in back]), np.array(back, np.int32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], names=schema.names)
+            rows.append((int(part[a]), *ids, *front_code([right[i] for i in own]), *front_code([left[own[k]] for k in back]), np.array(back, np.int32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], names=schema.names)
 
     def run(batches):
         found: list[tuple[bytes, bytes, int, int]] = []
@@ -208,7 +191,6 @@ def _runs(pairs: DataFrame, width: int, splitters: list[bytes]) -> DataFrame:
                 for c, a, n, p in zip(core.view(np.int64).tolist(), first.tolist(), count.tolist(), anchor.tolist()):
                     if c in near:
                         seg = _segment(raw, a, n, width)
-                        seg -= (seg >> 63) << 64
                         if (c, seg) in want:
                             want.discard((c, seg))
                             found.append((raw[p : a + n - 1 + width], raw[p : p + gram] + raw[a:p][::-1], c, seg))
@@ -288,27 +270,39 @@ def _merged(runs: DataFrame, width: int) -> DataFrame:
     return runs.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
+def _windows(pairs: DataFrame, text: str, width: int) -> DataFrame:
+    """The strings of the ``wanted`` stretches of ``pairs`` (text, wanted), see window_rows."""
+
+    def cut(value):
+        raw, (core, first, count, _) = _cut(value, width)
+        return core, first, count, lambda a, n: _segment(raw, a, n, width), lambda i: raw[i : i + width]
+
+    return window_rows(pairs.select(text, "wanted"), cut, width)
+
+
 def _removals(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(row, cuts): the strings to remove of each text that has any."""
-    given = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    """(row, mark, cuts): the strings to remove of each text that has any."""
+    given = docs.select(*named(key, text), F.col(text).alias("text"))
     parts = stored(_stretch_rows(given, width), "stretches")
-    distinct = parts.groupBy("core", "seg").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    distinct = parts.groupBy("core", "seg").agg(F.count("*").alias("n"), F.min(F.struct(*ROW)).alias("least")).select("core", "seg", "n", "least.*")
     kinds = distinct.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     known = stored(distinct.join(kinds, "core", "left").filter("kinds > 1 OR n > 1"), "recurring")
-    several = known.filter("kinds > 1")
-    splitters = _splitters(given, width, math.ceil(several.count() / PART))
-    wanted = several.groupBy("row").agg(F.collect_list(F.struct("core", "seg")).alias("wanted"))
-    found = _merged(_runs(keyed(docs, key, text).join(wanted, "row").select(key, text, "wanted"), width, splitters), width)
+    texts = keyed(docs, key, text)
+    wanted = lambda which: texts.join(known.filter(which).groupBy(*ROW).agg(F.collect_list(F.struct("core", "seg", F.lit(0).cast("long").alias("doc"))).alias("wanted")), ROW)
+    few, hot = f"kinds BETWEEN 2 AND {MOST_KINDS}", f"kinds > {MOST_KINDS}"
+    found = _merged(_runs(wanted(few).select(key, text, "wanted"), width, 1 + known.filter(few).count() // PART), width)
+    if not known.filter(hot).isEmpty():
+        found = found.unionByName(window_hits(stored(_windows(wanted(hot), text, width), "windows"), False))
     marked = known.select("core", "seg", "n").join(found, ["core", "seg"], "left").filter("n > 1 OR found IS NOT NULL")
-    hot = known.select("core", "seg", "n", F.lit(None).cast("binary").alias("found"))  # these recur as a whole, no merge is needed
-    hits = at_all_places(parts, marked.select("core", "seg", "n", F.when(F.col("n") == 1, F.col("found")).alias("found")), known, hot)
-    return hits.groupBy("row").agg(F.collect_set(F.struct("at", "found")).alias("cuts"))
+    often = known.select("core", "seg", "n", F.lit(None).cast("binary").alias("found"))  # these recur as a whole, no merge is needed
+    hits = at_all_places(parts, marked.select("core", "seg", "n", F.when(F.col("n") == 1, F.col("found")).alias("found")), known, often)
+    return hits.groupBy(*ROW).agg(F.collect_set(F.struct("at", "found")).alias("cuts"))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     cuts = _removals(docs, key, text, width)
-    given = keyed(docs, key, text).join(cuts, "row", "left").select(key, text, "cuts")
+    given = keyed(docs, key, text).join(cuts, ROW, "left").select(key, text, "cuts")
     kinds = [T.StructField(key, docs.schema[key].dataType)] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     schema = T.StructType([*kinds, T.StructField("kept_sha256", T.StringType())])
 
@@ -330,7 +324,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 def kept_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, kept binary): what stays of every text; bytes, as a cut may part a character."""
     cuts = _removals(docs, key, text, width)
-    given = keyed(docs, key, text).join(cuts, "row", "left").select(key, text, "cuts")
+    given = keyed(docs, key, text).join(cuts, ROW, "left").select(key, text, "cuts")
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("kept", T.BinaryType())])
 
     def run(batches):

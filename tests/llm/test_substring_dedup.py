@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from attesta.llm import anchors
 from attesta.llm import substring_dedup as S
 from attesta.llm.common import LONG_MAX
 
@@ -50,8 +51,10 @@ def documents(seed=0):
     return docs + [(None, " ".join(base)), (None, None), (1, ""), (2, "same " * 300), (3, "same " * 200), (4, " ".join(say(6000)))]
 
 
-@pytest.mark.parametrize("width,seed", [(50, 0), (50, 1), (7, 2)])
-def test_equals_brute_force(spark, monkeypatch, width, seed):
+@pytest.mark.parametrize("width,seed,kinds,block", [(50, 0, 500, 1 << 20), (50, 1, 3, 64), (50, 4, 1, 100), (7, 2, 500, 20)])
+def test_equals_brute_force(spark, monkeypatch, width, seed, kinds, block):
+    monkeypatch.setattr(S, "MOST_KINDS", kinds)
+    monkeypatch.setattr(anchors, "BLOCK", block)
     monkeypatch.setattr(S, "HOT_LEAST", 3 if seed % 2 else 5_000)
     docs = documents(seed)
     frame = spark.createDataFrame([(*d, 1, "x", 2) for d in docs], SCHEMA)
@@ -61,6 +64,19 @@ def test_equals_brute_force(spark, monkeypatch, width, seed):
     assert any(w[2] for w in want)
 
 
+def test_one_phrase_in_all_documents(spark, monkeypatch):
+    """A phrase with other words around it everywhere: its core is cut up, nothing is lost."""
+    monkeypatch.setattr(S, "MOST_KINDS", 20)
+    monkeypatch.setattr(S, "BATCH", 10)
+    rng = random.Random(9)
+    phrase, passage = [f"p{i}" for i in range(30)], [f"q{i}" for i in range(30)]
+    say = lambda n: [f"v{rng.randrange(50)}" for _ in range(n)]
+    docs = [(i, " ".join(say(40) + phrase + (passage if i % 10 == 0 else say(30)) + say(20))) for i in range(150)]
+    frame = spark.createDataFrame([(*d, 1, "x", 2) for d in docs], SCHEMA)
+    want = brute(docs, 50)
+    assert sorted(map(tuple, S.digests(frame).collect())) == sorted(w[:4] for w in want) and sum(w[2] > 0 for w in want) == 14
+
+
 def test_cut_texts(spark):
     docs = documents(3)
     frame = spark.createDataFrame([(*d, 1, "x", 2) for d in docs], SCHEMA)

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from attesta.llm import substring_dedup
+from attesta.llm import anchors, substring_dedup
 from attesta.llm import suffix_dedup as S
 
 SCHEMA = "doc_id long, text string, row int, part string, n int"
@@ -45,8 +47,10 @@ def documents(seed):
     return docs + [(304, "c" * 199), (305, say(9000)), (306, passages[0][:205]), (307, "\0" * 220 + passages[1])]
 
 
-@pytest.mark.parametrize("width,seed,part,run", [(200, 0, 40_000, 20_000), (200, 1, 20, 15), (37, 2, 50, 40), (12, 3, 50, 40)])
-def test_equals_brute_force(spark, monkeypatch, width, seed, part, run):
+@pytest.mark.parametrize("width,seed,part,run,kinds,block", [(200, 0, 40_000, 20_000, 5_000, 1 << 20), (200, 1, 20, 15, 4, 300), (200, 5, 20, 15, 1, 64), (37, 2, 50, 40, 10, 50), (12, 3, 50, 40, 5_000, 999)])
+def test_equals_brute_force(spark, monkeypatch, width, seed, part, run, kinds, block):
+    monkeypatch.setattr(S, "MOST_KINDS", kinds)
+    monkeypatch.setattr(anchors, "BLOCK", block)
     monkeypatch.setattr(S, "PART", part)
     monkeypatch.setattr(S, "RUN", run)
     monkeypatch.setattr(substring_dedup, "HOT_LEAST", 3 if seed % 2 else 5_000)
@@ -78,6 +82,21 @@ def test_merge_orders_and_shares():
             assert a[:k] == b[:k] and a[: k + 1] != b[: k + 1] or a == b and k == len(a)
 
 
+def test_long_texts_take_bounded_memory():
+    """Blocks give the partition that the whole sequence has, with little beside it."""
+    rng = np.random.default_rng(3)
+    symbols = rng.integers(0, 6, 5_000_000).astype(np.uint8)
+    tracemalloc.start()
+    got = anchors.stretches(symbols, 200, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and got[2].sum() == len(symbols) - 199
+    want = anchors._of_block(symbols, 200, 16)
+    assert all((a == b).all() for a, b in zip(got, want))
+    with pytest.raises(ValueError):
+        anchors.stretches(symbols, 400, 16)
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert S.digests(frame).collect() == [] and S.kept_bytes(frame).collect() == []
