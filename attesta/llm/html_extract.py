@@ -25,7 +25,8 @@ A host whose pages show no variation (one page, or copies of one), and a page in
 which the slot has no partner, go by markup alone.  Blocks are joined by a space,
 white space within them becomes one, character references are decoded.
 
-Only skeletons are shuffled to make the templates.  Pages meet their host's
+Only skeletons are shuffled to make the templates, and those of the hottest hosts
+not even to meet their model, which is broadcast.  Pages meet their host's
 template in one left join, for which Spark picks a broadcast or a shuffle by the
 templates' measured size; it splits a host that is too large for one task.
 
@@ -57,6 +58,8 @@ BELIEVED_SHARE = 0.1
 LEAST_PAGES, SAME_SHARE = 8, 0.95
 #: Templates that a task keeps.
 KEPT_HOSTS = 2_000
+#: Models of up to HOT_BYTES of hosts with over a HOT_SHARE of all skeletons, HOT_LEAST at least, are broadcast: 1 / HOT_SHARE of them at most.
+HOT_SHARE, HOT_LEAST, HOT_BYTES = 1e-3, 1_000, 64 << 10
 
 BOILER, CONTAINER, CONTENT, AROUND = 1, 2, 4, 8
 FIELDS = np.dtype([("up", "<i4"), ("name", "<u4"), ("text", "<i8"), ("chars", "<i4"), ("flags", "u1")])
@@ -270,15 +273,17 @@ def _skeletons(batches):
 
 
 def _votes(batches):
-    host, model = None, None
+    models: dict[str, Page] = {}
     for batch in batches:
         found: dict[str, dict] = {}
         for name, skeleton, raw in zip(*(c.to_pylist() for c in batch.columns)):
             if skeleton == raw:
                 continue
-            if name != host or model is None:
-                host, model = name, Page.read(raw)
-            votes(Page.read(skeleton), model, found.setdefault(name, {}))
+            if name not in models:
+                if len(models) >= KEPT_HOSTS:
+                    models.clear()
+                models[name] = Page.read(raw)
+            votes(Page.read(skeleton), models[name], found.setdefault(name, {}))
         rows = [(h, *at, *c) for h, counts in found.items() for at, c in counts.items()]
         if rows:
             kinds = [pa.string(), *[pa.int64()] * (2 + len(COUNTS))]
@@ -309,13 +314,16 @@ def templates(given: DataFrame) -> DataFrame:
     """(host, model, counts) of every host of ``given`` (host, html) whose pages vary."""
     skeletons = given.filter(F.length("html") > 0).select("host", "html").mapInArrow(_skeletons, SKELETON)
     voters = stored(skeletons.groupBy("host", "main").agg(F.min(F.struct("number", "skeleton")).alias("v")).select("host", "v.number", "v.skeleton"), "skeletons")
-    models = voters.groupBy("host").agg(F.min(F.struct("number", "skeleton")).alias("m")).select("host", F.col("m.skeleton").alias("model"))
-    cast = voters.join(models, "host").select("host", "skeleton", "model").mapInArrow(_votes, VOTES)
+    models = stored(voters.groupBy("host").agg(F.min(F.struct("number", "skeleton")).alias("m"), F.count("*").alias("n")).select("host", "n", F.col("m.skeleton").alias("model")), "models")
+    often = (F.col("n") > max(HOT_LEAST, int(HOT_SHARE * voters.count()))) & (F.octet_length("model") <= HOT_BYTES)
+    hot, rest = models.filter(often), models.filter(~often)
+    pairs = voters.join(F.broadcast(hot), "host").unionByName(voters.join(F.broadcast(hot.select("host")), "host", "left_anti").join(rest, "host"))
+    cast = pairs.select("host", "skeleton", "model").mapInArrow(_votes, VOTES)
     summed = stored(cast.groupBy("host", "node", "text").agg(*(F.sum(c).alias(c) for c in COUNTS)).filter((F.col("text") == 0) | (F.col("matched") >= LEAST_PAGES)), "votes")
     places = summed.filter("text = 0 AND node < 0").select("host", "node", F.col("matched").alias("pages"))
     recurring = summed.filter("text <> 0").join(places, ["host", "node"]).filter(F.col("matched") >= SAME_SHARE * F.col("pages")).select("host", "node", "text", *COUNTS)
     learnt = summed.filter("node >= 0").unionByName(recurring).groupBy("host").agg(F.collect_list(F.struct("node", "text", *COUNTS)).alias("counts"))
-    return models.join(learnt, "host")
+    return models.select("host", "model").join(learnt, "host")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

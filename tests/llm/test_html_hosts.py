@@ -98,9 +98,11 @@ def test_trailing_block_of_long_pages_is_template(spark):
 
 
 @pytest.mark.parametrize("stub", [page("<p>Not found"), "", None, "  "])
-def test_template_that_the_model_page_lacks(spark, stub):
+@pytest.mark.parametrize("least", [1_000, 5])
+def test_template_that_the_model_page_lacks(spark, monkeypatch, stub, least):
     rng = random.Random(7)
     """The stub has the least number of the host's pages, so it is the model if it isn't empty."""
+    monkeypatch.setattr(H, "HOT_LEAST", least)
     least = min(range(3000), key=lambda i: H._number(f"{stub}<!-- {i} -->"))
     stub = stub and f"{stub}<!-- {least} -->"
     rows, want = [(1000, "http://stub.com/s", stub)], {1000: "Not found" if stub and "N" in stub else ""}
