@@ -5,7 +5,8 @@ each, the rank of the pair that starts there.  The lowest rank is found by a
 scan, its right boundary deleted and the two neighbouring ranks refreshed, until
 no pair has a rank.  For words of a few bytes that is faster than a heap, and as
 the arrays are contiguous, all new words of one length go through the same scans
-together, a row each.
+together, a row each.  Words of over LONG_SCAN bytes, for which repeated scans take
+the square of their length, keep linked neighbours and a heap of ranks instead.
 
 Results equal those of the ``tokenizers`` library for byte-level BPE files
 without normaliser (special tokens found in a text become their own id).
@@ -20,6 +21,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 
 #: Pieces and words kept in a worker's caches before they start anew.
 CACHE_PIECES, CACHE_WORDS = 300_000, 200_000
-#: Longer words skip the caches and the block merge.
-LONG_WORD = 48
+#: Longer words skip the caches; longer ones still are merged by a heap.
+LONG_WORD, LONG_SCAN = 48, 256
 NO_RANK = 1 << 30
 
 
@@ -81,10 +84,46 @@ class Vocabulary:
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
         for length, members in by_length.items():
+            if length > LONG_SCAN:
+                for i in members:
+                    out[i] = self._heap(words[i])
+                continue
             raw = np.frombuffer(b"".join([words[i] for i in members]), np.uint8).reshape(-1, length)
             self._rows(np.array(members), self.of_byte[raw], out)
         return out
 
+    def _heap(self, word: bytes) -> list[int]:
+        """The ids of one word; each merge unlinks a part and puts its neighbours' new ranks on the heap."""
+        first = self.of_byte[np.frombuffer(word, np.uint8)]
+        parts, n = first.tolist(), len(word)
+        near = [*self.ranks(first[:-1], first[1:]).tolist(), NO_RANK]
+        before, behind, made = list(range(-1, n - 1)), list(range(1, n + 1)), self.made.tolist()
+        heap = [(rank, i) for i, rank in enumerate(near) if rank != NO_RANK]
+        heapify(heap)
+        rank_of = self.rank_of
+        while heap:
+            rank, i = heappop(heap)
+            if near[i] != rank:  # the part has gone or changed since
+                continue
+            j = behind[i]
+            parts[i], parts[j], near[j] = made[rank], -1, NO_RANK
+            behind[i] = k = behind[j]
+            near[i] = rank_of.get(parts[i] << 32 | parts[k], NO_RANK) if k < n else NO_RANK
+            if k < n:
+                before[k] = i
+                if near[i] != NO_RANK:
+                    heappush(heap, (near[i], i))
+            h = before[i]
+            if h >= 0:
+                near[h] = rank_of.get(parts[h] << 32 | parts[i], NO_RANK)
+                if near[h] != NO_RANK:
+                    heappush(heap, (near[h], h))
+        return [p for p in parts if p >= 0]
+
+    @cached_property
+    def rank_of(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.rank_of_key.tolist()))
+
     def _rows(self, at: np.ndarray, parts: np.ndarray, out: list[list[int]]) -> None:
         """parts: what stands between two boundaries of a row; near: the rank of each part with the next."""
         near = self.ranks(parts[:, :-1], parts[:, 1:])

@@ -1,13 +1,14 @@
 """Benchmark decontamination by a broadcast hash set of test n-grams.
 
 The items' words are cut into windows of WINDOW words (an item of fewer is one
-window).  Executors get them as a hash set; every document's words stream past
-it: a rolling hash of each window is looked up in a bit table, and what it hits
-is verified word by word.  Hit words can be cut out of a text, or the document
-be dropped.
+window).  Executors get them as a set of hashes, a sorted array of 64 bits each;
+every document's words stream past it: a rolling hash of each window is looked up
+in a bit table, then in the array, and what it hits is verified word by word.  Hit
+words can be cut out of a text, or the document be dropped.
 
 The items are sent to the executors in blocks of about BLOCK_BYTES of text, the
-usual benchmarks in one.  Any number of items works: the documents run through
+usual benchmarks in one; a block takes some 40 bytes in a worker for each of its
+bytes.  Any number of items works: the documents run through
 one block behind another, without a shuffle, and hits add up; between blocks
 they are stored, so that driver and executors hold one block at a time.
 
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from attesta.llm.common import hidden, stored, with_fields
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 #: Stands between documents; no word has such a byte.
@@ -45,41 +46,57 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of items."""
+    """The windows of a block of items: for each length the sorted hashes, and beside each where the window stands and in which item."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        self.of_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-        for item, text in items:
+        self.words, self.items = [], [item for item, _ in items]
+        known: dict[bytes, bytes] = {}
+        at: dict[int, list[np.ndarray]] = {}
+        of: dict[int, list[np.ndarray]] = {}
+        for k, (_, text) in enumerate(items):
             words = words_of(text)
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                found = self.of_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set())
-                if item is not None:
-                    found.add(item)
+            if words:
+                size, start = min(window, len(words)), len(self.words)
+                self.words += [known.setdefault(w, w) for w in words]
+                count = len(words) - size + 1
+                at.setdefault(size, []).append(np.arange(start, start + count, dtype=np.int32))
+                of.setdefault(size, []).append(np.full(count, k, np.int32))
         rng = np.random.default_rng(7)
         self.factors = rng.integers(1, 1 << 62, window, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        self.tables = {}
-        for size, windows in self.of_length.items():
-            flat = np.array([hash(w) for ws in windows for w in ws], np.int64).view(np.uint64).reshape(-1, size)
+        hashes = self._hashes(self.words)
+        self.of_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in at:
+            place, item = np.concatenate(at[size]), np.concatenate(of[size])
+            rolled = self._rolled(hashes, size)[place]
+            order = np.argsort(rolled, kind="stable")
+            rolled = rolled[order]
             table = np.zeros(1 << TABLE_BITS, bool)
-            table[(flat * self.factors[:size]).sum(axis=1, dtype=np.uint64) >> np.uint64(64 - TABLE_BITS)] = True
-            self.tables[size] = table
+            table[rolled >> np.uint64(64 - TABLE_BITS)] = True
+            self.of_length[size] = table, rolled, place[order], item[order]
+
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+
+    def _rolled(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        n = max(0, len(hashes) - size + 1)
+        out = hashes[:n] * self.factors[0]
+        for j in range(1, size):
+            out += hashes[j : j + n] * self.factors[j]
+        return out
 
     def hits(self, words: list[bytes]):
         """(start, length, items) of every occurrence of a window in ``words``."""
-        hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-        for size, table in self.tables.items():
-            n = len(words) - size + 1
-            if n <= 0:
-                continue
-            rolled = hashes[:n] * self.factors[0]
-            for j in range(1, size):
-                rolled += hashes[j : j + n] * self.factors[j]
-            windows = self.of_length[size]
-            for i in np.flatnonzero(table[rolled >> np.uint64(64 - TABLE_BITS)]).tolist():
-                items = windows.get(tuple(words[i : i + size]))
-                if items is not None:
-                    yield i, size, items
+        hashes = self._hashes(words)
+        for size, (table, sorted_, place, item) in self.of_length.items():
+            rolled = self._rolled(hashes, size)
+            some = np.flatnonzero(table[rolled >> np.uint64(64 - TABLE_BITS)])
+            first, last = (np.searchsorted(sorted_, rolled[some], side).tolist() for side in ("left", "right"))
+            for i, a, b in zip(some.tolist(), first, last):
+                if a < b:
+                    said = words[i : i + size]
+                    same = [k for k in range(a, b) if self.words[place[k] : place[k] + size] == said]
+                    if same:
+                        yield i, size, {self.items[x] for x in item[same].tolist()} - {None}
 
 
 def cut_out(text: str, cover: np.ndarray) -> str:
@@ -95,7 +112,7 @@ def cut_out(text: str, cover: np.ndarray) -> str:
 
 
 def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    return benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
+    return benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).distinct()
 
 
 def _block_count(items: DataFrame, most: int) -> int:

@@ -9,7 +9,8 @@ one grows.  A conjunction is kept only while at least PRECISION of what it hits
 is labelled bad.  The list becomes one ordered Spark conditional expression.
 
 Learning takes at most SAMPLE labelled rows, those with the smallest hash of
-their doc_id; statistics and verdicts cover every document.
+their doc_id, and of documents that repeat a doc_id the one with the least
+statistics; statistics and verdicts cover every document.
 
 Rows: null text has no words and fails the base rules; labels with a null
 doc_id or quality are left out; without labels of both kinds the list is empty
@@ -193,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     some = labels.select(key, "quality").dropna().orderBy(F.xxhash64(key), key, "quality").limit(sample)
     rows = with_stats(docs.select(key, text).join(F.broadcast(some), key), "stats", text, [key, "quality"])
     rows = rows.select(key, (F.col("quality") == 0).alias("bad"), *(feature("stats", f).alias(f) for f in FEATURES))
-    got = rows.limit(2 * sample).collect() if sample else []
+    one = rows.groupBy(key, "bad").agg(F.min(F.struct(*FEATURES)).alias("x")).select(key, "bad", "x.*")
+    got = one.collect() if sample else []
     return learn(sorted((r.asDict() for r in got), key=lambda r: (zlib.crc32(str(r[key]).encode()), str(r))))
 
 

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import public_tokenizers
 import pytest
@@ -28,6 +30,15 @@ def test_ids_equal_the_librarys(codec):
         assert codec.decode(ids) == want.decode(ids, skip_special_tokens=False)
 
 
+def test_long_words_take_no_square_of_time(codec):
+    want, rng = Tokenizer.from_file(PATH), random.Random(1)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (255, 256, 257, 300, 1_000_000)] + ["ab" * 50_000, "é" * 700, "=" * 100_001]
+    start = time.time()
+    got = codec.ids(words)
+    assert time.time() - start < 60
+    assert got == [e.ids for e in want.encode_batch(words, add_special_tokens=False)]
+
+
 def test_caches_may_overflow(codec, monkeypatch):
     want = Tokenizer.from_file(PATH)
     monkeypatch.setattr(bpe, "CACHE_PIECES", 3)

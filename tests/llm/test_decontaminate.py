@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -77,3 +78,20 @@ def test_empty_tables(spark):
     frame, bench = spark.createDataFrame(docs, SCHEMA), items_of(spark, items)
     assert D.digests(frame.limit(0), bench).collect() == []
     assert not any(r.contaminated for r in D.digests(frame, bench.limit(0)).collect())
+
+
+def test_a_block_fits_a_worker():
+    """Measured: what a full block takes for each byte of its items' text."""
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    items, size = [], 0
+    while size < D.BLOCK_BYTES // 4:
+        items.append((str(len(items)), " ".join(rng.choices(vocab, k=60))))
+        size += len(items[-1][1])
+    tracemalloc.start()
+    windows = D.Windows(items, 10)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 60 * size and held < 30 * size + (16 << 20)
+    text = items[7][1].lower()
+    assert [h for h in windows.hits(D.words_of(text)) if h[2] == {"7"}] and len(list(windows.hits(D.words_of(text)))) == 51

@@ -39,11 +39,14 @@ def test_equals_brute_force(spark, most):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute(data), key=str)
 
 
-def test_cascade_is_exact_for_all_keys(spark):
-    hosts = spark.range(3000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), (F.col("id") % 7 == 0).alias("listed"))
-    levels = U.cascade(hosts)
-    assert len(levels) > 1
-    assert hosts.filter(U.listed(F.col("host"), levels) != F.col("listed")).count() == 0
+@pytest.mark.parametrize("most,send", [(U.MOST_BYTES, U.BROADCAST_BYTES), (0, U.BROADCAST_BYTES), (0, 0), (2_000, 0)])
+def test_cascade_is_exact_for_all_keys(spark, monkeypatch, most, send):
+    """As literals, as sharded tables that are sent or joined, and as some of each."""
+    monkeypatch.setattr(U, "BROADCAST_BYTES", send)
+    hosts = spark.range(30_000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), (F.col("id") % 3 == 0).alias("listed"))
+    levels = U.cascade(hosts, most)
+    assert len(levels) > 1 and (most or levels[0].shards == 3)
+    assert U.with_listed(hosts, levels, "found").filter("found <> listed").count() == 0
 
 
 def test_empty_table_and_plan(spark):
