@@ -14,7 +14,10 @@ from pyspark.sql.functions import pandas_udf
 #: Digits, places before and behind the point that an amount may have.
 MOST_DIGITS, MOST_EXPONENT, MOST_PLACES = 48, 35, 12
 MAX_CELL = 256
-NUMBER = r"(?<![\w.,])[-+−(]?[0-9][0-9   .,]*[0-9]\)?(?![\w])|(?<![\w.,])[0-9](?![\w.,])"
+#: Blanks inside printed numbers, and numbers that stand by themselves in a text.
+BLANKS = "\u00a0\u202f"
+_DIGITS = "(?:[0-9]{1,3}(?:[ \u00a0][0-9]{3})+|[0-9]+)(?:[.,][0-9]+)?"
+QUOTED = rf"(?U)(?<![\w.,(])(?:\({_DIGITS}\)|[-+]?{_DIGITS})(?![\w.,)])"
 
 
 def canonical_decimal(amount: Column) -> Column:
@@ -47,35 +50,38 @@ def canonical_amount(lexemes: pd.Series) -> pd.Series:
     return lexemes.map(lambda x: canonical_text(None if pd.isna(x) else x))
 
 
-def parse_localised(raw: Column) -> Column:
-    """Plain decimal text of a printed number; null if it is none or its lone three-digit group is ambiguous.
+#: Sign, whole part and fraction of a printed number: groups of three by blanks or by the mark that isn't the decimal one.
+PRINTED = {
+    None: r"^(?!-?[0-9]{1,3}[.,][0-9]{3}$)(-?)([0-9]+|[0-9]{1,3}(?: [0-9]{3})+|[0-9]{1,3}(?:\.[0-9]{3})+(?=,|$)|[0-9]{1,3}(?:,[0-9]{3})+(?=\.|$))(?:[.,]([0-9]+))?$",
+    ".": r"^(-?)([0-9]+|[0-9]{1,3}(?: [0-9]{3})+|[0-9]{1,3}(?:,[0-9]{3})+)(?:\.([0-9]+))?$",
+    ",": r"^(-?)([0-9]+|[0-9]{1,3}(?: [0-9]{3})+|[0-9]{1,3}(?:\.[0-9]{3})+)(?:,([0-9]+))?$",
+}
 
-    Groups are set off by blanks, points or commas; brackets mean negative.  All
-    in built-in expressions.
+
+def parse_localised(raw: Column, decimal_mark: str | None = None) -> Column:
+    """Plain decimal text of a printed number; null if it is none, or if its lone three-digit group is ambiguous and no mark is given.
+
+    Groups are set off by blanks, points or commas; brackets mean negative.  One
+    pattern decides, so the expression stays small.
     """
-    text = F.translate(F.trim(F.regexp_replace(raw, "[  ]", " ")), "−", "-")
-    bracketed = text.rlike(r"(?s)^\(.*\)$")
-    body = F.when(bracketed, F.regexp_replace(text, r"^\(|\)$", "")).when(text.rlike("^[-+]"), F.substring(text, 2, MAX_CELL)).otherwise(text)
-    sign = F.when(bracketed | text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    digits = lambda x: F.regexp_replace(x, "[ .,]", "")
-    whole, grouped = "[0-9]+", "[0-9]{{1,3}}(?:[{0}][0-9]{{3}})+"
-    with_fraction = lambda mark, group: rf"^(?:{whole}|{grouped.format(' ')}|{grouped.format(group)})[{mark}][0-9]+$"
-    split = lambda mark: F.concat(digits(F.substring_index(body, mark, 1)), F.lit("."), F.substring_index(body, mark, -1))
-    value = (
-        F.when(body.rlike(rf"^(?:{whole}|{grouped.format(' ')})$"), digits(body))
-        .when(body.rlike("^[0-9]{1,3}[.,][0-9]{3}$"), F.lit(None).cast("string"))
-        .when(body.rlike(r"^[^,]*[.][^.,]*$") & ~body.contains(",") & body.rlike(with_fraction(".", ",")), split("."))
-        .when(body.rlike(r"^[^.]*[,][^.,]*$") & ~body.contains(".") & body.rlike(with_fraction(",", ".")), split(","))
-        .when(body.rlike(rf"^{grouped.format('.')}$") & body.rlike(r"[.].*[.]"), digits(body))
-        .when(body.rlike(rf"^{grouped.format(',')}$") & body.rlike("[,].*[,]"), digits(body))
-        .when(body.rlike(r"^[^.]*,[^,]*[.][0-9]+$|^.*,.*[.][0-9]+$") & body.rlike(with_fraction(".", ",")), split("."))
-        .when(body.rlike(r"^.*[.].*,[0-9]+$") & body.rlike(with_fraction(",", ".")), split(","))
-    )
-    return F.when((F.length(raw) <= MAX_CELL) & ~text.rlike("[., ]$"), F.concat(sign, value))
+    pattern = PRINTED[decimal_mark]
+    text = F.translate(F.regexp_replace(raw, rf"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), BLANKS + "\u2212", "  -")
+    text = F.regexp_replace(F.regexp_replace(text, r"^\(([0-9].*)\)$", "-$1"), r"^\+(?=[0-9])", "")
+    whole = lambda s: F.concat(F.regexp_extract(s, pattern, 1), F.translate(F.regexp_extract(s, pattern, 2), " .,", ""))
+    fraction = lambda s: F.regexp_extract(s, pattern, 3)
+    value = lambda s: F.when(s.rlike(pattern), F.concat(whole(s), F.when(fraction(s) != "", F.concat(F.lit("."), fraction(s))).otherwise("")))
+    return F.when(F.length(raw) <= MAX_CELL, F.get(F.transform(F.array(text), value), F.lit(0)))
+
+
+def canonical_plain(text: Column) -> Column:
+    """Canonical text of a number written without exponent, of any length; null if it is none."""
+    bare = F.regexp_replace(F.regexp_replace(text, "^[+]", ""), "^(-?)0+(?=[0-9])", "$1")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(text.rlike(r"^[-+]?[0-9]+(\.[0-9]+)?$"), F.when(bare == "-0", "0").otherwise(bare))
 
 
 def quoted_number(value: Column, text: Column) -> Column:
-    """Does a number that stands by itself in ``text`` equal the exact ``value``?"""
-    wanted = value.cast("decimal(38,12)")
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0))
-    return F.coalesce(F.exists(found, lambda x: parse_localised(x).try_cast("decimal(38,12)") == wanted), F.lit(False))
+    """Does a number that stands by itself in ``text`` equal the exact ``value``, a decimal or text without exponent, of any length?"""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(QUOTED), F.lit(0))
+    plain = lambda x: F.translate(F.regexp_replace(x, r"^\((.*)\)$", "-$1"), ", \u00a0", ".")
+    return F.coalesce(F.array_contains(F.transform(found, lambda x: canonical_plain(plain(x))), canonical_plain(value.cast("string"))), F.lit(False))

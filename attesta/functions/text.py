@@ -22,7 +22,8 @@ FIGURES = [
     ("gjennomsnittlig\\s+antall\\s+ansatte|antall\\s+ansatte", "employees"),
     ("regnskapsåret|regnskap[åa]r", "fiscal_year"),
 ]
-CELL = r"\(?[-+−]?[0-9](?:[0-9.,]|[  ](?=[0-9]{3}))*\)?"
+CELL = r"\([0-9][0-9 \u00a0\u202f.,]*\)|[+\-\u2212]?[0-9][0-9\u00a0\u202f.,]*"
+MOST_LINE = 300
 JOB_PATH = r"(?i)/(?:stilling(?:er)?|ledige-stillinger|vacanc|vacant|open-positions|available-positions|jobs?|jobb)([-_/]|$)|/(stilling|vacanc|vacant|ledige|open-position|available-position)[^/]*"
 AVAILABILITY = {"found": "available", "not_found": "not found", "not_available": "not available", "blocked": "blocked by the source", "ambiguous": "ambiguous", "failed": "could not be read"}
 CONTEXT = 120
@@ -57,15 +58,19 @@ def candidate_urls(name: Column, registered: Column) -> Column:
 
 
 def figure_lines(text: Column) -> Column:
-    """array of struct(line, field, value): for each line the first figure named in it; value only if it has one number."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    """array of struct(line, field, value): for each line of up to MOST_LINE characters the first figure named in it; value only if it has one number.
+
+    An ordinary space sets columns apart, no-break spaces group digits, so two
+    years side by side give no value.
+    """
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
 
     def of(line: Column, i: Column) -> Column:
         field = F.lit(None).cast("string")
         for pattern, name in reversed(FIGURES):
             field = F.when(line.rlike(f"(?iu){pattern}"), F.lit(name)).otherwise(field)
         cells = F.regexp_extract_all(line, F.lit(CELL), F.lit(0))
-        return F.struct((i + 1).alias("line"), field.alias("field"), F.when(F.size(cells) == 1, parse_localised(F.get(cells, F.lit(0)))).alias("value"))
+        return F.struct((i + 1).alias("line"), F.when(F.length(line) <= MOST_LINE, field).alias("field"), F.when(F.size(cells) == 1, parse_localised(F.get(cells, F.lit(0)))).alias("value"))
 
     return F.filter(F.transform(lines, of), lambda x: x["field"].isNotNull())
 

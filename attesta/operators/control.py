@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-THRESHOLD, COOLDOWN, MOST_MULTIPLE = 3, 60.0, 4
+from attesta.operators.replay import in_order
+
+#: Fixed value: how often a breaker's wait may double up.
+MOST_MULTIPLE = 4
 
 
 def budget_cutoff(requests: DataFrame, run: str, order: list[str], limit: int) -> DataFrame:
@@ -17,56 +21,71 @@ def budget_cutoff(requests: DataFrame, run: str, order: list[str], limit: int) -
     return requests.withColumns({"used": F.least(used, F.lit(limit)), "granted": used <= limit})
 
 
+def _with(rows: DataFrame, **kinds: str):
+    """The schema of ``rows`` with more columns."""
+    schema = rows.schema
+    for name, kind in kinds.items():
+        schema = schema.add(name, kind)
+    return schema
+
+
 def budget_replay(requests: DataFrame, run: str, order: list[str], units: str, limit: int) -> DataFrame:
     """As budget_cutoff for requests of unequal units: a refused one uses nothing, so each run is replayed in order."""
-    schema = f"{requests.select(run, *order, units)._jdf.schema().toDDL()}, used bigint, granted boolean"
+    rows = requests.select(run, *order, units)
+
+    def replay(group):
+        used = 0
+        for row in group:
+            granted = used + row[-1] <= limit
+            used += row[-1] if granted else 0
+            yield *row, used, granted
+
+    return in_order(rows, [run], order, _with(rows, used="long", granted="boolean"), replay)
+
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, used, out = rows.sort_values(order), 0, []
-        for n in rows[units]:
-            granted = used + n <= limit
-            used += n if granted else 0
-            out.append((used, granted))
-        return rows.assign(used=[u for u, _ in out], granted=[g for _, g in out])
+@dataclass(frozen=True)
+class Policy:
+    """Failures in a row that open a domain's breaker, and seconds until one attempt is let through again."""
 
-    return requests.select(run, *order, units).groupBy(run).applyInPandas(replay, schema)
+    threshold: int = 4
+    cooldown: float = 60.0
 
 
 class Breaker:
-    """A circuit breaker: opens at THRESHOLD failures in a row, waits longer when it fails again while open."""
+    """A circuit breaker that waits longer when it fails again while open."""
 
-    def __init__(self):
+    def __init__(self, policy: Policy):
+        self.policy = policy
         self.failures, self.opened, self.multiple = 0, None, 1
 
     def allows(self, at: float) -> bool:
-        return self.opened is None or at - self.opened >= COOLDOWN * self.multiple
+        return self.opened is None or at - self.opened >= self.policy.cooldown * self.multiple
 
     def record(self, ok: bool, at: float) -> None:
         if ok:
             self.failures, self.opened = 0, None
             return
         self.failures += 1
-        if self.failures >= THRESHOLD:
+        if self.failures >= self.policy.threshold:
             self.multiple = 1 if self.opened is None else min(2 * self.multiple, MOST_MULTIPLE)
             self.opened = at
 
 
-def breaker_replay(attempts: DataFrame, domain: str, at: str, ok: str, seq: str) -> DataFrame:
-    """Each attempt in time order: was it allowed, and the state after it.  Refused attempts change nothing."""
-    schema = f"{domain} {attempts.schema[domain].dataType.simpleString()}, {seq} bigint, allowed boolean, open boolean, failures bigint"
+def breaker_replay(attempts: DataFrame, domain: str, at: str, ok: str, seq: str, policies: dict[str, Policy] | None = None, default: Policy = Policy()) -> DataFrame:
+    """(domain, seq, allowed, open, failures) of each attempt in time order, under the domain's policy.  Refused attempts change nothing."""
+    log = attempts.select(domain, F.col(at).cast("double").alias("_at"), F.col(seq).cast("long").alias(seq), F.col(ok).alias("_ok"))
+    policies = policies or {}
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        breaker, out = Breaker(), []
-        rows = rows.sort_values(["_at", seq])
-        for t, good in zip(rows["_at"], rows["_ok"]):
+    def replay(group):
+        breaker = None
+        for key, t, number, good in group:
+            breaker = breaker or Breaker(policies.get(key, default))
             allowed = breaker.allows(t)
             if allowed:
                 breaker.record(bool(good), t)
-            out.append((allowed, breaker.opened is not None, breaker.failures))
-        return rows[[domain, seq]].assign(allowed=[x[0] for x in out], open=[x[1] for x in out], failures=[x[2] for x in out])
+            yield key, number, allowed, breaker.opened is not None, breaker.failures
 
-    log = attempts.select(domain, F.col(seq).cast("long").alias(seq), F.col(at).cast("double").alias("_at"), F.col(ok).alias("_ok"))
-    return log.groupBy(domain).applyInPandas(replay, schema)
+    return in_order(log, [domain], ["_at", seq], _with(log.select(domain, seq), allowed="boolean", open="boolean", failures="long"), replay)
 
 
 def pending(inputs: DataFrame, finished: DataFrame, key: str) -> DataFrame:
@@ -91,15 +110,13 @@ def cache_hits(requests: DataFrame, key: str, at: str, seq: str, ttl: float) ->
     Entries are made by misses only.  A miss starts a new entry, so hits and misses
     depend on each other in order and each key is replayed.
     """
-    schema = f"{key} {requests.schema[key].dataType.simpleString()}, {seq} bigint, hit boolean"
+    log = requests.select(key, F.col(at).cast("double").alias("_at"), F.col(seq).cast("long").alias(seq))
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        fetched, out = None, []
-        rows = rows.sort_values(["_at", seq])
-        for t in rows["_at"]:
+    def replay(group):
+        fetched = None
+        for name, t, number in group:
             hit = fetched is not None and t - fetched < ttl
             fetched = fetched if hit else t
-            out.append(hit)
-        return rows[[key, seq]].assign(hit=out)
+            yield name, number, hit
 
-    return requests.select(key, F.col(seq).cast("long").alias(seq), F.col(at).cast("double").alias("_at")).groupBy(key).applyInPandas(replay, schema)
+    return in_order(log, [key], ["_at", seq], _with(log.select(key, seq), hit="boolean"), replay)

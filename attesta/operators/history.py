@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.operators.ledger import first_by
+from attesta.operators.replay import in_order
 
 #: Order in which changes are listed.
 CHANGE_RANK = {"CHANGED": 0, "SOURCE_UNAVAILABLE": 1, "RETRACTED": 2, "NEW": 3, "UNCHANGED": 4}
@@ -40,18 +44,30 @@ def change_rank(change: Column) -> Column:
 
 
 def previous_as_of(runs: DataFrame, key: str) -> DataFrame:
-    """Each run's predecessor with the same key: the last one published before it.
-
-    ``runs`` has run_id, started_at and sequence (null if unpublished).  Where both
-    have a sequence it decides; else a run that started no later does.  The
-    equi-join on the key bounds the pairs; the range condition is in the join.
+    """(key, run_id, prev_run) of each run that has a predecessor with its key.
+
+    ``runs`` has run_id, started_at, completed_at, sequence (its place in the
+    order of publication, null if unpublished) and cutoff (how far publication
+    had come when it started).  A predecessor started no later, and was published
+    before the cutoff, or if unpublished was completed before the start.  Of
+    several the last started one counts, then the last published, then the largest
+    run_id.  The runs of a key stream by start; only their numbers are kept.
     """
-    before = runs.select(F.col(key), F.col("run_id").alias("prev_run"), F.col("started_at").alias("prev_start"), F.col("sequence").alias("prev_seq"))
-    both = F.col("sequence").isNotNull() & F.col("prev_seq").isNotNull()
-    earlier = F.when(both, F.col("prev_seq") < F.col("sequence")).otherwise(F.col("prev_start") <= F.col("started_at"))
-    pairs = runs.alias("c").join(before.alias("p"), (F.col(f"c.{key}") == F.col(f"p.{key}")) & (F.col("prev_run") != F.col("run_id")) & earlier)
-    best = first_by(pairs.select(f"c.{key}", "run_id", "prev_run", "prev_start", "prev_seq"), [key, "run_id"], F.col("prev_seq").desc_nulls_last(), F.col("prev_start").desc(), F.col("prev_run").desc())
-    return best.select(key, "run_id", "prev_run")
+    rows = runs.select(key, "started_at", "run_id", "completed_at", "sequence", "cutoff")
+
+    def of_key(group):
+        earlier: list[tuple] = []
+        for start, same in groupby(group, key=lambda r: r[1]):
+            same = list(same)
+            earlier += sorted(((start, -1 if r[4] is None else r[4], r[2], r[3], r[4]) for r in same), key=lambda r: r[:3])
+            for name, _, run, _, _, cutoff in same:
+                for _, _, other, completed, sequence in reversed(earlier):
+                    if other != run and (completed is not None and completed < start if sequence is None else cutoff is not None and sequence < cutoff):
+                        yield name, run, other
+                        break
+
+    schema = T.StructType([runs.schema[key], T.StructField("run_id", runs.schema["run_id"].dataType), T.StructField("prev_run", runs.schema["run_id"].dataType)])
+    return in_order(rows.filter("started_at IS NOT NULL"), [key], ["started_at", "run_id"], schema, of_key)
 
 
 def last_known(previous: DataFrame, current: DataFrame, slot: list[str]) -> DataFrame:

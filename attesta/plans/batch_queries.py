@@ -57,7 +57,7 @@ def sample_select(spark, sf_dir):
     return rows.select("split", "stratum", "c_custkey", F.col("position").cast("long").alias("position"))
 
 
-NAME_SQL = """WITH p AS (SELECT p_name AS a, count(*) AS parts FROM part GROUP BY 1), q AS (SELECT p_name AS b, count(*) AS others FROM part WHERE p_size > 25 GROUP BY 1),
+NAME_SQL = """WITH p AS (SELECT p_name AS a, count(*) AS parts FROM part GROUP BY 1), q AS (SELECT p_name AS b, count(*) AS others FROM part GROUP BY 1),
   w AS (SELECT a, b, parts, others, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM p, q),
   s AS (SELECT *, len(list_intersect(x, y)) AS shared FROM w),
   sim AS (SELECT a, b, parts * others AS pairs, CASE WHEN a = b THEN 1.0 WHEN shared = len(x) OR shared = len(y) THEN greatest(shared / greatest(len(x), len(y)), 0.85) ELSE shared / greatest(len(x), len(y)) END AS similarity FROM s WHERE shared > 0)"""
@@ -65,7 +65,7 @@ NAME_SQL = """WITH p AS (SELECT p_name AS a, count(*) AS parts FROM part GROUP B
 
 def _name_pairs(spark, sf_dir):
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    others = read(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("other_key"), F.col("p_name").alias("other_name"))
+    others = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("other_key"), F.col("p_name").alias("other_name"))
     names = parts.groupBy("p_name").agg(F.count("*").alias("parts")), others.groupBy("other_name").agg(F.count("*").alias("others"))
     pairs = matching.blocked_pairs(names[0].withColumn("n1", F.col("p_name")), names[1].withColumn("n2", F.col("other_name")), "n1", "p_name", "n2", "other_name")
     return pairs.join(names[0], F.col("n1") == F.col("p_name")).join(names[1], F.col("n2") == F.col("other_name")).withColumn("pairs", F.col("parts") * F.col("others"))

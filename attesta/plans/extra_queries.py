@@ -91,13 +91,20 @@ def candidate_urls(spark, sf_dir):
 
 @query(
     "figure_lines",
-    """SELECT o_orderkey, 1 AS line, 'revenue' AS field, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS value FROM orders WHERE o_totalprice >= 1000
-       UNION ALL SELECT o_orderkey, 3, 'total_assets', NULL FROM orders WHERE o_totalprice >= 1000""",
+    """WITH o AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS v FROM orders)
+       SELECT o_orderkey, 1 AS line, 'revenue' AS field, v AS value FROM o
+       UNION ALL SELECT o_orderkey, 3, 'total_assets', NULL FROM o UNION ALL SELECT o_orderkey, 4, 'equity', NULL FROM o
+       UNION ALL SELECT o_orderkey, 5, 'annual_result', '-' || v FROM o UNION ALL SELECT o_orderkey, 6, 'operating_result', NULL FROM o""",
 )
 def figure_lines(spark, sf_dir):
+    """Digits grouped by no-break spaces, columns of two years, brackets, and a line that is too long."""
     us = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
-    body = F.concat(F.lit("Sum driftsinntekter: "), F.translate(us, ".,", ", "), F.lit("\nnothing 5\nSum eiendeler 1 234 og 77"))
-    rows = read(spark, sf_dir, "orders").filter("o_totalprice >= 1000").select("o_orderkey", F.explode(text.figure_lines(body)).alias("f"))
+    grouped = F.translate(us, ".,", ",\u00a0")
+    body = F.concat(
+        F.lit("  Sum driftsinntekter: "), grouped, F.lit("\nnothing 5\nSum eiendeler 1 234 og 77\nEgenkapital "), F.translate(us, ",", ""), F.lit(" 200\n\u00c5rsresultat ("), F.translate(us, ".,", ", "),
+        F.lit(")\nDriftsresultat "), F.translate(us, ",", ""), F.lit(" and 5 more\nSum gjeld 7 " + "x" * 300),
+    )
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.explode(text.figure_lines(body)).alias("f"))
     return rows.select("o_orderkey", "f.line", "f.field", "f.value")
 
 

@@ -49,14 +49,20 @@ def last_known_carry(spark, sf_dir):
 
 @query(
     "previous_as_of",
-    """WITH r AS (SELECT o_custkey, o_orderkey AS run_id, o_orderdate AS started_at, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END AS seq FROM orders)
-       SELECT o_custkey, run_id, prev_run FROM (
-         SELECT c.o_custkey, c.run_id, p.run_id AS prev_run, row_number() OVER (PARTITION BY c.o_custkey, c.run_id ORDER BY p.seq DESC NULLS LAST, p.started_at DESC, p.run_id DESC) AS rn
-         FROM r c JOIN r p ON c.o_custkey = p.o_custkey AND c.run_id <> p.run_id
-           AND CASE WHEN c.seq IS NOT NULL AND p.seq IS NOT NULL THEN p.seq < c.seq ELSE p.started_at <= c.started_at END) WHERE rn = 1""",
+    """WITH r AS (SELECT o_custkey, o_orderkey AS run_id, CAST(o_orderdate AS DATE) AS started_at, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 200 AS INTEGER) AS completed_at,
+                      CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END AS seq, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey + o_orderkey % 5 * 1000 END AS cutoff FROM orders),
+            p AS (SELECT c.o_custkey, c.run_id, p.run_id AS prev_run, row_number() OVER (PARTITION BY c.run_id ORDER BY p.started_at DESC, p.seq DESC NULLS LAST, p.run_id DESC) AS rn
+                  FROM r c JOIN r p ON c.o_custkey = p.o_custkey AND c.run_id <> p.run_id AND p.started_at <= c.started_at
+                                   AND (p.seq < c.cutoff OR (p.seq IS NULL AND p.completed_at < c.started_at)))
+       SELECT o_custkey, run_id, prev_run FROM p WHERE rn = 1""",
 )
 def previous_as_of(spark, sf_dir):
-    runs = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("sequence"))
+    c = F.col
+    day = F.to_date("o_orderdate")
+    runs = read(spark, sf_dir, "orders").select(
+        "o_custkey", c("o_orderkey").alias("run_id"), day.alias("started_at"), F.date_add(day, (c("o_orderkey") % 200).cast("int")).alias("completed_at"),
+        F.when(c("o_orderstatus") != "P", c("o_orderkey")).alias("sequence"), F.when(c("o_orderkey") % 7 > 0, c("o_orderkey") + c("o_orderkey") % 5 * 1000).alias("cutoff"),
+    )
     return history.previous_as_of(runs, "o_custkey")
 
 
@@ -102,19 +108,50 @@ def budget_cutoff(spark, sf_dir):
     return rows.select("user_id", "event_id", F.col("used").cast("long").alias("used"), "granted")
 
 
-@query("budget_replay")
+NUMBERED = "e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts) / 1000000.0 AS sec FROM events)"
+
+
+@query(
+    "budget_replay",
+    f"""WITH RECURSIVE {NUMBERED}, u AS (SELECT user_id, event_id, n, CAST(ceil(value / 10) AS BIGINT) AS units FROM e),
+        r AS (SELECT user_id, event_id, n, units, CASE WHEN units <= 100 THEN units ELSE 0 END AS used, units <= 100 AS granted FROM u WHERE n = 1
+              UNION ALL SELECT u.user_id, u.event_id, u.n, u.units, CASE WHEN r.used + u.units <= 100 THEN r.used + u.units ELSE r.used END, r.used + u.units <= 100
+              FROM r JOIN u ON u.user_id = r.user_id AND u.n = r.n + 1)
+        SELECT user_id, event_id, units, CAST(used AS BIGINT) AS used, granted FROM r""",
+)
 def budget_replay(spark, sf_dir):
     events = read(spark, sf_dir, "events").withColumn("units", F.ceil(F.col("value") / 10).cast("long"))
     return control.budget_replay(events, "user_id", ["ts", "event_id"], "units", 100).select("user_id", "event_id", "units", "used", "granted")
 
 
-@query("breaker_replay")
+@query(
+    "breaker_replay",
+    f"""WITH RECURSIVE {NUMBERED}, u AS (SELECT user_id, event_id, n, sec, event_type <> 'error' AS ok, CASE user_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 4 END AS least, CASE user_id % 3 WHEN 0 THEN 90000.0 WHEN 1 THEN 60000.0 ELSE 60.0 END AS wait FROM e),
+        r AS (SELECT user_id, event_id, n, true AS allowed, NOT ok AND least <= 1 AS open, CAST(NOT ok AS BIGINT) AS failures, CASE WHEN NOT ok AND least <= 1 THEN sec END AS opened, 1 AS multiple FROM u WHERE n = 1
+              UNION ALL
+              SELECT user_id, event_id, n, allowed, CASE WHEN NOT allowed THEN was ELSE NOT ok AND failed >= least END,
+                     CASE WHEN NOT allowed THEN failed - 1 WHEN ok THEN 0 ELSE failed END,
+                     CASE WHEN NOT allowed THEN since WHEN ok THEN NULL WHEN failed >= least THEN sec END,
+                     CASE WHEN NOT allowed OR ok OR failed < least THEN multiple WHEN was THEN least(2 * multiple, 4) ELSE 1 END
+              FROM (SELECT u.*, r.open AS was, r.opened AS since, r.failures + 1 AS failed, r.multiple, NOT r.open OR u.sec - r.opened >= u.wait * r.multiple AS allowed
+                    FROM r JOIN u ON u.user_id = r.user_id AND u.n = r.n + 1))
+        SELECT user_id, event_id, allowed, open, CAST(failures AS BIGINT) AS failures FROM r""",
+)
 def breaker_replay(spark, sf_dir):
-    events = read(spark, sf_dir, "events").select("user_id", "event_id", (epoch_us(F.col("ts")) / 1_000_000).alias("at"), (F.col("event_type") != "error").alias("ok"))
-    return control.breaker_replay(events, "user_id", "at", "ok", "event_id")
+    """Three policies, by user; a user stands for a domain."""
+    events = read(spark, sf_dir, "events").select("user_id", "event_id", (epoch_us(F.col("ts")) / 1_000_000).alias("at"), (F.col("event_type") != "error").alias("ok"), (F.col("user_id") % 3).alias("kind"))
+    policies = {0: control.Policy(2, 90_000.0), 1: control.Policy(1, 60_000.0), 2: control.Policy()}
+    sides = [control.breaker_replay(events.filter(F.col("kind") == k), "user_id", "at", "ok", "event_id", default=p) for k, p in policies.items()]
+    return sides[0].unionByName(sides[1]).unionByName(sides[2])
 
 
-@query("cache_hits")
+@query(
+    "cache_hits",
+    f"""WITH RECURSIVE {NUMBERED},
+        r AS (SELECT user_id, event_id, n, sec AS fetched, false AS hit FROM e WHERE n = 1
+              UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.sec - r.fetched < 3600 THEN r.fetched ELSE e.sec END, e.sec - r.fetched < 3600 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+        SELECT user_id, event_id, hit FROM r""",
+)
 def cache_hits(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("user_id", "event_id", (epoch_us(F.col("ts")) / 1_000_000).alias("at"))
     return control.cache_hits(events, "user_id", "at", "event_id", 3600.0)

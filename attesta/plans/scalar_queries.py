@@ -140,22 +140,28 @@ def canonical_amount(spark, sf_dir):
 
 @query(
     "localised_numbers",
-    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN '-' ELSE '' END || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount FROM orders WHERE o_totalprice >= 1000""",
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN '-' ELSE '' END || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount FROM orders""",
 )
 def localised_numbers(spark, sf_dir):
     """Amounts printed in four conventions and read back."""
     us = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
     k = F.col("o_orderkey") % 4
     printed = F.when(k == 0, us).when(k == 1, F.translate(us, ".,", ",.")).when(k == 2, F.translate(us, ".,", ", ")).otherwise(F.concat(F.lit("("), F.translate(us, ",", ""), F.lit(")")))
-    return read(spark, sf_dir, "orders").filter("o_totalprice >= 1000").select("o_orderkey", numbers.parse_localised(printed).alias("amount"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", numbers.parse_localised(printed).alias("amount"))
 
 
 @query(
     "quoted_numbers",
-    "SELECT o_orderkey, o_orderkey % 3 > 0 AS quoted FROM orders",
+    """WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders)
+       SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN true WHEN 1 THEN v = v + 1 WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN v = 0 WHEN 5 THEN true WHEN 6 THEN false ELSE v = 0 END AS quoted FROM o""",
 )
 def quoted_numbers(spark, sf_dir):
-    price = F.col("o_totalprice").cast("decimal(18,2)")
-    shown = F.when(F.col("o_orderkey") % 3 == 0, price + 1).otherwise(price)
-    text = F.concat(F.lit("In 2024 the total was "), F.translate(F.format_number(shown, 2), ",", " "), F.lit(" NOK."))
-    return read(spark, sf_dir, "orders").select("o_orderkey", numbers.quoted_number(price, text).alias("quoted"))
+    """Eight ways in which a text holds a price or doesn't: grouped, another, beyond 38 digits, inside a longer number, in brackets, negative in brackets, before a letter, none."""
+    c = F.col
+    price = c("o_totalprice").cast("decimal(18,2)")
+    k, long = c("o_orderkey") % 8, F.concat(F.lit("9" * 40), price.cast("string"))
+    shown = lambda x: F.translate(F.format_number(x, 2), ",", " ")
+    said = F.when(k == 0, F.concat(F.lit("In 2024 the total was "), shown(price), F.lit(" NOK."))).when(k == 1, F.concat(F.lit("total "), shown(price + 1), F.lit(" NOK"))).when(k == 2, F.concat(F.lit("sum "), long))
+    said = said.when(k == 3, F.concat(F.lit("sum x"), price.cast("string"))).when(k.isin(4, 5), F.concat(F.lit("sum ("), price.cast("string"), F.lit(") NOK"))).when(k == 6, F.concat(price.cast("string"), F.lit("kr"))).otherwise("none")
+    value = F.when(k == 2, long).when(k == 5, (-price).cast("string")).otherwise(price.cast("string"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", numbers.quoted_number(value, said).alias("quoted"))

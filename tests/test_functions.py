@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.functions import identifiers, json_tokens, names, numbers, web
+from attesta.functions import identifiers, json_tokens, names, numbers, text, web
 
 
 def values(spark, rows, column, kind="x string"):
@@ -15,9 +15,9 @@ def test_identifiers(spark):
         assert r.valid and len(r.value) == 9
     for (raw, part), r in zip(bad.items(), values(spark, list(bad), identifiers.validate_id(F.col("x")))):
         assert not r.valid and part in r.reason, raw
-    text = "982463718 then 971 277 025, 982463718 and 123456789 or 9824637180"
-    assert values(spark, [text], identifiers.ids_in_text(F.col("x"))) == [["982463718", "971277025"]]
-    assert values(spark, [text], identifiers.ids_in_text(F.col("x"), F.lit("971277025"))) == [["982463718"]]
+    said = "982463718 then 971 277 025, 982463718 and 123456789 or 9824637180"
+    assert values(spark, [said], identifiers.ids_in_text(F.col("x"))) == [["982463718", "971277025"]]
+    assert values(spark, [said], identifiers.ids_in_text(F.col("x"), F.lit("971277025"))) == [["982463718"]]
 
 
 def test_names(spark):
@@ -38,8 +38,18 @@ def test_numbers(spark):
         "1.234.567": "1234567", "1,23,4": None, "": None, "abc": None, "12 34": None, "5,": None, "+7": "7", "1 234 567": "1234567",
     }
     assert dict(zip(printed, values(spark, list(printed), numbers.parse_localised(F.col("x"))))) == printed
-    quoted = spark.createDataFrame([("1234.5", "sum 1 234,50 NOK"), ("1234.5", "sum 11 234,50"), ("7", "in 7, yes"), ("7", "17")], "v string, t string")
-    assert [r[0] for r in quoted.select(numbers.quoted_number(F.col("v"), F.col("t"))).collect()][:2] == [True, False]
+    hard = {"0,00": "0.00", "(1 234,50)": "-1234.50", "\u2212" + "1\u202f234,5": "-1234.5", "12,3456": "12.3456", "9" * 80: "9" * 80, "1 23 456": None, "1.234.56": None, "(-12)": None, "12,": None, "NOK 12": None, "NaN": None, "9" * 257: None, "1,234,567,89": None, "1.234,567": "1234.567", "1 234,567": "1234.567", "(0)": "-0"}
+    assert dict(zip(hard, values(spark, list(hard), numbers.parse_localised(F.col("x"))))) == hard
+    assert [values(spark, ["1,234", "1.234"], numbers.parse_localised(F.col("x"), m)) for m in ",."] == [["1.234", "1234"], ["1234", "1.234"]]
+    cases = [("1234.5", "sum 1 234,50 NOK", True), ("1234.5", "sum 11 234,50", False), ("7", "in 7, yes", False), ("7", "17", False), ("999999999", "1999999999", False), ("0", "100 000", False), ("100", "(100)", False), ("-100", "(100)", True), ("123456789012345678901234567890", "it is 123456789012345678901234567890 now", True), ("1", None, False), (None, "1", False), ("00.50", "0,5", True)]
+    quoted = spark.createDataFrame(cases, "v string, t string, want boolean")
+    assert [r[0] for r in quoted.select(numbers.quoted_number(F.col("v"), F.col("t"))).collect()] == [c[2] for c in cases]
+
+
+def test_figures(spark):
+    said = {"Egenkapital 100 200": None, "Egenkapital 1\u00a0234": "1234", "  Sum eiendeler (1 234)  ": "-1234", "Omsetning: 12,5": "12.5", "Sum gjeld": None}
+    rows = values(spark, list(said), text.figure_lines(F.col("x")))
+    assert [r[0].value for r in rows] == list(said.values()) and values(spark, ["Omsetning 5" + " " * 10 + "x" * 300, "ingen 5"], text.figure_lines(F.col("x"))) == [[], []]
 
 
 def test_web(spark):

@@ -45,7 +45,7 @@ def test_changes_and_carry(spark):
 def test_breaker_and_budget(spark):
     log = [("d", 1.0 * i, ok, i) for i, ok in enumerate([True, False, False, False, True])] + [("d", 70.0, False, 5), ("d", 100.0, True, 6), ("d", 200.0, True, 7)]
     frame = spark.createDataFrame(log, "domain string, at double, ok boolean, seq int")
-    got = [(r.allowed, r.open) for r in control.breaker_replay(frame, "domain", "at", "ok", "seq").orderBy("seq").collect()]
+    got = [(r.allowed, r.open) for r in control.breaker_replay(frame, "domain", "at", "ok", "seq", {"d": control.Policy(3, 60.0)}).orderBy("seq").collect()]
     assert got == [(True, False), (True, False), (True, False), (True, True), (False, True), (True, True), (False, True), (True, False)]
     asks = spark.createDataFrame([("r", i, n) for i, n in enumerate([4, 7, 3, 4, 2])], "run string, seq int, n long")
     got = control.budget_replay(asks, "run", ["seq"], "n", 10).orderBy("seq").collect()
@@ -56,6 +56,25 @@ def test_breaker_and_budget(spark):
     assert [r.hit for r in control.cache_hits(hits, "url", "at", "seq", 10.0).orderBy("seq").collect()] == [False, True, False, True, False]
 
 
+def test_breaker_policies(spark):
+    """Opens at its threshold; the wait doubles up to four times while it fails on, and starts anew after a success."""
+    times = [0, 1, 2, 3, 4, 63, 64, 183, 200, 423, 500, 663, 700, 940, 950, 951, 952, 953]
+    good = [False] * 13 + [True] + [False] * 4
+    frame = spark.createDataFrame([("d", float(t), ok, i) for i, (t, ok) in enumerate(zip(times, good))], "domain string, at double, ok boolean, seq int")
+    got = control.breaker_replay(frame, "domain", "at", "ok", "seq").orderBy("seq").collect()
+    assert [r.allowed for r in got] == [True] * 4 + [False, True, False, True, False, True, False, True, False, True, True, True, True, True]
+    assert [r.open for r in got][3:14] == [True] * 10 + [False] and got[-1].open and got[-1].failures == 4
+    strict = control.breaker_replay(frame, "domain", "at", "ok", "seq", {"d": control.Policy(1, 1e9)}).orderBy("seq").collect()
+    assert [r.allowed for r in strict] == [True] + [False] * 17
+
+
+def test_previous_as_of_starts_no_later(spark):
+    schema = "k int, run_id string, started_at int, completed_at int, sequence int, cutoff int"
+    rows = [(1, "a", 5, 6, 1, 0), (1, "b", 9, 10, 2, 1), (1, "c", 7, 8, 3, 2), (1, "d", 7, 7, None, 9), (2, "e", 1, 1, None, None), (2, "f", 2, None, None, None), (2, "g", 3, 4, None, None)]
+    got = {r.run_id: r.prev_run for r in history.previous_as_of(spark.createDataFrame(rows, schema), "k").collect()}
+    assert got == {"b": "d", "c": "a", "d": "c", "f": "e", "g": "e"}
+
+
 def loop_quotas(population, order, size):
     quota, given = dict.fromkeys(population, 0), 0
     while given < size and any(quota[s] < population[s] for s in population):
