@@ -44,7 +44,7 @@ from attesta.llm.substring_dedup import ROW, at_all_places, covered, keyed, name
 #: Fixed value: bytes in a string.
 WIDTH = 200
 #: Bytes of an anchor; stretches in a run; stretches in a part, on average; different stretches of an anchor that go to one part.
-GRAM, RUN, PART, MOST_KINDS = 16, 20_000, 10_000, 5_000
+GRAM, RUN, PART, MOST_KINDS = 16, 20_000, 10_000, 100_000
 
 
 def _cut(text: str | None, width: int):
@@ -169,7 +169,8 @@ def _runs(pairs: DataFrame, width: int, parts: int) -> DataFrame:
     def coded(found):
         right, left, cores, segs = zip(*found)
         order = np.array(sorted(range(len(found)), key=right.__getitem__))
-        part = (np.array(cores, np.int64).view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        low = np.array(cores, np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)  # anchors are chosen by the other bits
+        part = low * np.uint64(parts) >> np.uint64(32)
         order = order[np.argsort(part[order], kind="stable")]
         part = part[order]
         edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
