@@ -1,17 +1,23 @@
 """Account statements and amounts from retained JSON bodies, number tokens unchanged.
 
-Documents become one row a token (one Arrow pass); records, periods and amounts
-follow by grouping, so nothing is read as a double.
+One Arrow pass picks what is needed from each document's records; which of them
+compete is decided by array functions in place, so nothing is shuffled and
+nothing is read as a double.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from attesta.functions.identifiers import validate_id
-from attesta.functions.json_tokens import json_tokens
-from attesta.functions.numbers import canonical_amount
+from attesta.functions.json_tokens import Number, canonical, strict_loads
+from attesta.functions.numbers import canonical_text
 from attesta.functions.text import iso_period
 
 #: Where each amount stands in a record.
@@ -24,75 +30,107 @@ AMOUNTS = {
     "total_liabilities": "/egenkapitalGjeld/gjeldOversikt/sumGjeld",
 }
 MOST_RECORDS, MOST_ID = 100, 2147483647
-FIELDS = {"id": ("/id", "number"), "org": ("/virksomhet/organisasjonsnummer", "string"), "kind": ("/regnskapstype", "string"), "currency": ("/valuta", "string"), "start": ("/regnskapsperiode/fraDato", "string"), "end": ("/regnskapsperiode/tilDato", "string"), "closing": ("/avviklingsregnskap", "boolean"), "journal": ("/journalnr", "string")}
+#: A record's attributes, by where they stand.
+FIELDS = {"org": "/virksomhet/organisasjonsnummer", "kind": "/regnskapstype", "currency": "/valuta", "start": "/regnskapsperiode/fraDato", "end": "/regnskapsperiode/tilDato"}
+KEYS = ["document", "org_number"]
 
+_text = lambda name: T.StructField(name, T.StringType())
+_AMOUNT = T.StructType([_text("field"), _text("path"), _text("number"), _text("value")])
+RECORD = T.ArrayType(
+    T.StructType(
+        [T.StructField("position", T.IntegerType()), _text("pointer"), T.StructField("object", T.BooleanType()), _text("id"), *(_text(f) for f in FIELDS), T.StructField("going_concern", T.BooleanType())]
+        + [_text("journal"), T.StructField("journal_fits", T.BooleanType()), _text("canonical"), T.StructField("amounts", T.ArrayType(_AMOUNT))]
+    )
+)
 
-def _tokens(bodies: DataFrame, org: str, body: str, document: str) -> DataFrame:
-    rows = bodies.select(F.col(document).alias("document"), F.col(org).alias("org_number"), F.explode(json_tokens(body)).alias("t"))
-    listed = r"^/([0-9]+)(?=/|$)"
-    index = F.regexp_extract("t.pointer", listed, 1)
-    return rows.select("document", "org_number", index.alias("record"), F.regexp_replace("t.pointer", listed, "").alias("path"), F.col("t.kind").alias("kind"), F.col("t.value").alias("value"))
 
+def _at(record, path: str):
+    for name in path[1:].split("/"):
+        record = record.get(name) if isinstance(record, dict) else None
+    return record
 
-KEYS = ["document", "org_number"]
+
+def _string(value) -> str | None:
+    return value if isinstance(value, str) and not isinstance(value, Number) else None
+
+
+def _picked(position: int, pointer: str, record) -> dict:
+    number, journal = _at(record, "/id"), _at(record, "/journalnr")
+    tokens = [(name, path, _at(record, path)) for name, path in AMOUNTS.items()]
+    return {
+        "position": position, "pointer": pointer, "object": isinstance(record, dict), "id": str(number) if isinstance(number, Number) else None,
+        **{name: _string(_at(record, path)) for name, path in FIELDS.items()},
+        "going_concern": _at(record, "/avviklingsregnskap") is False, "journal": _string(journal), "journal_fits": journal is None or _string(journal) is not None,
+        "canonical": blake2b(canonical(record).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(),
+        "amounts": [{"field": name, "path": path, "number": str(x), "value": canonical_text(x)} for name, path, x in tokens if isinstance(x, Number)],
+    }
+
+
+@pandas_udf(RECORD)
+def picked_records(bodies: pd.Series) -> pd.Series:
+    """What is needed of each record of a document, in order; null for what strict JSON doesn't allow."""
+
+    def of(body):
+        if body is None:
+            return None
+        try:
+            document = strict_loads(body)
+        except (ValueError, RecursionError):
+            return None
+        listed = isinstance(document, list)
+        return [_picked(i, f"/{i}" if listed else "", r) for i, r in enumerate(document if listed else [document])]
+
+    return bodies.map(of)
 
 
 def records(bodies: DataFrame, org: str = "org_number", body: str = "body", document: str = "org_number") -> DataFrame:
-    """One row a record; ``document`` tells bodies apart where an organisation has several: its attributes, its canonical text and what can be said of it."""
-    rows = _tokens(bodies, org, body, document)
-    pick = lambda path, kind: F.max(F.when((F.col("path") == path) & (F.col("kind") == kind), F.col("value")))
-    grouped = rows.groupBy(*KEYS, "record").agg(
-        *(pick(*where).alias(f"_{name}") for name, where in FIELDS.items()),
-        F.max(F.when(F.col("path") == FIELDS["journal"][0], F.col("kind"))).alias("_journal_kind"),
-        *(pick(path, "number").alias(name) for name, path in AMOUNTS.items()),
-        F.to_json(F.array_sort(F.collect_list(F.struct("path", "kind", "value")))).alias("canonical"),
-        F.max((F.col("path") == "") & (F.col("kind") != "object")).alias("scalar"),
-    )
-    c = F.col
-    number = F.when(c("_id").rlike("^[1-9][0-9]{0,9}$") & (c("_id").cast("long") <= MOST_ID), c("_id"))
-    subject = validate_id(c("_org"))
-    own = F.coalesce(subject["valid"] & (subject["value"] == c("org_number")), F.lit(False))
-    period = iso_period(c("_start"), c("_end"))
-    plain = c("_journal_kind").isNull() | (c("_journal_kind") == "null") | F.coalesce((F.trim("_journal") != "") & (F.length("_journal") <= 128) & ~c("_journal").rlike(r"[\x00-\x1f\x7f]"), F.lit(False))
-    stated = own & number.isNotNull() & (c("_kind") == "SELSKAP") & c("_currency").rlike("^[A-Z]{3}$") & period.isNotNull() & plain
-    real = lambda d: d.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(d, "yyyy-MM-dd").isNotNull()
-    placed = F.coalesce(real(c("_start")) & real(c("_end")), F.lit(False))
-    return grouped.select(
-        *KEYS, F.when(c("record") != "", F.concat(F.lit("/"), "record")).otherwise("").alias("pointer"), F.coalesce(c("record").try_cast("int"), F.lit(0)).alias("position"),
-        number.alias("record_id"), own.alias("own"), F.coalesce(c("_kind") == "KONSERN", F.lit(False)).alias("group_scope"), c("_currency").alias("currency"), period.alias("period"),
-        F.concat_ws("/", "_start", "_end").alias("stated_period"), placed.alias("placed"), F.coalesce(stated, F.lit(False)).alias("stated"), (c("_closing") == "false").eqNullSafe(F.lit(True)).alias("going_concern"),
-        c("_journal").alias("journal"), "canonical", "scalar", *AMOUNTS,
-    )
+    """(document, org_number, records): each body's records and what can be said of them; ``document`` tells bodies apart where an organisation has several."""
+    rows = bodies.select(F.col(document).alias("document"), F.col(org).alias("org_number"), picked_records(body).alias("_r"))
+
+    def judged(r: Column) -> Column:
+        number = F.when(r["id"].rlike("^[1-9][0-9]{0,9}$") & (r["id"].try_cast("long") <= MOST_ID), r["id"])
+        subject, period = validate_id(r["org"]), iso_period(r["start"], r["end"])
+        own = F.coalesce(subject["valid"] & (subject["value"] == F.col("org_number")), F.lit(False))
+        plain = r["journal_fits"] & (r["journal"].isNull() | (F.trim(r["journal"]) != "") & (F.length(r["journal"]) <= 128) & ~r["journal"].rlike(r"[\x00-\x1f\x7f]"))
+        real = lambda d: d.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(d, "yyyy-MM-dd").isNotNull()
+        stated = own & number.isNotNull() & (r["kind"] == "SELSKAP") & r["currency"].rlike("^[A-Z]{3}$") & period.isNotNull() & plain
+        return F.struct(
+            r["position"].alias("position"), r["pointer"].alias("pointer"), r["object"].alias("object"), number.alias("record_id"), own.alias("own"), F.coalesce(r["kind"] == "KONSERN", F.lit(False)).alias("group_scope"),
+            r["currency"].alias("currency"), period.alias("period"), F.concat_ws("/", r["start"], r["end"]).alias("stated_period"), F.coalesce(real(r["start"]) & real(r["end"]), F.lit(False)).alias("placed"),
+            F.coalesce(stated, F.lit(False)).alias("stated"), r["going_concern"].alias("going_concern"), r["journal"].alias("journal"), r["canonical"].alias("canonical"), r["amounts"].alias("amounts"),
+        )
+
+    return rows.select(*KEYS, F.transform("_r", judged).alias("records")).filter("records IS NOT NULL")
+
+
+def _few(rows: Column) -> Column:
+    return F.size(rows) <= MOST_RECORDS
 
 
 def statements(made: DataFrame) -> DataFrame:
-    """Statement of each record id whose records all say the same; none of documents with too many records."""
-    rows = made.filter("record_id IS NOT NULL")
-    binding = F.when(F.col("stated"), F.to_json(F.struct("currency", "period", "journal")))
-    few = made.groupBy(*KEYS).agg(F.count("*").alias("_n")).filter(F.col("_n") <= MOST_RECORDS).select(*KEYS)
-    grouped = rows.groupBy(*KEYS, "record_id").agg(
-        F.min(F.struct("position", "pointer", "currency", "period", "journal")).alias("f"), (F.min(binding) == F.max(binding)).alias("same"), (F.count(binding) == F.count("*")).alias("all")
-    )
-    return grouped.filter("same AND all").join(few, KEYS, "left_semi").select(*KEYS, "record_id", F.concat("f.pointer", F.lit("/id")).alias("pointer"), "f.currency", "f.period", "f.journal")
+    """(document, org_number, record_id, pointer, currency, period, journal): the statement of each record id whose records all say the same; none of documents with too many records."""
+    named = F.filter("records", lambda r: r["record_id"].isNotNull())
+    binding = lambda r: F.when(r["stated"], F.struct(r["currency"], r["period"], r["journal"]))
+    alone = lambda r, all_: r["stated"] & F.forall(all_, lambda o: (o["record_id"] != r["record_id"]) | (o["position"] >= r["position"]) & binding(o).eqNullSafe(binding(r)))
+    rows = made.filter(_few(F.col("records"))).select(*KEYS, named.alias("_n"))
+    rows = rows.select(*KEYS, F.explode(F.filter("_n", lambda r: alone(r, F.col("_n")))).alias("r"))
+    return rows.select(*KEYS, "r.record_id", F.concat("r.pointer", F.lit("/id")).alias("pointer"), "r.currency", "r.period", "r.journal")
 
 
 def amounts(made: DataFrame) -> DataFrame:
-    """(document, org_number, pointer, field, source_number, value, record_id, currency, period).
+    """(document, org_number, pointer, field, source_field, source_number, value, record_pointer, record_id, currency, period, journal).
 
     Records of one period must be equal; a subject record without a period, or a
     record that is no object, withholds every amount of its document.
     """
-    subject = F.col("own") & ~F.col("group_scope")
-    bad = made.groupBy(*KEYS).agg(F.max(F.col("scalar") | (subject & ~F.col("placed"))).alias("_bad"), F.count("*").alias("_n")).filter(~F.col("_bad") & (F.col("_n") <= MOST_RECORDS))
-    rows = made.filter(subject).join(bad.select(*KEYS), KEYS, "left_semi")
-    chosen = rows.groupBy(*KEYS, "stated_period").agg(
-        F.min_by(F.struct("pointer", "record_id", "currency", "period", "stated", "going_concern", *AMOUNTS), "position").alias("r"), (F.min("canonical") == F.max("canonical")).alias("same")
-    )
-    fine = chosen.filter("same AND r.stated AND r.going_concern")
-    listed = F.array(*(F.struct(F.lit(name).alias("field"), F.lit(path).alias("path"), F.col(f"r.{name}").alias("number")) for name, path in AMOUNTS.items()))
-    long = fine.select(*KEYS, "r", F.explode(listed).alias("a")).filter("a.number IS NOT NULL")
-    out = long.select(*KEYS, F.concat("r.pointer", "a.path").alias("pointer"), "a.field", F.col("a.number").alias("source_number"), canonical_amount("a.number").alias("value"), "r.record_id", "r.currency", "r.period")
-    return out.filter("value IS NOT NULL")
+    subject = lambda r: r["own"] & ~r["group_scope"]
+    fit = made.filter(_few(F.col("records")) & F.forall("records", lambda r: r["object"] & (~subject(r) | r["placed"]))).select(*KEYS, F.filter("records", subject).alias("_s"))
+    alone = lambda r: r["stated"] & r["going_concern"] & F.forall("_s", lambda o: (o["stated_period"] != r["stated_period"]) | (o["position"] >= r["position"]) & (o["canonical"] == r["canonical"]))
+    rows = fit.select(*KEYS, F.explode(F.filter("_s", alone)).alias("r")).select(*KEYS, "r", F.explode("r.amounts").alias("a")).filter("a.value IS NOT NULL")
+    return rows.select(
+        *KEYS, F.concat("r.pointer", "a.path").alias("pointer"), "a.field", F.element_at(F.split("a.path", "/"), -1).alias("source_field"), F.col("a.number").alias("source_number"), "a.value",
+        F.col("r.pointer").alias("record_pointer"), "r.record_id", "r.currency", "r.period", "r.journal",
+    )
 
 
 def activity(entities: DataFrame, key: str, events: dict[str, tuple[Column, Column]]) -> DataFrame:
