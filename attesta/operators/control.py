@@ -120,3 +120,25 @@ def cache_hits(requests: DataFrame, key: str, at: str, seq: str, ttl: float) ->
             yield name, number, hit
 
     return in_order(log, [key], ["_at", seq], _with(log.select(key, seq), hit="boolean"), replay)
+
+
+def lease_replay(claims: DataFrame, key: str, at: str, seq: str, published: str, lease: float) -> DataFrame:
+    """(key, seq, claimed): may a worker have a task?  If nobody has it, or its lease has expired, and no result is published."""
+    log = claims.select(key, F.col(at).cast("double").alias("_at"), F.col(seq).cast("long").alias(seq), F.col(published).alias("_done"))
+
+    def replay(group):
+        until, done = None, False
+        for name, t, number, ends in group:
+            claimed = not done and (until is None or until <= t)
+            if claimed:
+                until, done = t + lease, bool(ends)
+            yield name, number, claimed
+
+    return in_order(log, [key], ["_at", seq], _with(log.select(key, seq), claimed="boolean"), replay)
+
+
+def merged_runs(stored: DataFrame, later: DataFrame, published: DataFrame, key: str, counters: list[str]) -> DataFrame:
+    """Stored runs with a later checkpoint: counters take the larger value, a published result's status overrides the state."""
+    more = later.select(key, *(F.col(k).alias(f"_{k}") for k in counters))
+    rows = stored.join(more, key, "left").join(published.select(key, F.col("status").alias("_status")), key, "left")
+    return rows.withColumns({**{k: F.greatest(k, f"_{k}") for k in counters}, "state": F.coalesce("_status", "state")}).select(*stored.columns)

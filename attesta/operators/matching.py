@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.names import normalize_name, similarity_of_normal
+from attesta.functions.identifiers import normalize_id
+from attesta.functions.names import host_of, name_similarity, normalize_name, registrable_domain, similarity_of_normal
+from attesta.functions.text import guessed_name, subject_ids
 
 
 def blocked_pairs(targets: DataFrame, candidates: DataFrame, target_key: str, target_name: str, candidate_key: str, candidate_name: str) -> DataFrame:
@@ -48,3 +50,36 @@ def firewall(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
 def domain_owners(entities: DataFrame, domain: str, key: str) -> DataFrame:
     """(domain, owners, first owner) by registrable domain; counts, not lists, so a shared host stays small."""
     return entities.groupBy(domain).agg(F.count_distinct(key).alias("owners"), F.min(key).alias("first_owner"))
+
+
+def signals(pairs: DataFrame, owners: DataFrame, suffixes: list[str] | None = None) -> DataFrame:
+    """Adds what speaks for and against a candidate being its target.
+
+    pairs: t_org, t_name, t_website, t_municipality, t_industry and c_text, c_org,
+    c_name_said, c_url, c_municipality, c_industry; owners: domain, owners (array of
+    organisations).  A foreign identifier, given or labelled in the text, ends the
+    comparison: no other signal is set then.
+    """
+    c = F.col
+    domain = lambda url: F.nullif(registrable_domain(host_of(c(url)), suffixes), F.lit(""))
+    said = F.nullif(F.trim(normalize_id(c("c_org"))), F.lit(""))
+    rows = pairs.withColumns({"_ids": subject_ids(c("c_text")), "_said": said, "_domain": domain("c_url"), "_own": domain("t_website")}).join(owners.select(F.col("domain").alias("_domain"), F.col("owners").alias("_owners")), "_domain", "left")
+    foreign = F.exists("_ids", lambda x: x != c("t_org")) | F.coalesce(c("_said") != c("t_org"), F.lit(False))
+    match = ~foreign & (F.coalesce(c("_said") == c("t_org"), F.lit(False)) | F.array_contains("_ids", c("t_org")))
+    set_ = lambda test: ~c("foreign_id") & F.coalesce(test, F.lit(False))
+    name = F.coalesce(F.nullif(c("c_name_said"), F.lit("")), guessed_name(c("c_text"), c("t_name")))
+    rows = rows.withColumns({"foreign_id": foreign, "orgnr_match": match, "name_similarity": name_similarity(c("t_name"), name)})
+    rows = rows.withColumns(
+        {
+            "domain_match": set_(c("_domain") == c("_own")),
+            "domain_conflict": set_(c("_owners").isNotNull() & ~F.array_contains("_owners", c("t_org")) & ~c("orgnr_match")),
+            "municipality_match": set_((c("t_municipality") != "") & (normalize_name(c("c_municipality")) == normalize_name(c("t_municipality")))),
+            "industry_match": set_((F.trim("c_industry") == F.trim("t_industry")) & (F.trim("t_industry") != "")),
+        }
+    )
+    return rows.drop("_ids", "_said", "_domain", "_own", "_owners")
+
+
+def corroboration() -> Column:
+    """How many signals beside name and identifier agree."""
+    return sum((F.col(x).cast("int") for x in ("domain_match", "municipality_match", "industry_match")), F.lit(0))

@@ -49,3 +49,17 @@ def select(universe: DataFrame, key: str, seed: str, size: int) -> DataFrame:
     chosen = members.withColumn("_nth", nth).filter(F.col("_nth") <= size).join(F.broadcast(quotas(split, seed, size)), ["split", "stratum"]).filter(F.col("_nth") <= F.col("quota"))
     out = F.row_number().over(Window.partitionBy("split").orderBy(rank(seed, "split-output", F.col(key).cast("string")), key))
     return chosen.withColumn("position", out).drop("_rank", "_nth")
+
+
+def manifest(quotas_: DataFrame) -> DataFrame:
+    """(split, strata, population, selected, unrepresented): what a sample stands for, one row a split."""
+    left_out = F.array_sort(F.collect_list(F.when(F.col("quota") == 0, F.col("stratum"))))
+    return quotas_.groupBy("split").agg(F.count("*").alias("strata"), F.sum("population").alias("population"), F.sum("quota").alias("selected"), left_out.alias("unrepresented"))
+
+
+def guards(universe: DataFrame, key: str, valid: Column, size: int) -> DataFrame:
+    """(problem, n) that would refuse a universe: members twice, invalid identifiers, fewer members than the sample."""
+    twice = universe.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").agg(F.lit("duplicate").alias("problem"), F.count("*").alias("n"))
+    wrong = universe.agg(F.lit("invalid").alias("problem"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("n"))
+    short = universe.agg(F.lit("exceeded").alias("problem"), F.when(F.count("*") < size, size - F.count("*")).otherwise(0).cast("long").alias("n"))
+    return twice.unionByName(wrong).unionByName(short)
