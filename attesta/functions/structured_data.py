@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import types as T
@@ -22,9 +23,10 @@ HIDDEN = {"script", "style", "noscript", "template", "head", "title"}
 
 
 class _Reader(HTMLParser):
-    def __init__(self):
+    def __init__(self, hidden=frozenset(HIDDEN)):
         super().__init__(convert_charrefs=True)
         self.text, self.scripts, self.hidden, self.charsets, self.types = [], [], [], [], []
+        self.never, self.anchors, self.open = hidden, [], None
 
     def handle_starttag(self, tag, attrs):
         held = dict(attrs)
@@ -35,27 +37,45 @@ class _Reader(HTMLParser):
                 self.charsets.append(held["charset"] or "")
             if (held.get("http-equiv") or "").lower() == "content-type":
                 self.types.append(held.get("content") or "")
-        if tag in HIDDEN:
+        if tag == "a" and held.get("href") is not None:
+            self.open = [held["href"], ""]
+            self.anchors.append(self.open)
+        if tag in self.never:
             self.hidden.append(tag)
-        elif tag in BLOCKS:
-            self.text.append("\n")
+        self.text.append("\n" if tag in BLOCKS and tag not in self.never else self.gap)
 
     def handle_endtag(self, tag):
         if tag in self.hidden:
             while self.hidden.pop() != tag:
                 pass
-        elif tag in BLOCKS:
-            self.text.append("\n")
+        else:
+            self.text.append("\n" if tag in BLOCKS else self.gap)
+        if tag == "a":
+            self.open = None
+
+    #: What stands for an inline element's edge in a text.
+    gap = ""
 
     def handle_data(self, data):
         if self.hidden and self.hidden[-1] == "script":
             self.scripts[-1]["text"] += data
         elif not self.hidden:
             self.text.append(data)
+            if self.open:
+                self.open[1] += data + " "
+
 
+class _Words(_Reader):
+    """Every element's edge separates words; footers are left out, titles are not."""
 
-def parsed(html: str) -> _Reader:
-    reader = _Reader()
+    gap = " "
+
+    def __init__(self):
+        super().__init__(frozenset({"script", "style", "noscript", "footer"}))
+
+
+def parsed(html: str, reader: _Reader | None = None) -> _Reader:
+    reader = reader or _Reader()
     reader.feed(html)
     reader.close()
     return reader
@@ -214,3 +234,33 @@ def organisation_descriptions(html: pd.Series, name: pd.Series, number: pd.Serie
         return [dict(zip(("script", "pointer", "text"), f)) for f in found], refused, read_page(page)[0], problem
 
     return pd.DataFrame([of(*x) for x in zip(html, name, number)], columns=["found", "refused", "visible", "problem"])
+
+
+def cleaned(html: str) -> str:
+    """All words of a page but those of scripts, styles and footers, on one line."""
+    return " ".join("".join(parsed(html, _Words()).text).split())
+
+
+def resolved(base: str, href: str) -> str | None:
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
+
+
+@pandas_udf(T.StringType())
+def cleaned_text(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: cleaned(x or ""))
+
+
+ANCHOR = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("href", "url", "text")]))
+
+
+@pandas_udf(ANCHOR)
+def anchors(html: pd.Series, base: pd.Series) -> pd.Series:
+    """Links of a page in order: as written, resolved against the page's URL, and their text."""
+    rows = []
+    for page, url in zip(html, base):
+        found = parsed(page or "", _Words()).anchors
+        rows.append([{"href": h.strip(), "url": resolved(url or "", h.strip()), "text": " ".join(t.split())} for h, t in found])
+    return pd.Series(rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +26,12 @@ FIGURES = [
 ]
 CELL = r"\([0-9][0-9 \u00a0\u202f.,]*\)|[+\-\u2212]?[0-9][0-9\u00a0\u202f.,]*"
 MOST_LINE = 300
-JOB_PATH = r"(?i)/(?:stilling(?:er)?|ledige-stillinger|vacanc|vacant|open-positions|available-positions|jobs?|jobb)([-_/]|$)|/(stilling|vacanc|vacant|ledige|open-position|available-position)[^/]*"
-AVAILABILITY = {"found": "available", "not_found": "not found", "not_available": "not available", "blocked": "blocked by the source", "ambiguous": "ambiguous", "failed": "could not be read"}
+JOB_PATH = r"(?i)/(?:stilling(?:er)?|ledige-stillinger|vacanc|vacant|open-positions|available-positions|jobs?|jobb)([-_/]|$)"
+JOB_SEGMENT = r"(?i)/(?:stilling|vacanc|vacant|ledige|open-position|available-position)"
+QUOTED_TITLE = "(?i)stilling(?:en)?\\s*[\u2018\"\u201c]([^\u2019\"\u201d]+)[\u2019\"\u201d]"
+NO_PAGE = "(?i)^(#|mailto:|tel:|javascript:)"
 CONTEXT = 120
+MOST_LINKS, MOST_DOCUMENTS = 40, 5
 
 
 def subject_ids(text: Column) -> Column:
@@ -50,11 +55,12 @@ def guessed_name(text: Column, target: Column) -> Column:
 
 
 def candidate_urls(name: Column, registered: Column) -> Column:
-    """The registered site, then the name's first word and first two words under .no and .com, without repetitions."""
-    words = F.split(F.translate(normalize_name(name), "æøåäö", "aoaao"), " ")
-    brands = F.array_distinct(F.array_compact(F.array(F.nullif(F.get(words, F.lit(0)), F.lit("")), F.nullif(F.array_join(F.slice(words, 1, 2), ""), F.lit("")))))
+    """The registered site, then the name's first word and its first two words, joined by a hyphen, under .no and .com; none that differs from an earlier one by a slash at its end alone."""
+    words = F.filter(F.split(normalize_name(name), " "), lambda w: w != "")
+    brands = F.array_distinct(F.array_compact(F.array(F.get(words, F.lit(0)), F.when(F.size(words) > 1, F.array_join(F.slice(words, 1, 2), "-")))))
     made = F.flatten(F.transform(brands, lambda b: F.array(*(F.concat(F.lit("https://www."), b, F.lit(f".{tld}")) for tld in ("no", "com")))))
-    return F.array_distinct(F.transform(F.array_compact(F.concat(F.array(registered), made)), lambda u: F.regexp_replace(u, "/+$", "")))
+    plain = lambda u: F.regexp_replace(u, "/+$", "")
+    return F.array_compact(F.concat(F.array(F.nullif(registered, F.lit(""))), F.filter(made, lambda u: ~F.coalesce(plain(u) == plain(registered), F.lit(False)))))
 
 
 def figure_lines(text: Column) -> Column:
@@ -75,31 +81,28 @@ def figure_lines(text: Column) -> Column:
     return F.filter(F.transform(lines, of), lambda x: x["field"].isNotNull())
 
 
-def job_links(html: Column) -> Column:
-    """array of struct(href, title): links to job paths whose text has 4 to 120 characters, fragments off, each once."""
-    anchor = r'(?is)<a\s[^>]*href="([^"#]*)[^"]*"[^>]*>(.*?)</a>'
-    html = F.coalesce(html, F.lit(""))
-    hrefs, bodies = F.regexp_extract_all(html, F.lit(anchor), F.lit(1)), F.regexp_extract_all(html, F.lit(anchor), F.lit(2))
-    clean = F.transform(bodies, lambda b: F.trim(F.regexp_replace(F.regexp_replace(b, "<[^>]*>", " "), r"\s+", " ")))
-    rows = F.transform(F.arrays_zip(hrefs.alias("href"), clean.alias("title")), lambda x: F.struct(F.trim(x["href"]).alias("href"), x["title"].alias("title")))
-    fit = F.filter(rows, lambda x: F.length(x["title"]).between(4, 120) & F.regexp_replace(x["href"], "^[^:]*://[^/]*", "").rlike(JOB_PATH))
-    first = F.array_distinct(F.transform(fit, lambda x: x["href"]))
-    return F.transform(first, lambda h: F.element_at(F.filter(fit, lambda x: x["href"] == h), 1))
-
+def page_links(found: Column, domain: Column, of_url: Callable[[Column], Column]) -> Column:
+    """struct(internal, documents) of anchors: distinct http links of the same registrable domain, fragments off, and documents, MOST_LINKS and MOST_DOCUMENTS at most."""
+    fit = F.filter(found, lambda a: (a["href"] != "") & ~a["href"].rlike(NO_PAGE) & F.coalesce(a["url"].startswith("http"), F.lit(False)))
+    urls = lambda rows: F.array_distinct(F.transform(rows, lambda a: F.substring_index(a["url"], "#", 1)))
+    path = lambda a: F.lower(F.regexp_extract(a["url"], "^[^:]*://[^/?#]*([^?#]*)", 1))
+    document = lambda a: path(a).endswith(".pdf") | path(a).contains("/pdf")
+    inside = F.filter(fit, lambda a: ~document(a) & (of_url(a["url"]) == domain))
+    return F.struct(F.slice(urls(inside), 1, MOST_LINKS).alias("internal"), F.slice(urls(F.filter(fit, document)), 1, MOST_DOCUMENTS).alias("documents"))
 
-def display_number(value: Column) -> Column:
-    return F.translate(F.format_number(value.cast("decimal(38,0)"), 0), ",", " ")
 
+def job_links(found: Column) -> Column:
+    """array of struct(url, title) of anchors: links to job paths whose text has 4 to 120 characters, fragments off, each once; a quoted title alone stands for its text."""
+    path = lambda a: F.regexp_extract(a["url"], "^[^:]*://[^/?#]*([^?#]*)", 1)
+    fit = F.filter(found, lambda a: a["url"].isNotNull() & ~a["href"].rlike(NO_PAGE) & F.length(a["text"]).between(4, 120) & (path(a).rlike(JOB_PATH) | path(a).rlike(JOB_SEGMENT)))
+    title = lambda t: F.left(F.coalesce(F.nullif(F.trim(F.regexp_extract(t, QUOTED_TITLE, 1)), F.lit("")), t), F.lit(120))
+    rows = F.transform(fit, lambda a: F.struct(F.substring_index(a["url"], "#", 1).alias("url"), title(a["text"]).alias("title")))
+    first = F.array_distinct(F.transform(rows, lambda x: x["url"]))
+    return F.transform(first, lambda u: F.get(F.filter(rows, lambda x: x["url"] == u), F.lit(0)))
 
-def shortened(text: Column, most: int = 40) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.rtrim(F.left(text, F.lit(most - 1))), F.lit("…"))).otherwise(text)
 
-
-def availability(state: Column) -> Column:
-    out = state
-    for name, phrase in AVAILABILITY.items():
-        out = F.when(state == name, F.lit(phrase)).otherwise(out)
-    return out
+def display_number(value: Column) -> Column:
+    return F.translate(F.format_number(value.cast("decimal(38,0)"), 0), ",", " ")
 
 
 def exit_code(states: Column, valid: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.functions import net, structured_data, text, web
-from attesta.functions.names import host_of
-from attesta.operators import accounts, ledger
+from attesta.functions.names import host_of, registrable_domain
+from attesta.operators import accounts, ledger, profile_rules
 from attesta.plans.registry import query, read
 
 
@@ -81,11 +81,12 @@ def subject_ids(spark, sf_dir):
 @query(
     "candidate_urls",
     """WITH n AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
-       SELECT p_partkey, 'https://reg.example/' || p_partkey || CASE WHEN len(w) = 1 THEN ',https://www.' || w[1] || '.no,https://www.' || w[1] || '.com'
-         ELSE ',https://www.' || w[1] || '.no,https://www.' || w[1] || '.com,https://www.' || w[1] || w[2] || '.no,https://www.' || w[1] || w[2] || '.com' END AS urls FROM n""",
+       SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'https://www.' || w[1] || '.no/' ELSE 'https://reg.example/' || p_partkey || '/' END || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ',https://www.' || w[1] || '.no' END || ',https://www.' || w[1] || '.com'
+         || CASE WHEN len(w) = 1 THEN '' ELSE ',https://www.' || w[1] || '-' || w[2] || '.no,https://www.' || w[1] || '-' || w[2] || '.com' END AS urls FROM n""",
 )
 def candidate_urls(spark, sf_dir):
-    site = F.concat(F.lit("https://reg.example/"), F.col("p_partkey").cast("string"), F.lit("/"))
+    first = F.concat(F.lit("https://www."), F.substring_index("p_name", " ", 1), F.lit(".no/"))
+    site = F.when(F.col("p_partkey") % 3 == 0, first).otherwise(F.concat(F.lit("https://reg.example/"), F.col("p_partkey").cast("string"), F.lit("/")))
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(text.candidate_urls(F.col("p_name"), site), ",").alias("urls"))
 
 
@@ -166,10 +167,14 @@ def batch_exit_codes(spark, sf_dir):
 
 @query(
     "display_values",
-    """SELECT c_custkey, CASE WHEN length(c_name || c_name || c_name) > 40 THEN rtrim(left(c_name || c_name || c_name, 39)) || '…' ELSE c_name || c_name || c_name END AS name FROM customer""",
+    """SELECT c_custkey, left(c_name || c_name || c_name, 40) || CASE WHEN length(c_name || c_name || c_name) > 40 THEN '…' ELSE '' END AS name, regexp_replace(CAST(c_custkey * 12345 AS VARCHAR), '([0-9])([0-9]{3})$', '\\1 \\2') AS number,
+              CASE c_custkey % 4 WHEN 0 THEN 'verification blocked' WHEN 1 THEN 'no supported observation available' WHEN 2 THEN 'evidence unresolved or conflicting' ELSE 'not verified in this run' END AS phrase FROM customer WHERE c_custkey * 12345 < 1000000
+       UNION ALL SELECT c_custkey, left(c_name || c_name || c_name, 40) || CASE WHEN length(c_name || c_name || c_name) > 40 THEN '…' ELSE '' END, regexp_replace(regexp_replace(CAST(c_custkey * 12345 AS VARCHAR), '([0-9])([0-9]{3})$', '\\1 \\2'), '([0-9])([0-9]{3}) ', '\\1 \\2 '),
+              CASE c_custkey % 4 WHEN 0 THEN 'verification blocked' WHEN 1 THEN 'no supported observation available' WHEN 2 THEN 'evidence unresolved or conflicting' ELSE 'not verified in this run' END FROM customer WHERE c_custkey * 12345 >= 1000000""",
 )
 def display_values(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select("c_custkey", text.shortened(F.concat("c_name", "c_name", "c_name")).alias("name"))
+    state = F.element_at(F.array(*map(F.lit, ("blocked", "not_available", "ambiguous", "other"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "customer").select("c_custkey", profile_rules.shortened(F.concat("c_name", "c_name", "c_name")).alias("name"), text.display_number(F.col("c_custkey") * 12345).alias("number"), profile_rules.availability(state).alias("phrase"))
 
 
 @query("visible_text")
@@ -179,11 +184,43 @@ def visible_text(spark, sf_dir):
     return rows.select("page_id", F.length("c.text").alias("chars"), F.size("c.scripts").alias("scripts"), F.sha2("c.text", 256).alias("text_sha256"))
 
 
-@query("job_links")
+LINKS_SQL = r"""l AS (SELECT page_id, regexp_extract(url, '^([^:]*://[^/?#]*)', 1) AS site, list_zip(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS a FROM pages),
+     u AS (SELECT page_id, site, trim(replace(x[1], '&amp;', '&')) AS href, trim(regexp_replace(replace(replace(replace(x[2], '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS said, i FROM (SELECT page_id, site, unnest(a) AS x, unnest(range(1, len(a) + 1)) AS i FROM l))"""
+
+
+@query(
+    "job_links",
+    f"""WITH {LINKS_SQL}, j AS (SELECT *, site || replace(replace(replace(href, '/th', '/stilling/th'), '/de', '/jobb-de'), '/en', '/x/vacancen') AS url FROM u WHERE (starts_with(href, '/th') OR starts_with(href, '/de') OR starts_with(href, '/en')) AND length(said) BETWEEN 4 AND 120)
+        SELECT page_id, url, arg_min(said, i) AS title FROM j GROUP BY 1, 2""",
+)
 def job_links(spark, sf_dir):
     """Links to job paths; navigation words stand in for job pages, so that there are some."""
-    html = F.regexp_replace("html", r'href="/(th|de|en)', 'href="/stilling/$1')
-    return read(spark, sf_dir, "pages").select("page_id", F.explode(text.job_links(html)).alias("j")).select("page_id", "j.href", "j.title")
+    html = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", 'href="/th', 'href="/stilling/th'), 'href="/de', 'href="/jobb-de'), 'href="/en', 'href="/x/vacancen')
+    rows = read(spark, sf_dir, "pages").select("page_id", structured_data.anchors(html, "url").alias("a"))
+    return rows.select("page_id", F.explode(text.job_links(F.col("a"))).alias("j")).select("page_id", "j.url", "j.title")
+
+
+@query(
+    "page_links",
+    f"""WITH {LINKS_SQL}, d AS (SELECT page_id, site || href AS link, min(i) AS i FROM u WHERE href <> '' GROUP BY 1, 2)
+        SELECT page_id, link, n AS position FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n FROM d) WHERE n <= 40""",
+)
+def page_links(spark, sf_dir):
+    """Internal links, resolved against the page."""
+    domain = lambda u: registrable_domain(host_of(u))
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", structured_data.anchors("html", "url").alias("a"))
+    links = text.page_links(F.col("a"), domain(F.col("url")), domain)["internal"]
+    return rows.select("page_id", F.posexplode(links).alias("p", "link")).select("page_id", "link", (F.col("p") + 1).cast("long").alias("position"))
+
+
+@query(
+    "page_words",
+    r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script)\b.*?</script>|<style\b.*?</style>|<footer\b.*?(</footer>|$)', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS x FROM pages)
+       SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_sha256 FROM t""",
+)
+def page_words(spark, sf_dir):
+    """The words of every whole page without scripts, styles and footers."""
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2(structured_data.cleaned_text("html"), 256).alias("text_sha256"))
 
 
 @query("page_names")

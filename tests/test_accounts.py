@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from attesta.functions import net, structured_data, text
+from attesta.functions import names, net, structured_data, text
 from attesta.operators import accounts
 from attesta.sources import bundle
 
@@ -49,19 +49,31 @@ def test_url_policy_and_addresses(spark):
 
 
 def test_structured_data():
-    node = {"@context": "https://schema.org", "legalName": "X AS", "identifier": "NO 971277025", "description": " About  us "}
-    page = lambda *nodes: "<html><body><p>a<b>b</b></p><div>c</div>" + "".join(f'<script type="application/ld+json">{json.dumps(n)}</script>' for n in nodes)
-    assert structured_data.descriptions(page(node), "X AS", ORG) == (["About us"], [])
-    assert structured_data.descriptions(page(node | {"legalName": "Y"}, node | {"identifier": "1"}, node | {"description": "x" * 5000}), "X AS", ORG) == ([], ["name differs", "identifier missing or different", "text too long"])
-    assert structured_data.read_page(page())[0] == "ab\nc"
+    node = {"@context": "https://schema.org", "@type": "Organization", "legalName": "X as", "vatID": "NO 971277025 MVA", "description": " About  us "}
+    page = lambda *nodes: "<html><body><p>a<b>b</b></p><div>c</div><script>x</script>" + "".join(f'<script type="application/ld+json">{json.dumps(n)}</script>' for n in nodes)
+    assert structured_data.descriptions(page(node), "X AS", ORG) == ([(1, "/description", " About  us ")], [])
+    listed = {"@context": "https://schema.org", "@graph": [{"@type": "Person"}, node | {"identifier": [{"@type": "PropertyValue", "propertyID": "Org.nr", "value": ORG}]}]}
+    assert structured_data.descriptions(page([listed]), "X AS", ORG) == ([(1, "/0/@graph/1/description", " About  us ")], ["unsupported literal organization type"])
+    bad = [{"legalName": "Y"}, {"vatID": "971277025"}, {"vatID": "NO 982463718"}, {"description": "x" * 5000}, {"@type": "Thing"}, {"@context": {"x": 1}}, {"vatID": "NO971277025", "identifier": {"propertyID": "orgnr", "@type": "PropertyValue", "value": "982463718"}}]
+    assert structured_data.descriptions(page(*(node | b for b in bad)), "X AS", ORG) == ([], ["exact legal name not established", "Norwegian VAT country prefix missing", "VAT subject differs or is invalid", "description must be a bounded nonempty literal text", "unsupported literal organization type", "unsupported root literal context", "labelled organisation subject differs or is invalid"])
+    del node["vatID"]
+    assert structured_data.descriptions(page(node), "X AS", ORG)[1] == ["explicit Norwegian identifier not established"] and structured_data.descriptions(page(node), "X AS", "1")[1] == ["invalid target organisation number"]
+    assert structured_data.read_page(page())[0] == "ab\nc" and structured_data.cleaned("<title>t</title><p>a<b>b</b>&amp;<script>x</script><footer>f</footer>c") == "t a b & c"
 
 
 def test_text(spark):
     said = "Org.nr: 971 277 025. Our customer has org nr 982463718; VAT NO 923609016"
-    row = spark.createDataFrame([(said, 'x <a href="/stilling/1#a">Utvikler søkes</a><a href="/stilling/1">again same</a><a href="/om">About us</a>')], "t string, h string")
+    page = '<a href="stilling/1#a">Utvikler s\u00f8kes</a><a href="/a/stilling/1">again same</a><a href="/om">About us</a><a href="/jobs?x=/om">Les om stillingen \u201cRen \u00d8ker\u201d her</a><a href="mailto:jobs">write us</a><a href="//b.no/r.pdf#p">pdf</a><a href="https://www.x.no/y#z">Y</a>'
+    row = spark.createDataFrame([(said, page)], "t string, h string")
     assert row.select(text.subject_ids(F.col("t"))).first()[0] == [ORG, "923609016"]
-    assert [(r.href, r.title) for r in row.select(text.job_links(F.col("h"))).first()[0]] == [("/stilling/1", "Utvikler søkes")]
-    assert row.select(text.candidate_urls(F.lit("Ålesund Kraft Norge AS"), F.lit("https://k.no/"))).first()[0] == ["https://k.no", "https://www.alesund.no", "https://www.alesund.com", "https://www.alesundkraft.no", "https://www.alesundkraft.com"]
+    found = row.select(structured_data.anchors("h", F.lit("https://x.no/a/b")).alias("a"))
+    assert [(r.url, r.title) for r in found.select(text.job_links(F.col("a"))).first()[0]] == [("https://x.no/a/stilling/1", "Utvikler s\u00f8kes"), ("https://x.no/jobs?x=/om", "Ren \u00d8ker")]
+    domain = lambda u: names.registrable_domain(names.host_of(u))
+    links = found.select(text.page_links(F.col("a"), F.lit("x.no"), domain)).first()[0]
+    assert links.internal == ["https://x.no/a/stilling/1", "https://x.no/om", "https://x.no/jobs?x=/om", "https://www.x.no/y"] and links.documents == ["https://b.no/r.pdf"]
+    sites = lambda name, own: row.select(text.candidate_urls(F.lit(name), F.lit(own))).first()[0]
+    assert sites("Kraft Norge Vest AS", "https://k.no/") == ["https://k.no/", "https://www.kraft.no", "https://www.kraft.com", "https://www.kraft-norge.no", "https://www.kraft-norge.com"]
+    assert sites("Kraft AS", "https://www.kraft.no/") == ["https://www.kraft.no/", "https://www.kraft.com"] and sites("Kraft", None)[0] == "https://www.kraft.no"
     assert row.select(text.display_number(F.lit(1234567)), text.guessed_name(F.lit("Om Kraft Norge AS i dag"), F.lit("zz"))).first() == ("1 234 567", "Om Kraft Norge")
 
 
