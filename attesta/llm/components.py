@@ -1,4 +1,8 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links, by alternating large and small stars.
+
+The least neighbours are stored before links meet them, so that both sides of the
+join are plain shuffles and Spark can split the centre of a large star.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +15,13 @@ from attesta.llm.common import stored
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.join(least, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = links.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -31,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     seen = None
     while True:
-        links = stored(_small_star(_large_star(links)), "links")
+        links = stored(_small_star(stored(_large_star(links), "stars")), "links")
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -119,7 +119,12 @@ def classes(marked: DataFrame, key: str = "doc_id") -> DataFrame:
     fps = stored(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")), "fingerprints")
     roots = fps.join(components(links(fps)), fps["fp"] == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = stored(roots, "roots")
-    return roots.select("fp", "root").join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    # a fingerprint that is linked to no other names its class itself; the rest meet stored minima, so that Spark can split a large class
+    linked = stored(roots.filter("fp <> root").select("root").distinct().withColumn("many", F.lit(True)), "linked")
+    roots = stored(roots.join(linked, "root", "left"), "classes")
+    least = stored(roots.filter("many").groupBy("root").agg(F.min("least").alias("component_id")), "minima")
+    many = roots.filter("many").select("fp", "root").join(least, "root")
+    return many.select("fp", "root", "component_id").unionByName(roots.filter("many IS NULL").select("fp", "root", F.col("least").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
