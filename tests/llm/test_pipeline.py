@@ -1,5 +1,10 @@
 import hashlib
+import os
 import random
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -65,3 +70,44 @@ def test_stages_equal_brute_force(spark, tmp_path):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted((i, len(ids := tok.encode(t, add_special_tokens=False).ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()) for i, t in left if i not in hit)
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in P.run(spark, str(tmp_path)).collect()) == want
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, fp string, root int, cuts string, stats int, items int"
+
+
+def write(spark, path, docs):
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_empty_table(spark, tmp_path):
+    write(spark, tmp_path, [])
+    assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(15)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    long = say(30_000)
+    more = ("x", "y", 1, "z", 2, 3)
+    texts = {1: say(40), 2: say(50), 3: say(60), 4: "Alpha beta gamma delta epsilon zeta eta theta iota kappa " + say(40), 5: long}
+    docs = [(i, t, "en", "s", 1, *more) for i, t in texts.items()] + [(9, texts[2], "en", "s", 1, *more), (2, texts[2], "en", "s", 1, *more), (None, texts[1], None, None, None, *[None] * 6), (None, say(45), None, None, None, *[None] * 6), (7, None, "en", "s", 1, *more), (8, "", "en", "s", 1, *more)]
+    write(spark, tmp_path, docs)
+    step = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    rows = step.collect()
+    assert sorted((r.doc_id for r in rows), key=str) == [1, 2, 3, 5, None] and all(tuple(r)[5:] == more for r in rows if r.doc_id)
+    assert sorted(map(str, (r.doc_id for r in P.run(spark, str(tmp_path)).collect()))) == ["1", "2", "3", "5", "None"]
+
+
+def test_the_rest_stands_alone(tmp_path):
+    """Without the training-data operators the entry points import and name their queries."""
+    root = Path(P.__file__).parent
+    for name in ("attesta", "__spark_entry__.py"):
+        (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    shutil.rmtree(tmp_path / "attesta" / "llm")
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 80 and set(o) <= set(q) and not any(k.startswith('op') for k in q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
