@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,5 +52,40 @@ def normalized_url(url: Column) -> Column:
     return F.struct(F.when(reason.isNull(), clean).alias("url"), reason.alias("reason"))
 
 
+def normalized_origin(origin: str) -> str:
+    """A bare http(s) origin with host in lower case and no default port; ValueError for anything else."""
+    found = re.fullmatch(r"(https?)://([^/?#@:\s]+)(?::([0-9]+))?/?", origin.lower())
+    if not found or found[3] and int(found[3]) == 0 or not found[2].strip("."):
+        raise ValueError("source policy requires bare HTTP(S) origins without credentials")
+    port = "" if found[3] in (None, PORTS[found[1]]) else f":{found[3]}"
+    return f"{found[1]}://{found[2].rstrip('.')}{port}"
+
+
+def policy(url: Column, domains: list[str] | None = None, schemes: list[str] | None = None, origins: list[str] | None = None) -> Column:
+    """struct(url, reason) as normalized_url gives it, under allow-lists: a domain stands for its subdomains, an origin for its scheme, host and port."""
+    value = F.trim(F.coalesce(url, F.lit("")))
+    pattern = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#@:]*)(?::([0-9]*))?([^#]*)"
+    scheme, host, port, rest = (F.regexp_extract(value, pattern, i) for i in range(1, 5))
+    scheme, host = F.lower(scheme), F.regexp_replace(F.lower(host), r"^\.+|\.+$", "")
+    named = origins is not None
+    bare = normalized_url(F.concat(scheme, F.lit("://"), host, rest) if named else url)  # ports are the origins' matter then
+    standard = F.when(scheme == "https", PORTS["https"]).otherwise(PORTS["http"])
+    origin = F.concat(scheme, F.lit("://"), host, F.when(port.isin("") | (port == standard), F.lit("")).otherwise(F.concat(F.lit(":"), port)))
+    credentials = F.regexp_extract(value, r"^[^:]*://[^/?#]*(@)", 1) != ""
+    reason = F.when(credentials, "credentials in URL").when(~scheme.isin("http", "https"), "unsupported scheme")
+    if schemes is not None:
+        reason = reason.when(~scheme.isin(schemes), "URL scheme outside source policy")
+    if named:
+        reason = reason.when(~origin.isin(list(dict.fromkeys(map(normalized_origin, origins)))), "URL origin outside source policy")
+    reason = reason.when(bare["reason"].isNotNull(), bare["reason"])
+    if domains is not None:
+        inside = F.lit(False)
+        for d in domains:
+            inside = inside | (host == d.lower()) | host.endswith("." + d.lower())
+        reason = reason.when(~inside, "host outside allowed domains")
+    clean = F.concat(origin, F.when(rest == "", "/").otherwise(rest)) if named else bare["url"]
+    return F.struct(F.when(reason.isNull(), clean).alias("url"), reason.alias("reason"))
+
+
 def same_origin(url: Column, origins: list[str]) -> Column:
-    return F.regexp_extract(normalized_url(url)["url"], "^([a-z]+://[^/]+)", 1).isin([o.rstrip("/").lower() for o in dict.fromkeys(origins)])
+    return F.regexp_extract(normalized_url(url)["url"], "^([a-z]+://[^/]+)", 1).isin(list(dict.fromkeys(map(normalized_origin, origins))))

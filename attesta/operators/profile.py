@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators.ledger import first_by
+from attesta.operators.views import top_each
 
 
 def coverage(facts: DataFrame, org: str, category: str, categories: list[str], published: Column, conflict: Column) -> DataFrame:
@@ -41,11 +42,8 @@ def input_mapping(inputs: DataFrame, results: DataFrame, key: str) -> DataFrame:
 
 
 def brief(facts: DataFrame, key: str, rank: Column, text: Column, most: int | None = None) -> DataFrame:
-    """The cited sentences of each entity in order of rank, joined by spaces."""
-    ordered = F.array_sort(F.collect_list(F.struct(rank.alias("r"), text.alias("t"))))
-    ordered = F.slice(ordered, 1, most) if most else ordered
-    return facts.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("brief"))
-
-
-def terminal_state(available: Column, conflicts: Column, skipped: Column) -> Column:
-    return F.when(skipped, "failed").when(conflicts, "ambiguous").when(available, "available").otherwise("not_available")
+    """The cited sentences of each entity in order of rank, joined by spaces; only the first ``most`` are gathered."""
+    rows = facts.select(key, rank.alias("r"), text.alias("t"))
+    rows = top_each(rows, [key], most, "r", "t") if most else rows
+    ordered = F.array_sort(F.collect_list(F.struct("r", "t")))
+    return rows.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("brief"))

@@ -80,6 +80,11 @@ def batch_check(inputs: DataFrame, results: DataFrame, key: str) -> DataFrame:
     return inputs.agg(F.count("*").alias("input_count")).join(seen).withColumn("complete", (F.col("missing") == 0) & (F.col("foreign") == 0) & (F.col("repeated") == 0))
 
 
+def stable_id(kind: str, *parts: Column) -> Column:
+    """An id of 64 bits that follows from its parts."""
+    return F.concat(F.lit(f"{kind}_"), F.left(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), F.lit(16)))
+
+
 # ---- comparison and refresh
 
 ASSERTED = ["currency", "unit", "valid_from", "valid_to"]

@@ -20,7 +20,7 @@ def _chosen(number, *values):
     return out
 
 
-def _checked(customers, *, key, body, path, value, raw, display, org=None, source_type="registry", content_type="application/json", tier=0, kind="json_pointer", anchor=None, **more):
+def _checked(customers, *, key, body, path, value, raw, display, org=None, source_type="registry", content_type="application/json", tier=0, kind="json_pointer", anchor=None, tables_only=False, **more):
     """The reasons of one claim a customer; ``key`` is the source's prefix, ``more`` overrides columns of facts (f_), evidence (e_), sources (s_) or captures (c_)."""
     c = F.col
     org = F.element_at(F.array(*map(F.lit, ORGS)), (c("c_custkey") % 5 + 1).cast("int")) if org is None else org
@@ -30,7 +30,7 @@ def _checked(customers, *, key, body, path, value, raw, display, org=None, sourc
     null = F.lit(None).cast("string")
     meta = dict(url=url, requested_url=null, final_url=null, redirect_chain=F.array().cast("array<string>"), source_type=F.lit(source_type), org_number=c("_org"), content_hash=F.sha2(content, 256), content_type=F.lit(content_type), http_status=F.lit(200), snapshot_representation=F.lit(support.BODY), retrieved_at=F.lit(AT), authority_tier=F.lit(tier), access_status=F.lit("success"))
     facts = dict(fact_id=c("c_custkey"), org_number=c("_org"), category=F.lit("identity"), field=F.lit("legal_name"), item_key=null, subject_scope=F.lit("legal_entity"), unit=null, currency=null, reporting_period=null, valid_from=null, valid_to=null, value=value, normalized_value=value, retrieved_at=F.lit(AT), entity_verdict=F.lit("VERIFIED"), source_id=c("_source"), evidence_id=c("_source"))
-    seen = dict(evidence_id=c("_source"), source_id=c("_source"), content_hash=meta["content_hash"], retrieved_at=F.lit(AT), authority_tier=F.lit(tier), source_type=F.lit(source_type), evidence_text=display, entity_verdict=F.lit("VERIFIED"), extraction_rule=null, supporting_pointers=null, locator_kind=F.lit(kind), pointer=null, raw_value=raw, normalization=F.lit("identity"), record_pointer=null, record_id=null, script_index=F.lit(None).cast("int"), identity_source_id=null)
+    seen = dict(evidence_id=c("_source"), source_id=c("_source"), content_hash=meta["content_hash"], retrieved_at=F.lit(AT), authority_tier=F.lit(tier), source_type=F.lit(source_type), evidence_text=display, entity_verdict=F.lit("VERIFIED"), org_number=c("_org"), extraction_rule=null, supporting_pointers=null, locator_kind=F.lit(kind), pointer=null, raw_value=raw, normalization=F.lit("identity"), record_pointer=null, record_id=null, script_index=F.lit(None).cast("int"), identity_source_id=null)
     blobs = dict(content_hash=meta["content_hash"], content=content)
     tables = {"f": facts, "e": seen, "s": dict(source_id=c("_source"), **meta), "c": dict(source_id=c("_source"), **meta, byte_count=F.octet_length(content)), "b": blobs}
     for name, column in more.items():
@@ -40,7 +40,8 @@ def _checked(customers, *, key, body, path, value, raw, display, org=None, sourc
     if anchor is not None:
         parts = anchor(rows, meta)
         s, cap, b = s.unionByName(parts[0]), cap.unionByName(parts[1]), b.unionByName(parts[2])
-    return support.check_support(f, s, e, cap, b.dropDuplicates(["content_hash"]))
+    tables = f, s, e, cap, b.dropDuplicates(["content_hash"])
+    return tables if tables_only else support.check_support(*tables)
 
 
 def _customers(spark, sf_dir, faults):
@@ -174,6 +175,24 @@ def amount_support(spark, sf_dir):
     )
 
 
+def amount_tables(spark, sf_dir):
+    """facts, sources, evidence, captures and blobs of one amount a customer, with seven kinds of faults."""
+    c, fault, text = F.col, F.col("_fault") - 100, lambda x: quoted(F.lit(x))
+    token = c("c_acctbal").cast("decimal(18,2)").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(token, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    plain = F.when(plain == "-0", "0").otherwise(plain)
+    number = (c("c_custkey") + 1).cast("string")
+    year = F.when(fault == 6, "2023").otherwise("2024")
+    display = _named(source_field=text("sumEiendeler"), source_number=quoted(token), value=quoted(plain), currency=F.when(fault == 2, text("EUR")).otherwise(text("NOK")), period_start=quoted(F.concat(year, F.lit("-01-01"))), period_end=quoted(F.concat(year, F.lit("-12-31"))), record_id=quoted(number), journal_number=text('J "1"'), accounting_scope=text("legal_entity"))
+    rows = read(spark, sf_dir, "customer").withColumn("_fault", c("c_custkey") % 7 + 100)
+    said = F.when(fault == 3, F.concat(plain, F.lit("123456"))).otherwise(plain)
+    return _checked(
+        rows, key="f", body=_account_body(fault + 1000), path=F.concat(F.lit("/regnskapsregisteret/regnskap/"), c("_org")), source_type="registry_accounts", content_type="application/json", tables_only=True, kind="json_number", raw=F.when(fault == 5, F.concat(token, F.lit("0"))).otherwise(token), display=display, value=quoted(said),
+        f_category=F.lit("financials"), f_field=F.lit("total_assets"), f_unit=F.lit(support.AMOUNT_UNIT), f_currency=F.lit("NOK"), f_reporting_period=F.lit("2024-01-01/2024-12-31"), f_valid_from=F.when(fault == 4, "2024-01-02").otherwise("2024-01-01"), f_valid_to=F.lit("2024-12-31"), s_access_status=F.when(fault == 1, "blocked").otherwise("success"),
+        e_pointer=F.lit("/0/eiendeler/sumEiendeler"), e_record_pointer=F.lit("/0"), e_record_id=number, e_extraction_rule=F.lit(support.AMOUNT_RULE), e_org_number=c("_org"),
+    )
+
+
 @query(
     "html_support",
     """SELECT c_custkey AS fact_id, CASE c_custkey % 11 WHEN 1 THEN 'source capture h' || c_custkey || ' is missing' WHEN 2 THEN 'HTML requires unambiguous text/html UTF8 representation' WHEN 3 THEN 'HTML requires a retained registered website'

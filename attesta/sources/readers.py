@@ -71,8 +71,8 @@ REGISTRY = (
 )
 
 
-def parse_entities(bodies: DataFrame, requested: str, body: str) -> DataFrame:
-    """Identity columns of registry documents; a document of another id or without a name is marked and empty."""
+def parse_entities(bodies: DataFrame, requested: str, body: str, keep: list[str] | None = None) -> DataFrame:
+    """Identity columns of registry documents, behind the columns ``keep``; a document of another id or without a name is marked."""
     from attesta.functions import web  # only for this projection
 
     r = F.from_json(F.col(body), REGISTRY)
@@ -80,6 +80,7 @@ def parse_entities(bodies: DataFrame, requested: str, body: str) -> DataFrame:
     c = lambda name: F.col(f"_r.{name}")
     state = F.when(c("organisasjonsnummer").isNull(), "failed").when(c("organisasjonsnummer") != F.col(requested), "id differs").when(F.trim(F.coalesce(c("navn"), F.lit(""))) == "", "no name").otherwise("ok")
     return rows.select(
+        *(keep or []),
         requested,
         state.alias("state"),
         c("navn").alias("legal_name"),
