@@ -42,15 +42,36 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("position"), F.col("value")).filter(F.trim("value") != "")
         token = F.filter(json_tokens("value"), lambda t: (t["pointer"] == "/organisation_number") & (t["kind"] == "string"))
         return lines.select("position", F.coalesce(F.get(token, F.lit(0))["value"], F.raise_error(F.concat(F.lit("not a strict record: "), F.left("value", F.lit(80))))).alias("supplied"))
-    rows = spark.read.csv(path, header=False, inferSchema=False, encoding="UTF-8").select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"), F.trim(F.regexp_replace(F.coalesce("_c0", F.lit("")), "^﻿", "")).alias("supplied"))
+    rows = spark.read.csv(path, header=False, inferSchema=False, encoding="UTF-8", unescapedQuoteHandling="RAISE_ERROR").select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"), F.trim(F.regexp_replace(F.coalesce("_c0", F.lit("")), "^﻿", "")).alias("supplied"))
     rows = rows.filter("supplied <> ''").withColumn("_first", _first_of_file(rows))
     return rows.filter(~(F.col("_first") & F.lower("supplied").isin(HEADERS))).select(F.col("_id").alias("position"), "supplied")
 
 
-def read_universe(spark: SparkSession, path: str) -> DataFrame:
-    """A JSONL universe, gzip too: (organisation_number, legal_form, employees, website, industry_code, industry_label)."""
-    schema = "organisation_number string, legal_form string, employees long, website string, industry_code string, industry_label string"
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+UNIVERSE = {"organisation_number": "string", "name": "string", "legal_form": "string", "employees": "bigint", "website": "string", "industry_code": "string", "industry_label": "string"}
+
+
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of one file's bytes as stored."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+
+
+def read_universe(spark: SparkSession, path: str, sha256: str | None = None, most_line: int = 1 << 20, most_bytes: int | None = None) -> DataFrame:
+    """A JSONL universe, gzip too: (line, and the columns of UNIVERSE).
+
+    Fails where the file's hash is another than ``sha256``, where a line or all of
+    them together are longer than allowed, and where a line is no strict object with
+    a text identifier: of a universe that isn't whole no sample can be drawn.
+    """
+    if sha256 is not None and file_digest(spark, path) != sha256.lower():
+        raise ValueError("compressed universe hash differs from expected source")
+    lines = spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("line"), "value")
+    if most_bytes is not None and (lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0) > most_bytes:
+        raise ValueError("universe exceeds its capacity")
+    v = F.try_parse_json("value")
+    fields = [F.try_variant_get(v, f"$.{name}", kind).alias(name) for name, kind in UNIVERSE.items()]
+    wrong = F.when(F.octet_length("value") > most_line, "line too long").when(F.try_variant_get(v, "$.organisation_number", "string").isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "not a strict record")
+    checked = lines.withColumn("line", F.when(wrong.isNull(), F.col("line")).otherwise(F.raise_error(F.concat(wrong, F.lit(" in line "), F.col("line").cast("string"))).cast("long")))
+    return checked.select("line", *fields)
 
 
 def duplicate_members(universe: DataFrame, key: str = "organisation_number") -> DataFrame:

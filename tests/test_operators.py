@@ -1,5 +1,9 @@
+import gzip
+import hashlib
+import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import audit, control, history, ledger, matching, profile, sampling, verify
@@ -161,3 +165,38 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest.run_batches(stream, str(tmp_path / "check"), lambda df, _: seen.extend(ledger.current_values(df, ["k"], "at", "seq").collect()))
     merged = ledger.current_values(spark.createDataFrame(seen, rows.schema), ["k"], "at", "seq").collect()
     assert sorted(map(tuple, merged)) == sorted(map(tuple, ledger.current_values(rows, ["k"], "at", "seq").collect()))
+
+
+def test_universe(spark, tmp_path):
+    rows = [{"organisation_number": f"{i:09d}", "employees": i, "legal_form": "AS"} for i in range(5)]
+    good = tmp_path / "u.jsonl.gz"
+    good.write_bytes(gzip.compress("".join(json.dumps(r) + "\n" for r in rows).encode()))
+    got = readers.read_universe(spark, str(good), hashlib.sha256(good.read_bytes()).hexdigest(), most_bytes=10_000).collect()
+    assert [(r.line, r.organisation_number, r.employees, r.website) for r in got] == [(i + 1, f"{i:09d}", i, None) for i in range(5)]
+    for kwargs in ({"sha256": "0" * 64}, {"most_bytes": 10}):
+        with pytest.raises(ValueError):
+            readers.read_universe(spark, str(good), **kwargs)
+    with pytest.raises(Exception, match="line too long in line 1"):
+        readers.read_universe(spark, str(good), most_line=5).collect()
+    for n, body in enumerate(('{"organisation_number":"1","organisation_number":"2"}', '{"organisation_number":NaN}', "[1]", '{"name":"x"}')):
+        (tmp_path / f"bad{n}.jsonl").write_text(body + "\n")
+        with pytest.raises(Exception, match="not a strict record in line 1"):
+            readers.read_universe(spark, str(tmp_path / f"bad{n}.jsonl")).collect()
+
+
+def test_strict_lists(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text('982463718,a\n"97"1277025,b\n')
+    with pytest.raises(Exception):
+        readers.read_ids(spark, str(tmp_path / "bad.csv")).collect()
+    (tmp_path / "ok.txt").write_text("Orgnr\n\n982463718\n971277025,x,y\n")
+    assert [r.supplied for r in readers.read_ids(spark, str(tmp_path / "ok.txt")).orderBy("position").collect()] == ["982463718", "971277025"]
+
+
+def test_captures_from_files(spark, tmp_path):
+    digest = hashlib.sha256(b"body").hexdigest()
+    (tmp_path / "blobs").mkdir()
+    (tmp_path / "blobs" / f"{digest}.bin").write_bytes(b"body")
+    rows = spark.createDataFrame([("s", "u", digest, 4, None), ("t", "u", "0" * 64, 4, None)], readers.CAPTURES)
+    rows.write.parquet(str(tmp_path / "meta"))
+    got = {r.source_id: r.content for r in readers.read_captures(spark, str(tmp_path / "meta"), str(tmp_path / "blobs")).collect()}
+    assert got == {"s": bytearray(b"body"), "t": None}
