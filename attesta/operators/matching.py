@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attesta.functions.identifiers import normalize_id
 from attesta.functions.names import host_of, name_similarity, normalize_name, registrable_domain, similarity_of_normal
@@ -25,6 +26,32 @@ def blocked_pairs(targets: DataFrame, candidates: DataFrame, target_key: str, ta
     return names.join(a, "_a").join(b, "_b").select(target_key, candidate_key, "similarity")
 
 
+def likely_pairs(targets: DataFrame, candidates: DataFrame, target_key: str, target_name: str, candidate_key: str, candidate_name: str, least: float = 0.7) -> DataFrame:
+    """As blocked_pairs, but only pairs of a similarity of ``least`` or more (at most 0.85), without joining on common words.
+
+    Words are ordered by how many names hold them.  Two names of that similarity
+    share one of the rarer words of the first, as many as may be missing from the
+    second and one more; or the second has all its words in the first, its rarest
+    too.  So joins on these lose no pair, and words that most names have are in none.
+    """
+    a = targets.select(F.col(target_key), normalize_name(F.col(target_name)).alias("_a")).filter("_a <> ''")
+    b = candidates.select(F.col(candidate_key), normalize_name(F.col(candidate_name)).alias("_b")).filter("_b <> ''")
+    words = lambda df, c: df.select(c).distinct().select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("_w"))
+    left, right = words(a, "_a"), words(b, "_b")
+    held = left.select("_w").unionAll(right.select("_w")).groupBy("_w").agg(F.count("*").alias("_n"))
+
+    def ranked(df: DataFrame, name: str) -> DataFrame:
+        w = Window.partitionBy(name)
+        rows = df.join(held, "_w").withColumns({"_at": F.row_number().over(w.orderBy("_n", "_w")), "_size": F.count("*").over(w)})
+        return rows.select(name, "_w", "_at", "_size")
+
+    left, right = ranked(left, "_a"), ranked(right, "_b")
+    rare = left.filter(F.col("_at") <= F.col("_size") - F.ceil(F.col("_size") * least) + 1).select("_a", "_w").join(right.select("_b", "_w"), "_w")
+    within = left.select("_a", "_w").join(right.filter("_at = 1").select("_b", "_w"), "_w")
+    names = rare.select("_a", "_b").unionAll(within.select("_a", "_b")).distinct().withColumn("similarity", similarity_of_normal(F.col("_a"), F.col("_b"))).filter(F.col("similarity") >= least)
+    return names.join(a, "_a").join(b, "_b").select(target_key, candidate_key, "similarity")
+
+
 def verdict(similarity: Column, corroboration: Column, id_match: Column, domain_conflict: Column, foreign_id: Column) -> Column:
     """struct(verdict, score): the first rung that holds."""
     score = similarity * 2.0 + corroboration * 0.5

@@ -76,6 +76,13 @@ def name_similarity(spark, sf_dir):
     return _name_pairs(spark, sf_dir).select(F.col("n1").alias("a"), F.col("n2").alias("b"), "pairs", F.round("similarity", 6).alias("similarity"))
 
 
+@query("likely_names", NAME_SQL + " SELECT a, b, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.7")
+def likely_names(spark, sf_dir):
+    names = read(spark, sf_dir, "part").select(F.col("p_name").alias("n1")).distinct()
+    pairs = matching.likely_pairs(names, names.withColumnRenamed("n1", "n2"), "n1", "n1", "n2", "n2")
+    return pairs.select(F.col("n1").alias("a"), F.col("n2").alias("b"), F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     "match_verdicts",
     NAME_SQL

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.operators.registry_scans import projection_differences
 from attesta.sources.sinks import manifest, new_blobs, write_jsonl
 
 
-def export(envelopes: DataFrame, captures: DataFrame, path: str, key: str = "organisation_number") -> None:
-    """results (JSONL), objects (bytes by hash) and manifest; a bundle without a manifest isn't whole."""
+def export(envelopes: DataFrame, captures: DataFrame, path: str, key: str = "organisation_number", projection: DataFrame | None = None, most_bytes: int | None = None) -> None:
+    """results (JSONL), objects (bytes by hash), a projection of the results where one is given, and the manifest; a bundle without a manifest isn't whole."""
+    size = captures.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    if most_bytes is not None and size > most_bytes:
+        raise ValueError("bundle exceeds its capacity")
+    if projection is not None:
+        write_jsonl(projection, f"{path}/projection", [key])
     write_jsonl(envelopes, f"{path}/results", [key])
     new_blobs(captures, None).write.mode("error").parquet(f"{path}/objects")
     spark = envelopes.sparkSession
@@ -17,8 +23,12 @@ def export(envelopes: DataFrame, captures: DataFrame, path: str, key: str = "org
     manifest(again, key).withColumn("objects", F.lit(spark.read.parquet(f"{path}/objects").count())).coalesce(1).write.mode("error").json(f"{path}/manifest")
 
 
-def problems(spark: SparkSession, path: str, schema, key: str = "organisation_number", hashes: str | None = None) -> DataFrame:
-    """(problem, detail) of a bundle; empty if it is whole.  ``hashes``: an expression for the hashes that a result refers to."""
+def problems(spark: SparkSession, path: str, schema, key: str = "organisation_number", hashes: str | None = None, projected=None) -> DataFrame:
+    """(problem, detail) of a bundle; empty if it is whole.
+
+    ``hashes``: an expression for the hashes that a result refers to; ``projected``
+    makes of the results what the bundle's projection must be.
+    """
     results = spark.read.schema(schema).json(f"{path}/results")
     objects = spark.read.parquet(f"{path}/objects")
     stated = spark.read.schema("rows bigint, keys bigint, digest decimal(38,0), objects bigint").json(f"{path}/manifest")
@@ -31,4 +41,8 @@ def problems(spark: SparkSession, path: str, schema, key: str = "organisation_nu
     if hashes:
         used = results.select(F.explode(F.expr(hashes)).alias("content_hash")).distinct()
         out = out.unionAll(used.join(objects.select("content_hash"), "content_hash", "left_anti").select(F.lit("object missing"), "content_hash"))
+    if projected is not None:
+        wanted = projected(results)
+        shown = spark.read.schema(wanted.schema).json(f"{path}/projection")
+        out = out.unionAll(projection_differences(wanted, shown, key).select(F.concat(F.lit("projection "), F.col("problem")), F.col(key).cast("string")))
     return out

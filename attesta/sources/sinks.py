@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, keys: list[str], payload: str) -> DataFrame:
@@ -32,12 +35,6 @@ def new_blobs(captures: DataFrame, stored: DataFrame | None) -> DataFrame:
     return blobs if stored is None else blobs.join(stored.select("content_hash"), "content_hash", "left_anti")
 
 
-def starter_projection(envelopes: DataFrame) -> DataFrame:
-    """Facts as claims, with the names of the starter shape."""
-    claim = lambda f: F.struct(f["category"].alias("category"), f["field"].alias("field"), f["value"].alias("value"), F.lit(None).cast("string").alias("span"))
-    return envelopes.select("organisation_number", F.transform("facts", claim).alias("claims"), F.lit(None).cast("double").alias("cost"))
-
-
 def write_jsonl(rows: DataFrame, path: str, order: list[str]) -> None:
     """One JSON object a line, ordered over all files: file names follow the ranges of the key."""
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("error").json(path)
@@ -47,3 +44,22 @@ def manifest(rows: DataFrame, key: str) -> DataFrame:
     """Rows and an order-free digest: the sums of row hashes add up over partitions, as a running hash of lines can't."""
     row = F.xxhash64(*[F.to_json(F.struct(*rows.columns))])
     return rows.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.sum(row.cast("decimal(38,0)")).alias("digest"))
+
+
+def write_artifacts(path: str, artifacts: dict[str, tuple[DataFrame, str]]) -> None:
+    """Each named table as ordered JSONL, and behind them a manifest with rows, keys and digest of each; without it the set isn't whole."""
+    parts = []
+    for name, (rows, key) in artifacts.items():
+        write_jsonl(rows, f"{path}/{name}", [key])
+        again = rows.sparkSession.read.schema(rows.schema).json(f"{path}/{name}")
+        parts.append(manifest(again, key).select(F.lit(name).alias("artifact"), "rows", "keys", "digest"))
+    reduce(DataFrame.unionByName, parts).coalesce(1).write.mode("error").json(f"{path}/manifest")
+
+
+def artifact_problems(spark: SparkSession, path: str, schemas: dict[str, tuple[T.StructType, str]]) -> DataFrame:
+    """(artifact, problem) of a set: what isn't as its manifest says, or has no entry there."""
+    stated = spark.read.schema("artifact string, rows bigint, keys bigint, digest decimal(38,0)").json(f"{path}/manifest")
+    seen = reduce(DataFrame.unionByName, (manifest(spark.read.schema(schema).json(f"{path}/{name}"), key).select(F.lit(name).alias("artifact"), "rows", "keys", "digest") for name, (schema, key) in schemas.items()))
+    both = stated.select("artifact", F.struct("rows", "keys", "digest").alias("a")).join(seen.select("artifact", F.struct("rows", "keys", "digest").alias("b")), "artifact", "full_outer")
+    problem = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "not in the manifest").when(~F.col("a").eqNullSafe(F.col("b")), "differs")
+    return both.select("artifact", problem.alias("problem")).filter("problem IS NOT NULL")

@@ -1,10 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import names, net, structured_data, text
 from attesta.operators import accounts
-from attesta.sources import bundle
+from attesta.sources import bundle, sinks
 
 ORG = "971277025"
 
@@ -85,3 +86,20 @@ def test_bundle(spark, tmp_path):
     assert {r.problem for r in bundle.problems(spark, str(tmp_path / "b"), results.schema, hashes="facts").collect()} == {"object missing"}
     (tmp_path / "b" / "results" / "more.json").write_text('{"organisation_number":"1"}\n')
     assert {r.problem for r in bundle.problems(spark, str(tmp_path / "b"), results.schema).collect()} == {"manifest differs", "result twice"}
+
+
+def test_bundle_with_projection_and_artifacts(spark, tmp_path):
+    results = spark.createDataFrame([("1", ["a"]), ("2", [])], "organisation_number string, facts array<string>")
+    captures = spark.createDataFrame([(bytearray(b"xyz"),)], "content binary")
+    projected = lambda r: r.select("organisation_number", F.size("facts").alias("claims"))
+    bundle.export(results, captures, str(tmp_path / "b"), projection=projected(results), most_bytes=3)
+    assert bundle.problems(spark, str(tmp_path / "b"), results.schema, projected=projected).collect() == []
+    (tmp_path / "b" / "projection" / "more.json").write_text('{"organisation_number":"3","claims":0}\n')
+    assert {tuple(r) for r in bundle.problems(spark, str(tmp_path / "b"), results.schema, projected=projected).collect()} == {("projection extra", "3")}
+    with pytest.raises(ValueError):
+        bundle.export(results, captures, str(tmp_path / "c"), most_bytes=2)
+    sinks.write_artifacts(str(tmp_path / "set"), {"results": (results, "organisation_number"), "report": (projected(results), "organisation_number")})
+    schemas = {"results": (results.schema, "organisation_number"), "report": (projected(results).schema, "organisation_number")}
+    assert sinks.artifact_problems(spark, str(tmp_path / "set"), schemas).collect() == []
+    (tmp_path / "set" / "report" / "more.json").write_text('{"organisation_number":"9","claims":1}\n')
+    assert [tuple(r) for r in sinks.artifact_problems(spark, str(tmp_path / "set"), schemas).collect()] == [("report", "differs")]
