@@ -138,6 +138,16 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+#: Pages whose markup names one article: its text; on others SQL can't align trees.
+OP9_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>', ' ', 'g'), '(?s)<!--.*?-->', '', 'g') AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(x, '(?is)<article\b[^>]*>(.*?)(?:</article>|$)', 1), '(?i)</?(?:b|i|em|strong|a|span)(?:\s[^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS x FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS x FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(x, '[\s\x0b\x1c-\x1f\x85\xa0]+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a window of any benchmark item."""
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -181,4 +191,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_chat_format": OP7_SQL, "op6_url_filter": OP6_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_chat_format": OP7_SQL, "op6_url_filter": OP6_SQL, "op9_html_extract": OP9_SQL, "op10_decontaminate": OP10_SQL}
