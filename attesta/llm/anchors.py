@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.common import stored
+
 #: Windows of a stretch, as places in a stretch are packed into a byte; windows worked on at once.
 MOST_WINDOWS, BLOCK = 255, 1 << 20
 _MULT = 0x9E3779B97F4A7C15
@@ -118,9 +120,10 @@ def window_hits(windows: DataFrame, least_wins: bool) -> DataFrame:
     """(core, seg, found): windows, as bits, that are also in another stretch, or if ``least_wins`` in one of a smaller doc.
 
     Counting is by the windows' content, combined before the shuffle, so that no
-    anchor, however common, makes a large group.
+    anchor, however common, makes a large group; the counts are stored before the
+    windows meet them, so that Spark can split a window that many stretches have.
     """
-    same = windows.groupBy("wa", "wb").agg(F.count("*").alias("n"), F.min("doc").alias("least")).filter("n > 1")
+    same = stored(windows.groupBy("wa", "wb").agg(F.count("*").alias("n"), F.min("doc").alias("least")).filter("n > 1"), "again")
     hits = windows.join(same, ["wa", "wb"])
     hits = hits.filter("least < doc") if least_wins else hits
     bits = F.transform(F.sequence(F.lit(0), F.lit(MOST_WINDOWS // 8)), lambda b: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda s, k: s + F.when(F.array_contains("at", (b * 8 + k).cast("long")), F.call_function("shiftleft", F.lit(1), 7 - k)).otherwise(0)))
