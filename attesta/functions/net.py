@@ -85,7 +85,3 @@ def policy(url: Column, domains: list[str] | None = None, schemes: list[str] | N
         reason = reason.when(~inside, "host outside allowed domains")
     clean = F.concat(origin, F.when(rest == "", "/").otherwise(rest)) if named else bare["url"]
     return F.struct(F.when(reason.isNull(), clean).alias("url"), reason.alias("reason"))
-
-
-def same_origin(url: Column, origins: list[str]) -> Column:
-    return F.regexp_extract(normalized_url(url)["url"], "^([a-z]+://[^/]+)", 1).isin(list(dict.fromkeys(map(normalized_origin, origins))))

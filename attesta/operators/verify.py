@@ -1,6 +1,6 @@
 """Citation checks: a fact against the records of its source and evidence, captures against the retained bytes' hash and length.
 
-Values aren't derived again from the bytes by their locators.
+Deriving values again from the bytes by their locators is the matter of support.py.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from attesta.functions.numbers import quoted_number
 
-METADATA = ("url", "requested_url", "access_status", "http_status", "content_type", "content_hash", "retrieved_at")
-
 
 def check_citations(facts: DataFrame, sources: DataFrame, evidence: DataFrame) -> DataFrame:
     """Adds ok and reason: the first rule of the chain that a fact breaks, else ok.
@@ -68,16 +66,6 @@ def check_captures(captures: DataFrame, blobs: DataFrame) -> DataFrame:
     return captures.join(b, F.col("content_hash") == F.col("_h"), "left").withColumn("state", state).select(*captures.columns, "state")
 
 
-def same_metadata(fields=METADATA, left: str = "c", right: str = "s") -> Column:
-    return reduce(lambda a, b: a & b, (F.col(f"{left}.{f}").eqNullSafe(F.col(f"{right}.{f}")) for f in fields))
-
-
-def registry_authority(urls: Column, host: str, paths: list[str]) -> Column:
-    """All URLs of an acquisition, redirects too, are plain https at the host and under one of the paths."""
-    pattern = rf"^https://{host.replace('.', '[.]')}(?::443)?(?:{'|'.join(paths)})[^?#@]*$"
-    return F.forall(urls, lambda u: F.coalesce(u.rlike(pattern), F.lit(False)))
-
-
 def envelope_errors(profiles: DataFrame) -> DataFrame:
     """(key, error) of profiles whose facts repeat an id, refer to nothing, or are of another organisation.
 

@@ -74,10 +74,6 @@ def read_universe(spark: SparkSession, path: str, sha256: str | None = None, mos
     return checked.select("line", *fields)
 
 
-def duplicate_members(universe: DataFrame, key: str = "organisation_number") -> DataFrame:
-    return universe.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
-
-
 def read_captures(spark: SparkSession, metadata: str, blobs: str) -> DataFrame:
     """Capture rows with their bytes; blobs are files named by their SHA-256."""
     content = spark.read.format("binaryFile").load(blobs).select(F.regexp_extract("path", r"([0-9a-f]{64})[^/]*$", 1).alias("content_hash"), "content")

@@ -200,3 +200,14 @@ def test_captures_from_files(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "meta"))
     got = {r.source_id: r.content for r in readers.read_captures(spark, str(tmp_path / "meta"), str(tmp_path / "blobs")).collect()}
     assert got == {"s": bytearray(b"body"), "t": None}
+
+
+def test_event_time_windows_and_first_sightings(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 3, f"2024-01-01 00:{i:02d}:00") for i in range(30)] * 2, "k int, t string").select("k", F.to_timestamp("t").alias("at"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = ingest.observations(spark, str(tmp_path / "in"), rows.schema)
+    for name, df, mode in (("counts", ingest.windowed_counts(stream, "at", ["k"], "10 minutes", "1 minute"), "complete"), ("seen", ingest.first_sightings(stream, ["k", "at"], "at", "1 hour"), "append")):
+        query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted((str(r.start)[14:16], r.k, r.n) for r in spark.table("counts").collect())[:3] == [("00", 0, 8), ("00", 1, 6), ("00", 2, 6)]
+    assert spark.table("seen").count() == 30
