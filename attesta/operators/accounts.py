@@ -7,6 +7,8 @@ nothing is read as a double.
 
 from __future__ import annotations
 
+import re
+from datetime import date
 from hashlib import blake2b
 
 import pandas as pd
@@ -15,10 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from attesta.functions.identifiers import validate_id
 from attesta.functions.json_tokens import Number, canonical, strict_loads
 from attesta.functions.numbers import canonical_text
-from attesta.functions.text import iso_period
+from attesta.functions.structured_data import _valid as valid_number
 
 #: Where each amount stands in a record.
 AMOUNTS = {
@@ -35,11 +36,12 @@ FIELDS = {"org": "/virksomhet/organisasjonsnummer", "kind": "/regnskapstype", "c
 KEYS = ["document", "org_number"]
 
 _text = lambda name: T.StructField(name, T.StringType())
+_flag = lambda name: T.StructField(name, T.BooleanType())
 _AMOUNT = T.StructType([_text("field"), _text("path"), _text("number"), _text("value")])
 RECORD = T.ArrayType(
     T.StructType(
-        [T.StructField("position", T.IntegerType()), _text("pointer"), T.StructField("object", T.BooleanType()), _text("id"), *(_text(f) for f in FIELDS), T.StructField("going_concern", T.BooleanType())]
-        + [_text("journal"), T.StructField("journal_fits", T.BooleanType()), _text("canonical"), T.StructField("amounts", T.ArrayType(_AMOUNT))]
+        [T.StructField("position", T.IntegerType()), *map(_text, ("pointer", "record_id", "currency", "period", "stated_period", "journal", "canonical"))]
+        + [*map(_flag, ("object", "own", "group_scope", "placed", "stated", "going_concern")), T.StructField("amounts", T.ArrayType(_AMOUNT))]
     )
 )
 
@@ -54,23 +56,38 @@ def _string(value) -> str | None:
     return value if isinstance(value, str) and not isinstance(value, Number) else None
 
 
-def _picked(position: int, pointer: str, record) -> dict:
+def _day(text: str | None) -> str | None:
+    """A real ISO date, else null."""
+    try:
+        return text if text and re.fullmatch("[0-9]{4}-[0-9]{2}-[0-9]{2}", text) and date.fromisoformat(text) else None
+    except ValueError:
+        return None
+
+
+def _picked(position: int, pointer: str, record, org: str) -> dict:
+    """What is needed of a record: its attributes, what can be said of it, and its amounts."""
     number, journal = _at(record, "/id"), _at(record, "/journalnr")
+    held = {name: _string(_at(record, path)) for name, path in FIELDS.items()}
+    named = isinstance(number, Number) and re.fullmatch("[1-9][0-9]{0,9}", number) and int(number) <= MOST_ID
+    own = held["org"] is not None and valid_number(held["org"]) == org
+    start, end = _day(held["start"]), _day(held["end"])
+    period = f"{start}/{end}" if start and end and start <= end else None
+    said = _string(journal)
+    plain = journal is None or said is not None and said.strip() != "" and len(said) <= 128 and not re.search("[\x00-\x1f\x7f]", said)
     tokens = [(name, path, _at(record, path)) for name, path in AMOUNTS.items()]
     return {
-        "position": position, "pointer": pointer, "object": isinstance(record, dict), "id": str(number) if isinstance(number, Number) else None,
-        **{name: _string(_at(record, path)) for name, path in FIELDS.items()},
-        "going_concern": _at(record, "/avviklingsregnskap") is False, "journal": _string(journal), "journal_fits": journal is None or _string(journal) is not None,
-        "canonical": blake2b(canonical(record).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(),
+        "position": position, "pointer": pointer, "record_id": str(number) if named else None, "currency": held["currency"], "period": period, "stated_period": "/".join(x for x in (held["start"], held["end"]) if x is not None),
+        "journal": said, "canonical": blake2b(canonical(record).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), "object": isinstance(record, dict), "own": own, "group_scope": held["kind"] == "KONSERN", "placed": bool(start and end),
+        "stated": bool(own and named and held["kind"] == "SELSKAP" and re.fullmatch("[A-Z]{3}", held["currency"] or "") and period and plain), "going_concern": _at(record, "/avviklingsregnskap") is False,
         "amounts": [{"field": name, "path": path, "number": str(x), "value": canonical_text(x)} for name, path, x in tokens if isinstance(x, Number)],
     }
 
 
 @pandas_udf(RECORD)
-def picked_records(bodies: pd.Series) -> pd.Series:
-    """What is needed of each record of a document, in order; null for what strict JSON doesn't allow."""
+def picked_records(bodies: pd.Series, orgs: pd.Series) -> pd.Series:
+    """What is needed of each record of a document, in order, as the organisation's; null for what strict JSON doesn't allow."""
 
-    def of(body):
+    def of(body, org):
         if body is None:
             return None
         try:
@@ -78,29 +95,15 @@ def picked_records(bodies: pd.Series) -> pd.Series:
         except (ValueError, RecursionError):
             return None
         listed = isinstance(document, list)
-        return [_picked(i, f"/{i}" if listed else "", r) for i, r in enumerate(document if listed else [document])]
+        return [_picked(i, f"/{i}" if listed else "", r, org) for i, r in enumerate(document if listed else [document])]
 
-    return bodies.map(of)
+    return pd.Series([of(b, o) for b, o in zip(bodies, orgs)])
 
 
 def records(bodies: DataFrame, org: str = "org_number", body: str = "body", document: str = "org_number") -> DataFrame:
     """(document, org_number, records): each body's records and what can be said of them; ``document`` tells bodies apart where an organisation has several."""
-    rows = bodies.select(F.col(document).alias("document"), F.col(org).alias("org_number"), picked_records(body).alias("_r"))
-
-    def judged(r: Column) -> Column:
-        number = F.when(r["id"].rlike("^[1-9][0-9]{0,9}$") & (r["id"].try_cast("long") <= MOST_ID), r["id"])
-        subject, period = validate_id(r["org"]), iso_period(r["start"], r["end"])
-        own = F.coalesce(subject["valid"] & (subject["value"] == F.col("org_number")), F.lit(False))
-        plain = r["journal_fits"] & (r["journal"].isNull() | (F.trim(r["journal"]) != "") & (F.length(r["journal"]) <= 128) & ~r["journal"].rlike(r"[\x00-\x1f\x7f]"))
-        real = lambda d: d.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(d, "yyyy-MM-dd").isNotNull()
-        stated = own & number.isNotNull() & (r["kind"] == "SELSKAP") & r["currency"].rlike("^[A-Z]{3}$") & period.isNotNull() & plain
-        return F.struct(
-            r["position"].alias("position"), r["pointer"].alias("pointer"), r["object"].alias("object"), number.alias("record_id"), own.alias("own"), F.coalesce(r["kind"] == "KONSERN", F.lit(False)).alias("group_scope"),
-            r["currency"].alias("currency"), period.alias("period"), F.concat_ws("/", r["start"], r["end"]).alias("stated_period"), F.coalesce(real(r["start"]) & real(r["end"]), F.lit(False)).alias("placed"),
-            F.coalesce(stated, F.lit(False)).alias("stated"), r["going_concern"].alias("going_concern"), r["journal"].alias("journal"), r["canonical"].alias("canonical"), r["amounts"].alias("amounts"),
-        )
-
-    return rows.select(*KEYS, F.transform("_r", judged).alias("records")).filter("records IS NOT NULL")
+    rows = bodies.select(F.col(document).alias("document"), F.col(org).alias("org_number"), picked_records(body, org).alias("records"))
+    return rows.filter("records IS NOT NULL")
 
 
 def _few(rows: Column) -> Column:
