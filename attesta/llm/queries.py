@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, chat_format, decontaminate, html_extract, license_scan, periodic_runs, quality, simhash, substring_dedup, suffix_dedup, url_filter
+from attesta.llm import bpe, chat_format, conversation_repair, decontaminate, html_extract, license_scan, periodic_runs, quality, simhash, substring_dedup, suffix_dedup, url_filter
 from attesta.llm.common import table
 
 RULES = [
@@ -178,6 +178,11 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, a quarter of whose rows are damaged."""
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, a tenth of which get a periodic end."""
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
@@ -194,6 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html_extract": op9_html_extract,
     "op10_decontaminate": op10_decontaminate,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
