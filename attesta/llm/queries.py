@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat_format, conversation_repair, decontaminate, html_extract, license_scan, periodic_runs, quality, simhash, substring_dedup, suffix_dedup, url_filter
+from attesta.llm import bpe, chat_format, conversation_repair, decontaminate, html_extract, license_scan, mixing, periodic_runs, quality, simhash, substring_dedup, suffix_dedup, url_filter
 from attesta.llm.common import table
 
 RULES = [
@@ -183,6 +184,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(table(spark, sf_dir, "conversations"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, its sources weighing 5, 2 and 1 in turn."""
+    mix = mixing.mixed(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, a tenth of which get a periodic end."""
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
@@ -200,6 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extract": op9_html_extract,
     "op10_decontaminate": op10_decontaminate,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_mixing": op12_mixing,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
