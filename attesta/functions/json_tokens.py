@@ -40,7 +40,9 @@ def _constant(name):
 
 
 def _number(token: str) -> Number:
-    if len(token) > MOST_TOKEN or not math.isfinite(float(token)):
+    value = float(token)
+    vanished = value == 0 and re.search("[1-9]", re.split("[eE]", token)[0])
+    if len(token) > MOST_TOKEN or not math.isfinite(value) or vanished:
         raise Refused("number out of range")
     return Number(token)
 
@@ -72,17 +74,44 @@ def canonical(value) -> str:
     return json.dumps(value)
 
 
-def walk(value, pointer: str = ""):
+def nodes(value, pointer: str = ""):
+    """(pointer, value) of everything in a document, containers in front of what they hold."""
+    yield pointer, value
+    held = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+    for name, inner in held:
+        yield from nodes(inner, f"{pointer}/{str(name).replace('~', '~0').replace('/', '~1')}")
+
+
+def walk(value):
     """(pointer, kind, value) of every scalar and empty container."""
-    if isinstance(value, dict) and value:
-        for k, v in value.items():
-            yield from walk(v, f"{pointer}/{k.replace('~', '~0').replace('/', '~1')}")
-    elif isinstance(value, list) and value:
-        for i, v in enumerate(value):
-            yield from walk(v, f"{pointer}/{i}")
-    else:
-        kind = "number" if isinstance(value, Number) else {dict: "object", list: "array", str: "string", bool: "boolean"}.get(type(value), "null")
-        yield pointer, kind, None if kind in ("null", "object", "array") else str(value).lower() if kind == "boolean" else str(value)
+    for pointer, x in nodes(value):
+        if isinstance(x, (dict, list)) and x:
+            continue
+        kind = "number" if isinstance(x, Number) else {dict: "object", list: "array", str: "string", bool: "boolean"}.get(type(x), "null")
+        yield pointer, kind, None if kind in ("null", "object", "array") else str(x).lower() if kind == "boolean" else str(x)
+
+
+#: What an RFC 6901 pointer looks like.
+POINTER = re.compile("(?:/(?:[^~/]|~[01])*)*")
+
+
+def at_pointers(document, pointers: list[str]) -> list[tuple[object, str | None]]:
+    """(value, None) of what stands at each pointer, or (None, why nothing does)."""
+    index = dict(nodes(document))
+
+    def why(pointer: str) -> str:
+        if not POINTER.fullmatch(pointer):
+            return "invalid JSON pointer escape" if pointer.startswith("/") else "JSON pointer must start with /"
+        # the longest part of the way that there is tells what went wrong behind it
+        parts = pointer.split("/")
+        there = next(k for k in range(len(parts) - 1, 0, -1) if "/".join(parts[:k]) in index)
+        inside = index["/".join(parts[:there])]
+        if not isinstance(inside, (dict, list)):
+            return "JSON pointer traverses a scalar"
+        odd = isinstance(inside, list) and not re.fullmatch("0|[1-9][0-9]*", parts[there])
+        return "invalid JSON array index" if odd else "JSON pointer not found"
+
+    return [(index[p], None) if p in index else (None, why(p)) for p in pointers]
 
 
 @pandas_udf(TOKENS)
@@ -100,6 +129,19 @@ def json_tokens(bodies: pd.Series) -> pd.Series:
     return bodies.map(of)
 
 
+@pandas_udf(T.StringType())
+def json_problem(bodies: pd.Series) -> pd.Series:
+    """Why a text isn't strict JSON; null if it is."""
+
+    def of(body):
+        try:
+            strict_loads(body or "")
+        except (ValueError, RecursionError) as error:
+            return str(error) if isinstance(error, Refused) else "invalid JSON"
+
+    return bodies.map(of)
+
+
 def at_pointer(tokens: Column, pointer: Column | str) -> Column:
     """The token at a pointer; null if there is none."""
     pointer = F.lit(pointer) if isinstance(pointer, str) else pointer
@@ -110,28 +152,3 @@ def claim_id(*parts: Column) -> Column:
     """Version mark and SHA-256 of a claim's ASCII key parts as a compact JSON array; null parts are null there."""
     quoted = [F.when(p.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), F.regexp_replace(p.cast("string"), r'(["\\])', r"\\$1"), F.lit('"'))) for p in parts]
     return F.concat(F.lit("claim_v1_"), F.sha2(F.concat(F.lit("["), F.concat_ws(",", *quoted), F.lit("]")), 256))
-
-
-def resolve(document, pointer: str):
-    """What stands at an RFC 6901 pointer, containers too; Refused where nothing does."""
-    if pointer == "":
-        return document
-    if not pointer.startswith("/"):
-        raise Refused("JSON pointer must start with /")
-    for name in pointer[1:].split("/"):
-        if re.search("~(?![01])", name):
-            raise Refused("invalid JSON pointer escape")
-        name = name.replace("~1", "/").replace("~0", "~")
-        if isinstance(document, list):
-            if not re.fullmatch("0|[1-9][0-9]*", name):
-                raise Refused("invalid JSON array index")
-            if len(name) > 9 or int(name) >= len(document):
-                raise Refused("JSON pointer not found")
-            document = document[int(name)]
-        elif isinstance(document, dict):
-            if name not in document:
-                raise Refused("JSON pointer not found")
-            document = document[name]
-        else:
-            raise Refused("JSON pointer traverses a scalar")
-    return document

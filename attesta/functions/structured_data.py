@@ -1,4 +1,4 @@
-"""JSON-LD descriptions and visible text of pages, by one Arrow UDF over the standard parser."""
+"""Scripts, visible text and links of pages, by one Arrow UDF over the standard parser."""
 
 from __future__ import annotations
 
@@ -10,230 +10,142 @@ import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from attesta.functions.json_tokens import Number, Refused, strict_loads
+from attesta.functions.json_tokens import Refused, strict_loads
 
-#: Fixed values.
-MOST_SCRIPTS, MOST_SCRIPT, MOST_NODES, MOST_TEXT, MOST_IDENTIFIERS = 32, 65_536, 128, 4_000, 16
-CONTEXTS = {"https://schema.org", "https://schema.org/", "http://schema.org", "http://schema.org/"}
-TYPES = {"Organization", "Corporation"}
-LABELS = {"orgnr", "org.nr", "org.nr.", "organisasjonsnummer", "norwegian organisation number"}
-WEIGHTS = (3, 2, 7, 6, 5, 4, 3, 2)
-BLOCKS = set("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split())
-HIDDEN = {"script", "style", "noscript", "template", "head", "title"}
+#: Elements that set texts apart, and those whose text is never shown.
+BLOCKS = set("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table td th tr ul".split())
+BREAKS, UNSEEN = {"br", "hr"}, {"script", "style", "template"}
+#: Fixed value: characters of a script.
+MOST_SCRIPT = 65_536
 
 
-class _Reader(HTMLParser):
-    def __init__(self, hidden=frozenset(HIDDEN)):
+class _Page(HTMLParser):
+    """What a page says, text by text, each with the innermost block around it; its scripts and declared character sets."""
+
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.text, self.scripts, self.hidden, self.charsets, self.types = [], [], [], [], []
-        self.never, self.anchors, self.open = hidden, [], None
+        self.said: list[tuple[int, str]] = []
+        self.blocks, self.made, self.unseen = [("", 0)], 0, []
+        self.scripts, self.charsets, self.types = [], [], []
 
     def handle_starttag(self, tag, attrs):
         held = dict(attrs)
+        if tag in BREAKS:
+            self.said.append((-1, ""))
+        elif tag in BLOCKS:
+            self.made += 1
+            self.blocks.append((tag, self.made))
+        elif tag in UNSEEN:
+            self.unseen.append(tag)
         if tag == "script":
-            self.scripts.append({"type": (held.get("type") or "").strip().lower(), "src": "src" in held, "text": ""})
+            self.scripts.append({"type": (held.get("type") or "").strip().lower(), "external": "src" in held, "text": ""})
         elif tag == "meta":
-            if "charset" in held:
-                self.charsets.append(held["charset"] or "")
-            if (held.get("http-equiv") or "").lower() == "content-type":
-                self.types.append(held.get("content") or "")
+            self.charsets += [held["charset"] or ""] if "charset" in held else []
+            self.types += [held.get("content") or ""] if (held.get("http-equiv") or "").lower() == "content-type" else []
+
+    def handle_endtag(self, tag):
+        if tag in self.unseen:
+            del self.unseen[self.unseen.index(tag) :]
+        else:
+            opened = [k for k, (name, _) in enumerate(self.blocks) if name == tag]
+            if opened:
+                del self.blocks[opened[-1] :]
+
+    def handle_data(self, data):
+        if self.unseen:
+            if self.unseen[-1] == "script":
+                self.scripts[-1]["text"] += data
+        elif data.strip():
+            self.said.append((self.blocks[-1][1], data.strip()))
+
+    def visible(self) -> str:
+        """Texts of one block are parted by a space, others and those at a line break by a newline."""
+        out, last = [], None
+        for block, text in self.said:
+            if block >= 0:
+                out += ["" if not out else " " if block == last else "\n", text]
+            last = block
+        return "".join(out)
+
+
+class _Words(HTMLParser):
+    """Every element's edge separates words; footers are left out, titles are not.  Links with what they say."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.hidden, self.anchors, self.open = [], [], [], None
+
+    def handle_starttag(self, tag, attrs):
+        held = dict(attrs)
         if tag == "a" and held.get("href") is not None:
             self.open = [held["href"], ""]
             self.anchors.append(self.open)
-        if tag in self.never:
+        if tag in ("script", "style", "noscript", "footer"):
             self.hidden.append(tag)
-        self.text.append("\n" if tag in BLOCKS and tag not in self.never else self.gap)
+        self.text.append(" ")
 
     def handle_endtag(self, tag):
         if tag in self.hidden:
             while self.hidden.pop() != tag:
                 pass
         else:
-            self.text.append("\n" if tag in BLOCKS else self.gap)
+            self.text.append(" ")
         if tag == "a":
             self.open = None
 
-    #: What stands for an inline element's edge in a text.
-    gap = ""
-
     def handle_data(self, data):
-        if self.hidden and self.hidden[-1] == "script":
-            self.scripts[-1]["text"] += data
-        elif not self.hidden:
+        if not self.hidden:
             self.text.append(data)
             if self.open:
                 self.open[1] += data + " "
 
 
-class _Words(_Reader):
-    """Every element's edge separates words; footers are left out, titles are not."""
-
-    gap = " "
-
-    def __init__(self):
-        super().__init__(frozenset({"script", "style", "noscript", "footer"}))
-
-
-def parsed(html: str, reader: _Reader | None = None) -> _Reader:
-    reader = reader or _Reader()
+def parsed(html: str, reader: HTMLParser | None = None):
+    reader = reader or _Page()
     reader.feed(html)
     reader.close()
     return reader
 
 
-def read_page(html: str) -> tuple[str, list[str]]:
-    """Visible text, a line a block, and the JSON-LD scripts."""
-    reader = parsed(html)
-    lines = (" ".join(x.split()) for x in "".join(reader.text).split("\n"))
-    return "\n".join(x for x in lines if x), [s["text"] for s in reader.scripts if s["type"] == "application/ld+json"]
-
-
-def _valid(number) -> str | None:
-    """The digits of a valid organisation number."""
-    found = re.fullmatch(r"(?:NO ?)?([0-9]{9}|[0-9]{3}([\s.\-–—])[0-9]{3}[\s.\-–—][0-9]{3})(?: ?MVA)?", number.strip(), re.I) if isinstance(number, str) and not isinstance(number, Number) else None
-    digits = re.sub(r"\D", "", found[1]) if found else ""
-    check = (11 - sum(int(d) * w for d, w in zip(digits, WEIGHTS)) % 11) % 11 if digits else 10
-    return digits if digits and check != 10 and check == int(digits[8]) else None
-
-
-def _plain(value) -> bool:
-    return isinstance(value, str) and not isinstance(value, Number)
-
-
-def _is_type(value, permitted: set[str]) -> bool:
-    kinds = value if isinstance(value, list) else [value]
-    return bool(kinds) and all(_plain(k) and k in permitted for k in kinds)
-
-
-def _nodes(document) -> list[tuple[dict, str, object]]:
-    """(node, pointer, context of its root) of every typed root and graph item."""
-    roots, out = list(enumerate(document)) if isinstance(document, list) else [(None, document)], []
-    for i, root in roots:
-        if not isinstance(root, dict):
-            raise Refused("unsupported JSON root")
-        at, context, graph = "" if i is None else f"/{i}", root.get("@context"), root.get("@graph", [])
-        if context is not None and not (_plain(context) and context in CONTEXTS):
-            raise Refused("unsupported root literal context")
-        if not isinstance(graph, list):
-            raise Refused("graph must be a literal array")
-        if not all(isinstance(n, dict) for n in graph):
-            raise Refused("graph item must be an object")
-        out += [(root, at, context)] if "@type" in root else []
-        out += [(n, f"{at}/@graph/{k}", context) for k, n in enumerate(graph)]
-        if max(len(out), len(roots)) > MOST_NODES:
-            raise Refused("structured node capacity exceeded")
-    return out
-
-
-def _same_name(a, b: str) -> bool:
-    fold = lambda x: " ".join(x.split()).casefold()
-    return _plain(a) and b.strip() != "" and fold(a) == fold(b)
-
-
-def _check_identity(node: dict, number: str, name: str) -> None:
-    if not _same_name(node.get("legalName" if "legalName" in node else "name"), name):
-        raise Refused("exact legal name not established")
-    stated = 0
-    for key in ("vatID", "taxID"):
-        if key in node:
-            if not _plain(node[key]) or not re.match(r"NO\s*[0-9]", node[key].strip(), re.I):
-                raise Refused("Norwegian VAT country prefix missing")
-            if _valid(node[key]) != number:
-                raise Refused("VAT subject differs or is invalid")
-            stated += 1
-    items = node.get("identifier", [])
-    items = items if isinstance(items, list) else [items]
-    if len(items) > MOST_IDENTIFIERS:
-        raise Refused("identifier capacity exceeded")
-    for item in items:
-        label = item.get("propertyID") if isinstance(item, dict) else None
-        if not _plain(label) or " ".join(label.split()).casefold() not in LABELS:
-            continue
-        if "@context" in item and not (_plain(item["@context"]) and item["@context"] in CONTEXTS) or not _is_type(item.get("@type"), {"PropertyValue"}):
-            raise Refused("unsupported identifier vocabulary/type")
-        if _valid(item.get("value")) != number:
-            raise Refused("labelled organisation subject differs or is invalid")
-        stated += 1
-    if not stated:
-        raise Refused("explicit Norwegian identifier not established")
-
-
-def _description(node: dict, context) -> str:
-    if not (_plain(own := node.get("@context", context)) and own in CONTEXTS):
-        raise Refused("unsupported literal context")
-    if not _is_type(node.get("@type"), TYPES):
-        raise Refused("unsupported literal organization type")
-    return node.get("description")
-
-
-def descriptions(html: str, name: str, number: str) -> tuple[list[tuple[int, str, str]], list[str]]:
-    """(script, pointer, text) of each description of the named and numbered organisation, and why other candidates are refused."""
-    found, refused = [], []
-    scripts = parsed(html).scripts
-    if len(scripts) > MOST_SCRIPTS:
-        return [], ["structured script capacity exceeded"]
-    if _valid(number) is None:
-        return [], ["invalid target organisation number"]
-    number = _valid(number)
-    for k, script in enumerate(scripts):
-        if script["type"] != "application/ld+json":
-            continue
-        try:
-            if script["src"]:
-                raise Refused("external script is not embedded data")
-            if not script["text"] or len(script["text"]) > MOST_SCRIPT:
-                raise Refused("structured script missing or too large")
-            nodes = _nodes(strict_loads(script["text"]))
-        except (ValueError, RecursionError) as error:
-            refused.append(str(error) if isinstance(error, Refused) else "invalid JSON")
-            continue
-        for node, at, context in nodes:
-            try:
-                text = _description(node, context)
-                _check_identity(node, number, name)
-                if not _plain(text) or not text.strip() or len(text) > MOST_TEXT or any(ord(c) < 32 and c not in "\t\r\n" for c in text):
-                    raise Refused("description must be a bounded nonempty literal text")
-                found.append((k, f"{at}/description", text))
-            except Refused as error:
-                refused.append(str(error))
-    return found, refused
-
-
 def _utf8_only(content_type: str) -> bool:
     kind, *parts = [p.strip() for p in content_type.split(";")]
     charsets = [p.split("=", 1)[1].strip().strip("\"'").lower() for p in parts if p.lower().startswith("charset") and "=" in p]
     return kind.lower() == "text/html" and len(charsets) <= 1 and all(c in ("utf-8", "utf8") for c in charsets)
 
 
-PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("scripts", T.ArrayType(T.StringType()))])
-CANDIDATE = T.StructType([T.StructField("script", T.IntegerType()), T.StructField("pointer", T.StringType()), T.StructField("text", T.StringType())])
-FOUND = T.StructType([T.StructField("found", T.ArrayType(CANDIDATE)), T.StructField("refused", T.ArrayType(T.StringType())), T.StructField("visible", T.StringType()), T.StructField("problem", T.StringType())])
+SCRIPT = T.StructType([T.StructField("index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("problem", T.StringType())])
+PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("count", T.IntegerType()), T.StructField("scripts", T.ArrayType(SCRIPT)), T.StructField("problem", T.StringType())])
+
+
+def page_of(html: str) -> dict:
+    """A page's visible text, number of scripts, JSON-LD scripts with what is wrong with each, and what is wrong with the page as a whole."""
+    html = html.removeprefix("﻿")
+    reader, end = parsed(html), re.search(r"</html\s*>", html, re.I)
+    problem = None
+    if end and html[end.end() :].strip():
+        problem = "HTML has unsupported trailing content after closed document"
+    elif any(c.lower() not in ("utf-8", "utf8") for c in reader.charsets):
+        problem = "HTML embedded charset differs from declared UTF8 representation"
+    elif not all(map(_utf8_only, reader.types)):
+        problem = "HTML requires unambiguous text/html UTF8 representation"
+
+    def wrong(script) -> str | None:
+        if script["external"]:
+            return "external script is not embedded data"
+        if not 0 < len(script["text"]) <= MOST_SCRIPT:
+            return "structured script missing or too large"
+        try:
+            strict_loads(script["text"])
+        except (ValueError, RecursionError) as error:
+            return str(error) if isinstance(error, Refused) else "invalid JSON"
+
+    scripts = [{"index": k, "text": s["text"], "problem": wrong(s)} for k, s in enumerate(reader.scripts) if s["type"] == "application/ld+json"]
+    return {"text": reader.visible(), "count": len(reader.scripts), "scripts": scripts, "problem": problem}
 
 
 @pandas_udf(PAGE)
 def page_content(html: pd.Series) -> pd.DataFrame:
-    rows = [read_page(x or "") for x in html]
-    return pd.DataFrame(rows, columns=["text", "scripts"])
-
-
-@pandas_udf(FOUND)
-def organisation_descriptions(html: pd.Series, name: pd.Series, number: pd.Series) -> pd.DataFrame:
-    """Candidates, refusals, the visible text, and what is wrong with the document as a whole."""
-
-    def of(page: str | None, who: str | None, key: str | None):
-        page = (page or "").removeprefix("﻿")
-        found, refused = descriptions(page, who or "", key or "")
-        end, reader = re.search(r"</html\s*>", page, re.I), parsed(page)
-        problem = None
-        if end and page[end.end() :].strip():
-            problem = "HTML has unsupported trailing content after closed document"
-        elif any(c.lower() not in ("utf-8", "utf8") for c in reader.charsets):
-            problem = "HTML embedded charset differs from declared UTF8 representation"
-        elif not all(map(_utf8_only, reader.types)):
-            problem = "HTML requires unambiguous text/html UTF8 representation"
-        return [dict(zip(("script", "pointer", "text"), f)) for f in found], refused, read_page(page)[0], problem
-
-    return pd.DataFrame([of(*x) for x in zip(html, name, number)], columns=["found", "refused", "visible", "problem"])
+    return pd.DataFrame([page_of(x or "") for x in html], columns=PAGE.names)
 
 
 def cleaned(html: str) -> str:

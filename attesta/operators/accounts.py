@@ -19,7 +19,6 @@ from pyspark.sql.functions import pandas_udf
 
 from attesta.functions.json_tokens import Number, canonical, strict_loads
 from attesta.functions.numbers import canonical_text
-from attesta.functions.structured_data import _valid as valid_number
 
 #: Where each amount stands in a record.
 AMOUNTS = {
@@ -56,6 +55,19 @@ def _string(value) -> str | None:
     return value if isinstance(value, str) and not isinstance(value, Number) else None
 
 
+#: Weights of the check digit.
+_WEIGHTS = (3, 2, 7, 6, 5, 4, 3, 2)
+_FORMAT = re.compile(r"(?:NO ?)?([0-9]{9}|[0-9]{3}([\s.\-–—])[0-9]{3}[\s.\-–—][0-9]{3})(?: ?MVA)?", re.I)
+
+
+def valid_number(stated: str) -> str | None:
+    """The digits of a valid organisation number."""
+    found = _FORMAT.fullmatch(stated.strip())
+    digits = re.sub(r"\D", "", found[1]) if found else "0" * 9
+    check = -sum(int(d) * w for d, w in zip(digits, _WEIGHTS)) % 11
+    return digits if found and check == int(digits[8]) else None
+
+
 def _day(text: str | None) -> str | None:
     """A real ISO date, else null."""
     try:
@@ -83,19 +95,21 @@ def _picked(position: int, pointer: str, record, org: str) -> dict:
     }
 
 
+def picked(document, org: str) -> list[dict]:
+    """What is needed of each record of a document, in order, as the organisation's."""
+    listed = isinstance(document, list)
+    return [_picked(i, f"/{i}" if listed else "", r, org) for i, r in enumerate(document if listed else [document])]
+
+
 @pandas_udf(RECORD)
 def picked_records(bodies: pd.Series, orgs: pd.Series) -> pd.Series:
-    """What is needed of each record of a document, in order, as the organisation's; null for what strict JSON doesn't allow."""
+    """The picked records of each body; null for what strict JSON doesn't allow."""
 
     def of(body, org):
-        if body is None:
-            return None
         try:
-            document = strict_loads(body)
+            return None if body is None else picked(strict_loads(body), org)
         except (ValueError, RecursionError):
             return None
-        listed = isinstance(document, list)
-        return [_picked(i, f"/{i}" if listed else "", r, org) for i, r in enumerate(document if listed else [document])]
 
     return pd.Series([of(b, o) for b, o in zip(bodies, orgs)])
 

@@ -11,58 +11,97 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
-from attesta.functions.json_tokens import Number, strict_loads
+from attesta.functions.json_tokens import at_pointers, json_problem, strict_loads
+from attesta.functions.rules import at, kind, whole
 from attesta.functions.text import subject_ids
-from attesta.operators.metrics import page_consistency
-from attesta.operators.support import _generic, _subunit, dumped, intact
-
-_text = lambda name: T.StructField(name, T.StringType())
-PAGE = T.StructType(
-    [T.StructField(c, T.LongType()) for c in ("number", "size", "total_elements", "total_pages", "rows")]
-    + [T.StructField("records", T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), _text("item"), _text("parent"), _text("value"), _text("error")])))]
-)
-
-
-@pandas_udf(PAGE)
-def subunit_page(bodies: pd.Series) -> pd.DataFrame:
-    """Page numbers and normalised records of a collection page; numbers are null where they are no whole numbers."""
-
-    def whole(x):
-        return int(x) if isinstance(x, Number) and x.isdigit() and len(x) < 10 else None
-
-    def record(i, raw):
-        try:
-            value = _subunit(_generic(raw))
-            return {"position": i, "item": value["orgnr"], "parent": value["parent_orgnr"], "value": dumped(value), "error": None}
-        except (ValueError, TypeError) as error:
-            return {"position": i, "item": None, "parent": None, "value": None, "error": str(error)}
-
-    def of(body):
-        try:
-            document = strict_loads(body or "")
-        except (ValueError, RecursionError):
-            return None, None, None, None, None, []
-        document = document if isinstance(document, dict) else {}
-        page, inner = document.get("page"), document.get("_embedded", {})
-        page = page if isinstance(page, dict) else {}
-        listed = inner.get("underenheter", []) if isinstance(inner, dict) else []
-        listed = listed if isinstance(listed, list) else []
-        return *(whole(page.get(k)) for k in ("number", "size", "totalElements", "totalPages")), len(listed), [record(i, r) for i, r in enumerate(listed)]
-
-    return pd.DataFrame([of(b) for b in bodies], columns=PAGE.names)
-
-
-def subunits(pages: DataFrame, key: str, parent: str, body: str) -> tuple[DataFrame, DataFrame]:
-    """Supported subunits (key, item, value, state), and of each collection whether its pages add up (key, pages, rows, state).
-
-    ``key`` names a collection, ``parent`` the organisation that it was asked for.  A
-    record of another parent, or one that its rule refuses, isn't supported; of one
-    item that several pages hold, equal records count once, others are in conflict.
+from attesta.operators.registry_values import subunit
+from attesta.operators.support import _plain, intact
+from attesta.sources.workspace import kept
+
+#: How an acquisition that failed leaves its collection.
+REFUSED_ACCESS, GONE = ("blocked", "robots_denied", "rate_limited"), (404, 410)
+
+
+def _pages(pages: DataFrame, key: str, page_size: int) -> DataFrame:
+    """Each retained page with what it holds and the first rule that it breaks, ``before`` its records are read or ``after``."""
+    doc = pages.withColumn("_bad", json_problem("body")).withColumn("_doc", F.when(F.col("_bad").isNull(), F.try_parse_json(F.regexp_replace("body", "^\ufeff", ""))))
+    inner, number = at(F.col("_doc"), "_embedded"), lambda name: whole(at(F.col("_doc"), f"page.{name}"))
+    units = F.try_variant_get(at(F.col("_doc"), "_embedded.underenheter"), "$", "array<variant>")
+    empty = F.array().cast("array<variant>")
+    listed = F.when(kind(F.col("_doc")) == "OBJECT", F.when(inner.isNull(), empty).when(kind(inner) == "OBJECT", F.when(at(F.col("_doc"), "_embedded.underenheter").isNull(), empty).otherwise(units)))
+    doc = doc.withColumns({"units": listed, "said": number("number"), "size": number("size"), "elements": number("totalElements"), "total": number("totalPages")})
+    n = F.size("units")
+    wanted = F.when(F.col("elements") == 0, F.col("total").isin(0, 1)).otherwise(F.col("total") == F.ceil(F.col("elements") / F.col("size")))
+    failed = lambda why: F.struct(F.lit("failed").alias("state"), F.lit(why).alias("reason"))
+    lost = F.when(F.col("http_status").isin(*GONE), "not_available").when(F.col("access_status").isin(*REFUSED_ACCESS), "blocked").otherwise("failed")
+    before = (
+        F.when(~F.coalesce(F.col("access_status") == "success", F.lit(False)), F.struct(lost.alias("state"), F.coalesce("error_detail", F.lit("Subunit page acquisition failed.")).alias("reason")))
+        .when(F.col("units").isNull(), failed("Subunit response schema/JSON invalid."))
+        .when((n > page_size) | (F.col("size") > page_size), failed("Response exceeds configured subunit page size."))
+    )
+    good = (F.col("said") == F.col("number")) & (F.col("size") > 0) & (F.col("total") >= 0) & (F.col("elements") >= 0)
+    after = F.when(~F.coalesce(good, F.lit(False)), failed("Subunit pagination metadata invalid.")).when(~((n <= F.col("size")) & wanted), failed("Subunit page counts are inconsistent."))
+    return doc.withColumns({"before": before, "after": after}).drop("_doc", "_bad")
+
+
+def subunits(pages: DataFrame, key: str, parent: str, most_pages: int = 20, page_size: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The walk over each collection's retained pages in order, up to the first that fails: (found, refused, collections).
+
+    pages: ``key``, which names a collection, ``parent``, the organisation that it
+    was asked for, number (from 0), access_status, http_status, error_detail and body.
+    found (key, number, position, item, value): supported records, those in front of
+    a failure included.  refused (key, number, position, reason): records that their
+    rule refuses, that are another parent's, or whose item was seen before; one that
+    says something else than the one before is found as well.  collections (key,
+    pages, rows, found, refused, state, reason, completeness), state being available,
+    not_available, ambiguous, blocked or failed.
+
+    At most ``most_pages`` pages of a collection are walked, so that is what a window
+    over them holds.  Rows: of pages of one number the first by content counts;
+    a page that isn't there ends the walk; an empty table gives empty tables.
     """
-    read = pages.select(key, F.col(parent).alias("_asked"), subunit_page(body).alias("p")).select(key, "_asked", "p.*")
-    own = read.select(key, "_asked", "number", F.inline("records")).filter(F.col("error").isNull() & (F.col("_asked") == F.col("parent")))
-    found = own.groupBy(key, "item").agg(F.min_by("value", F.struct("number", "position")).alias("value"), F.when(F.min("value") == F.max("value"), "supported").otherwise("conflict").alias("state"))
-    return found, page_consistency(read, key)
+    order = Window.partitionBy(key).orderBy("number", "access_status", "body")
+    once = pages.filter(F.col("number").between(0, most_pages - 1)).withColumn("_again", F.coalesce(F.lag("number").over(order) == F.col("number"), F.lit(False))).filter("NOT _again").drop("_again")
+    made = _pages(once, key, page_size)
+    ordered = Window.partitionBy(key).orderBy("number")
+    totals = F.struct("elements", "total", "size")
+    changed = F.lag(totals).over(ordered) != totals
+    end = F.coalesce(
+        "before",
+        "after",
+        F.when(changed, F.struct(F.lit("ambiguous").alias("state"), F.lit("Subunit pagination changed during acquisition.").alias("reason"))),
+        F.when(F.col("number") + 1 >= F.col("total"), F.struct(F.lit("last").alias("state"), F.lit(None).cast("string").alias("reason"))),
+    )
+    walked = made.withColumn("end", end).withColumn("_row", F.row_number().over(ordered) - 1)
+    ended = F.count_if(F.col("end").isNotNull() | (F.col("_row") != F.col("number"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    walked = kept(walked.filter(F.col("_row") == F.col("number")).withColumn("_ended", ended).filter(F.coalesce("_ended", F.lit(0)) == 0).drop("_ended", "_row", "body"), "walked-pages")
+
+    records = walked.filter("before IS NULL").select(key, F.col(parent).alias("_asked"), "number", F.posexplode("units").alias("position", "_record"))
+    records = records.withColumn("_unit", subunit(F.col("_record")))
+    foreign = F.when(~F.col("_unit.parent").eqNullSafe(F.col("_asked")), F.lit("subunit record belongs to another parent"))
+    records = records.select(key, "number", "position", "_unit.item", "_unit.value", F.coalesce("_unit.error", foreign).alias("reason"))
+    before = F.lag("value").over(Window.partitionBy(key, "item").orderBy("number", "position"))
+    sound = records.filter("reason IS NULL").withColumn("_before", before)
+    found = sound.filter("_before IS NULL OR _before <> value").select(key, "number", "position", "item", "value")
+    repeated = sound.filter("_before IS NOT NULL").select(key, "number", "position", F.lit("Repeated subunit across pagination.").alias("reason"))
+    refused = records.filter("reason IS NOT NULL").select(key, "number", "position", "reason").unionByName(repeated)
+
+    sums = walked.groupBy(key).agg(F.count("*").alias("pages"), F.sum(F.when(F.coalesce(F.col("end.state") != "failed", F.lit(True)) | F.col("before").isNull(), F.size("units")).otherwise(0)).alias("rows"), F.max_by("end", "number").alias("end"), F.max("elements").alias("elements"))
+    counts = found.groupBy(key).agg(F.count("*").alias("found")).join(refused.groupBy(key).agg(F.count("*").alias("refused")), key, "full_outer")
+    every = pages.select(key).distinct().join(sums, key, "left").join(counts, key, "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    whole_ = (F.col("end.state") == "last") & (n("rows") == F.col("elements")) & (n("refused") == 0)
+    outcome = lambda state, why: F.struct(F.lit(state).alias("state"), F.lit(why).alias("reason"))
+    end = (
+        F.when(F.col("pages").isNull(), outcome("blocked", "Subunit pages aren't retained."))
+        .when(whole_, F.struct(F.when(n("found") > 0, "available").otherwise("not_available").alias("state"), F.lit("All reported subunit pages traversed and parent mappings validated.").alias("reason")))
+        .when(F.col("end.state") == "last", outcome("ambiguous", "Subunit collection incomplete or rejected records."))
+        .when(F.col("end").isNotNull(), F.col("end"))
+        .when(F.col("pages") == most_pages, outcome("blocked", "Configured subunit page limit reached."))
+        .otherwise(outcome("blocked", "Subunit pages aren't retained."))
+    )
+    completeness = F.when(F.coalesce(whole_, F.lit(False)), "complete").when(F.col("pages").isNull(), "unknown").otherwise("partial")
+    return found, refused, every.select(key, n("pages").alias("pages"), n("rows").alias("rows"), n("found").alias("found"), n("refused").alias("refused"), end["state"].alias("state"), end["reason"].alias("reason"), completeness.alias("completeness"))
 
 
 #: Registers whose dates are events.
@@ -182,12 +221,11 @@ def bundle_problems(inputs: DataFrame, results: DataFrame, used: DataFrame, memb
 @pandas_udf(T.StringType())
 def pointer_result(bodies: pd.Series, pointers: pd.Series) -> pd.Series:
     """The canonical JSON of what stands at a pointer, containers too, or "! " and why nothing does."""
-    from attesta.functions.json_tokens import resolve
-
     def of(body, pointer):
         try:
-            return json.dumps(_generic(resolve(strict_loads(body or ""), pointer or "")), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+            value, why = at_pointers(strict_loads(body or ""), [pointer or ""])[0]
         except (ValueError, RecursionError) as error:
-            return f"! {error}"
+            why = str(error)
+        return f"! {why}" if why else json.dumps(_plain(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
     return pd.Series([of(b, p) for b, p in zip(bodies, pointers)])

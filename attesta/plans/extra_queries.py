@@ -179,14 +179,15 @@ def display_values(spark, sf_dir):
 
 @query(
     "visible_text",
-    rf"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<head\b.*?</head>|<style\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS x FROM pages),
-         b AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</?(?:{"|".join(sorted(structured_data.BLOCKS, key=len, reverse=True))})(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM t),
+    rf"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', chr(1), 'g'), '(?s)<!--.*?-->', chr(1), 'g') AS x FROM pages),
+         b AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</?(?:br|hr|{"|".join(sorted(structured_data.BLOCKS, key=len, reverse=True))})(?:\s[^>]*)?/?>', chr(2), 'g'), '<[^>]*>', chr(1), 'g') AS x FROM t),
          u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS x FROM b),
-         l AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> ''), chr(10)) AS text FROM u)
+         s AS (SELECT page_id, list_transform(string_split(x, chr(2)), lambda l: array_to_string(list_filter(list_transform(string_split(l, chr(1)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> ''), ' ')) AS l FROM u),
+         l AS (SELECT page_id, array_to_string(list_filter(l, lambda s: s <> ''), chr(10)) AS text FROM s)
          SELECT page_id, length(text) AS chars, 0 AS scripts, sha256(text) AS text_sha256 FROM l""",
 )
 def visible_text(spark, sf_dir):
-    """Visible text of every whole page, a line a block, and its JSON-LD scripts."""
+    """Visible text of every whole page: texts of one block parted by a space, others by a newline; and its JSON-LD scripts."""
     rows = read(spark, sf_dir, "pages").select("page_id", structured_data.page_content("html").alias("c"))
     return rows.select("page_id", F.length("c.text").cast("long").alias("chars"), F.size("c.scripts").alias("scripts"), F.sha2("c.text", 256).alias("text_sha256"))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.functions import net, structured_data, web
+from attesta.functions import net, web
 from attesta.functions.names import host_of
 from attesta.functions.text import guessed_name
-from attesta.operators import matching, publication, registry_scans, support
+from attesta.operators import jsonld, matching, publication, registry_scans, support
 from attesta.plans.registry import epoch_us, query, read
 from attesta.plans.support_queries import ORGS
 from attesta.sources import readers, sinks
@@ -65,17 +65,27 @@ def _pages(spark, sf_dir):
     first = F.concat(unit(0), F.lit(","), unit(1, F.when(k % 7 == 0, "958973306").otherwise(PARENT)), F.lit(","), unit(2))
     second = F.when(k % 3 == 0, unit(0)).otherwise("")
     body = F.concat(F.lit('{"_embedded":{"underenheter":['), F.when(c("n") == 0, first).otherwise(second), F.lit(']},"page":{"number":'), c("n").cast("string"), F.lit(',"size":3,"totalElements":'), total, F.lit(',"totalPages":'), F.when(k % 3 == 0, "2").otherwise("1"), F.lit("}}"))
-    return pages.filter((c("n") == 0) | (k % 3 == 0)).select(F.concat_ws("/", "org", k.cast("string")).alias("parent_key"), "org", "c_custkey", body.alias("body"))
+    return pages.filter((c("n") == 0) | (k % 3 == 0)).select("c_custkey", "org", c("n").alias("number"), F.lit("success").alias("access_status"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error_detail"), body.alias("body"))
 
 
 @query(
     "registry_subunits",
-    """SELECT c_custkey, CAST(CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 3 END AS BIGINT) AS supported, CASE WHEN c_custkey % 5 = 0 THEN 'incomplete' ELSE 'complete' END AS state FROM customer""",
+    """WITH made AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 9 WHEN c_custkey % 3 = 0 THEN 4 ELSE 3 END AS elements, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS total FROM customer),
+         page AS (SELECT k, n, elements, total, 3 AS size, CASE n WHEN 0 THEN 3 ELSE 1 END AS units FROM made, range(0, 2) AS p(n) WHERE n < total),
+         judged AS (SELECT *, (elements + size - 1) // size <> total AS broken FROM page),
+         walked AS (SELECT *, coalesce(bool_or(broken) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM judged),
+         unit AS (SELECT k, n, i, CASE WHEN n = 1 THEN 0 ELSE i END AS item, k % 7 = 0 AND n = 0 AND i = 1 AS foreign_ FROM walked, range(0, 3) AS u(i) WHERE NOT ended AND i < units),
+         kept AS (SELECT *, row_number() OVER (PARTITION BY k, item, foreign_ ORDER BY n, i) > 1 AS again FROM unit),
+         counts AS (SELECT k, count(*) FILTER (NOT foreign_ AND NOT again) AS supported, count(*) FILTER (foreign_ OR again) AS refused FROM kept GROUP BY k),
+         ends AS (SELECT k, count(*) AS pages, sum(units) AS rows, any_value(elements) AS elements, bool_or(broken) AS broken FROM walked WHERE NOT ended GROUP BY k)
+       SELECT k AS c_custkey, pages, CAST(rows AS BIGINT) AS rows, supported, refused, CASE WHEN broken THEN 'failed' WHEN rows <> elements OR refused > 0 THEN 'ambiguous' ELSE 'available' END AS state,
+              CASE WHEN broken THEN 'Subunit page counts are inconsistent.' WHEN rows <> elements OR refused > 0 THEN 'Subunit collection incomplete or rejected records.' ELSE 'All reported subunit pages traversed and parent mappings validated.' END AS reason,
+              CASE WHEN NOT broken AND rows = elements AND refused = 0 THEN 'complete' ELSE 'partial' END AS completeness FROM ends JOIN counts USING (k)""",
 )
 def registry_subunits(spark, sf_dir):
-    """Supported records and whether the pages add up."""
-    found, whole = registry_scans.subunits(_pages(spark, sf_dir), "c_custkey", "org", "body")
-    return found.filter("state = 'supported'").groupBy("c_custkey").agg(F.count("*").alias("supported")).join(whole.select("c_custkey", "state"), "c_custkey")
+    """The walk over collections' pages: what is supported and refused, and how each collection ends."""
+    collections = registry_scans.subunits(_pages(spark, sf_dir), "c_custkey", "org", page_size=3)[2]
+    return collections.withColumnRenamed("found", "supported")
 
 
 @query(
@@ -214,9 +224,8 @@ def jsonld_descriptions(spark, sf_dir):
         F.lit('","description":'), quoted(F.concat(F.lit("We sell "), c("c_mktsegment"))), F.lit("}"),
     )
     html = F.concat(F.lit('<html><script type="application/ld+json">'), node, F.lit("</script></html>"))
-    rows = read(spark, sf_dir, "customer").select("c_custkey", structured_data.organisation_descriptions(html, "c_name", F.lit("971277025")).alias("d"))
-    first = F.get("d.found", F.lit(0))
-    return rows.select("c_custkey", F.when(F.size("d.found") > 0, F.concat_ws(" ", first["pointer"], first["text"])).otherwise(F.concat(F.lit("! "), F.get("d.refused", F.lit(0)))).alias("found"))
+    rows = jsonld.descriptions(read(spark, sf_dir, "customer"), "c_custkey", html, c("c_name"), F.lit("971277025"))
+    return rows.select("c_custkey", F.when(c("reason").isNull(), F.concat_ws(" ", "pointer", "text")).otherwise(F.concat(F.lit("! "), c("reason"))).alias("found"))
 
 
 @query(

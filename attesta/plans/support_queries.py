@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from attesta.functions.rules import as_object, quoted
 from attesta.operators import support
-from attesta.operators.support import as_object, quoted
-from attesta.plans.registry import query, read
+from attesta.plans.registry import ORACLES, query, read
+from attesta.sources.captures import CaptureStore
+from attesta.sources.workspace import shared_folder
 
 ORGS = ["982463718", "971277025", "923609016", "960514718", "958973306"]
 AT = "2024-05-01T10:00:00+00:00"
@@ -163,6 +167,10 @@ def statement_support(spark, sf_dir):
 )
 def amount_support(spark, sf_dir):
     """The exact amount of the retained token, its qualifiers and its display."""
+    return _amount_claims(spark, sf_dir)
+
+
+def _amount_claims(spark, sf_dir, **more):
     c, fault, text = F.col, F.col("_fault"), lambda x: quoted(F.lit(x))
     token = c("c_acctbal").cast("decimal(18,2)").cast("string")
     plain = F.regexp_replace(F.regexp_replace(token, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
@@ -171,10 +179,20 @@ def amount_support(spark, sf_dir):
     return _accounts(
         spark, sf_dir, "a", 10, kind="json_number", raw=F.when(fault == 6, F.concat(token, F.lit("0"))).otherwise(token), display=display, value=F.when(fault == 8, quoted(F.concat(plain, F.lit("1")))).otherwise(quoted(plain)), f_category=F.lit("financials"),
         f_field=F.lit("total_assets"), f_unit=F.lit(support.AMOUNT_UNIT), f_currency=F.lit("NOK"), e_pointer=F.when(fault == 9, "/0/egenkapitalGjeld/gjeldOversikt/sumGjeld").otherwise("/0/eiendeler/sumEiendeler"), e_record_pointer=F.lit("/0"), e_record_id=(c("c_custkey") + 1).cast("string"),
-        e_extraction_rule=F.when(fault == 2, "other").otherwise(support.AMOUNT_RULE),
+        e_extraction_rule=F.when(fault == 2, "other").otherwise(support.AMOUNT_RULE), **more,
     )
 
 
+@query("stored_support", ORACLES["amount_support"])
+def stored_support(spark, sf_dir):
+    """The same from a store of captures: added twice, read bucket by bucket."""
+    tables = _amount_claims(spark, sf_dir, tables_only=True)
+    store = CaptureStore(spark, f"captures_{uuid.uuid4().hex}", f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}", buckets=8)
+    for _ in range(2):
+        store.add(*tables[3:])
+    return support.check_support(*tables[:3], store.captures(), store.bodies())
+
+
 def amount_tables(spark, sf_dir):
     """facts, sources, evidence, captures and blobs of one amount a customer, with seven kinds of faults."""
     c, fault, text = F.col, F.col("_fault") - 100, lambda x: quoted(F.lit(x))

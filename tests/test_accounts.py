@@ -49,19 +49,6 @@ def test_url_policy_and_addresses(spark):
     assert [net.unsafe_address(x) for x in ("8.8.8.8", "10.1.1.1", "100.64.0.1", "::1", "2001:4860:4860::8888", "x", None)] == [False, True, True, True, False, True, True]
 
 
-def test_structured_data():
-    node = {"@context": "https://schema.org", "@type": "Organization", "legalName": "X as", "vatID": "NO 971277025 MVA", "description": " About  us "}
-    page = lambda *nodes: "<html><body><p>a<b>b</b></p><div>c</div><script>x</script>" + "".join(f'<script type="application/ld+json">{json.dumps(n)}</script>' for n in nodes)
-    assert structured_data.descriptions(page(node), "X AS", ORG) == ([(1, "/description", " About  us ")], [])
-    listed = {"@context": "https://schema.org", "@graph": [{"@type": "Person"}, node | {"identifier": [{"@type": "PropertyValue", "propertyID": "Org.nr", "value": ORG}]}]}
-    assert structured_data.descriptions(page([listed]), "X AS", ORG) == ([(1, "/0/@graph/1/description", " About  us ")], ["unsupported literal organization type"])
-    bad = [{"legalName": "Y"}, {"vatID": "971277025"}, {"vatID": "NO 982463718"}, {"description": "x" * 5000}, {"@type": "Thing"}, {"@context": {"x": 1}}, {"vatID": "NO971277025", "identifier": {"propertyID": "orgnr", "@type": "PropertyValue", "value": "982463718"}}]
-    assert structured_data.descriptions(page(*(node | b for b in bad)), "X AS", ORG) == ([], ["exact legal name not established", "Norwegian VAT country prefix missing", "VAT subject differs or is invalid", "description must be a bounded nonempty literal text", "unsupported literal organization type", "unsupported root literal context", "labelled organisation subject differs or is invalid"])
-    del node["vatID"]
-    assert structured_data.descriptions(page(node), "X AS", ORG)[1] == ["explicit Norwegian identifier not established"] and structured_data.descriptions(page(node), "X AS", "1")[1] == ["invalid target organisation number"]
-    assert structured_data.read_page(page())[0] == "ab\nc" and structured_data.cleaned("<title>t</title><p>a<b>b</b>&amp;<script>x</script><footer>f</footer>c") == "t a b & c"
-
-
 def test_text(spark):
     said = "Org.nr: 971 277 025. Our customer has org nr 982463718; VAT NO 923609016"
     page = '<a href="stilling/1#a">Utvikler s\u00f8kes</a><a href="/a/stilling/1">again same</a><a href="/om">About us</a><a href="/jobs?x=/om">Les om stillingen \u201cRen \u00d8ker\u201d her</a><a href="mailto:jobs">write us</a><a href="//b.no/r.pdf#p">pdf</a><a href="https://www.x.no/y#z">Y</a>'
