@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
@@ -51,23 +52,72 @@ def previous_as_of(runs: DataFrame, key: str) -> DataFrame:
     had come when it started).  A predecessor started no later, and was published
     before the cutoff, or if unpublished was completed before the start.  Of
     several the last started one counts, then the last published, then the largest
-    run_id.  The runs of a key stream by start; only their numbers are kept.
+    run_id.  The runs of a key stream by start; of earlier ones only those are kept
+    that no later one can stand in for, in order, so that a bisection finds the one
+    that counts.
     """
     rows = runs.select(key, "started_at", "run_id", "completed_at", "sequence", "cutoff")
-
-    def of_key(group):
-        earlier: list[tuple] = []
-        for start, same in groupby(group, key=lambda r: r[1]):
-            same = list(same)
-            earlier += sorted(((start, -1 if r[4] is None else r[4], r[2], r[3], r[4]) for r in same), key=lambda r: r[:3])
-            for name, _, run, _, _, cutoff in same:
-                for _, _, other, completed, sequence in reversed(earlier):
-                    if other != run and (completed is not None and completed < start if sequence is None else cutoff is not None and sequence < cutoff):
-                        yield name, run, other
-                        break
-
     schema = T.StructType([runs.schema[key], T.StructField("run_id", runs.schema["run_id"].dataType), T.StructField("prev_run", runs.schema["run_id"].dataType)])
-    return in_order(rows.filter("started_at IS NOT NULL"), [key], ["started_at", "run_id"], schema, of_key)
+    return in_order(rows.filter("started_at IS NOT NULL"), [key], ["started_at", "run_id"], schema, _predecessors)
+
+
+class _Latest:
+    """Finds the last added entry below a limit: an entry goes when a later one is no higher, so heights rise."""
+
+    def __init__(self):
+        self.heights, self.entries = [], []
+
+    def add(self, height, entry) -> None:
+        at = bisect_left(self.heights, height)
+        del self.heights[at:], self.entries[at:]
+        self.heights.append(height)
+        self.entries.append(entry)
+
+    def below(self, limit):
+        at = bisect_left(self.heights, limit)
+        return self.entries[at - 1] if at else None
+
+
+class _Earliest:
+    """The same with entries added from the last to the first: one goes in only if it is lower than all before."""
+
+    def __init__(self):
+        self.heights, self.entries = [], []
+
+    def add(self, height, entry) -> None:
+        if not self.heights or height < self.heights[-1]:
+            self.heights.append(height)
+            self.entries.append(entry)
+
+    def below(self, limit):
+        at = bisect_left(self.heights, True, key=lambda h: h < limit)
+        return self.entries[at] if at < len(self.heights) else None
+
+
+def _predecessors(group):
+    """(key, run, predecessor) of the runs of one key, by start."""
+    published, finished, place = _Latest(), _Latest(), 0
+    for start, same in groupby(group, key=lambda r: r[1]):
+        same = sorted(same, key=lambda r: (-1 if r[4] is None else r[4], r[2]))
+        numbered = [(place + k, *r) for k, r in enumerate(same)]
+        place += len(same)
+        # runs behind a run in its own start's order come first, then those in front of it
+        behind, late, early = [], _Earliest(), _Earliest()
+        for run in reversed(numbered):
+            behind.append(max(filter(None, (late.below(run[6]) if run[6] is not None else None, early.below(start))), default=None))
+            if run[5] is not None:
+                late.add(run[5], (run[0], run[3]))
+            elif run[4] is not None:
+                early.add(run[4], (run[0], run[3]))
+        for run, after in zip(numbered, reversed(behind)):
+            front = max(filter(None, (published.below(run[6]) if run[6] is not None else None, finished.below(start))), default=None)
+            found = after or front
+            if found:
+                yield run[1], run[3], found[1]
+            if run[5] is not None:
+                published.add(run[5], (run[0], run[3]))
+            elif run[4] is not None:
+                finished.add(run[4], (run[0], run[3]))
 
 
 def last_known(previous: DataFrame, current: DataFrame, slot: list[str]) -> DataFrame:

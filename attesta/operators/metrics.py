@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.operators.selection import nearest_ranks
+
 
 def histogram(df: DataFrame, state: str) -> DataFrame:
     return df.groupBy(state).agg(F.count("*").alias("n"))
@@ -12,8 +14,7 @@ def histogram(df: DataFrame, state: str) -> DataFrame:
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, **quantiles: float) -> DataFrame:
     """The ceil(n q)-th smallest finite, non-negative value of each key."""
-    fine = df.filter((F.col(value) >= 0) & ~F.isnan(value) & (F.col(value) < float("inf")))
-    return fine.groupBy(*keys).agg(*(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(name) for name, q in quantiles.items()))
+    return nearest_ranks(df, keys, value, quantiles)
 
 
 def rollup(facts: DataFrame, org: str, claim: str, supported: Column, external: Column) -> DataFrame:

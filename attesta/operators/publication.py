@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,52 +10,26 @@ from pyspark.sql import functions as F
 from attesta.functions.numbers import canonical_plain
 from attesta.operators import history, support, verify
 from attesta.operators.ledger import first_by
+from attesta.sources.commits import CommitLog, compared
 
 
 def plan(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Adds outcome to rows of one id each: insert, same (stored as it is) or refused (stored with other content)."""
-    content = [c for c in rows.columns if c != key]
-    had = stored.select(F.col(key).alias("_k"), F.struct(*content).alias("_had"))
-    joined = rows.join(had, F.col(key) == F.col("_k"), "left")
-    return joined.withColumn("outcome", F.when(F.col("_k").isNull(), "insert").when(F.col("_had").eqNullSafe(F.struct(*content)), "same").otherwise("refused")).drop("_k", "_had")
+    return compared(rows, stored, key)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+def read_published(spark: SparkSession, path: str, name: str, schema, version: int | None = None) -> DataFrame:
+    """The rows of a table from publications that were completed, up to a version."""
+    return CommitLog(spark, path).read(name, schema, version)
 
 
-def read_published(spark: SparkSession, path: str, name: str, schema) -> DataFrame:
-    """The rows of a table from publications that were completed."""
-    if not _exists(spark, f"{path}/published"):
-        return spark.createDataFrame([], schema)
-    done = spark.read.schema("publication string").json(f"{path}/published").distinct()
-    if not _exists(spark, f"{path}/{name}"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema.add("publication", "string") if "publication" not in schema.names else schema).option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").join(F.broadcast(done), "publication", "left_semi").drop("publication")
+def publish(spark: SparkSession, path: str, tables: dict[str, tuple[DataFrame, str | list[str]]]) -> int | None:
+    """Store the new rows of all ``tables`` (name: (rows, key)), visible together; the version of this publication, null where nothing is new.
 
-
-def publish(spark: SparkSession, path: str, tables: dict[str, tuple[DataFrame, str]]) -> str | None:
-    """Store the new rows of all ``tables`` (name: (rows, key)), visible together; null where there are none.
-
-    Rows of a stored id must be equal to it.  Every table's files go into a folder
-    of this publication; its marker is written last, and readers see what has a
-    marker, so a lost job leaves nothing half published and can run again.
+    Rows of a stored id must be equal to it, those included that another writer
+    publishes meanwhile (sources/commits.py).
     """
-    plans = {name: plan(rows, read_published(spark, path, name, type(rows.schema)(list(rows.schema.fields))), key) for name, (rows, key) in tables.items()}
-    for name, (rows, key) in tables.items():
-        if not rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-            raise ValueError(f"{name}: an id stands twice in a publication")
-        if not plans[name].filter("outcome = 'refused'").isEmpty():
-            raise ValueError(f"{name}: a stored id cannot be reused with different content")
-    fresh = {name: p.filter("outcome = 'insert'").drop("outcome") for name, p in plans.items()}
-    if all(f.isEmpty() for f in fresh.values()):
-        return None
-    mark = uuid.uuid4().hex
-    for name, rows in fresh.items():
-        rows.write.mode("error").parquet(f"{path}/{name}/publication={mark}")
-    spark.createDataFrame([(mark,)], "publication string").coalesce(1).write.mode("append").json(f"{path}/published")
-    return mark
+    return CommitLog(spark, path).publish(tables)
 
 
 def latest_companies(seen: DataFrame, key: str, run: str, seq: str, columns: list[str]) -> DataFrame:
