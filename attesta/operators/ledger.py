@@ -32,8 +32,9 @@ def previous_facts(facts: DataFrame, runs: DataFrame, run: Column, slot: list[st
     return first_by(joined, slot, F.col(at).desc_nulls_last(), F.col("started_at").desc(), F.col("run_seq").desc())
 
 
-def temporal_view(facts: DataFrame, keys: list[str], valid_from: str, period: str, at: str) -> DataFrame:
-    """Published observations in order of validity, with the beginning of the next as their end."""
+def temporal_view(facts: DataFrame, keys: list[str], valid_from: str, period: str, at: str, published: Column | None = None) -> DataFrame:
+    """Published observations in order of validity, with the beginning of the next as their end; without ``published`` those of status PUBLISHED."""
+    facts = facts.filter(F.col("status") == "PUBLISHED" if published is None else published)
     order = [F.coalesce(F.col(valid_from).cast("string"), F.col(period).cast("string"), F.lit("")), F.col(at)]
     w = Window.partitionBy(*keys).orderBy(*order)
     return facts.withColumns({"position": F.row_number().over(w), "valid_until": F.lead(valid_from).over(w)})

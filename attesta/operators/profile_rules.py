@@ -151,6 +151,7 @@ def notices(changes: DataFrame, entities: DataFrame, key: str, most: int = 4) ->
     kind = F.when(F.col("change").isin("CHANGED", "RETRACTED"), "changed").when(F.col("change") == "NEW", "new")
     ranked = first_n(changes.withColumn("_kind", kind).filter("_kind IS NOT NULL"), [key, "_kind"], most, "seq")
     said = ranked.groupBy(key).pivot("_kind", ["changed", "new"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "; "))
+    said = said.select(key, *(F.nullif(c, F.lit("")).alias(c) for c in ("changed", "new")))
     rows = entities.join(said, key, "left")
     first = F.when(F.col("published") > 0, "Changes: first verified observations; no earlier run is available for comparison.").otherwise("Changes: no verified observations available for comparison.")
     later = F.when(F.col("changed").isNotNull(), F.concat(F.lit("Changes in verified observations: "), "changed", F.lit("."))).otherwise("Changes: no material changes established among comparable verified observations.")

@@ -16,7 +16,7 @@ RANK = "sha256('[\"" + SEED + "\",\"{0}\",\"' || {1} || '\"]')"
 SAMPLE_SQL = f"""WITH u AS (SELECT c_custkey, {STRATUM} AS stratum, CASE WHEN contains('02468ace', right({RANK.format("partition", "c_custkey")}, 1)) THEN 'development' ELSE 'held_out' END AS split FROM customer),
   counts AS (SELECT split, stratum, count(*) AS population FROM u GROUP BY 1, 2),
   seats AS (SELECT split, stratum, unnest(range(1, population + 1)) AS round FROM counts),
-  given AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY round, {RANK.format("stratum", "stratum")}, stratum) AS seat FROM seats),
+  given AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY round, {RANK.format("stratum-order", "stratum")}, stratum) AS seat FROM seats),
   quotas AS (SELECT c.split, c.stratum, population, coalesce(q, 0) AS quota FROM counts c LEFT JOIN (SELECT split, stratum, count(*) AS q FROM given WHERE seat <= {SIZE} GROUP BY 1, 2) g ON c.split = g.split AND c.stratum = g.stratum)"""
 
 
@@ -48,9 +48,9 @@ def sample_quota(spark, sf_dir):
 @query(
     "sample_select",
     SAMPLE_SQL
-    + f""", m AS (SELECT u.*, row_number() OVER (PARTITION BY split, stratum ORDER BY {RANK.format("member", "c_custkey")}, c_custkey) AS nth FROM u),
+    + f""", m AS (SELECT u.*, row_number() OVER (PARTITION BY split, stratum ORDER BY {RANK.format("selection", "c_custkey")}, c_custkey) AS nth FROM u),
   chosen AS (SELECT m.split, m.stratum, c_custkey FROM m JOIN quotas q ON m.split = q.split AND m.stratum = q.stratum WHERE nth <= quota)
-  SELECT *, row_number() OVER (PARTITION BY split ORDER BY {RANK.format("split-output", "c_custkey")}, c_custkey) AS position FROM chosen""",
+  SELECT *, row_number() OVER (PARTITION BY split ORDER BY {RANK.format("' || split || '-output", "c_custkey")}, c_custkey) AS position FROM chosen""",
 )
 def sample_select(spark, sf_dir):
     rows = sampling.select(_universe(spark, sf_dir), "c_custkey", SEED, SIZE)

@@ -34,7 +34,7 @@ def latest_period(spark, sf_dir):
        FROM events WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), event_id)""",
 )
 def temporal_view(spark, sf_dir):
-    events = read(spark, sf_dir, "events").filter("event_type = 'purchase'").withColumn("from_text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    events = read(spark, sf_dir, "events").withColumn("status", F.when(F.col("event_type") == "purchase", "PUBLISHED").otherwise("DUPLICATE")).withColumn("from_text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     rows = ledger.temporal_view(events.withColumn("period", F.lit(None).cast("string")), ["user_id"], "from_text", "period", "event_id")
     return rows.select("user_id", "event_id", F.col("position").cast("long").alias("position"), epoch_us(F.col("ts")).alias("from_us"), epoch_us(F.col("valid_until").cast("timestamp_ntz")).alias("until_us"))
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from attesta.functions.json_tokens import json_tokens
+from attesta.functions import web
+from attesta.functions.json_tokens import json_problem, json_tokens
+from attesta.functions.rules import at, flag, literal, whole
+from attesta.operators.ordering import numbered_lines
 
 #: Header labels that are dropped from the first record.
 HEADERS = ["organisation_number", "organisasjonsnummer", "orgnr", "org_number", "org"]
@@ -60,17 +63,19 @@ def read_universe(spark: SparkSession, path: str, sha256: str | None = None, mos
 
     Fails where the file's hash is another than ``sha256``, where a line or all of
     them together are longer than allowed, and where a line is no strict object with
-    a text identifier: of a universe that isn't whole no sample can be drawn.
+    a text identifier: of a universe that isn't whole no sample can be drawn.  Lines
+    are numbered exactly, however many parts the file is read in; blank ones count
+    and are left out.
     """
     if sha256 is not None and file_digest(spark, path) != sha256.lower():
         raise ValueError("compressed universe hash differs from expected source")
-    lines = spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("line"), "value")
+    lines = numbered_lines(spark, path).select("line", "value")
     if most_bytes is not None and (lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0) > most_bytes:
         raise ValueError("universe exceeds its capacity")
     v = F.try_parse_json("value")
     fields = [F.try_variant_get(v, f"$.{name}", kind).alias(name) for name, kind in UNIVERSE.items()]
     wrong = F.when(F.octet_length("value") > most_line, "line too long").when(F.try_variant_get(v, "$.organisation_number", "string").isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "not a strict record")
-    checked = lines.withColumn("line", F.when(wrong.isNull(), F.col("line")).otherwise(F.raise_error(F.concat(wrong, F.lit(" in line "), F.col("line").cast("string"))).cast("long")))
+    checked = lines.filter(F.trim(F.regexp_replace("value", "\\s+", " ")) != "").withColumn("line", F.when(wrong.isNull(), F.col("line")).otherwise(F.raise_error(F.concat(wrong, F.lit(" in line "), F.col("line").cast("string"))).cast("long")))
     return checked.select("line", *fields)
 
 
@@ -80,37 +85,32 @@ def read_captures(spark: SparkSession, metadata: str, blobs: str) -> DataFrame:
     return spark.read.schema(CAPTURES).parquet(metadata).join(content, "content_hash", "left")
 
 
-REGISTRY = (
-    "organisasjonsnummer string, navn string, organisasjonsform struct<kode:string,beskrivelse:string>, konkurs boolean, underAvvikling boolean,"
-    " underTvangsavviklingEllerTvangsopplosning boolean, slettedato string, antallAnsatte long, hjemmeside string, registreringsdatoEnhetsregisteret string,"
-    " forretningsadresse struct<adresse:array<string>,postnummer:string,poststed:string,kommune:string>, postadresse struct<kommune:string>,"
-    " naeringskode1 struct<kode:string,beskrivelse:string>"
-)
+#: An entity's columns by where they stand, and the type that each must have.
+REGISTRY = {
+    "_id": ("organisasjonsnummer", literal), "legal_name": ("navn", literal), "organisation_form": ("organisasjonsform.kode", literal), "deleted": ("slettedato", literal), "bankrupt": ("konkurs", flag), "liquidation": ("underAvvikling", flag),
+    "compulsory": ("underTvangsavviklingEllerTvangsopplosning", flag), "postcode": ("forretningsadresse.postnummer", literal), "place": ("forretningsadresse.poststed", literal), "own_municipality": ("forretningsadresse.kommune", literal), "post_municipality": ("postadresse.kommune", literal),
+    "industry_code": ("naeringskode1.kode", literal), "industry_description": ("naeringskode1.beskrivelse", literal), "site": ("hjemmeside", literal), "registration_date": ("registreringsdatoEnhetsregisteret", literal), "employee_count": ("antallAnsatte", whole),
+}
 
 
 def parse_entities(bodies: DataFrame, requested: str, body: str, keep: list[str] | None = None) -> DataFrame:
-    """Identity columns of registry documents, behind the columns ``keep``; a document of another id or without a name is marked."""
-    from attesta.functions import web  # only for this projection
+    """Identity columns of registry documents, behind the columns ``keep``; a document that isn't strict JSON, of another id or without a name is marked.
 
-    r = F.from_json(F.col(body), REGISTRY)
-    rows = bodies.withColumn("_r", r)
+    Values keep their types: a number, true or false that stands for a text, or a text
+    that stands for one of these, is no value.
+    """
+    rows = bodies.withColumn("_problem", json_problem(body)).withColumn("_doc", F.when(F.col("_problem").isNull(), F.try_parse_json(F.regexp_replace(body, "^\ufeff", ""))))
+    rows = rows.withColumn("_r", F.struct(F.try_variant_get(at(F.col("_doc"), "forretningsadresse.adresse"), "$", "array<string>").alias("lines"), *(kind_of(at(F.col("_doc"), path)).alias(name) for name, (path, kind_of) in REGISTRY.items())))
     c = lambda name: F.col(f"_r.{name}")
-    state = F.when(c("organisasjonsnummer").isNull(), "failed").when(c("organisasjonsnummer") != F.col(requested), "id differs").when(F.trim(F.coalesce(c("navn"), F.lit(""))) == "", "no name").otherwise("ok")
-    return rows.select(
-        *(keep or []),
-        requested,
-        state.alias("state"),
-        c("navn").alias("legal_name"),
-        c("organisasjonsform.kode").alias("organisation_form"),
-        web.registry_status(c("slettedato"), c("konkurs"), c("underAvvikling"), c("underTvangsavviklingEllerTvangsopplosning")).alias("status"),
-        web.address_line(c("forretningsadresse.adresse"), c("forretningsadresse.postnummer"), c("forretningsadresse.poststed")).alias("registered_address"),
-        F.coalesce(c("forretningsadresse.kommune"), c("postadresse.kommune")).alias("municipality"),
-        c("naeringskode1.kode").alias("industry_code"),
-        c("naeringskode1.beskrivelse").alias("industry_description"),
-        web.website(c("hjemmeside")).alias("website"),
-        c("registreringsdatoEnhetsregisteret").alias("registration_date"),
-        c("antallAnsatte").alias("employee_count"),
-    )
+    state = F.when(c("_id").isNull(), "failed").when(c("_id") != F.col(requested), "id differs").when(F.trim(F.coalesce(c("legal_name"), F.lit(""))) == "", "no name").otherwise("ok")
+    plain = ("legal_name", "organisation_form", "industry_code", "industry_description", "registration_date", "employee_count")
+    made = {
+        "status": web.registry_status(c("deleted"), c("bankrupt"), c("liquidation"), c("compulsory")),
+        "registered_address": web.address_line(c("lines"), c("postcode"), c("place")),
+        "municipality": F.coalesce(c("own_municipality"), c("post_municipality")),
+        "website": web.website(c("site")),
+    }
+    return rows.select(*(keep or []), requested, state.alias("state"), *(c(name).alias(name) for name in plain), *(x.alias(name) for name, x in made.items()))
 
 
 def parse_roles(bodies: DataFrame, key: str, body: str) -> DataFrame:

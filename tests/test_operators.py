@@ -95,7 +95,7 @@ def test_sampling(spark):
     split = sampling.splits(universe, "org", "s")
     for name in ("development", "held_out"):
         rows = [r for r in sampling.quotas(split, "s", 30).collect() if r.split == name]
-        order = [r[0] for r in spark.createDataFrame([(r.stratum,) for r in rows], "x string").orderBy(sampling.rank("s", "stratum", F.col("x")), "x").collect()]
+        order = [r[0] for r in spark.createDataFrame([(r.stratum,) for r in rows], "x string").orderBy(sampling.rank("s", "stratum-order", F.col("x")), "x").collect()]
         assert {r.stratum: r.quota for r in rows} == loop_quotas({r.stratum: r.population for r in rows}, order, 30)
     chosen = sampling.select(universe, "org", "s", 30).collect()
     shuffled = sampling.select(universe.orderBy(F.rand(1)), "org", "s", 30).collect()
