@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attesta.functions import identifiers
 from attesta.functions.names import normalize_name
 from attesta.functions.numbers import parse_localised
+from attesta.functions.rules import let
 
 #: Fixed values.
 LABELLED = r"(?i)(?:org(?:anisasjons)?\.?\s*(?:nr|nummer)\.?|vat(?:\s*(?:id|number))?)\s*[:#]?\s*(?:NO\s*)?([0-9]{9}|[0-9]{3}(?:[\s.\-][0-9]{3}){2})(?![0-9])"
@@ -69,16 +70,19 @@ def figure_lines(text: Column) -> Column:
     An ordinary space sets columns apart, no-break spaces group digits, so two
     years side by side give no value.
     """
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "").alias("text")))
+    # one pass tells which lines name a figure; the rest is for these only
+    named = F.filter(lines, lambda x: (F.length(x["text"]) <= MOST_LINE) & x["text"].rlike("(?iu)" + "|".join(f"(?:{pattern})" for pattern, _ in FIGURES)))
 
-    def of(line: Column, i: Column) -> Column:
+    def of(x: Column) -> Column:
         field = F.lit(None).cast("string")
         for pattern, name in reversed(FIGURES):
-            field = F.when(line.rlike(f"(?iu){pattern}"), F.lit(name)).otherwise(field)
-        cells = F.regexp_extract_all(line, F.lit(CELL), F.lit(0))
-        return F.struct((i + 1).alias("line"), F.when(F.length(line) <= MOST_LINE, field).alias("field"), F.when(F.size(cells) == 1, parse_localised(F.get(cells, F.lit(0)))).alias("value"))
+            field = F.when(x["text"].rlike(f"(?iu){pattern}"), F.lit(name)).otherwise(field)
+        cells = F.regexp_extract_all(x["text"], F.lit(CELL), F.lit(0))
+        value = let(F.when(F.size(cells) == 1, F.get(cells, F.lit(0))), lambda cell: parse_localised(cell))
+        return F.struct(x["line"].alias("line"), field.alias("field"), value.alias("value"))
 
-    return F.filter(F.transform(lines, of), lambda x: x["field"].isNotNull())
+    return F.transform(named, of)
 
 
 def page_links(found: Column, domain: Column, of_url: Callable[[Column], Column]) -> Column:

@@ -44,6 +44,13 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(parts, (F.col("file") == F.col("_f")) & (F.col("_at") == F.col("_a"))).select("file", number.alias("line"), "value")
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(place, value): the lines of a folder's files from 0, files in order of their names."""
+    lines = numbered_lines(spark, path)
+    files = _before(lines.groupBy("file").agg(F.count("*").alias("n")), [], ["file"]).select("file", "before")
+    return lines.join(files, "file").select((F.col("before") + F.col("line") - 1).alias("place"), "value")
+
+
 def merkle(rows: DataFrame, place: str, line: Column, keys: list[str] | None = None) -> DataFrame:
     """(keys, lines, digest) of the lines of each key, or of all together, by their places from 0.
 

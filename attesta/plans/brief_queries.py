@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.rules import as_object, quoted
-from attesta.operators import briefs, lookups, sampling, starter
+from attesta.operators import briefs, lookups, ordering, sampling, starter
 from attesta.plans.batch_queries import RANK, SAMPLE_SQL, SEED, SIZE, _universe
-from attesta.plans.registry import query, read
+from attesta.plans.registry import ORACLES, query, read
+from attesta.plans.registry_queries import full_citations  # noqa: F401  (its SQL is used below)
+from attesta.plans.support_queries import amount_tables
+from attesta.sources import bundle
 
 c = F.col
 ONCE = {"currency": None, "unit": None, "period": None, "item_key": None, "scope": "legal_entity", "from_page": False}
@@ -164,3 +167,27 @@ def starter_results(spark, sf_dir):
     claims = F.array_join(F.transform("claims", lambda x: F.concat_ws("/", x["id"], x["field"])), ",")
     evidence = F.array_join(F.transform("evidence", lambda x: F.concat_ws("/", x["source_url"], x["support_representation"])), ",")
     return out.select("c_custkey", "schema_version", "canonical_schema_version", c("run.terminal_status").alias("terminal_status"), claims.alias("claims"), evidence.alias("evidence"), c("operations.runtime_ms").alias("runtime_ms"), c("compatibility.structured_evidence").startswith("JSON pointer").alias("plain"))
+
+
+@query("unsupported_claims", f"SELECT '9' || fact_id AS organisation_number, fact_id, 'claim support failed: ' || reason AS problem FROM ({ORACLES['full_citations']}) WHERE reason <> 'ok'")
+def unsupported_claims(spark, sf_dir):
+    """Claims of nested results that a bundle's own objects don't support."""
+    facts, sources, evidence, captures, blobs = amount_tables(spark, sf_dir)
+    nest = lambda df, name, id_: df.select(F.regexp_replace(c(id_).cast("string"), "^[a-z]+", "").alias("_k"), F.array(F.struct(*df.columns)).alias(name))
+    parts = [nest(facts, "facts", "fact_id"), nest(sources, "sources", "source_id"), nest(evidence, "evidence", "evidence_id"), nest(captures, "captures", "source_id")]
+    results = reduce(lambda a, b: a.join(b, "_k"), parts).withColumn("organisation_number", F.concat(F.lit("9"), "_k"))
+    return bundle.claim_problems(results, blobs)
+
+
+@query(
+    "input_order_problems",
+    """SELECT 'result out of order' AS problem, CAST(o_custkey AS VARCHAR) AS detail FROM (SELECT o_custkey, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS place FROM orders GROUP BY 1) WHERE place % 10 = 3
+       UNION ALL SELECT 'input without result', CAST(o_custkey AS VARCHAR) FROM (SELECT o_custkey, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS place FROM orders GROUP BY 1) WHERE place % 10 = 7 UNION ALL SELECT 'result without input', '-1'""",
+)
+def input_order_problems(spark, sf_dir):
+    """Results by the first order of each customer; a tenth stands elsewhere, a tenth is missing, one is foreign."""
+    inputs = ordering.placed(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], "position").select("position", "o_custkey")
+    results = ordering.placed(inputs.groupBy("o_custkey").agg(F.min("position").alias("first")), ["first"], "position").select("position", "o_custkey").filter("position % 10 <> 7")
+    results = results.withColumn("position", c("position") + F.when(c("position") % 10 == 3, 1000).otherwise(0))
+    foreign = results.agg(F.max("position").alias("position")).select(c("position"), F.lit(-1).cast("long").alias("o_custkey"))
+    return bundle.mapping_problems(inputs, results.unionByName(foreign), "o_custkey")

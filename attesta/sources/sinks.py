@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attesta.operators.ordering import merkle, placed_lines
+
 
 def new_rows(rows: DataFrame, stored: DataFrame, keys: list[str], payload: str) -> DataFrame:
     """Rows whose key isn't stored yet; fails where a stored key has another payload.
@@ -46,20 +48,31 @@ def manifest(rows: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.sum(row.cast("decimal(38,0)")).alias("digest"))
 
 
+#: A manifest's columns.
+MANIFEST = "rows bigint, keys bigint, digest string"
+
+
+def file_manifest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """One row of a folder of JSON lines: rows, distinct keys, and a digest of the lines in order, which a swap of two changes (operators/ordering.py)."""
+    lines = placed_lines(spark, path)
+    counts = lines.agg(F.count("*").alias("rows"), F.count_distinct(F.get_json_object("value", f"$.{key}")).alias("keys"))
+    digest = merkle(lines, "place", F.col("value")).withColumnRenamed("lines", "rows")
+    return counts.join(digest, "rows", "left").select("rows", "keys", F.coalesce("digest", F.lit("")).alias("digest"))
+
+
 def write_artifacts(path: str, artifacts: dict[str, tuple[DataFrame, str]]) -> None:
     """Each named table as ordered JSONL, and behind them a manifest with rows, keys and digest of each; without it the set isn't whole."""
     parts = []
     for name, (rows, key) in artifacts.items():
         write_jsonl(rows, f"{path}/{name}", [key])
-        again = rows.sparkSession.read.schema(rows.schema).json(f"{path}/{name}")
-        parts.append(manifest(again, key).select(F.lit(name).alias("artifact"), "rows", "keys", "digest"))
+        parts.append(file_manifest(rows.sparkSession, f"{path}/{name}", key).select(F.lit(name).alias("artifact"), "rows", "keys", "digest"))
     reduce(DataFrame.unionByName, parts).coalesce(1).write.mode("error").json(f"{path}/manifest")
 
 
 def artifact_problems(spark: SparkSession, path: str, schemas: dict[str, tuple[T.StructType, str]]) -> DataFrame:
     """(artifact, problem) of a set: what isn't as its manifest says, or has no entry there."""
-    stated = spark.read.schema("artifact string, rows bigint, keys bigint, digest decimal(38,0)").json(f"{path}/manifest")
-    seen = reduce(DataFrame.unionByName, (manifest(spark.read.schema(schema).json(f"{path}/{name}"), key).select(F.lit(name).alias("artifact"), "rows", "keys", "digest") for name, (schema, key) in schemas.items()))
+    stated = spark.read.schema(f"artifact string, {MANIFEST}").json(f"{path}/manifest")
+    seen = reduce(DataFrame.unionByName, (file_manifest(spark, f"{path}/{name}", key).select(F.lit(name).alias("artifact"), "rows", "keys", "digest") for name, (_, key) in schemas.items()))
     both = stated.select("artifact", F.struct("rows", "keys", "digest").alias("a")).join(seen.select("artifact", F.struct("rows", "keys", "digest").alias("b")), "artifact", "full_outer")
     problem = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "not in the manifest").when(~F.col("a").eqNullSafe(F.col("b")), "differs")
     return both.select("artifact", problem.alias("problem")).filter("problem IS NOT NULL")

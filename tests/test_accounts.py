@@ -1,3 +1,4 @@
+import ipaddress
 import json
 
 import pytest
@@ -46,7 +47,25 @@ def test_url_policy_and_addresses(spark):
     urls = {"HTTPS://X.no:443/a?b#c": "https://x.no/a?b", "http://x.no": "http://x.no/", "ftp://x": None, "https://u@x.no/": None, "https://127.0.0.1/": None, "https://[::1]/": None, "https://x.no:8080/": None, "": None, None: None}
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(net.normalized_url(F.col("u"))["url"]).collect()
     assert [r[0] for r in got] == list(urls.values())
-    assert [net.unsafe_address(x) for x in ("8.8.8.8", "10.1.1.1", "100.64.0.1", "::1", "2001:4860:4860::8888", "x", None)] == [False, True, True, True, False, True, True]
+
+
+def test_unsafe_addresses(spark):
+    """Against the standard library's classes, over edges of all networks and texts that are no addresses."""
+    texts = ["8.8.8.8", "1.2.3", "1.2.3.4.5", "256.1.1.1", "01.2.3.4", "x", "", None, "::", "::1", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "fe80::1%eth0", "::ffff:8.8.8.8", "::ffff:10.0.0.1", "::ffff:808:808", "2001:4860::8.8.8.8", "12345::", "g::", "2001:DB8::1", "2606:4700::1111", "::ffff:256.1.1.1", " 8.8.8.8"]
+    for network in map(ipaddress.ip_network, net.UNSAFE + net.SAFE):
+        first, last = int(network[0]), int(network[-1])
+        texts += [str(type(network[0])(n)) for n in (first, last, max(0, first - 1), min(last + 1, 2**network.max_prefixlen - 1))]
+
+    def plain(x):
+        try:
+            ip = ipaddress.ip_address((x or "").split("%")[0])
+        except ValueError:
+            return True
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        return bool(ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified or ip.version == 4 and ip in ipaddress.ip_network("100.64.0.0/10"))
+
+    rows = spark.createDataFrame([(t,) for t in texts], "a string").select("a", net.is_unsafe_address(F.col("a")).alias("u")).collect()
+    assert {r.a: r.u for r in rows} == {t: plain(t) for t in texts}
 
 
 def test_text(spark):
@@ -75,6 +94,25 @@ def test_bundle(spark, tmp_path):
     assert {r.problem for r in bundle.problems(spark, str(tmp_path / "b"), results.schema).collect()} == {"manifest differs", "result twice"}
 
 
+def test_swapped_lines_differ(spark, tmp_path):
+    results = spark.createDataFrame([(str(k),) for k in range(6)], "organisation_number string").coalesce(1)
+    bundle.export(results, spark.createDataFrame([(bytearray(b"x"),)], "content binary"), str(tmp_path / "b"))
+    [file] = [p for p in (tmp_path / "b" / "results").glob("*.json") if p.read_text().count("\n") > 1][:1]
+    lines = file.read_text().splitlines(keepends=True)
+    (tmp_path / "b" / "results" / f".{file.name}.crc").unlink()
+    file.write_text("".join([lines[1], lines[0], *lines[2:]]))
+    assert [r.problem for r in bundle.problems(spark, str(tmp_path / "b"), results.schema).collect()] == ["manifest differs"]
+
+
+def test_mapping_and_capacity(spark):
+    inputs = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (3, "c")], "position long, k string")
+    of = lambda *rows: sorted(map(tuple, bundle.mapping_problems(inputs, spark.createDataFrame(list(rows), "position long, k string"), "k").collect()))
+    assert of((0, "a"), (1, "b"), (2, "c")) == [] and of((0, "b"), (1, "a"), (2, "x")) == [("input without result", "c"), ("result out of order", "a"), ("result out of order", "b"), ("result without input", "x")]
+    assert [r.problem for r in bundle.mapping_problems(inputs.filter("position <> 1"), inputs.limit(0), "k").collect()].count("input positions differ") == 1
+    objects = spark.createDataFrame([("h", bytearray(b"xyz")), ("h", bytearray(b"xyz")), ("i", bytearray(b""))], "content_hash string, content binary")
+    assert sorted(map(tuple, bundle.capacity_problems(objects, 5, 2).distinct().collect())) == [("bundle exceeds its capacity", "6"), ("object exceeds its capacity", "h"), ("object twice", "h")]
+
+
 def test_bundle_with_projection_and_artifacts(spark, tmp_path):
     results = spark.createDataFrame([("1", ["a"]), ("2", [])], "organisation_number string, facts array<string>")
     captures = spark.createDataFrame([(bytearray(b"xyz"),)], "content binary")
