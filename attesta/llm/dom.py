@@ -19,6 +19,11 @@ BOILER_NAMES = set(
     " newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies disqus share sharing social related widget"
     " masthead topbar toolbar pagination pager login signup search skip".split()
 )
+#: What stands beside such a name without making it another: where it is, and what it is made of.
+BESIDE = set(
+    "site page main global primary secondary top bottom left right header head foot sticky fixed mobile desktop inner outer box bar list items item links link area zone slot unit block section wrapper wrap container content"
+    " group row column col panel pane button buttons icon icons form field input text title posts articles stories news js".split()
+)
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 CONTENT_NAMES = {"articlebody", "entry-content", "post-content", "article-content", "article-body", "main-content", "content", "article", "post"}
 #: Of these, the names of containers that hold more than an article.
@@ -45,6 +50,12 @@ class Node:
         return self.tag in INLINE and not self.boiler
 
 
+def _boiler_name(token: str) -> bool:
+    """A name of boilerplate, alone or with words of BESIDE and numbers: site-footer and ad-slot-2, but not share-price or search-results."""
+    parts = [p for p in re.split(r"[-_:]+", token) if p and not p.isdigit()]
+    return any(p in BOILER_NAMES for p in parts) and all(p in BOILER_NAMES or p in BESIDE for p in parts)
+
+
 def _described(tag: str, attributes: str) -> tuple[str, bool, int]:
     """Name for matching, whether it is boilerplate, and whether it is named as content: 1, or 2 as an article."""
     boiler, content, name = tag in BOILER_TAGS, 2 if tag == "article" else int(tag == "main"), tag
@@ -61,7 +72,7 @@ def _described(tag: str, attributes: str) -> tuple[str, bool, int]:
                 tokens = value.split()
                 if tag not in INLINE:
                     content = max([content, *(1 if t in WIDE_NAMES else 2 for t in tokens if t in CONTENT_NAMES)])
-                boiler |= tag not in ("html", "body", "article", "main") and any(p in BOILER_NAMES for t in tokens for p in re.split(r"[-_:]", t))
+                boiler |= tag not in ("html", "body", "article", "main") and any(map(_boiler_name, tokens))
     return name, boiler, 0 if boiler else content
 
 

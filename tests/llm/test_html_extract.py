@@ -27,6 +27,14 @@ def test_markup_alone():
     assert H.main_text('<article><p title="a>b">q</p><p title="broken>r</p></article>') in ("q r", "q")
 
 
+def test_names_are_whole():
+    """A word of boilerplate in another name is none."""
+    stays = ["share-price", "search-results", "ad-hoc", "notice-period", "banner-year", "related-work", "reply-rate", "social-policy", "menu-prices"]
+    goes = ["ad", "site-footer", "ad-slot-2", "share-buttons", "related-posts", "comment-list", "cookie_banner", "sidebar left", "main-nav", "Promo:Box"]
+    inner = "".join(f'<div class="{n}">{k}</div>' for k, n in enumerate(stays + goes))
+    assert H.main_text(body(f"<article><p>p</p>{inner}</article>")) == "p " + " ".join(map(str, range(len(stays))))
+
+
 def words(rng, n):
     return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
 
