@@ -11,8 +11,9 @@ the square of their length, keep linked neighbours and a heap of ranks instead.
 Results equal those of the ``tokenizers`` library for byte-level BPE files
 without normaliser (special tokens found in a text become their own id).
 
-Rows: null text counts as empty and gives no ids; repeated rows give repeated
-rows; an empty table gives an empty table; other columns are ignored, whatever
+Rows: null text counts as empty and gives no ids; texts of any length are read
+whole, each by one task; of pairs of one rank the first is merged; repeated rows
+give repeated rows; an empty table gives an empty table; other columns are ignored, whatever
 their names.  Text that isn't valid UTF-8 can't occur in a Spark string.
 """
 

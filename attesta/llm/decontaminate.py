@@ -13,7 +13,8 @@ one block behind another, without a shuffle, and hits add up; between blocks
 they are stored, so that driver and executors hold one block at a time.
 
 Rows: null texts have no words; items without an id are searched but not
-listed; items with one id count once; repeated documents give repeated rows; an
+listed; items with one id count once; texts of any length are read whole, each by
+one task; repeated documents give repeated rows; an
 empty table of documents gives an empty table, one of items no hits; other
 columns are ignored, whatever their names.
 """

@@ -31,9 +31,10 @@ template in one left join, for which Spark picks a broadcast or a shuffle by the
 templates' measured size; it splits a host that is too large for one task.
 
 Rows: null html is empty and gives an empty text; pages without a host form one
-group; broken markup is read as far as it can be, of any depth; repeated rows
-give repeated rows; an empty table gives an empty table; other columns are
-ignored, whatever their names.
+group; broken markup is read as far as it can be, of any depth; pages of any
+length are read whole, each by one task; of a host's skeletons the one of the
+least number and then text is the model; repeated rows give repeated rows; an
+empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,8 +14,10 @@ statistics; statistics and verdicts cover every document.
 
 Rows: null text has no words and fails the base rules; labels with a null
 doc_id or quality are left out; without labels of both kinds the list is empty
-and keeps all; repeated rows give repeated rows; an empty table gives an empty
-table; other columns are ignored, whatever their names.
+and keeps all; texts of any length are read whole, each by one task; of
+conditions of one gain the first in order of statistic, cut and side is taken;
+repeated rows give repeated rows; an empty table gives an empty table; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ linked to a hub that is larger, in the order of (copies, fingerprint), than
 either; where such a link is left out in turn, a still larger hub stands in.
 
 Rows: texts without words, null ones too, have fingerprint zero and are linked
-like others; a null doc_id never names a component that has others; repeated
-rows give repeated rows; an empty table gives an empty table; other columns are
+like others; texts of any length are read whole, each by one task; a bit that is
+set in exactly half the hashes is 0; a null doc_id never names a component that
+has others; repeated rows give repeated rows; an empty table gives an empty table; other columns are
 ignored, whatever their names.
 """
 

@@ -21,9 +21,9 @@ smaller id.
 Only stretches whose core recurs travel with text, and a text is shuffled once.
 
 Rows: null text has no words; a null id counts as larger than any other; rows
-with one id don't remove each other's words; repeated rows give repeated rows;
-an empty table gives an empty table; other columns are ignored, whatever their
-names.  Ids are integers.
+with one id don't remove each other's words; texts of any length are read whole,
+in blocks; repeated rows give repeated rows; an empty table gives an empty table;
+other columns are ignored, whatever their names.  Ids are integers.
 """
 
 from __future__ import annotations

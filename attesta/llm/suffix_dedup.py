@@ -22,8 +22,9 @@ it also starts anywhere else, in the same document or another.
    from the shared lengths, without a further look at the bytes.
 
 Rows: null text is empty; every row is a document of its own, also one that
-repeats another; an empty table gives an empty table; other columns are ignored,
-whatever their names.
+repeats another; texts of any length are read whole, in blocks; strings that
+tie are equal and go alike; an empty table gives an empty table; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ into shards of 4,096 bytes, a small table whose shard a host's own hash picks; u
 to BROADCAST_BYTES it is sent to all tasks, as measured.
 
 Rows: a null URL or one without "://" has empty host and path and falls under no
-rule; repeated rows give repeated rows; an empty table gives an empty table;
+rule; URLs of any length are read whole; of rules of one length that fit
+the last by name counts; repeated rows give repeated rows; an empty table gives an empty table;
 other columns are ignored, whatever their names.
 """
 
