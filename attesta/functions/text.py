@@ -112,9 +112,3 @@ def display_number(value: Column) -> Column:
 def exit_code(states: Column, valid: Column) -> Column:
     """Aggregate: 1 if any failed, else 2 if any input was invalid, else 0."""
     return F.when(F.bool_or(states == "failed"), 1).when(F.bool_or(~valid), 2).otherwise(0)
-
-
-def iso_period(start: Column, end: Column) -> Column:
-    """start/end where both are real ISO dates in order, else null."""
-    day = lambda c: F.when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
-    return F.when(day(start) <= day(end), F.concat_ws("/", start, end))

@@ -40,12 +40,6 @@ def coverage_map(facts: DataFrame, org: str, accounts: DataFrame) -> DataFrame:
     return rows.select(org, F.create_map(*(x for n in CATEGORIES for x in (F.lit(n), state(n)))).alias("coverage"))
 
 
-def counts_of(coverage: Column) -> list[Column]:
-    """found_count and researched_count of a coverage map."""
-    states = F.map_values(coverage)
-    return [F.size(F.filter(states, lambda s: s == "found")).alias("found_count"), F.size(F.filter(states, lambda s: s.isin("found", "blocked", "not_available"))).alias("researched_count")]
-
-
 def project_identity(facts: DataFrame, anchors: DataFrame, org: str, fields: list[str]) -> DataFrame:
     """(org, fields, last_verified_at, unresolved_fields): the supported value of each identity field.
 

@@ -1,4 +1,4 @@
-"""Queries of walks, ordered digests, line numbers and commits."""
+"""Queries of walks, ordered digests, line numbers, commits, and of files that are written and read back."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import frontier, ordering
 from attesta.plans.registry import query, read
+from attesta.sources import bundle, readers, sinks
 from attesta.sources.commits import CommitLog
 from attesta.sources.workspace import shared_folder
 
@@ -103,3 +104,75 @@ def committed_rows(spark, sf_dir):
         pass
     parts = [log.read("orders", rows.schema, v, after=v - 1).withColumn("version", F.lit(v)) for v in range(1, log.latest() + 1)]
     return parts[0].unionByName(parts[1])
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name.replace('.', f'-{uuid.uuid4().hex}.') if '.' in name else f'{name}-{uuid.uuid4().hex}'}"
+
+
+@query(
+    "csv_ids",
+    """SELECT CASE WHEN c_custkey % 5 = 0 THEN 'x,' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS supplied, count(*) AS n FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1""",
+)
+def csv_ids(spark, sf_dir):
+    """A list in files of a hundred customers: header labels, further columns, quotes, blanks and empty lines."""
+    k = c("c_custkey")
+    text = F.when(k % 7 == 0, "").when(k % 5 == 0, F.concat(F.lit('"x,'), k.cast("string"), F.lit('",y'))).when(k % 3 == 0, F.concat(F.lit("  "), k.cast("string"), F.lit(" ,more"))).otherwise(k.cast("string"))
+    rows = read(spark, sf_dir, "customer").select(F.expr("c_custkey div 100").alias("part"), k.alias("i"), text.alias("value"))
+    heads = rows.select("part").distinct().select("part", F.lit(-1).cast("long").alias("i"), F.when(c("part") % 2 == 0, "OrgNr").otherwise("organisation_number").alias("value"))
+    at = _folder(spark, "ids.csv")
+    rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "i").select("part", "value").write.partitionBy("part").text(at)
+    return readers.read_ids(spark, at).groupBy("supplied").agg(F.count("*").alias("n"))
+
+
+@query("jsonl_ids", "SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS supplied FROM customer")
+def jsonl_ids(spark, sf_dir):
+    """A list of strict JSON lines, found by its name."""
+    at = _folder(spark, "ids.jsonl")
+    number = F.lpad(c("c_custkey").cast("string"), 9, "0")
+    read(spark, sf_dir, "customer").select(F.concat(F.lit('{"organisation_number": "'), number, F.lit('", "n": 1.0}')).alias("value")).write.text(at)
+    return readers.read_ids(spark, at).select("supplied")
+
+
+@query(
+    "universe_lines",
+    """WITH u AS (SELECT c_custkey, c_custkey // 100 AS part, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) AS line FROM customer)
+       SELECT part, line, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS organisation_number, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 90 END AS employees FROM u WHERE c_custkey % 11 > 0""",
+)
+def universe_lines(spark, sf_dir):
+    """A universe in compressed files, each member with its line; blank lines count."""
+    k = c("c_custkey")
+    line = F.concat(F.lit('{"organisation_number":"'), F.lpad(k.cast("string"), 9, "0"), F.lit('","employees":'), F.when(k % 4 > 0, (k % 90).cast("string")).otherwise("null"), F.lit("}"))
+    at = _folder(spark, "universe")
+    rows = read(spark, sf_dir, "customer").select(F.expr("c_custkey div 100").alias("part"), k.alias("i"), F.when(k % 11 > 0, line).otherwise(" ").alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "i").select("part", "value").write.partitionBy("part").option("compression", "gzip").text(at)
+    part = F.floor(c("organisation_number").cast("long") / 100)
+    return readers.read_universe(spark, at).select(part.alias("part"), c("line").cast("long").alias("line"), "organisation_number", "employees")
+
+
+@query(
+    "bundle_round_trip",
+    """SELECT 'manifest' AS what, (SELECT count(*) FROM customer) AS rows, (SELECT count(*) FROM customer) AS keys, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS objects UNION ALL SELECT 'problems', 0, 0, 0""",
+)
+def bundle_round_trip(spark, sf_dir):
+    """A bundle of all customers with their segments' bytes, and how many problems it has when read back."""
+    results = read(spark, sf_dir, "customer").select(c("c_custkey").cast("string").alias("organisation_number"), "c_name", F.array(F.sha2("c_mktsegment", 256)).alias("hashes"))
+    at = _folder(spark, "bundle")
+    bundle.export(results, read(spark, sf_dir, "customer").select(F.encode("c_mktsegment", "UTF-8").alias("content")), at)
+    stated = spark.read.schema(f"{sinks.MANIFEST}, objects bigint").json(f"{at}/manifest").select(F.lit("manifest").alias("what"), "rows", "keys", "objects")
+    found = bundle.problems(spark, at, results.schema, hashes="hashes").agg(F.count("*").alias("rows")).select(F.lit("problems").alias("what"), "rows", F.lit(0).cast("long").alias("keys"), F.lit(0).cast("long").alias("objects"))
+    return stated.unionByName(found)
+
+
+@query(
+    "artifact_set",
+    """SELECT 'orders' AS artifact, count(*) AS rows, count(DISTINCT o_orderkey) AS keys, 0 AS problems FROM orders UNION ALL SELECT 'customers', count(*), count(DISTINCT c_custkey), 0 FROM customer""",
+)
+def artifact_set(spark, sf_dir):
+    """Two artifacts with their manifest, and how many of them differ from it."""
+    parts = {"orders": (read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey"), "customers": (read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")}
+    at = _folder(spark, "artifacts")
+    sinks.write_artifacts(at, parts)
+    wrong = sinks.artifact_problems(spark, at, {name: (rows.schema, key) for name, (rows, key) in parts.items()}).select(c("artifact").alias("_a"), F.lit(1).cast("long").alias("problems"))
+    stated = spark.read.schema(f"artifact string, {sinks.MANIFEST}").json(f"{at}/manifest")
+    return stated.join(wrong, c("artifact") == c("_a"), "left").select("artifact", "rows", "keys", F.coalesce("problems", F.lit(0)).cast("long").alias("problems"))
