@@ -41,7 +41,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     parts = _before(lines.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("n")), ["file"], ["_at"])
     parts = kept(parts.select(F.col("file").alias("_f"), F.col("_at").alias("_a"), "_first", "before"), "parts")
     number = F.col("_id") - F.col("_first") + F.col("before") + 1
-    return lines.join(parts, (F.col("file") == F.col("_f")) & (F.col("_at") == F.col("_a"))).select("file", number.alias("line"), "value")
+    # every line has its part; a left join keeps lines where they are read
+    return lines.join(parts, (F.col("file") == F.col("_f")) & (F.col("_at") == F.col("_a")), "left").select("file", number.alias("line"), "value")
 
 
 def placed_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -64,13 +64,14 @@ def _order_files(spark, sf_dir) -> str:
     return at
 
 
-_PART = F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("long").alias("part")
+def _part():
+    return F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("long").alias("part")
 
 
 @query("numbered_lines", "SELECT o_custkey // 100 AS part, row_number() OVER (PARTITION BY o_custkey // 100 ORDER BY o_orderkey) AS line, o_orderkey || '|' || o_orderstatus AS value FROM orders")
 def numbered_lines(spark, sf_dir):
     """Lines of written files with their numbers."""
-    return ordering.numbered_lines(spark, _order_files(spark, sf_dir)).select(_PART, c("line").cast("long").alias("line"), "value")
+    return ordering.numbered_lines(spark, _order_files(spark, sf_dir)).select(_part(), c("line").cast("long").alias("line"), "value")
 
 
 @query(
@@ -81,7 +82,7 @@ def numbered_lines(spark, sf_dir):
 )
 def file_digests(spark, sf_dir):
     """A digest over each file's lines in order, whatever the parts in which it is read."""
-    return ordering.digest_of_files(spark, _order_files(spark, sf_dir)).select(_PART, "lines", "digest")
+    return ordering.digest_of_files(spark, _order_files(spark, sf_dir)).select(_part(), "lines", "digest")
 
 
 @query(
