@@ -79,7 +79,7 @@ def subunits(pages: DataFrame, key: str, parent: str, most_pages: int = 20, page
     records = walked.filter("before IS NULL").select(key, F.col(parent).alias("_asked"), "number", F.posexplode("units").alias("position", "_record"))
     records = records.withColumn("_unit", subunit(F.col("_record")))
     foreign = F.when(~F.col("_unit.parent").eqNullSafe(F.col("_asked")), F.lit("subunit record belongs to another parent"))
-    records = records.select(key, "number", "position", "_unit.item", "_unit.value", F.coalesce("_unit.error", foreign).alias("reason"))
+    records = kept(records.select(key, "number", "position", "_unit.item", "_unit.value", F.coalesce("_unit.error", foreign).alias("reason")), "collection-records")
     before = F.lag("value").over(Window.partitionBy(key, "item").orderBy("number", "position"))
     sound = records.filter("reason IS NULL").withColumn("_before", before)
     found = sound.filter("_before IS NULL OR _before <> value").select(key, "number", "position", "item", "value")

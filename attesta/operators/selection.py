@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from attesta.sources.workspace import kept
 
 #: Splitters of a round, and how many rows of a group may be put in order at last.
-SPLITTERS, FEW = 100, 20_000
+SPLITTERS, FEW = 100, 1_000_000
 
 
 def nearest_ranks(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], few: int = FEW) -> DataFrame:
@@ -18,7 +18,7 @@ def nearest_ranks(rows: DataFrame, keys: list[str], value: str, quantiles: dict[
     Each round cuts the interval that holds a rank at sketched splitters and counts
     its parts exactly, so that the interval holds a hundredth of its rows at the next;
     sketch and counts combine before they are shuffled.  What is left, ``few`` rows of
-    a group or one value, is put in order.  No task has a whole group.
+    a group or one value, is put in order.  No task has more of a group.
 
     Rows: nulls, negative values and those that aren't finite don't count; a group
     without others has no row; an empty table gives an empty table.
@@ -29,6 +29,9 @@ def nearest_ranks(rows: DataFrame, keys: list[str], value: str, quantiles: dict[
     rank = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("_q.q"))).cast("long")
     state = kept(sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_q.name").alias("name"), rank.alias("rank"), "n", "low", "high"), "ranks")
     own = [f"_k{i}" for i in range(len(keys))]
+    if state.filter((F.col("n") > few) & (F.col("low") < F.col("high"))).isEmpty():
+        # no group has more values than one task may hold
+        return fine.groupBy(*keys).agg(*(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY _v)").alias(n) for n, q in quantiles.items()))
 
     def inside(state: DataFrame) -> DataFrame:
         same = [fine[k].eqNullSafe(state[f"_k{i}"]) for i, k in enumerate(keys)] or [F.lit(True)]
