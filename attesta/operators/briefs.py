@@ -47,14 +47,14 @@ def named(names: dict[str, str], key: Column, other: Column | None = None) -> Co
 
 def amount_text(fact: Column) -> Column:
     """An amount with currency, unit, period and scope; null where one of them is missing or the value is no plain number of at most 256 digits."""
-    number = plain_text(fact["value"])
+    number = fact["text"]
     fit = fact["currency"].rlike("^[A-Z]{3}$") & (F.trim(fact["unit"]) != "") & (F.trim(fact["period"]) != "") & fact["scope"].isin(*SCOPES) & number.rlike(NUMBER) & (F.length(F.regexp_replace(number, "[-.]", "")) <= 256)
     return F.when(fit, F.concat(fact["currency"], F.lit(" "), grouped(number), F.lit(" (unit: "), named(UNITS, fact["unit"], fact["unit"]), F.lit("; period: "), fact["period"], F.lit("; "), named(SCOPES, fact["scope"]), F.lit(")")))
 
 
 def _latest(facts: DataFrame, key: str) -> DataFrame:
     """One row an entity: of each field the observation of the latest period, the earliest to arrive of several."""
-    whole = F.struct("claim_id", "value", "currency", "unit", "period", "scope", "from_page")
+    whole = F.struct("claim_id", "text", "currency", "unit", "period", "scope", "from_page")
     order = F.struct(F.coalesce("period", F.lit("")), -F.col("seq"))
     fields = [("identity", f) for f in ("legal_name", "industry_description", "industry_code", "employee_count")] + [("business_description", "description")] + [("financials", f) for f in AMOUNTS]
     of = lambda category, field: (F.col("category") == category) & (F.col("field") == field)
@@ -83,7 +83,7 @@ def _lists(facts: DataFrame, key: str) -> DataFrame:
     branch = say(text("name"), " (orgnr ", text("orgnr"), ")", F.when(where != "", say(", ", where)).otherwise(""), *ends, cited)
     role = say(text("name"), " (", F.coalesce(text("role"), "field"), ")", cited)
     day = F.coalesce(F.nullif(text("date"), F.lit("")), F.nullif(text("registered"), F.lit("")))
-    event = F.when(F.schema_of_variant("_v").startswith("OBJECT"), say(F.coalesce(text("event"), "field"), F.when(day.isNotNull(), say(" (", day, ")")).otherwise(""))).otherwise(plain_text(F.col("value")))
+    event = F.when(F.schema_of_variant("_v").startswith("OBJECT"), say(F.coalesce(text("event"), "field"), F.when(day.isNotNull(), say(" (", day, ")")).otherwise(""))).otherwise(F.col("text"))
     said = F.when(kind == "statement", statement).when(kind == "branch", branch).when(kind == "role", role).otherwise(say(event, cited))
     # statements by period, the latest first; subunits by their number; the rest by slot; then as they came
     item, of_kind = F.coalesce("item_key", F.lit("")), F.col("_kind")
@@ -107,6 +107,7 @@ def briefs(facts: DataFrame, entities: DataFrame, changes: DataFrame, key: str)
     no description; periods compare as texts; numbers with exponents count as not
     safely rendered.
     """
+    facts = facts.withColumn("text", plain_text(F.col("value")))
     latest, lists = _latest(facts, key), _lists(facts, key)
     rows = entities.join(latest, key, "left").join(lists, key, "left").withColumns({"published": F.coalesce("published", F.lit(0))})
     noted = notices(changes, rows.select(key, "previous_run_id", "published", F.lit(0).alias("last_known")), key)
@@ -114,7 +115,7 @@ def briefs(facts: DataFrame, entities: DataFrame, changes: DataFrame, key: str)
     say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     state = lambda category: F.coalesce(F.try_element_at(F.col("coverage"), F.lit(category)), F.lit("not_found"))
     c, claim = F.col, lambda name: cite(F.col(f"{name}.claim_id"))
-    value = lambda name: plain_text(F.col(f"{name}.value"))
+    value = lambda name: F.col(f"{name}.text")
     there = lambda name: F.col(name).isNotNull() & ~F.coalesce(value(name), F.lit("null")).isin("null", "")
     amounts = F.array(*(F.when(c(f).isNotNull(), F.coalesce(say(f"{label} ", amount_text(c(f)), " ", claim(f)), F.lit(""))) for f, label in AMOUNTS.items()))
     rows = rows.withColumn("_amounts", F.array_compact(amounts))
