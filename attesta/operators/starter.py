@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values.
-SHAPE = "nordtrace-starter-example-v1"
 BASIS = "public starter illustrative OUTPUT_CONTRACT.md"
 STRUCTURED = {
     "1.2": "Typed retained JSON/HTML locator and raw value; HTML assertions are source-authored",
@@ -20,8 +19,8 @@ def _with(item: Column, kept: list[str], **more: Column) -> Column:
     return F.struct(*(item[n].alias(n) for n in kept if n not in more), *(x.alias(n) for n, x in more.items()))
 
 
-def starter(results: DataFrame) -> DataFrame:
-    """Each result in the starter shape, its further columns unchanged.
+def starter(results: DataFrame, shape: str) -> DataFrame:
+    """Each result in the starter shape, its further columns unchanged; ``shape`` is what the shape's version is called.
 
     results: schema_version, status, run_id, started_at, completed_at, duration_sec,
     and arrays of structs: facts (claim_id, category, field, fact_confidence,
@@ -62,4 +61,4 @@ def starter(results: DataFrame) -> DataFrame:
         "compatibility": F.struct(F.lit(BASIS).alias("basis"), F.lit("unverified").alias("organizer_acceptance"), structured.alias("structured_evidence")),
     }
     gone = {"_by", "facts", "run_id", "started_at", "completed_at", "duration_sec", "schema_version"}
-    return rows.select(*(c for c in rows.columns if c not in gone and c not in made), F.lit(SHAPE).alias("schema_version"), *(x.alias(n) for n, x in made.items()))
+    return rows.select(*(c for c in rows.columns if c not in gone and c not in made), F.lit(shape).alias("schema_version"), *(x.alias(n) for n, x in made.items()))

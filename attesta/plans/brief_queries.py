@@ -146,7 +146,7 @@ def table_lookups(spark, sf_dir):
     "starter_results",
     """WITH f AS (SELECT o_custkey AS k, string_agg('c' || o_orderkey || '/' || CASE WHEN o_orderkey % 3 = 0 THEN 'registered_website' WHEN o_orderkey % 3 = 1 THEN 'website' ELSE 'legal_name' END, ',' ORDER BY o_orderkey) AS claims,
                    string_agg(CASE WHEN o_orderkey % 2 = 0 THEN 'https://s' || o_orderkey || '.no/final' ELSE 'https://s' || o_orderkey || '.no' END || '/' || CASE WHEN o_orderkey % 4 = 0 THEN 'json_pointer' ELSE 'unlocated_candidate' END, ',' ORDER BY o_orderkey) AS evidence FROM orders GROUP BY 1)
-       SELECT c_custkey, 'nordtrace-starter-example-v1' AS schema_version, '1.' || (1 + c_custkey % 3) AS canonical_schema_version, CASE WHEN c_custkey % 5 = 0 THEN 'failed' ELSE 'completed' END AS terminal_status, claims, evidence,
+       SELECT c_custkey, 'starter-example-v1' AS schema_version, '1.' || (1 + c_custkey % 3) AS canonical_schema_version, CASE WHEN c_custkey % 5 = 0 THEN 'failed' ELSE 'completed' END AS terminal_status, claims, evidence,
               CASE WHEN c_custkey % 4 > 0 THEN CAST(c_custkey % 4 * 1500 AS DOUBLE) END AS runtime_ms, c_custkey % 3 = 0 AS plain FROM customer JOIN f ON c_custkey = k""",
 )
 def starter_results(spark, sf_dir):
@@ -163,7 +163,7 @@ def starter_results(spark, sf_dir):
         "c_custkey", F.concat(F.lit("1."), (1 + k % 3).cast("string")).alias("schema_version"), F.when(k % 5 == 0, "failed").otherwise("available").alias("status"), F.lit("r").alias("run_id"), F.lit("t0").alias("started_at"), F.lit("t1").alias("completed_at"),
         F.when(k % 4 > 0, k % 4 * 1.5).otherwise(F.lit(float("inf"))).alias("duration_sec"), "facts", "evidence", "sources",
     )
-    out = starter.starter(results)
+    out = starter.starter(results, "starter-example-v1")
     claims = F.array_join(F.transform("claims", lambda x: F.concat_ws("/", x["id"], x["field"])), ",")
     evidence = F.array_join(F.transform("evidence", lambda x: F.concat_ws("/", x["source_url"], x["support_representation"])), ",")
     return out.select("c_custkey", "schema_version", "canonical_schema_version", c("run.terminal_status").alias("terminal_status"), claims.alias("claims"), evidence.alias("evidence"), c("operations.runtime_ms").alias("runtime_ms"), c("compatibility.structured_evidence").startswith("JSON pointer").alias("plain"))

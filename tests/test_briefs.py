@@ -95,6 +95,6 @@ def test_entities_keep_types(spark):
 def test_starter_without_its_source(spark):
     schema = "id int, schema_version string, status string, run_id string, started_at string, completed_at string, duration_sec double, facts array<struct<claim_id:string,category:string,field:string,fact_confidence:double,evidence_id:string>>, evidence array<struct<evidence_id:string,source_id:string,source_type:string,content_hash:string,evidence_text:string,locator_kind:string>>, sources array<struct<source_id:string,url:string,final_url:string,source_type:string>>"
     rows = [(1, "1.2", "failed", "r", "a", "b", -1.0, [], [("e", "gone", "own", "h", "t", None)], []), (2, "1.1", "available", "r", "a", "b", 2.0, [("c", "identity", "website", 0.5, "e")], [("e", "s", "own", "h", "t", "json_number")], [("s", "u1", None, "old"), ("s", "u2", None, "new")])]
-    first, second = starter.starter(spark.createDataFrame(rows, schema)).orderBy("id").collect()
+    first, second = starter.starter(spark.createDataFrame(rows, schema), "v").orderBy("id").collect()
     assert first.evidence[0].source_url is None and first.evidence[0].source_class == "own" and first.operations.runtime_ms is None and first.run.terminal_status == "failed"
     assert second.evidence[0].source_url == "u2" and second.claims[0].field == "registered_website" and second.operations.runtime_ms == 2000.0
