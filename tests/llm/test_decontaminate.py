@@ -3,6 +3,7 @@ import random
 import re
 import tracemalloc
 
+import numpy as np
 import pytest
 
 from attesta.llm import decontaminate as D
@@ -92,6 +93,38 @@ def test_a_block_fits_a_worker():
     windows = D.Windows(items, 10)
     held, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
-    assert peak < 60 * size and held < 30 * size + (16 << 20)
+    assert peak < 25 * size and held < 6 * size + (8 << 20)
     text = items[7][1].lower()
-    assert [h for h in windows.hits(D.words_of(text)) if h[2] == {"7"}] and len(list(windows.hits(D.words_of(text)))) == 51
+    assert [h for h in windows.hits(D.words_of(text)) if windows.items_of({h[2]}) == {"7"}] and len(list(windows.hits(D.words_of(text)))) == 51
+
+
+def test_a_window_of_many_items_is_verified_once(spark):
+    stem = "which of the following statements about this passage is most likely true"
+    items = [(i, f"{stem} number{i} is it so") for i in range(4000)] + [(4000, f"{stem} {stem}"), (None, stem)]
+    windows = D.Windows([(None if i is None else str(i), t) for i, t in items], 10)
+    docs = [(1, f"{stem} {stem} and {stem}", "x", 1), (2, f"{stem} number7 is", "x", 1), (3, "nothing of it", "x", 1)]
+    hits = list(windows.hits(D.words_of(docs[0][1])))
+    assert len({h[2] for h in hits}) <= 5 and len(windows.shared) <= 5
+    got = D.digests(spark.createDataFrame(docs, SCHEMA), items_of(spark, items))
+    assert sorted(map(tuple, got.collect())) == sorted(brute(docs, items))
+
+
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    docs, items = tables()
+    monkeypatch.setattr(D.Windows, "_rolled", lambda self, hashes, size: (hashes[: max(0, len(hashes) - size + 1)] % np.uint64(3)) << np.uint64(60))
+    windows = D.Windows([(None if i is None else str(i), t) for i, t in items], 10)
+    for key, text, *_ in docs:
+        said, found, hit = D.words_of(text), set(), set()
+        for i, size, bearers in windows.hits(said):
+            found |= windows.items_of({bearers})
+            hit |= set(range(i, i + size))
+        row = next(r for r in brute([(key, text)], items))
+        assert (len(hit), len(found)) == row[2:4]
+
+
+def test_a_text_of_megabytes(spark):
+    docs, items = tables()
+    text = "filler words of no item " * 400_000 + items[0][1]
+    row = D.digests(spark.createDataFrame([(1, text, "x", 1)], SCHEMA), items_of(spark, items)).first()
+    n = len(items[0][1].split())
+    assert (row.n_words, row.n_hit >= n, row.contaminated) == (2_000_000 + len(words(items[0][1])), True, True)
