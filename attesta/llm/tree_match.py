@@ -4,8 +4,11 @@ The pairs found keep names, parents and order and have the highest score: a pair
 with equal texts counts three, others two.  Equal subtrees at both ends of two
 lists of children are paired at once, which loses nothing: no other partner
 counts more.  The rest is a longest-common-subsequence grid over the children.
-Nothing recurses, so the depth of the markup doesn't matter; the time grows with
-the product of the lengths of unequal lists of children.
+Subtrees that differ only in texts that the other page doesn't have at all are of
+one kind, and a pair's score depends on the two kinds alone, so it is found once
+for each pair of kinds: the rows of a listing have few.  Nothing recurses, so the
+depth of the markup doesn't matter; the time grows with the product of the numbers
+of kinds in unequal lists of children and, in numpy, of these lists' lengths.
 """
 
 from __future__ import annotations
@@ -35,10 +38,20 @@ class Tree:
             self.whole[i] = hash((name[i], text[i], *[self.whole[k] for k in self.kids[i]]))
 
 
+def _kinds(tree: Tree, other: set[int], side: int) -> list[int]:
+    """For each block the kind of its subtree: its shape and those texts that the ``other`` page has too."""
+    out = [0] * len(tree.up)
+    for i in range(len(out) - 1, -1, -1):
+        text = tree.text[i]
+        out[i] = hash((tree.name[i], (text,) if text in other else side, *[out[k] for k in tree.kids[i]]))
+    return out
+
+
 class _Match:
     def __init__(self, x: Tree, y: Tree):
         self.x, self.y = x, y
         self.scores: dict[tuple[int, int], int] = {}
+        self.kx, self.ky = _kinds(x, set(y.text), 0), _kinds(y, set(x.text), 1)
 
     def ends(self, i: int, j: int) -> tuple[list[int], list[int], int]:
         """The children of two blocks, and how many equal ones both lists begin and end with: (a, b, first, last)."""
@@ -56,26 +69,30 @@ class _Match:
             return 0
         if x.whole[p] == y.whole[q]:
             return 3 * x.size[p]
-        found = self.scores.get((p, q))
+        found = self.scores.get((self.kx[p], self.ky[q]))
         return (3 if x.text[p] == y.text[q] else 2) if found is None else found
 
     def score(self) -> None:
-        """Scores of all pairs of unequal blocks with children whose blocks above may be paired, from below."""
-        x, y, order = self.x, self.y, [(0, 0)]
+        """Scores of all pairs of kinds of unequal blocks with children whose blocks above may be paired, from below."""
+        x, y, kx, ky = self.x, self.y, self.kx, self.ky
+        order, known = [(0, 0)], {(kx[0], ky[0])}
         for i, j in order:  # grows while it is read
             a, b, first, last = self.ends(i, j)
-            deep = [q for q in b[first : len(b) - last] if y.kids[q]]
-            for p in a[first : len(a) - last] if deep else ():
-                if x.kids[p]:
-                    order += [(p, q) for q in deep if x.name[p] == y.name[q] and x.whole[p] != y.whole[q]]
-        for i, j in reversed(order):
+            below = {ky[q]: q for q in b[first : len(b) - last] if y.kids[q]}
+            for p in {kx[p]: p for p in a[first : len(a) - last] if x.kids[p]}.values() if below else ():
+                for q in below.values():
+                    if x.name[p] == y.name[q] and x.whole[p] != y.whole[q] and (kx[p], ky[q]) not in known:
+                        known.add((kx[p], ky[q]))
+                        order.append((p, q))
+        # what is inside a block is smaller than it
+        for i, j in sorted(order, key=lambda pair: x.size[pair[0]]):
             a, b, first, last = self.ends(i, j)
             ends = [*a[:first], *a[len(a) - last :]]
             a, b = a[first : len(a) - last], b[first : len(b) - last]
             inner = 0
             if a and b:
                 inner = self.grid(a, b)[-1][-1] if len(a) * len(b) <= MOST_PAIRS else int(self.last(a, b)[-1])
-            self.scores[i, j] = (3 if x.text[i] == y.text[j] else 2) + 3 * sum(x.size[k] for k in ends) + inner
+            self.scores[kx[i], ky[j]] = (3 if x.text[i] == y.text[j] else 2) + 3 * sum(x.size[k] for k in ends) + inner
 
     def grid(self, a: list[int], b: list[int]) -> list[list[int]]:
         row = [0] * (len(b) + 1)
@@ -93,18 +110,17 @@ class _Match:
 
     def rows(self, row: np.ndarray, a: list[int], b: list[int]):
         """The grid's rows after ``row``, one for each of ``a``."""
-        x, y = self.x, self.y
-        names, texts, wholes = (np.array([f[q] for q in b], np.int64) for f in (y.name, y.text, y.whole))
-        deep = np.array([bool(y.kids[q]) for q in b])
+        some = {self.ky[q]: q for q in b}
+        number = {kind: n for n, kind in enumerate(some)}
+        of = np.array([number[self.ky[q]] for q in b], np.int64)
+        worths: dict[int, np.ndarray] = {}
         for p in a:
-            named = names == x.name[p]
-            worth = np.where(named, 2 + (texts == x.text[p]), 0)
-            worth[named & (wholes == x.whole[p])] = 3 * x.size[p]
-            if x.kids[p]:
-                for k in np.flatnonzero(named & deep).tolist():
-                    worth[k] = self.worth(p, b[k])
+            worth = worths.get(self.kx[p])
+            if worth is None:
+                worth = worths[self.kx[p]] = np.array([self.worth(p, q) for q in some.values()], np.int64)
+            gain = worth[of]
             best = row.copy()
-            np.maximum(best[1:], np.where(named, row[:-1] + worth, 0), out=best[1:])
+            np.maximum(best[1:], np.where(gain > 0, row[:-1] + gain, 0), out=best[1:])
             row = np.maximum.accumulate(best)
             yield row
 
@@ -142,9 +158,10 @@ def align(x: Tree, y: Tree) -> list[int]:
     partner = [-1] * len(x.up)
     if x.name[0] != y.name[0]:
         return partner
+    if x.whole[0] == y.whole[0]:
+        return list(range(len(partner)))
     match = _Match(x, y)
-    if x.whole[0] != y.whole[0]:
-        match.score()
+    match.score()
     stack = [(0, 0)]
     while stack:
         i, j = stack.pop()

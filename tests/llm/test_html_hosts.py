@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -51,6 +52,35 @@ def test_matching_is_the_best_one_and_alike_for_long_lists(monkeypatch):
             assert tree_match.align(x, y) == partner
 
 
+def listing(rows, first, shared=()):
+    """A table of rows of two cells, whose texts are numbered from ``first`` or, every other row's, of ``shared``."""
+    up, name, text = [0, 0], [0, 1], [0, 0]
+    for r in range(rows):
+        row = len(up)
+        up, name = [*up, 1, row, row], [*name, 2, 3, 3]
+        text += [0, first + r, shared[r // 2 % len(shared)] if shared and r % 2 else first + rows + r]
+    return tree_match.Tree(up, name, text)
+
+
+def test_kinds_give_what_plain_recursion_gives():
+    rng = random.Random(7)
+    for _ in range(40):
+        shared = rng.sample(range(1, 9), rng.randint(0, 4))
+        x, y = listing(rng.randint(1, 12), 100, shared), listing(rng.randint(1, 12), rng.choice([100, 106, 200]), shared[::-1])
+        partner = tree_match.align(x, y)
+        assert sum(2 + (x.text[i] == y.text[j]) for i, j in enumerate(partner) if j >= 0) == best(x, y)
+
+
+def test_listings_of_thousands_of_rows():
+    """Rows that differ in their own texts are of few kinds: two long lists take seconds, not minutes."""
+    for shared in ((), range(1, 30)):
+        x, y = listing(3000, 10_000, shared), listing(2900, 90_000, shared)
+        start = time.perf_counter()
+        partner = tree_match.align(x, y)
+        assert sum(j >= 0 for j in partner) == len(y.up)
+        assert time.perf_counter() - start < 10
+
+
 def test_deep_markup(spark):
     rows = [(i, "http://deep.com/", "<div>" * n + f"text {i}" + "</div>" * n) for i, n in enumerate([1, 600, 3000, 20000])]
     assert texts(spark, rows) == {i: f"text {i}" for i in range(4)}
