@@ -38,12 +38,12 @@ class Tree:
             self.whole[i] = hash((name[i], text[i], *[self.whole[k] for k in self.kids[i]]))
 
 
-def _kinds(tree: Tree, other: set[int], side: int) -> list[int]:
+def _kinds(tree: Tree, other: set[int], side: str) -> list[int]:
     """For each block the kind of its subtree: its shape and those texts that the ``other`` page has too."""
-    out = [0] * len(tree.up)
+    out = [hash((name, text if text in other else side)) for name, text in zip(tree.name, tree.text)]
     for i in range(len(out) - 1, -1, -1):
-        text = tree.text[i]
-        out[i] = hash((tree.name[i], (text,) if text in other else side, *[out[k] for k in tree.kids[i]]))
+        if kids := tree.kids[i]:
+            out[i] = hash((out[i], *[out[k] for k in kids]))
     return out
 
 
@@ -51,7 +51,7 @@ class _Match:
     def __init__(self, x: Tree, y: Tree):
         self.x, self.y = x, y
         self.scores: dict[tuple[int, int], int] = {}
-        self.kx, self.ky = _kinds(x, set(y.text), 0), _kinds(y, set(x.text), 1)
+        self.kx, self.ky = _kinds(x, set(y.text), "x"), _kinds(y, set(x.text), "y")
 
     def ends(self, i: int, j: int) -> tuple[list[int], list[int], int]:
         """The children of two blocks, and how many equal ones both lists begin and end with: (a, b, first, last)."""
@@ -69,7 +69,7 @@ class _Match:
             return 0
         if x.whole[p] == y.whole[q]:
             return 3 * x.size[p]
-        found = self.scores.get((self.kx[p], self.ky[q]))
+        found = self.scores.get((self.kx[p], self.ky[q])) if x.kids[p] and y.kids[q] else None
         return (3 if x.text[p] == y.text[q] else 2) if found is None else found
 
     def score(self) -> None:
