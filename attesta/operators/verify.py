@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from attesta.functions.numbers import quoted_number
 
+#: Years in a text: numbers of their own, not digits of a longer number (a record's id, an amount) and not what stands
+#: before a decimal part; dates (2024.12.31) and lists of years (2023,2024) have them.
+YEAR = r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])(?![.,](?!(?:19|20)[0-9]{2}(?![0-9]))[0-9]++(?![.,\-/][0-9]))"
+
 
 def check_citations(facts: DataFrame, sources: DataFrame, evidence: DataFrame) -> DataFrame:
     """Adds ok and reason: the first rule of the chain that a fact breaks, else ok.
@@ -47,7 +51,7 @@ def check_citations(facts: DataFrame, sources: DataFrame, evidence: DataFrame) -
         (money & ~given("currency"), "financial fact missing currency"),
         (money & ~given("reporting_period"), "financial fact missing reporting period"),
         (money & ~F.array_contains(F.regexp_extract_all("e_evidence_text", F.lit(r"\w+"), F.lit(0)), c("currency")), "financial currency absent from evidence"),
-        (money & ((year == "") | ~F.contains("e_evidence_text", year)), "financial reporting year absent from evidence"),
+        (money & ((year == "") | ~F.array_contains(F.regexp_extract_all("e_evidence_text", F.lit(YEAR), F.lit(0)), year)), "financial reporting year absent from evidence"),
         (money & ~quoted_number(c("value"), c("e_evidence_text")), "financial value absent from evidence"),
     ]
     reason = reduce(lambda w, x: w.when(x[0], x[1]), chain[1:], F.when(*chain[0])).otherwise("ok")

@@ -126,6 +126,19 @@ def test_citations(spark):
         assert r.reason == r.want and r.ok == (r.want == "ok")
 
 
+def test_reporting_year_is_a_number_of_its_own(spark):
+    """Digits of a record's id, of a longer number or of an amount are no year; dates and lists of years have one."""
+    has = {"FY2024": True, "2024-01-01/2024-12-31": True, "31.12.2024, NOK": True, "2024.12.31": True, "2023,2024": True, "2024,2025": True, "in 2024.": True, '"2024"': True}
+    lacks = {'record_id "20244"': False, "52024": False, '"value":"2024.9"': False, '"source_number":"-2024.90"': False, "2024,50 kr": False, "2023-12-31": False}
+    rows = spark.createDataFrame(list((has | lacks).items()), "said string, want boolean")
+    for r in rows.withColumn("got", F.array_contains(F.regexp_extract_all("said", F.lit(verify.YEAR), F.lit(0)), "2024")).collect():
+        assert r.got == r.want, r.said
+    facts = spark.createDataFrame([(k, "1", "financials", "revenue", None, "1234", "NOK", "2024", "VERIFIED", "s", k) for k in "ab"], "fact_id string, org_number string, category string, field string, item_key string, value string, currency string, reporting_period string, entity_verdict string, source_id string, evidence_id string")
+    sources = spark.createDataFrame([("s", "success", "registry", "application/json", "1", "h")], "source_id string, access_status string, source_type string, content_type string, org_number string, content_hash string")
+    evidence = spark.createDataFrame([(k, "s", said, "VERIFIED", "1", "h", "json_number") for k, said in (("a", "1234 NOK 2023-12-31 id 20244"), ("b", "1234 NOK 2024-12-31 id 20244"))], "evidence_id string, source_id string, evidence_text string, entity_verdict string, org_number string, content_hash string, locator_kind string")
+    assert {r.fact_id: r.reason for r in verify.check_citations(facts, sources, evidence).collect()} == {"a": "financial reporting year absent from evidence", "b": "ok"}
+
+
 def test_profiles_and_audits(spark):
     facts = spark.createDataFrame([("1", "identity", "PUBLISHED"), ("1", "jobs", "CONFLICT"), ("2", "jobs", "PUBLISHED")], "org string, category string, status string")
     cats = ["identity", "jobs", "news"]
