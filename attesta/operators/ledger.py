@@ -48,13 +48,14 @@ def ledger(facts: DataFrame, slot: list[str], assertion: str, repeat: list[str],
     differs from the slot's first assertion, repetitions are dropped; once one
     differs, all that is left of the slot is in conflict.
     """
-    w = Window.partitionBy(*slot).orderBy(seq)
+    w = Window.partitionBy(*slot).orderBy(*repeat, seq)
     whole = Window.partitionBy(*slot)
-    rows = facts.withColumn("_first", F.first(assertion).over(w))
+    # one sort by slot, repetition and arrival serves all; a repetition has its like right in front of it
+    rows = facts.withColumn("_again", F.lag(F.struct(*repeat)).over(w).eqNullSafe(F.struct(*repeat)))
+    rows = rows.withColumn("_first", F.min_by(assertion, F.struct(seq)).over(whole))
     rows = rows.withColumn("_breach", F.min(F.when(~F.col(assertion).eqNullSafe(F.col("_first")), F.col(seq))).over(whole))
-    earlier = F.row_number().over(Window.partitionBy(*slot, *repeat).orderBy(seq))
-    rows = rows.withColumn("_nth", earlier).filter((F.col("_nth") == 1) | (F.col(seq) >= F.col("_breach")))
-    return rows.withColumn("status", F.when(F.col("_breach").isNotNull(), "CONFLICT").otherwise("PUBLISHED")).drop("_first", "_breach", "_nth")
+    rows = rows.filter(~F.col("_again") | (F.col(seq) >= F.col("_breach")))
+    return rows.withColumn("status", F.when(F.col("_breach").isNotNull(), "CONFLICT").otherwise("PUBLISHED")).drop("_first", "_breach", "_again")
 
 
 def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attesta.operators import audit, ledger, metrics, profile, verify
 from attesta.plans.registry import epoch_us, query, read
@@ -58,7 +59,10 @@ def _ledger(spark, sf_dir):
 )
 def slot_ledger(spark, sf_dir):
     """The sequential ledger as windows: repetitions go, a differing claim puts its slot in conflict."""
-    return _ledger(spark, sf_dir).groupBy("l_orderkey", "l_linenumber", "assertion", "l_linestatus", "status").agg(F.count("*").alias("n"))
+    same = Window.partitionBy("l_orderkey", "l_linenumber", "assertion", "l_linestatus")
+    # counted in the ledger's own order, without a table of groups in memory
+    rows = _ledger(spark, sf_dir).withColumns({"_nth": F.row_number().over(same.orderBy("seq")), "n": F.count("*").over(same)})
+    return rows.filter("_nth = 1").select("l_orderkey", "l_linenumber", "assertion", "l_linestatus", "status", "n")
 
 
 @query(

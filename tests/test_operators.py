@@ -31,6 +31,21 @@ def test_ledger_equals_arrival_by_arrival(spark):
     assert got == arrivals(rows) and len(set(got.values())) == 2
 
 
+def test_ledger_is_one_sort(spark):
+    """All of the ledger's windows share an order, so a task holds its rows once."""
+    frame = spark.createDataFrame([(1, 2, "a", "x")], "slot int, seq int, claim string, source string")
+    plan = ledger.ledger(frame, ["slot"], "claim", ["claim", "source"], "seq")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
+def test_ledger_over_nulls(spark):
+    """Null claims, sources and arrivals are values like others, the null arrival the first."""
+    rows = [(1, None, None, "x"), (1, 2, None, "x"), (1, 3, None, None), (1, 4, None, None), (2, 1, "a", "x"), (2, 2, None, "x"), (2, 3, "a", "x"), (3, None, "a", "x"), (3, 1, "b", "x")]
+    frame = spark.createDataFrame(rows, "slot int, seq int, claim string, source string")
+    got = sorted(((r.slot, r.seq, r.status) for r in ledger.ledger(frame, ["slot"], "claim", ["claim", "source"], "seq").collect()), key=str)
+    assert got == [(1, 3, "PUBLISHED"), (1, None, "PUBLISHED"), (2, 1, "CONFLICT"), (2, 2, "CONFLICT"), (2, 3, "CONFLICT"), (3, 1, "CONFLICT"), (3, None, "CONFLICT")]
+
+
 def test_current_value_ties(spark):
     rows = spark.createDataFrame([("k", "2024", 2, "b"), ("k", "2024", 1, "a"), ("k", None, 0, "c"), ("j", None, 5, "d")], "k string, at string, seq int, v string")
     assert sorted(r.v for r in ledger.current_values(rows, ["k"], "at", "seq").collect()) == ["a", "d"]
