@@ -8,17 +8,19 @@ nothing is read as a double.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from datetime import date
 from hashlib import blake2b
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
 from attesta.functions.json_tokens import Number, canonical, strict_loads
 from attesta.functions.numbers import canonical_text
+from attesta.functions.slices import cuts
 
 #: Where each amount stands in a record.
 AMOUNTS = {
@@ -101,9 +103,8 @@ def picked(document, org: str) -> list[dict]:
     return [_picked(i, f"/{i}" if listed else "", r, org) for i, r in enumerate(document if listed else [document])]
 
 
-@pandas_udf(RECORD)
-def picked_records(bodies: pd.Series, orgs: pd.Series) -> pd.Series:
-    """The picked records of each body; null for what strict JSON doesn't allow."""
+def _picked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(document, org_number, records) of (document, org_number, body), a slice of a batch at a time; null records for what strict JSON doesn't allow."""
 
     def of(body, org):
         try:
@@ -111,13 +112,19 @@ def picked_records(bodies: pd.Series, orgs: pd.Series) -> pd.Series:
         except (ValueError, RecursionError):
             return None
 
-    return pd.Series([of(b, o) for b, o in zip(bodies, orgs)])
+    kind = to_arrow_type(RECORD)
+    for batch in batches:
+        for a, b in cuts(batch["body"]):
+            part = batch.slice(a, b - a)
+            made = pa.array(map(of, part["body"].to_pylist(), part["org_number"].to_pylist()), kind)
+            yield pa.RecordBatch.from_arrays([part["document"], part["org_number"], made], [*KEYS, "records"])
 
 
 def records(bodies: DataFrame, org: str = "org_number", body: str = "body", document: str = "org_number") -> DataFrame:
     """(document, org_number, records): each body's records and what can be said of them; ``document`` tells bodies apart where an organisation has several."""
-    rows = bodies.select(F.col(document).alias("document"), F.col(org).alias("org_number"), picked_records(body, org).alias("records"))
-    return rows.filter("records IS NOT NULL")
+    rows = bodies.select(F.col(document).alias("document"), F.col(org).alias("org_number"), F.col(body).alias("body"))
+    made = T.StructType([*(T.StructField(name, rows.schema[name].dataType) for name in KEYS), T.StructField("records", RECORD)])
+    return rows.mapInArrow(_picked_batches, made).filter("records IS NOT NULL")
 
 
 def _few(rows: Column) -> Column:

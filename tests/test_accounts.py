@@ -1,10 +1,11 @@
 import ipaddress
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.functions import names, net, structured_data, text
+from attesta.functions import names, net, slices, structured_data, text
 from attesta.operators import accounts
 from attesta.sources import bundle, sinks
 
@@ -128,3 +129,30 @@ def test_bundle_with_projection_and_artifacts(spark, tmp_path):
     assert sinks.artifact_problems(spark, str(tmp_path / "set"), schemas).collect() == []
     (tmp_path / "set" / "report" / "more.json").write_text('{"organisation_number":"9","claims":1}\n')
     assert [tuple(r) for r in sinks.artifact_problems(spark, str(tmp_path / "set"), schemas).collect()] == [("report", "differs")]
+
+
+def test_a_batch_is_picked_by_slices(spark, monkeypatch):
+    """A batch's records are never Python objects all at once, and every row keeps its place, null and broken bodies too."""
+    alive = most = 0
+
+    class Kept(list):
+        def __del__(self):
+            nonlocal alive
+            alive -= 1
+
+    def of(body, org):
+        nonlocal alive, most
+        alive += 1
+        most = max(most, alive)
+        return Kept([{"record_id": f"{body}/{org}"}])
+
+    monkeypatch.setattr(slices, "MOST_HELD", 1000)
+    kind = pa.list_(pa.struct([("record_id", pa.string())]))
+    bodies, orgs = ["x" * (k % 50) if k % 9 else None for k in range(500)] + ["y" * 5000, "z"], [str(k) for k in range(502)]
+    got = slices.by_slices(of, kind, pa.array(bodies), pa.array(orgs))
+    assert got.to_pylist() == [[{"record_id": f"{b}/{o}"}] for b, o in zip(bodies, orgs)] and 0 < most <= 20
+    assert slices.by_slices(of, kind, pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
+    texts = [json.dumps([record(id=k + 1)]) if k % 3 else "{" if k % 2 else None for k in range(3000)]
+    rows = spark.createDataFrame([(k, ORG, x) for k, x in enumerate(texts)], "k int, org_number string, body string").coalesce(1)
+    found = {(r.document, r.record_id) for r in accounts.statements(accounts.records(rows, document="k")).collect()}
+    assert found == {(k, str(k + 1)) for k in range(3000) if k % 3}
