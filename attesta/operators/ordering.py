@@ -52,13 +52,15 @@ def placed_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(files, "file").select((F.col("before") + F.col("line") - 1).alias("place"), "value")
 
 
-def merkle(rows: DataFrame, place: str, line: Column, keys: list[str] | None = None) -> DataFrame:
+def merkle(rows: DataFrame, place: str, line: Column, keys: list[str] | None = None, levels: int | None = None) -> DataFrame:
     """(keys, lines, digest) of the lines of each key, or of all together, by their places from 0.
 
     A tree of SHA-256: a leaf is over the hashes of FAN lines whose places follow
     each other, a node over FAN digests, each with its place in front, so a swap or a
     gap changes the root and the number of partitions doesn't.  No task has more than
-    FAN hashes of a node.  Rows: null lines count as empty; an empty table has none.
+    FAN hashes of a node.  ``levels`` fixes the tree's height, the root then being over
+    whatever is below it: at two levels, a digest for each FAN lines.  Rows: null lines
+    count as empty; an empty table has none.
     """
     keys = keys or []
     level = rows.select(*keys, F.col(place).alias("_p"), F.sha2(F.coalesce(line, F.lit("")), 256).alias("_h"), F.lit(1).cast("long").alias("_n"))
@@ -66,12 +68,13 @@ def merkle(rows: DataFrame, place: str, line: Column, keys: list[str] | None = N
     while True:
         listed = F.array_sort(F.collect_list(F.struct("_p", "_h")))
         text = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["_p"].cast("string"), x["_h"])), "\n")
-        up = level.withColumn("_up", F.expr(f"_p div {FAN}")).groupBy(*keys, "_up").agg(F.sha2(text, 256).alias("_h"), F.sum("_n").alias("_n"))
+        root = levels is not None and depth + 1 == levels
+        up = level.withColumn("_up", F.lit(0).cast("long") if root else F.expr(f"_p div {FAN}")).groupBy(*keys, "_up").agg(F.sha2(text, 256).alias("_h"), F.sum("_n").alias("_n"))
         level = up.select(*keys, F.col("_up").alias("_p"), "_h", "_n")
-        if most is None:
+        if levels is None and most is None:
             most = rows.agg(F.max(place)).first()[0] or 0
         depth += 1
-        if most // FAN**depth == 0:
+        if root or levels is None and most // FAN**depth == 0:
             return level.select(*keys, F.col("_n").alias("lines"), F.col("_h").alias("digest"))
 
 

@@ -31,6 +31,18 @@ def test_digest_is_of_the_order(spark, monkeypatch, n):
     assert ordering.merkle(spark.createDataFrame([], "p long, v string"), "p", F.col("v")).collect() == []
 
 
+@pytest.mark.parametrize("n", [1, 3, 17, 65])
+def test_digest_of_two_levels(spark, monkeypatch, n):
+    """A fixed height: below FAN lines and beyond FAN**2 the root is over the digests of all leaves."""
+    monkeypatch.setattr(ordering, "FAN", 4)
+    lines = [f"l{k % 5}" for k in range(n)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "p long, v string").repartition(3)
+    node = lambda hashes, at=0: hashlib.sha256("\n".join(f"{p}:{h}" for p, h in enumerate(hashes, at)).encode()).hexdigest()
+    hashes = [hashlib.sha256(x.encode()).hexdigest() for x in lines]
+    want = node([node(hashes[k : k + 4], k) for k in range(0, n, 4)])
+    assert [tuple(r) for r in ordering.merkle(rows, "p", F.col("v"), levels=2).collect()] == [(n, want)]
+
+
 def test_places(spark):
     rows = [(random.Random(k).randint(0, 50), k) for k in range(400)] + [(None, 7)]
     got = ordering.placed(spark.createDataFrame(rows, "a int, b int").repartition(6), ["a", "b"]).collect()
