@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from attesta.functions.json_tokens import Number, canonical, strict_loads
 from attesta.functions.numbers import canonical_text
+from attesta.functions.rules import let
 from attesta.functions.slices import cuts
 
 #: Where each amount stands in a record.
@@ -31,7 +32,7 @@ AMOUNTS = {
     "equity": "/egenkapitalGjeld/egenkapital/sumEgenkapital",
     "total_liabilities": "/egenkapitalGjeld/gjeldOversikt/sumGjeld",
 }
-MOST_RECORDS, MOST_ID = 100, 2147483647
+MOST_ID = 2147483647
 #: A record's attributes, by where they stand.
 FIELDS = {"org": "/virksomhet/organisasjonsnummer", "kind": "/regnskapstype", "currency": "/valuta", "start": "/regnskapsperiode/fraDato", "end": "/regnskapsperiode/tilDato"}
 KEYS = ["document", "org_number"]
@@ -127,17 +128,25 @@ def records(bodies: DataFrame, org: str = "org_number", body: str = "body", docu
     return rows.mapInArrow(_picked_batches, made).filter("records IS NOT NULL")
 
 
-def _few(rows: Column) -> Column:
-    return F.size(rows) <= MOST_RECORDS
+def _agreed(rows: Column, key, said) -> Column:
+    """The first record of each key whose records all say the same, for any number of records.
+
+    Sorted by key and by what is said, equal ones lie side by side, so the first of
+    each meet only their neighbours: a key that is left once has nothing against it.
+    """
+    ordered = F.array_sort(F.transform(rows, lambda r: F.struct(key(r).alias("key"), said(r).alias("said"), r["position"].alias("position"), r.alias("r"))))
+    differs = lambda x, y: F.coalesce(x["key"] != y["key"], F.lit(True))
+    firsts = lambda all_: F.filter(all_, lambda x, i: differs(F.get(all_, i - 1), x) | ~F.get(all_, i - 1)["said"].eqNullSafe(x["said"]))
+    alone = lambda all_: F.filter(all_, lambda x, i: differs(F.get(all_, i - 1), x) & differs(F.get(all_, i + 1), x))
+    return F.transform(let(let(ordered, firsts), alone), lambda x: x["r"])
 
 
 def statements(made: DataFrame) -> DataFrame:
-    """(document, org_number, record_id, pointer, currency, period, journal): the statement of each record id whose records all say the same; none of documents with too many records."""
+    """(document, org_number, record_id, pointer, currency, period, journal): the statement of each record id whose records all say the same."""
     named = F.filter("records", lambda r: r["record_id"].isNotNull())
     binding = lambda r: F.when(r["stated"], F.struct(r["currency"], r["period"], r["journal"]))
-    alone = lambda r, all_: r["stated"] & F.forall(all_, lambda o: (o["record_id"] != r["record_id"]) | (o["position"] >= r["position"]) & binding(o).eqNullSafe(binding(r)))
-    rows = made.filter(_few(F.col("records"))).select(*KEYS, named.alias("_n"))
-    rows = rows.select(*KEYS, F.explode(F.filter("_n", lambda r: alone(r, F.col("_n")))).alias("r"))
+    alone = F.filter(_agreed(named, lambda r: r["record_id"], binding), lambda r: r["stated"])
+    rows = made.select(*KEYS, F.explode(alone).alias("r"))
     return rows.select(*KEYS, "r.record_id", F.concat("r.pointer", F.lit("/id")).alias("pointer"), "r.currency", "r.period", "r.journal")
 
 
@@ -148,9 +157,9 @@ def amounts(made: DataFrame) -> DataFrame:
     record that is no object, withholds every amount of its document.
     """
     subject = lambda r: r["own"] & ~r["group_scope"]
-    fit = made.filter(_few(F.col("records")) & F.forall("records", lambda r: r["object"] & (~subject(r) | r["placed"]))).select(*KEYS, F.filter("records", subject).alias("_s"))
-    alone = lambda r: r["stated"] & r["going_concern"] & F.forall("_s", lambda o: (o["stated_period"] != r["stated_period"]) | (o["position"] >= r["position"]) & (o["canonical"] == r["canonical"]))
-    rows = fit.select(*KEYS, F.explode(F.filter("_s", alone)).alias("r")).select(*KEYS, "r", F.explode("r.amounts").alias("a")).filter("a.value IS NOT NULL")
+    fit = made.filter(F.forall("records", lambda r: r["object"] & (~subject(r) | r["placed"])))
+    alone = F.filter(_agreed(F.filter("records", subject), lambda r: r["stated_period"], lambda r: r["canonical"]), lambda r: r["stated"] & r["going_concern"])
+    rows = fit.select(*KEYS, F.explode(alone).alias("r")).select(*KEYS, "r", F.explode("r.amounts").alias("a")).filter("a.value IS NOT NULL")
     return rows.select(
         *KEYS, F.concat("r.pointer", "a.path").alias("pointer"), "a.field", F.element_at(F.split("a.path", "/"), -1).alias("source_field"), F.col("a.number").alias("source_number"), "a.value",
         F.col("r.pointer").alias("record_pointer"), "r.record_id", "r.currency", "r.period", "r.journal",

@@ -1,5 +1,6 @@
 import ipaddress
 import json
+import random
 
 import pyarrow as pa
 import pytest
@@ -156,3 +157,28 @@ def test_a_batch_is_picked_by_slices(spark, monkeypatch):
     rows = spark.createDataFrame([(k, ORG, x) for k, x in enumerate(texts)], "k int, org_number string, body string").coalesce(1)
     found = {(r.document, r.record_id) for r in accounts.statements(accounts.records(rows, document="k")).collect()}
     assert found == {(k, str(k + 1)) for k in range(3000) if k % 3}
+
+
+def test_documents_of_any_number_of_records(spark):
+    """Against the plain rules: the first record of an id, or of a period, whose records all say the same."""
+    dice, documents = random.Random(5), []
+    for size in (1, 2, 30, 100, 101, 400, 3000):
+        for spread in (size // 8 + 1, 4 * size):
+            picks = [dice.randrange(spread) for _ in range(size)]
+            documents.append([record(id=k + 1, journalnr=dice.choice(["J"] * 9 + ["K", None]), valuta=dice.choice(["NOK"] * 30 + ["nok"]), regnskapsperiode={"fraDato": f"{1000 + k % 8000}-01-01", "tilDato": f"{1000 + k % 8000}-12-31"}) for k in picks])
+    rows = spark.createDataFrame([(k, ORG, json.dumps(d)) for k, d in enumerate(documents)], "k int, org_number string, body string")
+    made = accounts.records(rows, document="k")
+
+    def agreed(document, key, said):
+        groups = {}
+        for i, r in enumerate(document):
+            groups.setdefault(key(r), []).append((i, r))
+        return {i for (i, first), *more in groups.values() if first["valuta"] == "NOK" and all(said(r) == said(first) for _, r in more)}
+
+    period = lambda r: tuple(r["regnskapsperiode"].values())
+    want = {(k, f"/{i}/id") for k, d in enumerate(documents) for i in agreed(d, lambda r: r["id"], lambda r: r["valuta"] == "NOK" and (period(r), r["journalnr"]))}
+    got = [(r.document, r.pointer) for r in accounts.statements(made).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {k for k, _ in want} == set(range(14))
+    want = {(k, f"/{i}/eiendeler/sumEiendeler") for k, d in enumerate(documents) for i in agreed(d, period, lambda r: r)}
+    got = [(r.document, r.pointer) for r in accounts.amounts(made).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {k for k, _ in want} == set(range(14))
